@@ -16,7 +16,7 @@ shuffle; no window over the whole log is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import ANALYSIS_COLUMNS, RAW_COLUMNS
 
@@ -104,13 +104,23 @@ def first_raw(log: DataFrame) -> DataFrame:
         F.min_by(F.struct(*RAW_COLUMNS), "seq").alias("r")).select("id", "r.*")
 
 
-def dense_ordinals(df: DataFrame, order_col: str, out: str = "ordinal") -> DataFrame:
+def dense_ordinals(df: DataFrame, order_col: str, out: str = "ordinal",
+                   partitions: int | None = None) -> DataFrame:
     """N4 display form: 1..n in ``order_col`` order without a global window.
 
-    ``zipWithIndex`` counts each range partition once and adds prefix offsets,
-    so no single task sees the whole table.
+    The rows are range-partitioned and sorted within partitions; a row's
+    position inside its partition comes from ``monotonically_increasing_id``
+    and the partition's offset from a prefix sum over the per-partition counts
+    (one row per partition, so the broadcast is bounded by the partition count).
+    ``order_col`` must be unique for the numbering to be deterministic.
     """
-    ordered = df.orderBy(order_col)
-    schema = ordered.schema.add(out, "bigint")
-    rdd = ordered.rdd.zipWithIndex().map(lambda p: tuple(p[0]) + (p[1] + 1,))
-    return ordered.sparkSession.createDataFrame(rdd, schema)
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    pid = F.spark_partition_id().cast("long")
+    ordered = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
+               .withColumn("_pid", pid)
+               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
+    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (ordered.join(F.broadcast(offsets), "_pid")
+            .select(*df.columns, (F.col("_off") + F.col("_pos") + 1).alias(out)))

@@ -1,15 +1,31 @@
-"""Lazy wiring of the fixture tables into the state tables used by the queries."""
+"""Lazy wiring of the fixture tables into the state tables used by the queries.
+
+``Store`` names every intermediate the registered queries share.  Nothing is
+computed until a query's DataFrame is run; Catalyst then prunes each plan to
+the columns that query needs.
+
+Fixture conventions (FIXTURES.md section 2):
+
+* the mail source is the log folded per id (``messages``);
+* "stored before the backfill" is the state folded from writes older than
+  three days before ``as_of`` (the cutoff), so anti joins have work to do;
+* mail whose id ends in 3 is missing from the emails side of the dangling
+  joins (topic search, follow-up and deadline enrichment, batch results).
+"""
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
-from ..operators import fold
-from ..sources import fixture
+from ..operators import analysis, fold, labels, search
+from ..sources import fixture, mailbox
 from ..sources.tables import read_table
 
+CUTOFF_DAYS = 3
+BACKFILL_DAYS = 7
+
 
 class Store:
     """The folded tables for one data directory; every attribute is a lazy DataFrame."""
@@ -21,6 +37,7 @@ class Store:
     def table(self, name: str):
         return read_table(self.spark, self.sf_dir, name)
 
+    # -- log and state ------------------------------------------------------
     @cached_property
     def log(self):
         return fixture.event_log(self.spark, self.sf_dir)
@@ -29,6 +46,10 @@ class Store:
     def as_of(self):
         return fixture.as_of(self.spark, self.sf_dir)
 
+    @property
+    def today(self):
+        return self.as_of.cast("date").cast("string")
+
     @cached_property
     def emails(self):
         return fold.emails_state(self.log)
@@ -44,3 +65,76 @@ class Store:
     @cached_property
     def deadlines(self):
         return fold.deadlines_state(self.log)
+
+    @cached_property
+    def emails_dangling(self):
+        """The emails table with every id ending in 3 missing."""
+        return self.emails.where(F.col("id") % 10 != 3)
+
+    # -- before / after the cutoff -----------------------------------------
+    @property
+    def cutoff(self):
+        return self.as_of - F.make_dt_interval(days=F.lit(CUTOFF_DAYS))
+
+    @cached_property
+    def log_before(self):
+        return self.log.where(F.col("processed_at") < self.cutoff)
+
+    @cached_property
+    def log_after(self):
+        return self.log.where(F.col("processed_at") >= self.cutoff)
+
+    @cached_property
+    def stored_ids_before(self):
+        return self.log_before.select("id").distinct()
+
+    # -- source ---------------------------------------------------------------
+    @cached_property
+    def messages(self):
+        return mailbox.messages(self.log)
+
+    @cached_property
+    def fetched(self):
+        return mailbox.scan_since_days(self.messages, self.as_of, BACKFILL_DAYS, None)
+
+    # -- analysis results -----------------------------------------------------
+    @cached_property
+    def result_lines(self):
+        return analysis.render_results(self.table("labels"), self.emails)
+
+    @cached_property
+    def applied(self):
+        return analysis.apply_results(self.result_lines, self.emails_dangling)
+
+    # -- labels ---------------------------------------------------------------
+    @cached_property
+    def label_events(self):
+        return labels.label_events(self.log)
+
+    @cached_property
+    def current_labels(self):
+        return labels.current_labels(self.label_events)
+
+    @cached_property
+    def mailboxes(self):
+        return self.emails.select("mailbox_id").distinct()
+
+    # -- search ---------------------------------------------------------------
+    @cached_property
+    def vector_index(self):
+        return search.vector_index(self.log)
+
+    @cached_property
+    def query_text(self):
+        """The topic searched for: the first benchmark passage."""
+        bench = self.table("benchmark")
+        first = bench.select(F.min("item_id")).scalar()
+        return bench.where(F.col("item_id") == first).select("text").scalar()
+
+    @cached_property
+    def query_vector(self):
+        """The dense query: the stored vector with the smallest id."""
+        emb = self.table("embeddings")
+        first = emb.select(F.min("vec_id")).scalar()
+        row = emb.where(F.col("vec_id") == first).select("embedding").first()  # one vector
+        return list(row[0]) if row else []

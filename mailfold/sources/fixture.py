@@ -8,6 +8,9 @@ mapping (FIXTURES.md section 2) is reproduced column by column:
 * the document supplies the raw content (subject, snippet, body, thread);
 * the event supplies who sent it, when it was processed and the analysis.
 
+``k`` (the integer in ``events.props``) is kept so that fixtures derived
+from the log (payload renderings, model responses) can vary their shape.
+
 The view is lazy.  Catalyst prunes every column a query does not use, so a
 query that needs no text never reads ``documents.text``.
 """
@@ -74,6 +77,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("processed_at"),
         F.when(k % 3 == 1, F.lit("done")).otherwise(F.lit("pending")).alias("follow_up_status"),
         F.when(k % 3 == 1, F.lit("done")).otherwise(F.lit("open")).alias("deadline_status"),
+        k.alias("k"),
     )
 
 
