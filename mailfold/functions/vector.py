@@ -12,9 +12,10 @@ native expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import EMBED_DIM
+from ..sources.tables import spread
 
 TOKEN_SPLIT = r"\s+"
 
@@ -36,25 +37,29 @@ def tokens(text: Column) -> Column:
 
 
 def hash_embed_sparse(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """V1: (id, idx, weight) for every non-zero coordinate.
+    """V1: (id, idx, cnt, weight) for every non-zero coordinate.
 
-    The per-(id, idx) count is combined map-side, so only distinct cells are
-    shuffled; the norm is a second aggregate over at most 384 cells per id.
+    The per-(id, idx) count is combined map-side, so only distinct cells (at
+    most 384 per id) are shuffled; the norm is a window over the cells of an
+    id.  When the scan had to be spread, it is spread by id, and then neither
+    the count nor the window needs another exchange.
     """
-    toks = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("w"))
-    cells = toks.groupBy("id", token_index(F.col("w")).alias("idx")).agg(
+    counted = cells(df, id_col, text_col)
+    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(Window.partitionBy("id")))
+    return counted.select("id", "idx", "cnt", (F.col("cnt") / norm).alias("weight"))
+
+
+def cells(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, idx, cnt): token counts per hashed coordinate, combined map-side."""
+    src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), key="id")
+    toks = src.select("id", F.explode(tokens(F.col("t"))).alias("w"))
+    return toks.groupBy("id", token_index(F.col("w")).alias("idx")).agg(
         F.count(F.lit(1)).alias("cnt"))
-    norms = cells.groupBy("id").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("norm"))
-    return (cells.join(norms, "id")
-            .select("id", "idx", "cnt", (F.col("cnt") / F.col("norm")).alias("weight")))
 
 
 def sparse_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per id with its sparse vector as parallel arrays (<= 384 entries)."""
-    toks = df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("w"))
-    cells = toks.groupBy("id", token_index(F.col("w")).alias("idx")).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    per_id = cells.groupBy("id").agg(
+    per_id = cells(df, id_col, text_col).groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct("idx", "cnt"))).alias("cells"))
     norm = F.sqrt(F.aggregate("cells", F.lit(0.0),
                               lambda acc, c: acc + c["cnt"].cast("double") * c["cnt"]))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import nonempty
-from ..functions.vector import cosine_distance, hash_embed_sparse, sparse_rows
+from ..functions.vector import cells as corpus_cells, cosine_distance, hash_embed_sparse, sparse_rows
 from ..schema import EMBED_DIM
 
 METADATA_FIELDS = ["sender", "subject", "thread_id", "date", "email_type", "domain",
@@ -81,11 +81,14 @@ def text_search(corpus: DataFrame, query_text: Column, n: int = 10,
     spark = corpus.sparkSession
     q = hash_embed_sparse(spark.range(1).select(F.lit(0).alias("qid"), query_text.alias("t")),
                           "qid", "t").select("idx", F.col("weight").alias("qw"))
-    cells = hash_embed_sparse(corpus, id_col, text_col)
+    # cos = sum(cnt * qw) / sqrt(sum(cnt^2)): one aggregate per document over
+    # its cells, which are already partitioned by id, so no window and no join.
+    cells = corpus_cells(corpus, id_col, text_col)
     scored = (cells.join(F.broadcast(q), "idx", "left")
               .groupBy("id")
-              .agg(F.sum(F.coalesce(F.col("weight") * F.col("qw"), F.lit(0.0))).alias("dot"))
-              .select("id", (F.lit(1.0) - F.col("dot")).alias("distance")))
+              .agg(F.sum(F.coalesce(F.col("cnt") * F.col("qw"), F.lit(0.0))).alias("s"),
+                   F.sum(F.col("cnt") * F.col("cnt")).alias("ss"))
+              .select("id", (F.lit(1.0) - F.col("s") / F.sqrt("ss")).alias("distance")))
     return top_n(scored, n)
 
 

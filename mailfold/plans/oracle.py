@@ -628,3 +628,15 @@ FROM (SELECT *, {PLAIN} AS plain FROM fetched WHERE id NOT IN (SELECT id FROM st
 register("backfill_apply", """
 SELECT custom_id, email_type, domain, summary, requires_reply, deadline
 FROM applied WHERE reason IS NULL""")
+
+# ---- streaming (compared after draining) -------------------------------------
+register("stream_ingest", """
+SELECT seq, id, mailbox_id, thread_id, sender, recipient, subject, snippet, body, date, unread,
+       email_type, domain, entities, summary, requires_reply, deadline, processed_at,
+       follow_up_status, deadline_status
+FROM log""")
+register("stream_dedup", "SELECT id, seq, sender, processed_at FROM firsts")
+register("stream_seed", """
+SELECT id, seq, processed_at FROM firsts WHERE id NOT IN (SELECT id FROM stored_before)""")
+register("stream_failures", "SELECT id, seq, 'no body' AS reason FROM firsts WHERE body IS NULL")
+register("stream_state", "SELECT * FROM emails")

@@ -537,3 +537,72 @@ def _q12b(s: Store):
     done = s.applied.where(F.col("outcome") == "processed")
     return done.select("custom_id", "analysis.email_type", "analysis.domain",
                        "analysis.summary", "analysis.requires_reply", "analysis.deadline")
+
+
+# --------------------------------------------------------------------------
+# 2.13 streaming (drained with availableNow, then read back)
+# --------------------------------------------------------------------------
+
+def _stream_source(s: Store):
+    import os
+    from ..streaming import ingest
+    base = ingest.scratch(s.spark, "stream")
+    src = os.path.join(base, "source")
+    log = s.log.drop("k")
+    ingest.write_log_source(log, src)
+    return base, src, log.schema
+
+
+@query("stream_ingest")
+def _w1(s: Store):
+    import os
+    from ..streaming import ingest
+    base, src, schema = _stream_source(s)
+    return ingest.run_ingest(s.spark, src, schema, os.path.join(base, "sink"),
+                             os.path.join(base, "ckpt"))
+
+
+@query("stream_dedup")
+def _w2(s: Store):
+    import os
+    from ..streaming import ingest
+    base, src, schema = _stream_source(s)
+    processed, _ = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
+                                    os.path.join(base, "ckpt"))
+    return processed.select("id", "seq", "sender", "processed_at")
+
+
+@query("stream_seed")
+def _w3(s: Store):
+    import os
+    from ..streaming import ingest
+    base, src, schema = _stream_source(s)
+    processed, _ = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
+                                    os.path.join(base, "ckpt"), seed_ids=s.stored_ids_before)
+    return processed.select("id", "seq", "processed_at")
+
+
+def _needs_body(new):
+    ok = new.where(F.col("body").isNotNull())
+    bad = new.where(F.col("body").isNull()).select("id", "seq", F.lit("no body").alias("reason"))
+    return ok, bad
+
+
+@query("stream_failures")
+def _w4(s: Store):
+    import os
+    from ..streaming import ingest
+    base, src, schema = _stream_source(s)
+    _, failures = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
+                                   os.path.join(base, "ckpt"), process=_needs_body)
+    return failures
+
+
+@query("stream_state")
+def _w5(s: Store):
+    import os
+    from ..streaming import ingest
+    base, src, schema = _stream_source(s)
+    log = ingest.run_ingest(s.spark, src, schema, os.path.join(base, "sink"),
+                            os.path.join(base, "ckpt"), max_files=2)
+    return fold.emails_state(log)

@@ -15,3 +15,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table; Catalyst prunes columns and pushes filters into the scan."""
     path = os.path.join(sf_dir, f"{name}.parquet")
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has cores.
+
+    A single large file with one row group is read by one task; CPU-heavy
+    per-row work after it (tokenising, hashing) would then run on one core.
+    Only narrow scans are repartitioned: a scan over many files already has
+    at least ``defaultParallelism`` partitions and is returned unchanged, so no
+    shuffle is added at scale.  Select the needed columns before calling.
+
+    With ``key`` the rows are hash-partitioned on it, so later aggregates and
+    windows keyed by (a superset of) ``key`` need no further exchange.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
