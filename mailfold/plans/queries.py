@@ -543,6 +543,9 @@ def _q12b(s: Store):
 # 2.13 streaming (drained with availableNow, then read back)
 # --------------------------------------------------------------------------
 
+STREAM_FILES = 4   # files per micro-batch (the per-poll cap of the stream)
+
+
 def _stream_source(s: Store):
     import os
     from ..streaming import ingest
@@ -559,7 +562,7 @@ def _w1(s: Store):
     from ..streaming import ingest
     base, src, schema = _stream_source(s)
     return ingest.run_ingest(s.spark, src, schema, os.path.join(base, "sink"),
-                             os.path.join(base, "ckpt"))
+                             os.path.join(base, "ckpt"), max_files=STREAM_FILES)
 
 
 @query("stream_dedup")
@@ -568,7 +571,7 @@ def _w2(s: Store):
     from ..streaming import ingest
     base, src, schema = _stream_source(s)
     processed, _ = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
-                                    os.path.join(base, "ckpt"))
+                                    os.path.join(base, "ckpt"), max_files=STREAM_FILES)
     return processed.select("id", "seq", "sender", "processed_at")
 
 
@@ -578,7 +581,8 @@ def _w3(s: Store):
     from ..streaming import ingest
     base, src, schema = _stream_source(s)
     processed, _ = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
-                                    os.path.join(base, "ckpt"), seed_ids=s.stored_ids_before)
+                                    os.path.join(base, "ckpt"), seed_ids=s.stored_ids_before,
+                                    max_files=STREAM_FILES)
     return processed.select("id", "seq", "processed_at")
 
 
@@ -594,7 +598,8 @@ def _w4(s: Store):
     from ..streaming import ingest
     base, src, schema = _stream_source(s)
     _, failures = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
-                                   os.path.join(base, "ckpt"), process=_needs_body)
+                                   os.path.join(base, "ckpt"), process=_needs_body,
+                                   max_files=STREAM_FILES)
     return failures
 
 
@@ -604,5 +609,5 @@ def _w5(s: Store):
     from ..streaming import ingest
     base, src, schema = _stream_source(s)
     log = ingest.run_ingest(s.spark, src, schema, os.path.join(base, "sink"),
-                            os.path.join(base, "ckpt"), max_files=2)
+                            os.path.join(base, "ckpt"), max_files=STREAM_FILES)
     return fold.emails_state(log)

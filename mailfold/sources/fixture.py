@@ -34,11 +34,15 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Scalar subqueries: Spark runs each count once and inlines the value.
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     n_events = events.select(F.count(F.lit(1))).scalar()
-    blk = F.col("event_id").cast("double") * n_docs / n_events
+    # block = floor(event_id * n_docs / n_events), halved for redeliveries,
+    # as exact integer division in decimal(38,0): no overflow and no double
+    # rounding however large the tables get.
+    num = F.col("event_id").cast("decimal(38,0)") * n_docs.cast("decimal(38,0)")
+    den = (F.when(F.col("event_id") % 3 == 0, n_events * 2).otherwise(n_events)
+           .cast("decimal(38,0)"))
     ev = events.select(
         F.col("event_id").alias("seq"),
-        F.floor(F.when(F.col("event_id") % 3 == 0, blk / 2).otherwise(blk))
-        .cast("bigint").alias("id"),
+        ((num - num % den) / den).cast("bigint").alias("id"),
         "ts", "user_id", "event_type", _k().alias("k"),
     )
     d = docs.select("doc_id", "text", "lang", "source")

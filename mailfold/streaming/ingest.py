@@ -34,23 +34,23 @@ CHUNK_DAYS = 5
 def write_log_source(log: DataFrame, out_dir: str, chunk_days: int = CHUNK_DAYS) -> int:
     """Fixture: write the log as files in arrival order, ``chunk_days`` days per chunk.
 
-    Chunks are written one after another so file times follow arrival order,
-    which is the order a file stream consumes them in.  Returns the number of
-    chunks.
+    The log is computed once into a staging table partitioned by chunk; the
+    chunks are then copied one after another (each a pruned read of one
+    partition), so file times follow arrival order, which is the order a file
+    stream consumes them in.  Returns the number of chunks.
     """
     day = F.to_date("processed_at")
-    first = log.select(F.min(day)).first()[0]
-    last = log.select(F.max(day)).first()[0]
-    if first is None:
+    bounds = log.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    if bounds["lo"] is None:
         return 0
-    n_days = (last - first).days + 1
-    chunks = (n_days + chunk_days - 1) // chunk_days
-    base = F.lit(first)
+    chunks = ((bounds["hi"] - bounds["lo"]).days + chunk_days) // chunk_days
+    staging = out_dir.rstrip("/") + "_staging"
+    chunk = F.floor(F.datediff(day, F.lit(bounds["lo"])) / chunk_days).cast("int")
+    log.withColumn("_chunk", chunk).write.mode("overwrite").partitionBy("_chunk").parquet(staging)
+    staged = log.sparkSession.read.parquet(staging)
     for c in range(chunks):
-        lo, hi = c * chunk_days, (c + 1) * chunk_days
-        offset = F.datediff(day, base)
-        part = log.where((offset >= lo) & (offset < hi))
-        part.write.mode("append").parquet(out_dir)
+        (staged.where(F.col("_chunk") == c).drop("_chunk")
+         .write.mode("append").parquet(out_dir))
     return chunks
 
 
