@@ -84,3 +84,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cos(a, b); a zero vector has distance 1 to everything."""
     den = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(den == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dot(a, b) / den)
+
+
+def token_indexes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, idx array<int>): every token of a row hashed in place, no explode and
+    no shuffle; counting is left to the consumer (e.g. ``numpy.bincount``)."""
+    src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
+    return src.select("id", F.transform(tokens(F.col("t")), lambda w: token_index(w)).alias("idx"))

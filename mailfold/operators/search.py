@@ -27,7 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.text import nonempty
-from ..functions.vector import cells as corpus_cells, cosine_distance, hash_embed_sparse, sparse_rows
+from ..functions.vector import (cells as corpus_cells, cosine_distance, hash_embed_sparse,
+                                token_indexes)
 from ..schema import EMBED_DIM
 
 METADATA_FIELDS = ["sender", "subject", "thread_id", "date", "email_type", "domain",
@@ -140,67 +141,73 @@ def metadata_where(where: dict | None) -> Column | None:
 BROADCAST_BUDGET = 256 << 20   # bytes of query matrix shipped to every executor
 
 
-def _dense(idx_lists, w_lists, dim: int) -> np.ndarray:
+def _unit_rows(idx_lists, dim: int) -> np.ndarray:
+    """Token-index arrays -> L2-normalised count vectors (a zero row stays zero)."""
     m = np.zeros((len(idx_lists), dim), dtype=np.float64)
-    for r, (ix, ws) in enumerate(zip(idx_lists, w_lists)):
+    for r, ix in enumerate(idx_lists):
         if ix is not None and len(ix):
-            m[r, np.asarray(ix, dtype=np.int64)] = np.asarray(ws, dtype=np.float64)
-    return m
+            m[r] = np.bincount(np.asarray(ix, dtype=np.int64), minlength=dim)
+    norms = np.sqrt((m * m).sum(axis=1))
+    norms[norms == 0] = 1.0
+    return m / norms[:, None]
 
 
 def _local_topn(qids, qmat, n, dim):
     """mapInPandas body: a running top-n per query over this partition's corpus rows."""
     def run(batches):
-        best_d = [np.empty(0) for _ in qids]
-        best_i = [np.empty(0, dtype=np.int64) for _ in qids]
+        best_d = np.empty((len(qids), 0))
+        best_i = np.empty((len(qids), 0), dtype=np.int64)
         for pdf in batches:
             if pdf.empty:
                 continue
             ids = pdf["id"].to_numpy(dtype=np.int64)
-            dmat = _dense(pdf["idx"].tolist(), pdf["weight"].tolist(), dim)
-            dist = 1.0 - dmat @ qmat.T                        # rows: corpus, cols: queries
-            for j in range(len(qids)):
-                d = np.concatenate([best_d[j], dist[:, j]])
-                i = np.concatenate([best_i[j], ids])
-                order = np.lexsort((i, np.round(d, RANK_PLACES)))[:n]
-                best_d[j], best_i[j] = d[order], i[order]
-        out_q, out_i, out_d = [], [], []
-        for j, q in enumerate(qids):
-            out_q.extend([q] * len(best_i[j]))
-            out_i.extend(best_i[j].tolist())
-            out_d.extend(best_d[j].tolist())
-        if out_q:
-            yield pd.DataFrame({"qid": np.asarray(out_q, dtype=np.int64),
-                                "id": np.asarray(out_i, dtype=np.int64),
-                                "distance": np.asarray(out_d, dtype=np.float64)})
+            dist = 1.0 - qmat @ _unit_rows(pdf["idx"].tolist(), dim).T   # queries x rows
+            d = np.concatenate([best_d, dist], axis=1)
+            i = np.concatenate([best_i, np.broadcast_to(ids, dist.shape)], axis=1)
+            keep = min(n, d.shape[1])
+            rows_d, rows_i = [], []
+            for j in range(d.shape[0]):
+                # candidates within the n-th smallest rounded distance, then exact order
+                key = np.round(d[j], RANK_PLACES)
+                cut = np.partition(key, keep - 1)[keep - 1]
+                cand = np.nonzero(key <= cut)[0]
+                order = cand[np.lexsort((i[j, cand], key[cand]))][:keep]
+                rows_d.append(d[j, order])
+                rows_i.append(i[j, order])
+            best_d, best_i = np.array(rows_d), np.array(rows_i)
+        if best_i.shape[1]:
+            yield pd.DataFrame({
+                "qid": np.repeat(np.asarray(qids, dtype=np.int64), best_i.shape[1]),
+                "id": best_i.reshape(-1), "distance": best_d.reshape(-1)})
     return run
 
 
-def batch_search(corpus_rows: DataFrame, query_rows: DataFrame, n: int = 10,
+def batch_search(corpus_tokens: DataFrame, query_tokens: DataFrame, n: int = 10,
                  dim: int = EMBED_DIM, budget: int = BROADCAST_BUDGET) -> DataFrame:
     """V5: top-n corpus ids for every query.
 
-    Both inputs are one row per id with sparse ``idx``/``weight`` arrays.  No
-    query-corpus pair is materialised beyond the local top-n.
+    Inputs are ``token_indexes`` rows ``(id, idx array<int>)``: hashing ran
+    natively, counting and scoring run per Arrow batch in numpy.  The query
+    matrix is broadcast only under ``budget`` bytes, else in hash-split chunks.
+    No query x document pair is materialised beyond the local top-n.
     """
-    n_queries = query_rows.count()
-    per_query = dim * 8
-    chunks = max(1, math.ceil(n_queries * per_query / budget))
+    n_queries = query_tokens.count()
+    chunks = max(1, math.ceil(n_queries * dim * 8 / budget))
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()),
                            T.StructField("distance", T.DoubleType())])
     parts = []
     for c in range(chunks):
-        qpart = query_rows if chunks == 1 else query_rows.where(
+        qpart = query_tokens if chunks == 1 else query_tokens.where(
             F.pmod(F.xxhash64("id"), F.lit(chunks)) == c)
         qpdf = qpart.toPandas()                      # bounded by the byte budget above
         if qpdf.empty:
             continue
-        qmat = _dense(qpdf["idx"].tolist(), qpdf["weight"].tolist(), dim)
+        qmat = _unit_rows(qpdf["idx"].tolist(), dim)
         qids = qpdf["id"].astype("int64").tolist()
-        parts.append(corpus_rows.select("id", "idx", "weight")
+        parts.append(corpus_tokens.select("id", "idx")
                      .mapInPandas(_local_topn(qids, qmat, n, dim), schema))
     if not parts:
-        return corpus_rows.sparkSession.createDataFrame([], schema.add("rank", T.LongType()))
+        return corpus_tokens.sparkSession.createDataFrame([], schema.add("rank", T.LongType()))
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
@@ -238,5 +245,5 @@ def embed_udf(make_model=None, dim: int = EMBED_DIM):
     return embed
 
 
-def corpus_sparse(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return sparse_rows(df, id_col, text_col)
+def corpus_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return token_indexes(df, id_col, text_col)

@@ -341,8 +341,8 @@ def _a6(s: Store):
 @query("topic_context")
 def _a7(s: Store):
     """Q9 for every benchmark passage: its ten nearest mails, joined in rank order."""
-    corpus = search.corpus_sparse(s.vector_index, "id", "document")
-    queries = search.corpus_sparse(s.table("benchmark"), "item_id", "text")
+    corpus = search.corpus_tokens(s.vector_index, "id", "document")
+    queries = search.corpus_tokens(s.table("benchmark"), "item_id", "text")
     hits = search.batch_search(corpus, queries, 10)
     e = s.emails_dangling
     body = F.coalesce(nonempty("body"), F.col("snippet"))
@@ -380,8 +380,8 @@ def _n4(s: Store):
 
 @query("hit_rank", "batch_search_mail")
 def _n5(s: Store):
-    corpus = search.corpus_sparse(s.vector_index, "id", "document")
-    queries = search.corpus_sparse(s.table("benchmark"), "item_id", "text")
+    corpus = search.corpus_tokens(s.vector_index, "id", "document")
+    queries = search.corpus_tokens(s.table("benchmark"), "item_id", "text")
     return search.batch_search(corpus, queries, 10)
 
 
@@ -438,8 +438,8 @@ def _v4(s: Store):
 
 @query("batch_search")
 def _v5(s: Store):
-    corpus = search.corpus_sparse(s.table("documents"), "doc_id", "text")
-    queries = search.corpus_sparse(s.table("benchmark"), "item_id", "text")
+    corpus = search.corpus_tokens(s.table("documents"), "doc_id", "text")
+    queries = search.corpus_tokens(s.table("benchmark"), "item_id", "text")
     return search.batch_search(corpus, queries, 10)
 
 

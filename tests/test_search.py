@@ -55,8 +55,8 @@ def test_batch_search_equals_brute_force(spark):
     corpus = spark.createDataFrame(DOCS, "id long, text string")
     queries = spark.createDataFrame([(10, "budget"), (11, "beach holiday"), (12, "friday")],
                                     "id long, text string")
-    got = search.batch_search(search.corpus_sparse(corpus, "id", "text"),
-                              search.corpus_sparse(queries, "id", "text"), n=2,
+    got = search.batch_search(search.corpus_tokens(corpus, "id", "text"),
+                              search.corpus_tokens(queries, "id", "text"), n=2,
                               budget=384 * 8)          # forces one query per chunk
     got = sorted((r["qid"], r["rank"], r["id"]) for r in got.collect())
     want = []
