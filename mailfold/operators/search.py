@@ -247,3 +247,55 @@ def embed_udf(make_model=None, dim: int = EMBED_DIM):
 
 def corpus_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return token_indexes(df, id_col, text_col)
+
+
+# --------------------------------------------------------------------------
+# approximate search (V9)
+# --------------------------------------------------------------------------
+
+def _planes(dim: int, bands: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dim, bands * bits))
+
+
+def _band_keys(mat: np.ndarray, planes: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """Sign bits of the projections, packed per band into one key (band id in the high bits)."""
+    signs = (mat @ planes > 0).reshape(len(mat), bands, bits)
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    codes = (signs * weights).sum(axis=2).astype(np.int64)
+    return codes + (np.arange(bands, dtype=np.int64) << bits)
+
+
+def lsh_signatures(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+                   bands: int = 16, bits: int = 4, seed: int = 7) -> DataFrame:
+    """(id, bands array<long>) computed per Arrow batch; hyperplanes fixed by ``seed``."""
+    dim = len(vectors.select(vec_col).first()[0])
+    planes = _planes(dim, bands, bits, seed)
+
+    def sign(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            mat = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            keys = _band_keys(mat, planes, bands, bits)
+            yield pd.DataFrame({"id": pdf["id"].astype("int64"), "bands": list(keys)})
+
+    src = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return src.mapInPandas(sign, "id long, bands array<long>")
+
+
+def lsh_search(vectors: DataFrame, query_vec, n: int = 10, id_col: str = "vec_id",
+               vec_col: str = "embedding", bands: int = 16, bits: int = 4,
+               seed: int = 7) -> DataFrame:
+    """V9: candidates share at least one band bucket with the query (no cap on
+    candidates); they are re-ranked exactly.  The result carries ``recall``: the
+    share of the exact top-n (V3) that the approximate top-n found."""
+    q = np.asarray(query_vec, dtype=np.float64)[None, :]
+    qkeys = [int(x) for x in _band_keys(q, _planes(q.shape[1], bands, bits, seed), bands, bits)[0]]
+    sig = lsh_signatures(vectors, id_col, vec_col, bands, bits, seed)
+    cand = sig.where(F.arrays_overlap("bands", F.array(*[F.lit(k) for k in qkeys])))
+    cand_vecs = vectors.join(cand.select(F.col("id").alias(id_col)), id_col, "left_semi")
+    approx = dense_search(cand_vecs, query_vec, n, id_col=id_col, vec_col=vec_col, keep=())
+    exact = dense_search(vectors, query_vec, n, id_col=id_col, vec_col=vec_col, keep=())
+    found = approx.join(exact.select(id_col), id_col, "left_semi").agg(
+        (F.count(F.lit(1)) / F.lit(float(n))).alias("recall"))
+    return approx.withColumn("recall", found.select("recall").scalar())

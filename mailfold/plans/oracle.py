@@ -606,6 +606,9 @@ register("batch_search", "SELECT * FROM bhits",
          embed_ctes("d", "documents", "doc_id", "text") + "," +
          embed_ctes("b", "benchmark", "item_id", "text") + "," + batch_topn("d_vec"))
 register("vector_upsert", "SELECT * FROM vindex")
+register("reindex", f"""
+SELECT id, {DOC} AS document, sender, subject, thread_id, coalesce(date, '') AS date, email_type,
+       coalesce(domain, '') AS domain, requires_reply, summary FROM emails""")
 register("search_tool", """
 SELECT h.id AS email_id, h.distance, v.sender, v.subject, v.thread_id, v.date, v.email_type,
        v.domain, v.requires_reply, v.summary

@@ -436,6 +436,11 @@ def _v4(s: Store):
     return search.dense_search(s.table("embeddings"), s.query_vector, 10, where={"label": 3})
 
 
+@query("lsh_search")
+def _v9(s: Store):
+    return search.lsh_search(s.table("embeddings"), s.query_vector, 10)
+
+
 @query("batch_search")
 def _v5(s: Store):
     corpus = search.corpus_tokens(s.table("documents"), "doc_id", "text")
@@ -450,7 +455,7 @@ def _v6(s: Store):
 
 @query("reindex")
 def _v7(s: Store):
-    return search.reindex(s.emails)
+    return search.reindex(s.emails).select("id", "document", *_flat_metadata(None))
 
 
 @query("search_tool", "search")

@@ -99,3 +99,16 @@ def test_document_and_metadata(spark):
     r = df.select(search.document_text().alias("d"), search.metadata().alias("m")).first()
     assert r["d"] == "S\n\nsnip"
     assert r["m"]["date"] == "" and r["m"]["domain"] == ""
+
+
+def test_lsh_search_reranks_exactly(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(8,))
+    vecs = [base + rng.normal(scale=0.05, size=8) for _ in range(20)] + \
+           [rng.normal(size=8) for _ in range(80)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    hits = search.lsh_search(df, [float(x) for x in vecs[0]], 5).collect()
+    assert hits[0]["vec_id"] == 0 and hits[0]["rank"] == 1
+    assert 0.0 <= hits[0]["recall"] <= 1.0
+    assert all(h["vec_id"] < 20 for h in hits)          # near-duplicates share buckets
