@@ -32,9 +32,25 @@ def first_last(log: DataFrame, key: str = "id", first_cols=None, last_cols=None)
     )
 
 
-def emails_state(log: DataFrame) -> DataFrame:
-    """The emails table (upsert keeps raw columns, updates analysis)."""
-    folded = first_last(log)
+def merge_partials(*partials: DataFrame) -> DataFrame:
+    """Combine ``first_last`` results of disjoint log slices into one.
+
+    The fold is associative: the earliest ``first`` and the latest ``last``
+    win, write counts add.  This is what makes incremental maintenance and
+    compaction plain aggregates (log-structured merge of partial folds).
+    """
+    u = partials[0]
+    for p in partials[1:]:
+        u = u.unionByName(p)
+    return u.groupBy("id").agg(
+        F.min_by("first", "first.seq").alias("first"),
+        F.max_by("last", "last.seq").alias("last"),
+        F.sum("n_writes").alias("n_writes"),
+    )
+
+
+def emails_from_partial(folded: DataFrame) -> DataFrame:
+    """The emails table from a (possibly merged) ``first_last`` fold."""
     return folded.select(
         "id",
         *[F.col(f"first.{c}").alias(c) for c in RAW_COLUMNS if c != "processed_at"],
@@ -43,6 +59,11 @@ def emails_state(log: DataFrame) -> DataFrame:
     )
 
 
+def emails_state(log: DataFrame) -> DataFrame:
+    """The emails table (upsert keeps raw columns, updates analysis)."""
+    return emails_from_partial(first_last(log))
+
+
 def contacts_state(log: DataFrame) -> DataFrame:
     """Writes per sender (reprocessing counts again) and last written date.
 

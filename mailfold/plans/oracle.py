@@ -643,3 +643,7 @@ register("stream_seed", """
 SELECT id, seq, processed_at FROM firsts WHERE id NOT IN (SELECT id FROM stored_before)""")
 register("stream_failures", "SELECT id, seq, 'no body' AS reason FROM firsts WHERE body IS NULL")
 register("stream_state", "SELECT * FROM emails")
+
+alias("topic_status_context", "topic_context")
+alias("email", "email_by_id")
+alias("contact", "contact_by_address")

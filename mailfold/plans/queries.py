@@ -211,12 +211,12 @@ def _f4(s: Store):
     return reads.open_deadlines_raw(s.deadlines)
 
 
-@query("email_by_id")
+@query("email_by_id", "email")
 def _f5(s: Store):
     return reads.email_record(reads.email_by_id(s.emails, 42))
 
 
-@query("contact_by_address")
+@query("contact_by_address", "contact")
 def _f6(s: Store):
     return reads.contact_by_address(s.contacts, "u7@example.com")
 
@@ -338,7 +338,7 @@ def _a6(s: Store):
     return _briefing_parts(s)[1]
 
 
-@query("topic_context")
+@query("topic_context", "topic_status_context")
 def _a7(s: Store):
     """Q9 for every benchmark passage: its ten nearest mails, joined in rank order."""
     corpus = search.corpus_tokens(s.vector_index, "id", "document")
@@ -613,6 +613,5 @@ def _w5(s: Store):
     import os
     from ..streaming import ingest
     base, src, schema = _stream_source(s)
-    log = ingest.run_ingest(s.spark, src, schema, os.path.join(base, "sink"),
+    return ingest.run_state(s.spark, src, schema, os.path.join(base, "state"),
                             os.path.join(base, "ckpt"), max_files=STREAM_FILES)
-    return fold.emails_state(log)

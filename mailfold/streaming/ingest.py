@@ -127,6 +127,38 @@ def run_dedup(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoin
     return processed, failures
 
 
+def run_state(spark: SparkSession, src_dir: str, schema, state_dir: str, checkpoint: str,
+              max_files: int = 1) -> DataFrame:
+    """W5 incremental: each micro-batch writes the partial fold of the ids it
+    touched (one row per id, bounded by the batch) under ``batch=<id>``; the
+    current state is the merge of all partials.  ``compact`` rewrites them as
+    one base, so reads stay proportional to the number of ids, not of writes.
+    """
+    stream = log_stream(spark, src_dir, schema, max_files)
+
+    def handle(batch: DataFrame, batch_id: int):
+        fold.first_last(batch).write.mode("overwrite").parquet(
+            os.path.join(state_dir, f"batch={batch_id}"))
+
+    _drain(stream.writeStream.foreachBatch(handle), checkpoint)
+    return current_state(spark, state_dir)
+
+
+def current_state(spark: SparkSession, state_dir: str) -> DataFrame:
+    """The emails table: merge of the base and every batch partial."""
+    parts = spark.read.parquet(state_dir).drop("batch")
+    return fold.emails_from_partial(fold.merge_partials(parts))
+
+
+def compact(spark: SparkSession, state_dir: str, out_dir: str) -> str:
+    """Merge all partials into one base written to ``out_dir`` (a new folder;
+    readers switch to it, the old folder can then be dropped)."""
+    parts = spark.read.parquet(state_dir).drop("batch")
+    fold.merge_partials(parts).write.mode("overwrite").parquet(
+        os.path.join(out_dir, "batch=-1"))
+    return out_dir
+
+
 def watermark_dedup(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     """W2 bounded-state form: duplicates of an id within ``delay`` are dropped.
 

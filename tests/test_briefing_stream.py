@@ -84,3 +84,19 @@ def test_stream_dedup_drain_and_restart(spark):
     # restart from the same checkpoint: nothing new, nothing duplicated
     processed2, _ = ingest.run_dedup(spark, src, log.schema, out, ckpt, max_files=1)
     assert sorted((r["id"], r["seq"]) for r in processed2.collect()) == got
+
+
+def test_incremental_state_and_compaction(spark):
+    rows = [{"id": i % 7, "summary": f"s{i}", "processed_at": dt.datetime(2026, 1, 1) +
+             dt.timedelta(days=i // 3)} for i in range(30)]
+    log = make_log(spark, rows)
+    base = tempfile.mkdtemp(prefix="state-")
+    src = os.path.join(base, "src")
+    ingest.write_log_source(log, src, chunk_days=3)
+    state = ingest.run_state(spark, src, log.schema, os.path.join(base, "st"),
+                             os.path.join(base, "ck"), max_files=1)
+    want = sorted(tuple(r) for r in fold.emails_state(log).collect())
+    assert sorted(tuple(r) for r in state.collect()) == want
+    ingest.compact(spark, os.path.join(base, "st"), os.path.join(base, "st2"))
+    again = ingest.current_state(spark, os.path.join(base, "st2"))
+    assert sorted(tuple(r) for r in again.collect()) == want
