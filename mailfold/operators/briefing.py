@@ -65,6 +65,44 @@ def section_items(needs_reply: DataFrame, follow_ups: DataFrame, deadlines: Data
     return reply.unionByName(fu).unionByName(dl)
 
 
+def section_items_from_fold(folded: DataFrame, as_of: Column, hours: int = 24,
+                            fu_status: str = "follow_up_status",
+                            dl_status: str = "deadline_status") -> DataFrame:
+    """The three sections in one pass over the state fold (no joins).
+
+    Each id yields up to three items - a reply to write, a pending follow-up,
+    an open deadline - through ``explode`` of an array of optional structs;
+    subject and sender come from the same row.  Same rows as ``section_items``
+    over the projected tables.
+    """
+    f, last = F.col("first"), F.col("last")
+    window = F.make_dt_interval(hours=F.lit(hours))
+    reply = ((last["email_type"] == "human") & last["requires_reply"]
+             & (f["processed_at"] >= as_of - window))
+    follow = f["requires_reply"] & (f[fu_status] == "pending")
+    deadline = (f["deadline"].isNotNull() & (f["deadline"] != "") & (f[dl_status] == "open"))
+    none = F.lit(None).cast("string")
+
+    def item(section, k1, k2, summary, description, created_day):
+        return F.struct(F.lit(section).alias("section"), k1.cast("bigint").alias("k1"),
+                        k2.cast("bigint").alias("k2"), summary.alias("summary"),
+                        description.alias("description"), created_day.alias("created_day"))
+
+    items = F.array_compact(F.array(
+        F.when(reply, item(1, -_micros(f["processed_at"]), F.col("id"), last["summary"],
+                           none, none)),
+        F.when(follow, item(2, f["seq"], F.lit(0), none, none,
+                            F.substring(f["processed_at"].cast("string"), 1, 10))),
+        F.when(deadline, item(3, _micros(f["processed_at"]), f["seq"], none, f["deadline"],
+                              none)),
+    ))
+    rows = folded.select(f["mailbox_id"].alias("mailbox_id"), F.col("id").alias("email_id"),
+                         f["subject"].alias("subject"), f["sender"].alias("sender"),
+                         F.explode(items).alias("it"))
+    return rows.select("mailbox_id", "it.section", "it.k1", "it.k2", "email_id", "subject",
+                       "sender", "it.summary", "it.description", "it.created_day")
+
+
 def section_counts(items: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """Size of every section of every mailbox, zeros included (no join to a
     generated grid: each mailbox row explodes its three section numbers)."""

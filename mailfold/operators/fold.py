@@ -21,13 +21,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..schema import ANALYSIS_COLUMNS, RAW_COLUMNS
 
 
-def first_last(log: DataFrame, key: str = "id", first_cols=None, last_cols=None) -> DataFrame:
-    """N1 + N2: one row per key with the first and the last write as structs."""
-    first_cols = first_cols or ["seq"] + RAW_COLUMNS
-    last_cols = last_cols or ["seq"] + ANALYSIS_COLUMNS
-    return log.groupBy(key).agg(
-        F.min_by(F.struct(*first_cols), "seq").alias("first"),
-        F.max_by(F.struct(*last_cols), "seq").alias("last"),
+FIRST_META = ["seq", "mailbox_id", "thread_id", "sender", "subject", "date", "processed_at"]
+FIRST_TEXT = ["seq", "snippet", "body"]
+LAST = ["seq"] + ANALYSIS_COLUMNS
+
+
+def first_last(log: DataFrame, extra_first=(), extra_last=()) -> DataFrame:
+    """N1 + N2: one row per id with the first and the last write as structs.
+
+    The first write's text (snippet, body) is its own aggregate, so a
+    query that prints no text prunes it away and never shuffles message bodies;
+    ``extra_first`` / ``extra_last`` add columns other projections need, so
+    every table below is a projection of this one fold (one exchange, reused).
+    """
+    return log.groupBy("id").agg(
+        F.min_by(F.struct(*FIRST_META, *extra_first), "seq").alias("first"),
+        F.min_by(F.struct(*FIRST_TEXT), "seq").alias("first_text"),
+        F.max_by(F.struct(*LAST, *extra_last), "seq").alias("last"),
         F.count(F.lit(1)).alias("n_writes"),
     )
 
@@ -35,25 +45,35 @@ def first_last(log: DataFrame, key: str = "id", first_cols=None, last_cols=None)
 def merge_partials(*partials: DataFrame) -> DataFrame:
     """Combine ``first_last`` results of disjoint log slices into one.
 
-    The fold is associative: the earliest ``first`` and the latest ``last``
+    The fold is associative: the earliest ``first*`` and the latest ``last``
     win, write counts add.  This is what makes incremental maintenance and
     compaction plain aggregates (log-structured merge of partial folds).
     """
     u = partials[0]
     for p in partials[1:]:
         u = u.unionByName(p)
-    return u.groupBy("id").agg(
-        F.min_by("first", "first.seq").alias("first"),
-        F.max_by("last", "last.seq").alias("last"),
-        F.sum("n_writes").alias("n_writes"),
-    )
+    aggs = []
+    for c in u.columns:
+        if c.startswith("first"):
+            aggs.append(F.min_by(c, f"{c}.seq").alias(c))
+        elif c.startswith("last"):
+            aggs.append(F.max_by(c, f"{c}.seq").alias(c))
+        elif c == "n_writes":
+            aggs.append(F.sum(c).alias(c))
+    return u.groupBy("id").agg(*aggs)
 
 
 def emails_from_partial(folded: DataFrame) -> DataFrame:
-    """The emails table from a (possibly merged) ``first_last`` fold."""
+    """D1 from a (possibly merged) ``first_last`` fold."""
     return folded.select(
         "id",
-        *[F.col(f"first.{c}").alias(c) for c in RAW_COLUMNS if c != "processed_at"],
+        F.col("first.mailbox_id").alias("mailbox_id"),
+        F.col("first.thread_id").alias("thread_id"),
+        F.col("first.sender").alias("sender"),
+        F.col("first.subject").alias("subject"),
+        F.col("first_text.snippet").alias("snippet"),
+        F.col("first_text.body").alias("body"),
+        F.col("first.date").alias("date"),
         *[F.col(f"last.{c}").alias(c) for c in ANALYSIS_COLUMNS],
         F.col("first.processed_at").alias("processed_at"),
     )
@@ -64,6 +84,31 @@ def emails_state(log: DataFrame) -> DataFrame:
     return emails_from_partial(first_last(log))
 
 
+def follow_ups_from_partial(folded: DataFrame, status_col: str | None = None) -> DataFrame:
+    """D3 from a fold whose ``first`` struct carries ``requires_reply`` (and the status)."""
+    status = F.col(f"first.{status_col}") if status_col else F.lit("pending")
+    return folded.where(F.col("first.requires_reply")).select(
+        F.col("first.seq").alias("id"),
+        F.col("id").alias("email_id"),
+        status.alias("status"),
+        F.lit(None).cast("string").alias("notes"),
+        F.col("first.processed_at").alias("created_at"),
+    )
+
+
+def deadlines_from_partial(folded: DataFrame, status_col: str | None = None) -> DataFrame:
+    """D4 from a fold whose ``first`` struct carries ``deadline`` (and the status)."""
+    status = F.col(f"first.{status_col}") if status_col else F.lit("open")
+    d = F.col("first.deadline")
+    return folded.where(d.isNotNull() & (d != "")).select(
+        F.col("first.seq").alias("id"),
+        F.col("id").alias("email_id"),
+        d.alias("description"),
+        status.alias("status"),
+        F.col("first.processed_at").alias("created_at"),
+    )
+
+
 def contacts_state(log: DataFrame) -> DataFrame:
     """Writes per sender (reprocessing counts again) and last written date.
 
@@ -81,48 +126,37 @@ def first_writes(log: DataFrame, cols) -> DataFrame:
     return folded.select("id", "f.*")
 
 
+def latest_analysis(log: DataFrame) -> DataFrame:
+    """N1 on its own: the analysis columns of the last write per id."""
+    return log.groupBy("id").agg(
+        F.max_by(F.struct(*ANALYSIS_COLUMNS), "seq").alias("a")).select("id", "a.*")
+
+
+def first_raw(log: DataFrame) -> DataFrame:
+    """N2 on its own: the raw columns of the first write per id."""
+    return log.groupBy("id").agg(
+        F.min_by(F.struct(*RAW_COLUMNS), "seq").alias("r")).select("id", "r.*")
+
+
 def follow_ups_state(log: DataFrame, status_col: str | None = "follow_up_status") -> DataFrame:
     """D3: a follow-up row when the first write of an id asked for a reply.
 
     N4: the surrogate key is the creating event's ``seq`` (unique and in
     insertion order, which is all the original's autoincrement promises).
     """
-    cols = ["requires_reply", "processed_at"] + ([status_col] if status_col else [])
-    first = first_writes(log, cols)
-    status = F.col(status_col) if status_col else F.lit("pending")
-    return first.where(F.col("requires_reply")).select(
-        F.col("seq").alias("id"),
-        F.col("id").alias("email_id"),
-        status.alias("status"),
-        F.lit(None).cast("string").alias("notes"),
-        F.col("processed_at").alias("created_at"),
-    )
+    extra = ["requires_reply"] + ([status_col] if status_col else [])
+    return follow_ups_from_partial(_firsts(log, extra), status_col)
 
 
 def deadlines_state(log: DataFrame, status_col: str | None = "deadline_status") -> DataFrame:
     """A deadline row when the first write of an id named a deadline ('' is none)."""
-    cols = ["deadline", "processed_at"] + ([status_col] if status_col else [])
-    first = first_writes(log, cols)
-    status = F.col(status_col) if status_col else F.lit("open")
-    return first.where(F.col("deadline").isNotNull() & (F.col("deadline") != "")).select(
-        F.col("seq").alias("id"),
-        F.col("id").alias("email_id"),
-        F.col("deadline").alias("description"),
-        status.alias("status"),
-        F.col("processed_at").alias("created_at"),
-    )
+    extra = ["deadline"] + ([status_col] if status_col else [])
+    return deadlines_from_partial(_firsts(log, extra), status_col)
 
 
-def latest_analysis(log: DataFrame) -> DataFrame:
-    """N1 on its own: the analysis columns of the last write per id."""
+def _firsts(log: DataFrame, extra) -> DataFrame:
     return log.groupBy("id").agg(
-        F.max_by(F.struct(*ANALYSIS_COLUMNS), "seq").alias("a")).select("id", "a.*")
-
-
-def first_raw(log: DataFrame) -> DataFrame:
-    """N2 on its own: the raw columns of the first write per id."""
-    return log.groupBy("id").agg(
-        F.min_by(F.struct(*RAW_COLUMNS), "seq").alias("r")).select("id", "r.*")
+        F.min_by(F.struct("seq", "processed_at", *extra), "seq").alias("first"))
 
 
 def dense_ordinals(df: DataFrame, order_col: str, out: str = "ordinal",

@@ -104,6 +104,25 @@ def status_counts(emails: DataFrame, vectors: DataFrame, follow_ups: DataFrame,
     )
 
 
+def status_from_fold(folded: DataFrame, as_of: Column, hours: int = 24,
+                     fu_status: str = "follow_up_status",
+                     dl_status: str = "deadline_status") -> DataFrame:
+    """A4 in one aggregate over the state fold: every id has one emails row and
+    one vector (each write upserts both), its first write decides the follow-up
+    and deadline rows, so all five counts are ``count_if`` of the same pass."""
+    f, last = F.col("first"), F.col("last")
+    reply = ((last["email_type"] == "human") & last["requires_reply"]
+             & (f["processed_at"] >= as_of - F.make_dt_interval(hours=F.lit(hours))))
+    d = f["deadline"]
+    return folded.agg(
+        F.count(F.lit(1)).alias("total_emails"),
+        F.count(F.lit(1)).alias("vector_count"),
+        F.count_if(reply).alias("needing_reply"),
+        F.count_if(f["requires_reply"] & (f[fu_status] == "pending")).alias("pending_followups"),
+        F.count_if(d.isNotNull() & (d != "") & (f[dl_status] == "open")).alias("open_deadlines"),
+    )
+
+
 def new_emails_antijoin(fetched: DataFrame, stored_ids: DataFrame) -> DataFrame:
     """K1: fetched mail whose id is not stored yet."""
     return fetched.join(stored_ids.select("id"), "id", "left_anti")

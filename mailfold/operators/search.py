@@ -62,6 +62,22 @@ def vector_index(log: DataFrame) -> DataFrame:
     return latest.select("id", "v.document", "v.metadata")
 
 
+def vector_index_from_fold(folded: DataFrame) -> DataFrame:
+    """V6 from a state fold whose ``last_raw`` struct holds the latest write's raw
+    fields: the same rows as ``vector_index`` over the log, with no extra pass."""
+    r, a = F.col("last_raw"), F.col("last")
+    doc = F.concat_ws("\n\n", r["subject"],
+                      F.coalesce(nonempty(r["body"]), nonempty(r["snippet"])),
+                      nonempty(a["summary"]))
+    meta = F.struct(
+        r["sender"].alias("sender"), r["subject"].alias("subject"),
+        r["thread_id"].alias("thread_id"),
+        F.coalesce(r["date"], F.lit("")).alias("date"), a["email_type"].alias("email_type"),
+        F.coalesce(a["domain"], F.lit("")).alias("domain"),
+        a["requires_reply"].alias("requires_reply"), a["summary"].alias("summary"))
+    return folded.select("id", doc.alias("document"), meta.alias("metadata"))
+
+
 def reindex(emails: DataFrame) -> DataFrame:
     """V7 / Q13: rebuild the index from the stored mail rows (no model calls)."""
     return emails.select("id", document_text().alias("document"), metadata().alias("metadata"))

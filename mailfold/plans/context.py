@@ -40,8 +40,14 @@ class Store:
     # -- log and state ------------------------------------------------------
     @cached_property
     def log(self):
+        """Every write with its document content (the full log)."""
         return fixture.event_log(self.spark, self.sf_dir)
 
+    @cached_property
+    def events(self):
+        """Every write, narrow: only what ``events`` itself supplies (no join)."""
+        return fixture.event_columns(self.spark, self.sf_dir)
+
     @cached_property
     def as_of(self):
         return fixture.as_of(self.spark, self.sf_dir)
@@ -50,21 +56,27 @@ class Store:
     def today(self):
         return self.as_of.cast("date").cast("string")
 
+    @cached_property
+    def folded(self):
+        """The one fold every state table is projected from: narrow writes folded
+        by id first, then one document join per id (content never shuffled)."""
+        return fixture.folded_state(self.spark, self.sf_dir)
+
     @cached_property
     def emails(self):
-        return fold.emails_state(self.log)
+        return fold.emails_from_partial(self.folded)
 
     @cached_property
     def contacts(self):
-        return fold.contacts_state(self.log)
+        return fold.contacts_state(self.events)
 
     @cached_property
     def follow_ups(self):
-        return fold.follow_ups_state(self.log)
+        return fold.follow_ups_from_partial(self.folded, "follow_up_status")
 
     @cached_property
     def deadlines(self):
-        return fold.deadlines_state(self.log)
+        return fold.deadlines_from_partial(self.folded, "deadline_status")
 
     @cached_property
     def emails_dangling(self):
@@ -78,11 +90,11 @@ class Store:
 
     @cached_property
     def log_before(self):
-        return self.log.where(F.col("processed_at") < self.cutoff)
+        return self.events.where(F.col("processed_at") < self.cutoff)
 
     @cached_property
     def log_after(self):
-        return self.log.where(F.col("processed_at") >= self.cutoff)
+        return self.events.where(F.col("processed_at") >= self.cutoff)
 
     @cached_property
     def stored_ids_before(self):
@@ -91,7 +103,7 @@ class Store:
     # -- source ---------------------------------------------------------------
     @cached_property
     def messages(self):
-        return mailbox.messages(self.log)
+        return mailbox.messages_from_partial(self.folded)
 
     @cached_property
     def fetched(self):
@@ -109,7 +121,7 @@ class Store:
     # -- labels ---------------------------------------------------------------
     @cached_property
     def label_events(self):
-        return labels.label_events(self.log)
+        return labels.label_events(self.events)
 
     @cached_property
     def current_labels(self):
@@ -117,12 +129,12 @@ class Store:
 
     @cached_property
     def mailboxes(self):
-        return self.emails.select("mailbox_id").distinct()
+        return self.folded.select(F.col("first.mailbox_id").alias("mailbox_id")).distinct()
 
     # -- search ---------------------------------------------------------------
     @cached_property
     def vector_index(self):
-        return search.vector_index(self.log)
+        return search.vector_index_from_fold(self.folded)
 
     @cached_property
     def query_text(self):

@@ -317,7 +317,7 @@ def _a3(s: Store):
 
 @query("status_counts", "status")
 def _a4(s: Store):
-    return reads.status_counts(s.emails, s.vector_index, s.follow_ups, s.deadlines, s.as_of)
+    return reads.status_from_fold(s.folded, s.as_of)
 
 
 @query("batch_outcomes", "backfill_apply_counts")
@@ -326,9 +326,7 @@ def _a5(s: Store):
 
 
 def _briefing_parts(s: Store):
-    items = briefing.section_items(reads.needs_reply(s.emails, s.as_of, 24),
-                                   reads.follow_ups_by_status(s.follow_ups, "pending"),
-                                   s.deadlines.where(F.col("status") == "open"), s.emails)
+    items = briefing.section_items_from_fold(s.folded, s.as_of, 24)
     counts = briefing.section_counts(items, s.mailboxes)
     return items, counts
 
@@ -570,16 +568,20 @@ def _w1(s: Store):
                              os.path.join(base, "ckpt"), max_files=STREAM_FILES)
 
 
-@query("stream_dedup")
-def _w2(s: Store):
+def stream_dedup_drain(s: Store, base: str, src: str, schema):
+    """W2 on a prepared source: drain the stream, each id processed once."""
     import os
     from ..streaming import ingest
-    base, src, schema = _stream_source(s)
     processed, _ = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
                                     os.path.join(base, "ckpt"), max_files=STREAM_FILES)
     return processed.select("id", "seq", "sender", "processed_at")
 
 
+@query("stream_dedup")
+def _w2(s: Store):
+    return stream_dedup_drain(s, *_stream_source(s))
+
+
 @query("stream_seed")
 def _w3(s: Store):
     import os

@@ -5,30 +5,44 @@ Each row of ``events`` is one "save" of an analysed mail.  Events are dealt to
 document, so ids are written many times and upserts are exercised.  The
 mapping (FIXTURES.md section 2) is reproduced column by column:
 
-* the document supplies the raw content (subject, snippet, body, thread);
-* the event supplies who sent it, when it was processed and the analysis.
+* the document supplies the raw content (subject, snippet, body, thread) and
+  the entity list;
+* the event supplies who sent it, when it was processed and the analysis;
+  ``k`` (the integer in ``events.props``) decides which optional fields are
+  missing.
 
-``k`` (the integer in ``events.props``) is kept so that fixtures derived
-from the log (payload renderings, model responses) can vary their shape.
+Two views of the same log:
 
-The view is lazy.  Catalyst prunes every column a query does not use, so a
-query that needs no text never reads ``documents.text``.
+* ``event_columns`` - one row per write, from ``events`` alone (no join);
+* ``event_log``     - the same rows with the document content attached.
+
+``folded_state`` builds the per-id state without ever shuffling content: it
+folds the narrow event rows first (``min_by``/``max_by`` are partial
+aggregates, so an id written millions of times collapses map-side), then joins
+``documents`` once per id.  The content expressions are shared by both paths
+(``_content``), so a per-event row and a folded row derive content the same way.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .tables import read_table
+from .tables import read_table, spread
 
 N_MAILBOXES = 8
 
+EVENT_FIRST = ["seq", "k", "mailbox_id", "sender", "date", "processed_at", "recipient",
+               "requires_reply", "deadline", "follow_up_status", "deadline_status"]
+EVENT_LAST = ["seq", "k", "email_type", "domain", "summary", "requires_reply", "deadline",
+              "unread", "sender", "date"]
+
 
 def _k() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("int")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per write with every column that comes from ``events`` alone."""
     events = read_table(spark, sf_dir, "events")
     docs = read_table(spark, sf_dir, "documents")
     # Scalar subqueries: Spark runs each count once and inlines the value.
@@ -40,28 +54,20 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = F.col("event_id").cast("decimal(38,0)") * n_docs.cast("decimal(38,0)")
     den = (F.when(F.col("event_id") % 3 == 0, n_events * 2).otherwise(n_events)
            .cast("decimal(38,0)"))
+    k = F.col("k")
+    human = F.col("event_type").isin("view", "signup")
     ev = events.select(
         F.col("event_id").alias("seq"),
         ((num - num % den) / den).cast("bigint").alias("id"),
-        "ts", "user_id", "event_type", _k().alias("k"),
-    )
-    d = docs.select("doc_id", "text", "lang", "source")
-    k = F.col("k")
-    human = F.col("event_type").isin("view", "signup")
-    joined = ev.join(d, ev["id"] == d["doc_id"], "inner")
-    return joined.select(
-        "seq",
-        "id",
+        "ts", "user_id", "event_type", _k().alias("k"))
+    return ev.select(
+        "seq", "id",
         (F.col("user_id") % N_MAILBOXES).alias("mailbox_id"),
-        F.concat(F.lit("t"), "source").alias("thread_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com"))
         .alias("sender"),
         F.when(k % 9 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("box"), (F.col("user_id") % N_MAILBOXES).cast("string"),
                             F.lit("@example.com"))).alias("recipient"),
-        F.substring("text", 1, 60).alias("subject"),
-        F.substring("text", 1, 200).alias("snippet"),
-        F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("body"),
         F.when(k % 13 == 0, F.lit(None).cast("string"))
         .otherwise(F.col("ts").cast("date").cast("string")).alias("date"),
         (k % 3 == 0).alias("unread"),
@@ -70,9 +76,6 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "error", F.lit("alerts"))
         .when(F.col("event_type") == "purchase", F.lit("shopping"))
         .when(F.col("event_type") == "click", F.lit("marketing")).alias("domain"),
-        F.when(k % 17 == 0, F.lit("bad["))
-        .otherwise(F.concat(F.lit('["'), "source", F.lit('","'), "lang", F.lit('"]')))
-        .alias("entities"),
         F.when(k % 19 == 0, F.lit(""))
         .otherwise(F.concat(F.lit("doc "), F.col("id").cast("string"))).alias("summary"),
         (k % 2 == 0).alias("requires_reply"),
@@ -81,10 +84,89 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("processed_at"),
         F.when(k % 3 == 1, F.lit("done")).otherwise(F.lit("pending")).alias("follow_up_status"),
         F.when(k % 3 == 1, F.lit("done")).otherwise(F.lit("open")).alias("deadline_status"),
-        k.alias("k"),
+        k,
     )
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    # A narrow scan (one large file) is spread by doc_id so the join runs on
+    # every core; wide scans are left as they are.
+    return spread(docs, key="doc_id")
+
+
+def _content(k_raw: Column, k_analysis: Column) -> dict[str, Column]:
+    """Document-derived columns; ``k_raw`` / ``k_analysis`` pick the write whose
+    raw fields / analysis apply (the same write for a per-event row)."""
+    return {
+        "thread_id": F.concat(F.lit("t"), F.col("source")),
+        "subject": F.substring("text", 1, 60),
+        "snippet": F.substring("text", 1, 200),
+        "body": F.when(k_raw % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("text")),
+        "entities": F.when(k_analysis % 17 == 0, F.lit("bad["))
+        .otherwise(F.concat(F.lit('["'), "source", F.lit('","'), "lang", F.lit('"]'))),
+    }
+
+
+LOG_COLUMNS = ["seq", "id", "mailbox_id", "thread_id", "sender", "recipient", "subject",
+               "snippet", "body", "date", "unread", "email_type", "domain", "entities",
+               "summary", "requires_reply", "deadline", "processed_at", "follow_up_status",
+               "deadline_status", "k"]
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full log: one row per write with its document content."""
+    ev = event_columns(spark, sf_dir)
+    d = _documents(spark, sf_dir)
+    joined = ev.join(d, ev["id"] == d["doc_id"], "inner")
+    content = _content(F.col("k"), F.col("k"))
+    return joined.select(*[content[c].alias(c) if c in content else F.col(c)
+                           for c in LOG_COLUMNS])
+
+
+def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The per-id fold (``operators.fold.first_last`` shape) built fold-first.
+
+    The narrow event rows are folded by id, then each id is joined once to
+    its document; content is never carried through the fold's shuffle.
+    ``last_raw`` holds what the latest write itself carried (the vector
+    index is upserted with the latest write's raw fields).
+    """
+    ev = event_columns(spark, sf_dir)
+    f = ev.groupBy("id").agg(
+        F.min_by(F.struct(*EVENT_FIRST), "seq").alias("f"),
+        F.max_by(F.struct(*EVENT_LAST), "seq").alias("l"),
+        F.count(F.lit(1)).alias("n_writes"))
+    d = _documents(spark, sf_dir)
+    j = f.join(d, f["id"] == d["doc_id"], "inner")
+    c = _content(F.col("f.k"), F.col("l.k"))
+    first = F.struct(
+        F.col("f.seq").alias("seq"), F.col("f.mailbox_id").alias("mailbox_id"),
+        c["thread_id"].alias("thread_id"), F.col("f.sender").alias("sender"),
+        c["subject"].alias("subject"), F.col("f.date").alias("date"),
+        F.col("f.processed_at").alias("processed_at"),
+        F.col("f.recipient").alias("recipient"), F.col("f.k").alias("k"),
+        F.col("f.requires_reply").alias("requires_reply"),
+        F.col("f.deadline").alias("deadline"),
+        F.col("f.follow_up_status").alias("follow_up_status"),
+        F.col("f.deadline_status").alias("deadline_status"))
+    first_text = F.struct(F.col("f.seq").alias("seq"), c["snippet"].alias("snippet"),
+                          c["body"].alias("body"))
+    last = F.struct(
+        F.col("l.seq").alias("seq"), F.col("l.email_type").alias("email_type"),
+        F.col("l.domain").alias("domain"), F.col("l.summary").alias("summary"),
+        F.col("l.requires_reply").alias("requires_reply"),
+        F.col("l.deadline").alias("deadline"), c["entities"].alias("entities"),
+        F.col("l.unread").alias("unread"))
+    last_raw = F.struct(
+        F.col("l.seq").alias("seq"), F.col("l.sender").alias("sender"),
+        c["subject"].alias("subject"), c["thread_id"].alias("thread_id"),
+        F.col("l.date").alias("date"), c["snippet"].alias("snippet"),
+        _content(F.col("l.k"), F.col("l.k"))["body"].alias("body"))
+    return j.select("id", first.alias("first"), first_text.alias("first_text"),
+                    last.alias("last"), last_raw.alias("last_raw"), "n_writes")
+
+
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
     """'now' for the look-back queries: the newest processing time in the log."""
     return read_table(spark, sf_dir, "events").select(F.max("ts")).scalar()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators import fold
 from ..schema import POLL_BATCH, UNREAD_PAGE
 
 MESSAGE_COLUMNS = ["id", "mailbox_id", "thread_id", "sender", "recipient", "subject",
@@ -19,13 +20,20 @@ MESSAGE_COLUMNS = ["id", "mailbox_id", "thread_id", "sender", "recipient", "subj
 
 def messages(log: DataFrame) -> DataFrame:
     """One row per message id: first-write raw fields, latest unread flag."""
-    first = [c for c in MESSAGE_COLUMNS if c != "id"]
-    folded = log.groupBy("id").agg(
-        F.min_by(F.struct("k", *first), "seq").alias("f"),
-        F.max_by("unread", "seq").alias("unread"),
-    )
-    return folded.select("id", *[F.col(f"f.{c}").alias(c) for c in first],
-                         "unread", F.col("f.k").alias("k"))
+    return messages_from_partial(fold.first_last(log, extra_first=["recipient", "k"],
+                                                 extra_last=["unread"]))
+
+
+def messages_from_partial(folded: DataFrame) -> DataFrame:
+    """The mail source from a fold whose structs carry recipient, k and unread."""
+    return folded.select(
+        "id", F.col("first.mailbox_id").alias("mailbox_id"),
+        F.col("first.thread_id").alias("thread_id"), F.col("first.sender").alias("sender"),
+        F.col("first.recipient").alias("recipient"),
+        F.col("first.subject").alias("subject"),
+        F.col("first_text.snippet").alias("snippet"), F.col("first_text.body").alias("body"),
+        F.col("first.date").alias("date"), F.col("first.processed_at").alias("processed_at"),
+        F.col("last.unread").alias("unread"), F.col("first.k").alias("k"))
 
 
 def _newest_per_mailbox(df: DataFrame, cap: int) -> DataFrame:

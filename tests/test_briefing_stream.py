@@ -100,3 +100,15 @@ def test_incremental_state_and_compaction(spark):
     ingest.compact(spark, os.path.join(base, "st"), os.path.join(base, "st2"))
     again = ingest.current_state(spark, os.path.join(base, "st2"))
     assert sorted(tuple(r) for r in again.collect()) == want
+
+
+def test_single_pass_equals_table_forms(spark):
+    from mailfold.plans.context import Store
+    s = Store(spark, "/root/testdata/sf0.001")
+    generic = briefing.section_items(reads.needs_reply(s.emails, s.as_of, 24),
+                                     reads.follow_ups_by_status(s.follow_ups, "pending"),
+                                     s.deadlines.where(F.col("status") == "open"), s.emails)
+    fast = briefing.section_items_from_fold(s.folded, s.as_of, 24)
+    assert sorted(map(tuple, generic.collect())) == sorted(map(tuple, fast.collect()))
+    st = reads.status_counts(s.emails, s.vector_index, s.follow_ups, s.deadlines, s.as_of)
+    assert st.first().asDict() == reads.status_from_fold(s.folded, s.as_of).first().asDict()

@@ -157,3 +157,19 @@ def test_fold_equals_sequential_upserts(spark, events):
     assert fu == [r[0] for r in con.execute("SELECT email_id FROM follow_ups ORDER BY id")]
     dl = [(r["email_id"], r["description"]) for r in _rows(fold.deadlines_state(log, None), "id")]
     assert dl == con.execute("SELECT email_id, description FROM deadlines ORDER BY id").fetchall()
+
+
+def test_fold_first_state_equals_generic_fold(spark):
+    """The fixture's fold-then-join state equals the generic fold of the full log."""
+    from mailfold.operators import search
+    from mailfold.plans.context import Store
+    s = Store(spark, "/root/testdata/sf0.001")
+    a = sorted(map(tuple, fold.emails_from_partial(s.folded).collect()))
+    b = sorted(map(tuple, fold.emails_state(s.log).collect()))
+    assert a == b
+    v1 = sorted(map(tuple, search.vector_index_from_fold(s.folded).collect()))
+    v2 = sorted(map(tuple, search.vector_index(s.log).collect()))
+    assert v1 == v2
+    f1 = sorted(map(tuple, fold.follow_ups_from_partial(s.folded, "follow_up_status").collect()))
+    f2 = sorted(map(tuple, fold.follow_ups_state(s.log).collect()))
+    assert f1 == f2
