@@ -67,6 +67,22 @@ def _drain(stream_writer, checkpoint: str):
     return q
 
 
+def start_poller(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoint: str,
+                 process=None, interval: str = "60 seconds", max_files: int = 50):
+    """W1 live: the poll loop as a running query - a micro-batch every
+    ``interval`` with at most ``max_files`` new files, exact once-per-id
+    processing (``run_dedup``'s batch logic).  Returns the StreamingQuery;
+    stopping and restarting it resumes from ``checkpoint``."""
+    seen_dir = os.path.join(out_dir, "seen")
+    id_type = schema["id"].dataType.simpleString()
+    spark.createDataFrame([], f"id {id_type}").write.mode("overwrite").parquet(
+        os.path.join(seen_dir, "batch=-1"))
+    handle = _batch_handler(spark, out_dir, process)
+    return (log_stream(spark, src_dir, schema, max_files).writeStream.foreachBatch(handle)
+            .option("checkpointLocation", checkpoint)
+            .trigger(processingTime=interval).start())
+
+
 def run_ingest(spark: SparkSession, src_dir: str, schema, sink_dir: str, checkpoint: str,
                max_files: int = 1) -> DataFrame:
     """W1 drained: every log row appended once to the sink."""
@@ -92,6 +108,25 @@ def first_sight(batch: DataFrame, seen_dir: str, spark: SparkSession) -> DataFra
     return firsts.join(already, "id", "left_anti")
 
 
+def _batch_handler(spark: SparkSession, out_dir: str, process=None):
+    """foreachBatch body of W2-W4: first sight, process, dead-letter, mark seen.
+    Every output of a batch is written under ``batch=<id>`` with overwrite, so a
+    replayed batch replaces its own output."""
+    seen_dir = os.path.join(out_dir, "seen")
+    done_dir = os.path.join(out_dir, "processed")
+    dead_dir = os.path.join(out_dir, "failures")
+
+    def handle(batch: DataFrame, batch_id: int):
+        new = first_sight(batch, seen_dir, spark).cache()   # one micro-batch, bounded
+        ok, bad = process(new) if process else (new, new.where(F.lit(False)).select("id"))
+        tag = f"batch={batch_id}"
+        ok.write.mode("overwrite").parquet(os.path.join(done_dir, tag))
+        bad.write.mode("overwrite").parquet(os.path.join(dead_dir, tag))
+        new.select("id").write.mode("overwrite").parquet(os.path.join(seen_dir, tag))
+        new.unpersist()
+    return handle
+
+
 def run_dedup(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoint: str,
               seed_ids: DataFrame | None = None, max_files: int = 1,
               process=None) -> tuple[DataFrame, DataFrame]:
@@ -111,17 +146,7 @@ def run_dedup(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoin
             if seed_ids is not None else spark.createDataFrame([], f"id {id_type}"))
     seed.write.mode("overwrite").parquet(os.path.join(seen_dir, "batch=-1"))
     stream = log_stream(spark, src_dir, schema, max_files)
-
-    def handle(batch: DataFrame, batch_id: int):
-        new = first_sight(batch, seen_dir, spark).cache()   # one micro-batch, bounded
-        ok, bad = process(new) if process else (new, new.where(F.lit(False)).select("id"))
-        tag = f"batch={batch_id}"
-        ok.write.mode("overwrite").parquet(os.path.join(done_dir, tag))
-        bad.write.mode("overwrite").parquet(os.path.join(dead_dir, tag))
-        new.select("id").write.mode("overwrite").parquet(os.path.join(seen_dir, tag))
-        new.unpersist()
-
-    _drain(stream.writeStream.foreachBatch(handle), checkpoint)
+    _drain(stream.writeStream.foreachBatch(_batch_handler(spark, out_dir, process)), checkpoint)
     processed = spark.read.parquet(done_dir).drop("batch")
     failures = spark.read.parquet(dead_dir).drop("batch")
     return processed, failures
@@ -165,8 +190,10 @@ def watermark_dedup(stream: DataFrame, delay: str = "7 days") -> DataFrame:
     State is bounded by the watermark; a redelivery later than ``delay`` is
     processed again, so this form is exact only when redeliveries are timely.
     """
-    return (stream.withWatermark("processed_at", delay)
-            .dropDuplicatesWithinWatermark(["id"]))
+    # watermarks need a zoned timestamp; the log's processing time is zone-less
+    timed = stream.withColumn("event_time", F.col("processed_at").cast("timestamp"))
+    return (timed.withWatermark("event_time", delay)
+            .dropDuplicatesWithinWatermark(["id"]).drop("event_time"))
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:

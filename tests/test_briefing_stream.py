@@ -112,3 +112,38 @@ def test_single_pass_equals_table_forms(spark):
     assert sorted(map(tuple, generic.collect())) == sorted(map(tuple, fast.collect()))
     st = reads.status_counts(s.emails, s.vector_index, s.follow_ups, s.deadlines, s.as_of)
     assert st.first().asDict() == reads.status_from_fold(s.folded, s.as_of).first().asDict()
+
+
+def test_watermark_dedup_and_live_poller(spark):
+    rows = [{"id": i % 5, "processed_at": dt.datetime(2026, 1, 1) + dt.timedelta(hours=i)}
+            for i in range(20)]
+    log = make_log(spark, rows)
+    base = tempfile.mkdtemp(prefix="wm-")
+    src = os.path.join(base, "src")
+    ingest.write_log_source(log, src, chunk_days=1)
+    # bounded-state form: all duplicates arrive within the delay -> exact here
+    q = (ingest.watermark_dedup(ingest.log_stream(spark, src, log.schema, 1), "7 days")
+         .writeStream.format("memory").queryName("wm_dedup").outputMode("append")
+         .option("checkpointLocation", os.path.join(base, "ck1"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r["id"] for r in spark.sql("SELECT id FROM wm_dedup").collect()) == [0, 1, 2, 3, 4]
+    # live poller: a processing-time trigger, stopped once the files are consumed
+    q = ingest.start_poller(spark, src, log.schema, os.path.join(base, "out"),
+                            os.path.join(base, "ck2"), interval="1 second", max_files=50)
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(os.path.join(base, "out", "processed")).select("id", "seq")
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(5)]
+
+
+def test_rule_analyzer(spark):
+    from mailfold.operators import analysis
+    mail = spark.createDataFrame([
+        (1, "noreply@shop.example", "Your order shipped", "delivery soon", ""),
+        (2, "bob@example.com", "Lunch?", "Can we meet by friday?", ""),
+    ], "id long, sender string, subject string, body string, snippet string")
+    out = {r["id"]: r for r in analysis.rule_analyzer(mail).collect()}
+    assert out[1]["email_type"] == "automated" and out[1]["domain"] == "shopping"
+    assert out[2]["email_type"] == "human" and out[2]["requires_reply"]
+    assert out[2]["deadline"] == "by friday" and out[2]["domain"] is None
