@@ -91,15 +91,27 @@ def text_search(corpus: DataFrame, query_text: Column, n: int = 10,
                 id_col: str = "id", text_col: str = "text") -> DataFrame:
     """V3 on text: exact cosine over hashed vectors for one query.
 
-    ``query_text`` is a scalar column (e.g. a scalar subquery).  The query's
-    sparse cells (at most 384 rows) are broadcast; every corpus cell is
-    scored with a left join, so documents sharing no word keep distance 1.
+    ``query_text`` is a scalar column (e.g. a scalar subquery).  It runs as a
+    one-query batch search: every document is hashed in-row and scored in
+    numpy against the broadcast 384-float query, a top-n is kept per task, and
+    only those rows meet in the final window - no shuffle of the corpus.
     """
     spark = corpus.sparkSession
+    query = token_indexes(spark.range(1).select(F.lit(0).cast("long").alias("id"),
+                                                query_text.alias("t")), "id", "t")
+    hits = batch_search(token_indexes(corpus, id_col, text_col), query, n)
+    return hits.select("id", "distance", "rank")
+
+
+def text_search_native(corpus: DataFrame, query_text: Column, n: int = 10,
+                       id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """V3 in native expressions only: the query's cells (at most 384 rows) are
+    broadcast and each document scored by one aggregate over its cells,
+    ``sum(cnt * q) / sqrt(sum(cnt^2))``; documents sharing no word keep
+    distance 1.  Same rows as ``text_search``."""
+    spark = corpus.sparkSession
     q = hash_embed_sparse(spark.range(1).select(F.lit(0).alias("qid"), query_text.alias("t")),
                           "qid", "t").select("idx", F.col("weight").alias("qw"))
-    # cos = sum(cnt * qw) / sqrt(sum(cnt^2)): one aggregate per document over
-    # its cells, which are already partitioned by id, so no window and no join.
     cells = corpus_cells(corpus, id_col, text_col)
     scored = (cells.join(F.broadcast(q), "idx", "left")
               .groupBy("id")
@@ -198,27 +210,44 @@ def _local_topn(qids, qmat, n, dim):
     return run
 
 
+def query_vectors(query_tokens: DataFrame, dim: int = EMBED_DIM) -> DataFrame:
+    """(id, vec array<double>): unit count vectors built on the executors."""
+    def to_vec(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            mat = _unit_rows(pdf["idx"].tolist(), dim)
+            yield pd.DataFrame({"id": pdf["id"].astype("int64"), "vec": list(mat)})
+    return query_tokens.select("id", "idx").mapInPandas(to_vec, "id long, vec array<double>")
+
+
 def batch_search(corpus_tokens: DataFrame, query_tokens: DataFrame, n: int = 10,
                  dim: int = EMBED_DIM, budget: int = BROADCAST_BUDGET) -> DataFrame:
     """V5: top-n corpus ids for every query.
 
     Inputs are ``token_indexes`` rows ``(id, idx array<int>)``: hashing ran
-    natively, counting and scoring run per Arrow batch in numpy.  The query
-    matrix is broadcast only under ``budget`` bytes, else in hash-split chunks.
-    No query x document pair is materialised beyond the local top-n.
+    natively, counting and scoring run per Arrow batch in numpy.  Query
+    vectors are built on the executors and shipped to every task only while
+    they fit ``budget`` bytes; beyond that the queries are hash-split into
+    chunks that each fit, and the corpus is scanned once per chunk.  No query x
+    document pair is materialised beyond the local top-n.
     """
-    n_queries = query_tokens.count()
-    chunks = max(1, math.ceil(n_queries * dim * 8 / budget))
+    max_rows = max(1, budget // (dim * 8))
+    vecs = query_vectors(query_tokens, dim)
+    first = vecs.limit(max_rows + 1).toPandas()          # size check and fetch in one job
+    if len(first) <= max_rows:
+        chunks = [first]
+    else:
+        n_chunks = math.ceil(vecs.count() / max_rows) + 1
+        chunks = [vecs.where(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == c).toPandas()
+                  for c in range(n_chunks)]
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()),
                            T.StructField("distance", T.DoubleType())])
     parts = []
-    for c in range(chunks):
-        qpart = query_tokens if chunks == 1 else query_tokens.where(
-            F.pmod(F.xxhash64("id"), F.lit(chunks)) == c)
-        qpdf = qpart.toPandas()                      # bounded by the byte budget above
+    for qpdf in chunks:
         if qpdf.empty:
             continue
-        qmat = _unit_rows(qpdf["idx"].tolist(), dim)
+        qmat = np.stack(qpdf["vec"].to_numpy()).astype(np.float64)
         qids = qpdf["id"].astype("int64").tolist()
         parts.append(corpus_tokens.select("id", "idx")
                      .mapInPandas(_local_topn(qids, qmat, n, dim), schema))

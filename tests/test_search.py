@@ -112,3 +112,11 @@ def test_lsh_search_reranks_exactly(spark):
     assert hits[0]["vec_id"] == 0 and hits[0]["rank"] == 1
     assert 0.0 <= hits[0]["recall"] <= 1.0
     assert all(h["vec_id"] < 20 for h in hits)          # near-duplicates share buckets
+
+
+def test_text_search_native_equals_batch_path(spark):
+    df = spark.createDataFrame(DOCS, "id long, text string")
+    q = F.lit("budget vendor invoice friday")
+    a = [tuple(r) for r in search.text_search(df, q, 4).collect()]
+    b = [tuple(r) for r in search.text_search_native(df, q, 4).collect()]
+    assert sorted(a) == sorted(b)
