@@ -208,3 +208,53 @@ def rule_analyzer(mail: DataFrame) -> DataFrame:
         F.regexp_extract(text, r"(by (monday|tuesday|wednesday|thursday|friday|"
                                r"saturday|sunday|tomorrow|end of day))", 1).alias("deadline"),
     ).withColumn("deadline", nonempty("deadline"))
+
+
+# --------------------------------------------------------------------------
+# the two backfill jobs around the inference step (Q12)
+# --------------------------------------------------------------------------
+
+SEQ_BATCH_SHIFT = 40     # seq of a backfill write = (batch number << 40) + position
+
+
+def read_result_file(spark, path: str) -> DataFrame:
+    """S6 as a file source: JSONL results read with the fixed schema (no inference)."""
+    r = spark.read.schema(BATCH_RESULT).json(path)
+    return r.select("custom_id", F.col("result.type").alias("result_type"),
+                    F.col("result.message.content").alias("content"))
+
+
+def prepare_backfill(new_mail: DataFrame, requests_path: str,
+                     model: str = "analysis-model") -> None:
+    """Q12 prepare: one JSON request per new mail, written as JSONL text files."""
+    build_requests(new_mail, model).select("request").write.mode("overwrite").text(requests_path)
+
+
+def apply_backfill(spark, results_path: str, pending: DataFrame, batch_no: int,
+                   log_path: str, failures_path: str) -> DataFrame:
+    """Q12 apply: join the result file to the pending mail, append every processed
+    analysis to the log as a new write and the failures to a dead-letter table.
+
+    A write's ``seq`` is ``(batch_no << 40) + position`` so it orders after
+    every earlier batch; the batch's output directories are overwritten as a
+    whole, so re-running a batch is idempotent.  Returns the outcome counts (A5).
+    """
+    lines = spark.read.text(results_path)
+    applied = apply_results(lines, pending).cache()
+    done = applied.where(F.col("outcome") == "processed")
+    raw = pending.select(F.col("id").cast("string").alias("custom_id"), "id", "mailbox_id",
+                         "thread_id", "sender", "subject", "snippet", "body", "date")
+    writes = done.join(raw, "custom_id").select(
+        (F.lit(batch_no).cast("long") * F.lit(1 << SEQ_BATCH_SHIFT)
+         + F.monotonically_increasing_id()).alias("seq"),
+        "id", "mailbox_id", "thread_id", "sender", "subject", "snippet", "body", "date",
+        F.current_timestamp().cast("timestamp_ntz").alias("processed_at"),
+        "analysis.email_type", "analysis.domain", "analysis.summary",
+        "analysis.requires_reply", "analysis.deadline",
+        F.to_json("analysis.entities").alias("entities"))
+    writes.write.mode("overwrite").parquet(f"{log_path}/batch={batch_no}")
+    analysis_failures(applied).write.mode("overwrite").parquet(f"{failures_path}/batch={batch_no}")
+    counts = batch_outcomes(applied)
+    counts.collect()      # materialise the one-row summary before releasing the cache
+    applied.unpersist()
+    return counts

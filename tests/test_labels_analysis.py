@@ -87,3 +87,27 @@ def test_batch_requests_are_json(spark):
     content = req["params"]["messages"][0]["content"]
     assert content.endswith("\n[… email truncated …]")
     assert "x" * 4000 in content and "x" * 4001 not in content
+
+
+def test_backfill_jobs_roundtrip(spark, tmp_path):
+    from mailfold.operators import fold
+    from mailfold.plans.context import Store
+    s = Store(spark, "/root/testdata/sf0.001")
+    pending = s.messages.where(F.col("id") % 10 != 3)      # the new mail of a backfill
+    req = str(tmp_path / "requests")
+    analysis.prepare_backfill(pending, req)
+    first = json.loads(spark.read.text(req).first()["value"])
+    assert first["params"]["tool_choice"]["name"] == "record_email_analysis"
+    res = str(tmp_path / "results")
+    s.result_lines.write.mode("overwrite").text(res)
+    parsed = analysis.read_result_file(spark, res)
+    assert parsed.count() == s.table("labels").count()
+    log, dead = str(tmp_path / "log"), str(tmp_path / "dead")
+    counts = analysis.apply_backfill(spark, res, pending, 1, log, dead).first()
+    written = spark.read.parquet(log)
+    assert written.count() == counts["processed"]
+    assert spark.read.parquet(dead).count() == counts["failed"]
+    # the appended writes fold like any other log
+    state = fold.emails_state(written.drop("batch"))
+    assert state.count() == counts["processed"]
+    assert set(r["email_type"] for r in state.collect()) <= {"human", "automated"}
