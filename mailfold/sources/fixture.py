@@ -17,9 +17,9 @@ Two views of the same log:
 * ``event_log``     - the same rows with the document content attached.
 
 ``folded_state`` builds the per-id state without ever shuffling content: it
-folds the narrow event rows first (``min_by``/``max_by`` are partial
-aggregates, so an id written millions of times collapses map-side), then joins
-``documents`` once per id.  The content expressions are shared by both paths
+folds fixed-width write values first (hash aggregation with a map-side
+combine, so an id written millions of times collapses before the shuffle),
+derives the string fields, then joins ``documents`` once per id.  The content expressions are shared by both paths
 (``_content``), so a per-event row and a folded row derive content the same way.
 """
 
@@ -31,18 +31,16 @@ from .tables import read_table, spread
 
 N_MAILBOXES = 8
 
-EVENT_FIRST = ["seq", "k", "mailbox_id", "sender", "date", "processed_at", "recipient",
-               "requires_reply", "deadline", "follow_up_status", "deadline_status"]
-EVENT_LAST = ["seq", "k", "email_type", "domain", "summary", "requires_reply", "deadline",
-              "unread", "sender", "date"]
-
 
 def _k() -> Column:
     return F.regexp_extract("props", "[0-9]+", 0).cast("int")
 
 
-def event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per write with every column that comes from ``events`` alone."""
+EVENT_TYPES = ["view", "signup", "error", "purchase", "click"]
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per write, fixed-width only: (seq, id, ts, user_id, etype code, k)."""
     events = read_table(spark, sf_dir, "events")
     docs = read_table(spark, sf_dir, "documents")
     # Scalar subqueries: Spark runs each count once and inlines the value.
@@ -54,38 +52,56 @@ def event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = F.col("event_id").cast("decimal(38,0)") * n_docs.cast("decimal(38,0)")
     den = (F.when(F.col("event_id") % 3 == 0, n_events * 2).otherwise(n_events)
            .cast("decimal(38,0)"))
-    k = F.col("k")
-    human = F.col("event_type").isin("view", "signup")
-    ev = events.select(
+    codes = F.array(*[F.lit(t) for t in EVENT_TYPES])
+    return events.select(
         F.col("event_id").alias("seq"),
         ((num - num % den) / den).cast("bigint").alias("id"),
-        "ts", "user_id", "event_type", _k().alias("k"))
-    return ev.select(
-        "seq", "id",
-        (F.col("user_id") % N_MAILBOXES).alias("mailbox_id"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com"))
-        .alias("sender"),
-        F.when(k % 9 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("box"), (F.col("user_id") % N_MAILBOXES).cast("string"),
-                            F.lit("@example.com"))).alias("recipient"),
-        F.when(k % 13 == 0, F.lit(None).cast("string"))
-        .otherwise(F.col("ts").cast("date").cast("string")).alias("date"),
-        (k % 3 == 0).alias("unread"),
-        F.when(human, F.lit("human")).otherwise(F.lit("automated")).alias("email_type"),
-        F.when(human, F.lit(None).cast("string"))
-        .when(F.col("event_type") == "error", F.lit("alerts"))
-        .when(F.col("event_type") == "purchase", F.lit("shopping"))
-        .when(F.col("event_type") == "click", F.lit("marketing")).alias("domain"),
-        F.when(k % 19 == 0, F.lit(""))
-        .otherwise(F.concat(F.lit("doc "), F.col("id").cast("string"))).alias("summary"),
-        (k % 2 == 0).alias("requires_reply"),
-        F.when(k % 5 == 0, F.concat(F.lit("by day "), k.cast("string")))
-        .when(k % 7 == 0, F.lit("")).alias("deadline"),
-        F.col("ts").alias("processed_at"),
-        F.when(k % 3 == 1, F.lit("done")).otherwise(F.lit("pending")).alias("follow_up_status"),
-        F.when(k % 3 == 1, F.lit("done")).otherwise(F.lit("open")).alias("deadline_status"),
-        k,
-    )
+        "ts", "user_id",
+        F.array_position(codes, F.col("event_type")).cast("int").alias("etype"),
+        _k().alias("k"))
+
+
+def _fields(seq: Column, id_: Column, ts: Column, user_id: Column, etype: Column,
+            k: Column) -> dict[str, Column]:
+    """Every column a write takes from ``events``, from its fixed-width values."""
+    event_type = F.element_at(F.array(*[F.lit(t) for t in EVENT_TYPES]), etype)
+    human = event_type.isin("view", "signup")
+    return {
+        "seq": seq, "id": id_,
+        "mailbox_id": user_id % N_MAILBOXES,
+        "sender": F.concat(F.lit("u"), user_id.cast("string"), F.lit("@example.com")),
+        "recipient": F.when(k % 9 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("box"), (user_id % N_MAILBOXES).cast("string"),
+                            F.lit("@example.com"))),
+        "date": F.when(k % 13 == 0, F.lit(None).cast("string"))
+        .otherwise(ts.cast("date").cast("string")),
+        "unread": k % 3 == 0,
+        "email_type": F.when(human, F.lit("human")).otherwise(F.lit("automated")),
+        "domain": F.when(human, F.lit(None).cast("string"))
+        .when(event_type == "error", F.lit("alerts"))
+        .when(event_type == "purchase", F.lit("shopping"))
+        .when(event_type == "click", F.lit("marketing")),
+        "summary": F.when(k % 19 == 0, F.lit(""))
+        .otherwise(F.concat(F.lit("doc "), id_.cast("string"))),
+        "requires_reply": k % 2 == 0,
+        "deadline": F.when(k % 5 == 0, F.concat(F.lit("by day "), k.cast("string")))
+        .when(k % 7 == 0, F.lit("")),
+        "processed_at": ts,
+        "follow_up_status": F.when(k % 3 == 1, F.lit("done")).otherwise(F.lit("pending")),
+        "deadline_status": F.when(k % 3 == 1, F.lit("done")).otherwise(F.lit("open")),
+        "k": k,
+    }
+
+
+EVENT_COLUMNS = ["seq", "id", "mailbox_id", "sender", "recipient", "date", "unread",
+                 "email_type", "domain", "summary", "requires_reply", "deadline",
+                 "processed_at", "follow_up_status", "deadline_status", "k"]
+
+
+def event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per write with every column that comes from ``events`` alone."""
+    fields = _fields(*[F.col(c) for c in ("seq", "id", "ts", "user_id", "etype", "k")])
+    return _base(spark, sf_dir).select(*[fields[c].alias(c) for c in EVENT_COLUMNS])
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,42 +143,52 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-id fold (``operators.fold.first_last`` shape) built fold-first.
 
-    The narrow event rows are folded by id, then each id is joined once to
-    its document; content is never carried through the fold's shuffle.
-    ``last_raw`` holds what the latest write itself carried (the vector
-    index is upserted with the latest write's raw fields).
+    The writes are folded by id on fixed-width values only - ``min``/``max`` of
+    seq and ``min_by``/``max_by`` of ts, user, event type and payload key - so
+    Spark hash-aggregates with a map-side combine (an id written millions of
+    times collapses before the shuffle).  Strings are derived after the fold
+    by the same expressions as ``event_columns``, and each id is then joined
+    once to its document: content is never carried through the shuffle.
+    ``last_raw`` holds what the latest write itself carried (the vector index
+    is upserted with the latest write's raw fields).
     """
-    ev = event_columns(spark, sf_dir)
-    f = ev.groupBy("id").agg(
-        F.min_by(F.struct(*EVENT_FIRST), "seq").alias("f"),
-        F.max_by(F.struct(*EVENT_LAST), "seq").alias("l"),
+    base = _base(spark, sf_dir)
+    agg = base.groupBy("id").agg(
+        F.min("seq").alias("f_seq"), F.min_by("ts", "seq").alias("f_ts"),
+        F.min_by("user_id", "seq").alias("f_user"), F.min_by("k", "seq").alias("f_k"),
+        F.min_by("etype", "seq").alias("f_etype"),
+        F.max("seq").alias("l_seq"), F.max_by("ts", "seq").alias("l_ts"),
+        F.max_by("user_id", "seq").alias("l_user"), F.max_by("k", "seq").alias("l_k"),
+        F.max_by("etype", "seq").alias("l_etype"),
         F.count(F.lit(1)).alias("n_writes"))
     d = _documents(spark, sf_dir)
-    j = f.join(d, f["id"] == d["doc_id"], "inner")
-    c = _content(F.col("f.k"), F.col("l.k"))
+    j = agg.join(d, agg["id"] == d["doc_id"], "inner")
+    idc = F.col("id")
+    f = _fields(F.col("f_seq"), idc, F.col("f_ts"), F.col("f_user"), F.col("f_etype"),
+                F.col("f_k"))
+    l = _fields(F.col("l_seq"), idc, F.col("l_ts"), F.col("l_user"), F.col("l_etype"),
+                F.col("l_k"))
+    c = _content(F.col("f_k"), F.col("l_k"))
     first = F.struct(
-        F.col("f.seq").alias("seq"), F.col("f.mailbox_id").alias("mailbox_id"),
-        c["thread_id"].alias("thread_id"), F.col("f.sender").alias("sender"),
-        c["subject"].alias("subject"), F.col("f.date").alias("date"),
-        F.col("f.processed_at").alias("processed_at"),
-        F.col("f.recipient").alias("recipient"), F.col("f.k").alias("k"),
-        F.col("f.requires_reply").alias("requires_reply"),
-        F.col("f.deadline").alias("deadline"),
-        F.col("f.follow_up_status").alias("follow_up_status"),
-        F.col("f.deadline_status").alias("deadline_status"))
-    first_text = F.struct(F.col("f.seq").alias("seq"), c["snippet"].alias("snippet"),
+        f["seq"].alias("seq"), f["mailbox_id"].alias("mailbox_id"),
+        c["thread_id"].alias("thread_id"), f["sender"].alias("sender"),
+        c["subject"].alias("subject"), f["date"].alias("date"),
+        f["processed_at"].alias("processed_at"), f["recipient"].alias("recipient"),
+        f["k"].alias("k"), f["requires_reply"].alias("requires_reply"),
+        f["deadline"].alias("deadline"), f["follow_up_status"].alias("follow_up_status"),
+        f["deadline_status"].alias("deadline_status"))
+    first_text = F.struct(f["seq"].alias("seq"), c["snippet"].alias("snippet"),
                           c["body"].alias("body"))
     last = F.struct(
-        F.col("l.seq").alias("seq"), F.col("l.email_type").alias("email_type"),
-        F.col("l.domain").alias("domain"), F.col("l.summary").alias("summary"),
-        F.col("l.requires_reply").alias("requires_reply"),
-        F.col("l.deadline").alias("deadline"), c["entities"].alias("entities"),
-        F.col("l.unread").alias("unread"))
+        l["seq"].alias("seq"), l["email_type"].alias("email_type"),
+        l["domain"].alias("domain"), l["summary"].alias("summary"),
+        l["requires_reply"].alias("requires_reply"), l["deadline"].alias("deadline"),
+        c["entities"].alias("entities"), l["unread"].alias("unread"))
     last_raw = F.struct(
-        F.col("l.seq").alias("seq"), F.col("l.sender").alias("sender"),
-        c["subject"].alias("subject"), c["thread_id"].alias("thread_id"),
-        F.col("l.date").alias("date"), c["snippet"].alias("snippet"),
-        _content(F.col("l.k"), F.col("l.k"))["body"].alias("body"))
+        l["seq"].alias("seq"), l["sender"].alias("sender"), c["subject"].alias("subject"),
+        c["thread_id"].alias("thread_id"), l["date"].alias("date"),
+        c["snippet"].alias("snippet"),
+        _content(F.col("l_k"), F.col("l_k"))["body"].alias("body"))
     return j.select("id", first.alias("first"), first_text.alias("first_text"),
                     last.alias("last"), last_raw.alias("last_raw"), "n_writes")
 
