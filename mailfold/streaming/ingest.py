@@ -46,7 +46,10 @@ def write_log_source(log: DataFrame, out_dir: str, chunk_days: int = CHUNK_DAYS)
     chunks = ((bounds["hi"] - bounds["lo"]).days + chunk_days) // chunk_days
     staging = out_dir.rstrip("/") + "_staging"
     chunk = F.floor(F.datediff(day, F.lit(bounds["lo"])) / chunk_days).cast("int")
-    log.withColumn("_chunk", chunk).write.mode("overwrite").partitionBy("_chunk").parquet(staging)
+    # range-partitioned on (chunk, seq): each chunk lands in a few contiguous
+    # files, as many as its size needs, instead of one small file per task
+    (log.withColumn("_chunk", chunk).repartitionByRange("_chunk", "seq")
+     .write.mode("overwrite").partitionBy("_chunk").parquet(staging))
     staged = log.sparkSession.read.parquet(staging)
     for c in range(chunks):
         (staged.where(F.col("_chunk") == c).drop("_chunk")
