@@ -210,6 +210,31 @@ def _local_topn(qids, qmat, n, dim):
     return run
 
 
+def hash_embed_cells(df: DataFrame, id_col: str, text_col: str,
+                     dim: int = EMBED_DIM) -> DataFrame:
+    """V1 without a shuffle: tokens hashed in-row natively, counted per Arrow
+    batch with ``numpy.bincount``; emits (id, idx, cnt, weight) for every
+    non-zero coordinate.  Same rows as ``hash_embed_sparse``."""
+    def cells(batches):
+        for pdf in batches:
+            ids, idxs, cnts, wts = [], [], [], []
+            for i, ix in zip(pdf["id"].tolist(), pdf["idx"].tolist()):
+                if ix is None or not len(ix):
+                    continue
+                c = np.bincount(np.asarray(ix, dtype=np.int64), minlength=dim)
+                nz = np.nonzero(c)[0]
+                norm = float(np.sqrt((c[nz].astype(np.float64) ** 2).sum()))
+                ids.append(np.full(len(nz), i, dtype=np.int64))
+                idxs.append(nz.astype(np.int32))
+                cnts.append(c[nz].astype(np.int64))
+                wts.append(c[nz] / norm)
+            if ids:
+                yield pd.DataFrame({"id": np.concatenate(ids), "idx": np.concatenate(idxs),
+                                    "cnt": np.concatenate(cnts), "weight": np.concatenate(wts)})
+    return token_indexes(df, id_col, text_col).mapInPandas(
+        cells, "id long, idx int, cnt long, weight double")
+
+
 def query_vectors(query_tokens: DataFrame, dim: int = EMBED_DIM) -> DataFrame:
     """(id, vec array<double>): unit count vectors built on the executors."""
     def to_vec(batches):

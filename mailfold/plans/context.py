@@ -68,7 +68,7 @@ class Store:
 
     @cached_property
     def contacts(self):
-        return fold.contacts_state(self.events)
+        return fixture.contacts_state(self.spark, self.sf_dir)
 
     @cached_property
     def follow_ups(self):

@@ -413,8 +413,7 @@ def _u2(s: Store):
 
 @query("hash_embed")
 def _v1(s: Store):
-    from ..functions.vector import hash_embed_sparse
-    cells = hash_embed_sparse(s.table("documents"), "doc_id", "text")
+    cells = search.hash_embed_cells(s.table("documents"), "doc_id", "text")
     return cells.select("id", "idx", "cnt", F.round("weight", 6).alias("weight"))
 
 

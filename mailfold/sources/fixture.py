@@ -193,6 +193,23 @@ def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
                     last.alias("last"), last_raw.alias("last_raw"), "n_writes")
 
 
+def contacts_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 on fixed-width values: writes per sender and the last write's date.
+
+    The sender string is a function of the user id, so the fold groups by
+    the id and keeps ``max_by`` of the write time and payload key (hash
+    aggregation, map-side combine for a sender holding a third of the log);
+    address and date are derived after.  Same rows as ``fold.contacts_state``.
+    """
+    agg = _base(spark, sf_dir).groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("total_emails"),
+        F.max_by("ts", "seq").alias("l_ts"), F.max_by("k", "seq").alias("l_k"))
+    f = _fields(F.lit(None), F.lit(None), F.col("l_ts"), F.col("user_id"), F.lit(None),
+                F.col("l_k"))
+    return agg.select(f["sender"].alias("email_address"), "total_emails",
+                      f["date"].alias("last_contact"))
+
+
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
     """'now' for the look-back queries: the newest processing time in the log."""
     return read_table(spark, sf_dir, "events").select(F.max("ts")).scalar()

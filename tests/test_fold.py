@@ -173,3 +173,12 @@ def test_fold_first_state_equals_generic_fold(spark):
     f1 = sorted(map(tuple, fold.follow_ups_from_partial(s.folded, "follow_up_status").collect()))
     f2 = sorted(map(tuple, fold.follow_ups_state(s.log).collect()))
     assert f1 == f2
+
+
+def test_fixture_contacts_equal_generic(spark):
+    from mailfold.plans.context import Store
+    from mailfold.sources import fixture
+    s = Store(spark, "/root/testdata/sf0.001")
+    a = sorted(map(tuple, fixture.contacts_state(spark, "/root/testdata/sf0.001").collect()))
+    b = sorted(map(tuple, fold.contacts_state(s.log).collect()))
+    assert a == b

@@ -120,3 +120,12 @@ def test_text_search_native_equals_batch_path(spark):
     a = [tuple(r) for r in search.text_search(df, q, 4).collect()]
     b = [tuple(r) for r in search.text_search_native(df, q, 4).collect()]
     assert sorted(a) == sorted(b)
+
+
+def test_hash_embed_cells_equals_native(spark):
+    df = spark.createDataFrame(DOCS + [(6, ""), (7, None)], "id long, text string")
+    a = sorted((r["id"], r["idx"], r["cnt"], round(r["weight"], 12))
+               for r in search.hash_embed_cells(df, "id", "text").collect())
+    b = sorted((r["id"], r["idx"], r["cnt"], round(r["weight"], 12))
+               for r in hash_embed_sparse(df, "id", "text").collect())
+    assert a == b
