@@ -57,24 +57,6 @@ def cells(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def sparse_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per id with its sparse vector as parallel arrays (<= 384 entries)."""
-    per_id = cells(df, id_col, text_col).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "cnt"))).alias("cells"))
-    norm = F.sqrt(F.aggregate("cells", F.lit(0.0),
-                              lambda acc, c: acc + c["cnt"].cast("double") * c["cnt"]))
-    return per_id.select(
-        "id",
-        F.transform("cells", lambda c: c["idx"]).alias("idx"),
-        F.transform("cells", lambda c: c["cnt"] / norm).alias("weight"))
-
-
-def dense_from_sparse(idx: Column, weight: Column, dim: int = EMBED_DIM) -> Column:
-    m = F.map_from_arrays(idx, weight)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)).cast("float"))
-
-
 def dot(a: Column, b: Column) -> Column:
     prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(prods, F.lit(0.0), lambda acc, x: acc + x)

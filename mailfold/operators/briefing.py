@@ -12,9 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import nonempty
-
-LONG_MIN = -(1 << 63)
 
 # fixed values: briefing wording
 PROMPT_TITLE = "Today is {today}. Generate a concise morning email briefing.\n"
@@ -191,7 +188,3 @@ def write_briefings(lines: DataFrame, out_dir: str, partitions: int | None = Non
 
 def mailboxes_of(emails: DataFrame) -> DataFrame:
     return emails.select("mailbox_id").distinct()
-
-
-def nonempty_subject(c: str = "subject") -> Column:
-    return nonempty(c)
