@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import parallelism
+
 
 # fixed values: briefing wording
 PROMPT_TITLE = "Today is {today}. Generate a concise morning email briefing.\n"
@@ -180,7 +182,7 @@ def write_briefings(lines: DataFrame, out_dir: str, partitions: int | None = Non
     a mailbox directory concatenate in name order.
     """
     keys = ["mailbox_id", "section", "part", "k1", "k2"]
-    n = partitions or lines.sparkSession.sparkContext.defaultParallelism
+    n = partitions or parallelism(lines.sparkSession)
     (lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
      .select("mailbox_id", "line")
      .write.mode("overwrite").partitionBy("mailbox_id").text(out_dir))

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..schema import ANALYSIS_COLUMNS, RAW_COLUMNS
+from ..sources.tables import parallelism
 
 
 FIRST_META = ["seq", "mailbox_id", "thread_id", "sender", "subject", "date", "processed_at"]
@@ -169,7 +170,7 @@ def dense_ordinals(df: DataFrame, order_col: str, out: str = "ordinal",
     (one row per partition, so the broadcast is bounded by the partition count).
     ``order_col`` must be unique for the numbering to be deterministic.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or parallelism(df.sparkSession)
     pid = F.spark_partition_id().cast("long")
     ordered = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
                .withColumn("_pid", pid)

@@ -51,5 +51,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="mailfold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
+        try:
+            spark.sparkContext.setCheckpointDir(base)
+        except Exception:  # noqa: BLE001  no SparkContext (Spark Connect)
+            pass
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")

@@ -17,6 +17,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Cores the cluster offers (falls back to the shuffle width when the
+    session exposes no SparkContext, as under Spark Connect)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than the cluster has cores.
 
@@ -29,7 +38,11 @@ def spread(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
     With ``key`` the rows are hash-partitioned on it, so later aggregates and
     windows keyed by (a superset of) ``key`` need no further exchange.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    target = parallelism(df.sparkSession) * factor
+    try:
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  no RDD view (Spark Connect): leave the scan as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
