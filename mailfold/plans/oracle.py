@@ -386,6 +386,7 @@ ORDER BY processed_at DESC, id"""
 register("needs_reply", NEEDS_REPLY.format(h=24))
 register("needs_reply_240h", NEEDS_REPLY.format(h=240))
 alias("order_newest", "needs_reply_240h")
+alias("needs_reply_snapshot", "needs_reply")
 register("stored_ids_since", f"""
 SELECT DISTINCT id FROM emails WHERE processed_at >= {NOW} - INTERVAL 7 DAY""")
 alias("distinct_ids", "stored_ids_since")

@@ -196,6 +196,17 @@ def _f1b(s: Store):
     return reads.needs_reply(s.emails, s.as_of, 240)
 
 
+@query("needs_reply_snapshot")
+def _f1s(s: Store):
+    """F1 over a day-partitioned state snapshot (partition pruning on the look-back)."""
+    import os
+    from ..operators import snapshot
+    from ..streaming.ingest import scratch
+    out = os.path.join(scratch(s.spark, "snapshot"), "emails")
+    snapshot.write_emails_snapshot(s.emails, out)
+    return snapshot.needs_reply_from_snapshot(s.spark, out, s.as_of, 24)
+
+
 @query("stored_ids_since", "distinct_ids")
 def _f2(s: Store):
     return reads.stored_ids_since(s.emails, s.as_of, BACKFILL_DAYS)

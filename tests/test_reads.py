@@ -48,3 +48,17 @@ def test_status_counts_on_empty_store(spark):
                              F.lit(dt.datetime(2026, 1, 1)).cast("timestamp_ntz")).first()
     assert st.asDict() == {"total_emails": 0, "vector_count": 0, "needing_reply": 0,
                            "pending_followups": 0, "open_deadlines": 0}
+
+
+def test_snapshot_prunes_partitions(spark, tmp_path):
+    from mailfold.operators import snapshot
+    from mailfold.plans.context import Store
+    s = Store(spark, "/root/testdata/sf0.001")
+    out = str(tmp_path / "emails")
+    snapshot.write_emails_snapshot(s.emails, out)
+    as_of = F.lit(s.table("events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    fast = snapshot.needs_reply_from_snapshot(spark, out, as_of, 240)
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(processed_day" in plan
+    want = reads.needs_reply(s.emails, as_of, 240)
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, want.collect()))
