@@ -37,10 +37,11 @@ def label_events(log: DataFrame) -> DataFrame:
 
 def current_labels(events: DataFrame) -> DataFrame:
     """The last action per (email, label) decides; keep labels whose last action adds."""
+    # fixed-width buffers (a flag and the mailbox), so Spark hash-aggregates
     last = events.groupBy("email_id", "label").agg(
-        F.max_by(F.struct("action", "mailbox_id"), "seq").alias("a"))
-    return (last.where(F.col("a.action") == "add")
-            .select("email_id", F.col("a.mailbox_id").alias("mailbox_id"), "label"))
+        F.max_by(F.col("action") == "add", "seq").alias("is_add"),
+        F.max_by("mailbox_id", "seq").alias("mailbox_id"))
+    return last.where(F.col("is_add")).select("email_id", "mailbox_id", "label")
 
 
 def taxonomy_per_mailbox(mailboxes: DataFrame) -> DataFrame:

@@ -101,3 +101,11 @@ def test_html_native_drops_script_and_style(spark):
     assert out[1] == "Hello world"
     assert out[2] == "Styled & encoded"
     assert out[3] == HTML[3]
+
+
+def test_briefing_time(spark):
+    from mailfold.functions.text import briefing_time
+    vals = ["08:30", " 7:05 ", "25:99", "7", "07:00:00", "ab:cd", None, "9 : 15"]
+    df = spark.createDataFrame([(v,) for v in vals], "t string")
+    got = [(r["b"]["hour"], r["b"]["minute"]) for r in df.select(briefing_time("t").alias("b")).collect()]
+    assert got == [(8, 30), (7, 5), (25, 99), (7, 0), (7, 0), (7, 0), (7, 0), (9, 15)]
