@@ -369,3 +369,27 @@ def lsh_search(vectors: DataFrame, query_vec, n: int = 10, id_col: str = "vec_id
     found = approx.join(exact.select(id_col), id_col, "left_semi").agg(
         (F.count(F.lit(1)) / F.lit(float(n))).alias("recall"))
     return approx.withColumn("recall", found.select("recall").scalar())
+
+
+THREAD_BLOCK = 64   # turns per context block
+
+
+def thread_context(turns: DataFrame, conv_col: str = "conv_id", order_col: str = "turn",
+                   block: int = THREAD_BLOCK) -> DataFrame:
+    """A7 over conversation threads: ``role: text`` of every turn, joined in turn
+    order with the context separator, in blocks of at most ``block`` turns.
+
+    A thread of any length is split into consecutive blocks, each aggregated
+    on its own, so no task or value holds more than ``block`` turns; the
+    blocks of a thread concatenate (in ``block`` order, with the separator) to
+    the whole thread context.
+    """
+    from ..functions.agg import ordered_listagg
+    rows = turns.select(
+        F.col(conv_col).alias("conv_id"), F.col(order_col).alias("turn"),
+        F.floor(F.col(order_col) / block).cast("bigint").alias("block"),
+        F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
+    return rows.groupBy("conv_id", "block").agg(
+        F.count(F.lit(1)).alias("n_turns"),
+        F.min("turn").alias("first_turn"),
+        ordered_listagg("line", "\n\n---\n\n", "turn").alias("context"))

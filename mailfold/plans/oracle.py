@@ -648,3 +648,8 @@ register("stream_state", "SELECT * FROM emails")
 alias("topic_status_context", "topic_context")
 alias("email", "email_by_id")
 alias("contact", "contact_by_address")
+register("thread_context", f"""
+SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS block, count(*) AS n_turns,
+       min(turn) AS first_turn,
+       string_agg(role || ': ' || text, {NL} || {NL} || '---' || {NL} || {NL} ORDER BY turn) AS context
+FROM conversations GROUP BY conv_id, CAST(floor(turn / 64) AS BIGINT)""")

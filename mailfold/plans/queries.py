@@ -363,6 +363,12 @@ def _a7(s: Store):
                                    ordered_listagg("block", "\n\n---\n\n", "rank").alias("context"))
 
 
+@query("thread_context")
+def _a7t(s: Store):
+    """A7 on conversation threads (FIXTURES: conversations ordered by turn)."""
+    return search.thread_context(s.table("conversations"))
+
+
 # --------------------------------------------------------------------------
 # 2.7 window-style
 # --------------------------------------------------------------------------
