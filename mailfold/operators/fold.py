@@ -168,13 +168,19 @@ def dense_ordinals(df: DataFrame, order_col: str, out: str = "ordinal",
     position inside its partition comes from ``monotonically_increasing_id``
     and the partition's offset from a prefix sum over the per-partition counts
     (one row per partition, so the broadcast is bounded by the partition count).
+    The partitioned rows are checkpointed once (reliably, under the cluster's
+    checkpoint folder) so the counts and the numbering read the same
+    partitions: a second evaluation would sample different range bounds.
     ``order_col`` must be unique for the numbering to be deterministic.
     """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or parallelism(df.sparkSession)
     pid = F.spark_partition_id().cast("long")
     ordered = (df.repartitionByRange(n, order_col).sortWithinPartitions(order_col)
                .withColumn("_pid", pid)
-               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
+               .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid, 33))
+               .checkpoint(eager=True))
     counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -40,6 +40,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a scratch one only when none is configured."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="mailfold-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    try:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(base)
+    except Exception:  # noqa: BLE001  no SparkContext (Spark Connect)
+        pass
+    return base
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh directory under the cluster's checkpoint folder.
 
@@ -47,12 +61,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     executor loss.  Only when it is unset (tests, local runs) do we pick a
     scratch folder of our own and record it in the session.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="mailfold-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        try:
-            spark.sparkContext.setCheckpointDir(base)
-        except Exception:  # noqa: BLE001  no SparkContext (Spark Connect)
-            pass
+    base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")

@@ -35,9 +35,9 @@ def write_log_source(log: DataFrame, out_dir: str, chunk_days: int = CHUNK_DAYS)
     """Fixture: write the log as files in arrival order, ``chunk_days`` days per chunk.
 
     The log is computed once into a staging table partitioned by chunk; the
-    chunks are then copied one after another (each a pruned read of one
-    partition), so file times follow arrival order, which is the order a file
-    stream consumes them in.  Returns the number of chunks.
+    chunks are then copied one after another as one file each (a pruned read
+    of one partition), so file times follow arrival order, which is the order
+    a file stream consumes them in.  Returns the number of chunks.
     """
     day = F.to_date("processed_at")
     bounds = log.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
@@ -46,13 +46,14 @@ def write_log_source(log: DataFrame, out_dir: str, chunk_days: int = CHUNK_DAYS)
     chunks = ((bounds["hi"] - bounds["lo"]).days + chunk_days) // chunk_days
     staging = out_dir.rstrip("/") + "_staging"
     chunk = F.floor(F.datediff(day, F.lit(bounds["lo"])) / chunk_days).cast("int")
-    # range-partitioned on (chunk, seq): each chunk lands in a few contiguous
-    # files, as many as its size needs, instead of one small file per task
-    (log.withColumn("_chunk", chunk).repartitionByRange("_chunk", "seq")
-     .write.mode("overwrite").partitionBy("_chunk").parquet(staging))
+    log.withColumn("_chunk", chunk).write.mode("overwrite").partitionBy("_chunk").parquet(staging)
     staged = log.sparkSession.read.parquet(staging)
     for c in range(chunks):
-        (staged.where(F.col("_chunk") == c).drop("_chunk")
+        # One file per chunk, written after the previous one: files written by
+        # parallel tasks get their times in completion order, and the stream
+        # consumes by file time, so several files per chunk could arrive out
+        # of order.  (A live feed writes its files in arrival order itself.)
+        (staged.where(F.col("_chunk") == c).drop("_chunk").coalesce(1)
          .write.mode("append").parquet(out_dir))
     return chunks
 
