@@ -70,9 +70,10 @@ def section_items_from_fold(folded: DataFrame, as_of: Column, hours: int = 24,
     """The three sections in one pass over the state fold (no joins).
 
     Each id yields up to three items - a reply to write, a pending follow-up,
-    an open deadline - through ``explode`` of an array of optional structs;
-    subject and sender come from the same row.  Same rows as ``section_items``
-    over the projected tables.
+    an open deadline - through ``explode_outer`` of an array of optional
+    structs (an id with none keeps one row with a NULL section); subject and
+    sender come from the same row.  Without the NULL rows, the same rows as
+    ``section_items`` over the projected tables.
     """
     f, last = F.col("first"), F.col("last")
     window = F.make_dt_interval(hours=F.lit(hours))
@@ -97,11 +98,30 @@ def section_items_from_fold(folded: DataFrame, as_of: Column, hours: int = 24,
     ))
     rows = folded.select(f["mailbox_id"].alias("mailbox_id"), F.col("id").alias("email_id"),
                          f["subject"].alias("subject"), f["sender"].alias("sender"),
-                         F.explode(items).alias("it"))
+                         F.explode_outer(items).alias("it"))
     return rows.select("mailbox_id", "it.section", "it.k1", "it.k2", "email_id", "subject",
                        "sender", "it.summary", "it.description", "it.created_day")
 
 
+def briefing_inputs(folded: DataFrame, as_of: Column, hours: int = 24):
+    """(items, mailboxes, counts) of every briefing from ONE pass over the fold.
+
+    ``explode_outer`` keeps ids with no item (section NULL), so the mailbox
+    list comes from the same rows as the items.  Those rows are checkpointed
+    once, and titles, headings, counts and items are all read from that copy:
+    the log is folded once for the whole briefing.
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(folded.sparkSession)
+    # one row per item (or per id without one): small, written once under the
+    # shared checkpoint folder; Catalyst would otherwise prune each branch
+    # differently and fold the log once per branch
+    rows = section_items_from_fold(folded, as_of, hours).checkpoint(eager=True)
+    items = rows.where(F.col("section").isNotNull())
+    mailboxes = rows.select("mailbox_id").distinct()
+    return items, mailboxes, section_counts(items, mailboxes)
+
+
 def section_counts(items: DataFrame, mailboxes: DataFrame) -> DataFrame:
     """Size of every section of every mailbox, zeros included (no join to a
     generated grid: each mailbox row explodes its three section numbers)."""

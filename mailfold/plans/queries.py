@@ -28,7 +28,7 @@ def query(*names: str):
     return wrap
 
 
-def _flat_metadata(df: DataFrame, col: str = "metadata") -> list:
+def _flat_metadata(col: str = "metadata") -> list:
     return [F.col(f"{col}.{f}").alias(f) for f in search.METADATA_FIELDS]
 
 
@@ -150,7 +150,7 @@ def _j5(s: Store):
 
 @query("build_metadata")
 def _j6(s: Store):
-    return s.emails.select("id", search.metadata().alias("m")).select("id", *_flat_metadata(None, "m"))
+    return s.emails.select("id", search.metadata().alias("m")).select("id", *_flat_metadata("m"))
 
 
 @query("assign_labels")
@@ -337,14 +337,12 @@ def _a5(s: Store):
 
 
 def _briefing_parts(s: Store):
-    items = briefing.section_items_from_fold(s.folded, s.as_of, 24)
-    counts = briefing.section_counts(items, s.mailboxes)
-    return items, counts
+    return briefing.briefing_inputs(s.folded, s.as_of, 24)
 
 
 @query("briefing_sections")
 def _a6(s: Store):
-    return _briefing_parts(s)[1]
+    return _briefing_parts(s)[2]
 
 
 @query("topic_context", "topic_status_context")
@@ -464,19 +462,19 @@ def _v5(s: Store):
 
 @query("vector_upsert")
 def _v6(s: Store):
-    return s.vector_index.select("id", "document", *_flat_metadata(None))
+    return s.vector_index.select("id", "document", *_flat_metadata())
 
 
 @query("reindex")
 def _v7(s: Store):
-    return search.reindex(s.emails).select("id", "document", *_flat_metadata(None))
+    return search.reindex(s.emails).select("id", "document", *_flat_metadata())
 
 
 @query("search_tool", "search")
 def _v8(s: Store):
     hits = _topic_hits(s)
     return (hits.join(s.vector_index, "id")
-            .select(F.col("id").alias("email_id"), "distance", *_flat_metadata(None)))
+            .select(F.col("id").alias("email_id"), "distance", *_flat_metadata()))
 
 
 # --------------------------------------------------------------------------
@@ -519,9 +517,9 @@ def _d6(s: Store):
 
 @query("briefing_file")
 def _d7(s: Store):
-    items, counts = _briefing_parts(s)
-    lines = briefing.fallback_lines(items, counts, s.mailboxes, s.today)
-    return briefing.with_front_matter(lines, s.mailboxes, s.today, s.as_of)
+    items, mailboxes, counts = _briefing_parts(s)
+    lines = briefing.fallback_lines(items, counts, mailboxes, s.today)
+    return briefing.with_front_matter(lines, mailboxes, s.today, s.as_of)
 
 
 @query("analysis_failures")
@@ -535,14 +533,14 @@ def _d8(s: Store):
 
 @query("briefing_prompt")
 def _q10(s: Store):
-    items, counts = _briefing_parts(s)
-    return briefing.prompt_lines(items, counts, s.mailboxes, s.today)
+    items, mailboxes, counts = _briefing_parts(s)
+    return briefing.prompt_lines(items, counts, mailboxes, s.today)
 
 
 @query("briefing_text", "daily_briefing_job")
 def _q11(s: Store):
-    items, counts = _briefing_parts(s)
-    return briefing.fallback_lines(items, counts, s.mailboxes, s.today)
+    items, mailboxes, counts = _briefing_parts(s)
+    return briefing.fallback_lines(items, counts, mailboxes, s.today)
 
 
 @query("backfill_prepare")

@@ -108,7 +108,7 @@ def test_single_pass_equals_table_forms(spark):
     generic = briefing.section_items(reads.needs_reply(s.emails, s.as_of, 24),
                                      reads.follow_ups_by_status(s.follow_ups, "pending"),
                                      s.deadlines.where(F.col("status") == "open"), s.emails)
-    fast = briefing.section_items_from_fold(s.folded, s.as_of, 24)
+    fast = briefing.briefing_inputs(s.folded, s.as_of, 24)[0]
     assert sorted(map(tuple, generic.collect())) == sorted(map(tuple, fast.collect()))
     st = reads.status_counts(s.emails, s.vector_index, s.follow_ups, s.deadlines, s.as_of)
     assert st.first().asDict() == reads.status_from_fold(s.folded, s.as_of).first().asDict()
