@@ -38,19 +38,24 @@ class Store:
         return read_table(self.spark, self.sf_dir, name)
 
     # -- log and state ------------------------------------------------------
+    @cached_property
+    def consts(self):
+        """Row counts and the newest write time, one small job."""
+        return fixture.constants(self.spark, self.sf_dir)
+
     @cached_property
     def log(self):
         """Every write with its document content (the full log)."""
-        return fixture.event_log(self.spark, self.sf_dir)
+        return fixture.event_log(self.spark, self.sf_dir, self.consts)
 
     @cached_property
     def events(self):
         """Every write, narrow: only what ``events`` itself supplies (no join)."""
-        return fixture.event_columns(self.spark, self.sf_dir)
+        return fixture.event_columns(self.spark, self.sf_dir, self.consts)
 
     @cached_property
     def as_of(self):
-        return fixture.as_of(self.spark, self.sf_dir)
+        return fixture.as_of(self.spark, self.sf_dir, self.consts)
 
     @property
     def today(self):
@@ -60,7 +65,7 @@ class Store:
     def folded(self):
         """The one fold every state table is projected from: narrow writes folded
         by id first, then one document join per id (content never shuffled)."""
-        return fixture.folded_state(self.spark, self.sf_dir)
+        return fixture.folded_state(self.spark, self.sf_dir, self.consts)
 
     @cached_property
     def emails(self):
@@ -68,7 +73,7 @@ class Store:
 
     @cached_property
     def contacts(self):
-        return fixture.contacts_state(self.spark, self.sf_dir)
+        return fixture.contacts_state(self.spark, self.sf_dir, self.consts)
 
     @cached_property
     def follow_ups(self):

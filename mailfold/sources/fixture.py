@@ -39,15 +39,27 @@ def _k() -> Column:
 EVENT_TYPES = ["view", "signup", "error", "purchase", "click"]
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def constants(spark: SparkSession, sf_dir: str) -> dict:
+    """The log's three constants in one job: both row counts (answered from
+    Parquet metadata) and the newest write time."""
+    docs = read_table(spark, sf_dir, "documents").agg(
+        F.count(F.lit(1)).alias("n"), F.lit(None).cast("timestamp_ntz").alias("now"),
+        F.lit("documents").alias("t"))
+    events = read_table(spark, sf_dir, "events").agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("now"), F.lit("events").alias("t"))
+    rows = {r["t"]: r for r in docs.unionByName(events).collect()}      # two rows
+    return {"n_docs": rows["documents"]["n"], "n_events": rows["events"]["n"],
+            "now": rows["events"]["now"]}
+
+
+def _base(spark: SparkSession, sf_dir: str, consts: dict | None = None) -> DataFrame:
     """Per write, fixed-width only: (seq, id, ts, user_id, etype code, k)."""
+    consts = consts or constants(spark, sf_dir)
     events = read_table(spark, sf_dir, "events")
-    docs = read_table(spark, sf_dir, "documents")
-    # Two row counts (answered from Parquet metadata) taken once and inlined as
-    # literals: a scalar subquery here would be copied into every place
-    # Catalyst inlines the id expression.
-    n_docs = F.lit(docs.count()).cast("long")
-    n_events = F.lit(events.count()).cast("long")
+    # The row counts are inlined as literals: a scalar subquery here would be
+    # copied into every place Catalyst inlines the id expression.
+    n_docs = F.lit(consts["n_docs"]).cast("long")
+    n_events = F.lit(consts["n_events"]).cast("long")
     # block = floor(event_id * n_docs / n_events), halved for redeliveries,
     # as exact integer division in decimal(38,0): no overflow and no double
     # rounding however large the tables get.
@@ -100,10 +112,10 @@ EVENT_COLUMNS = ["seq", "id", "mailbox_id", "sender", "recipient", "date", "unre
                  "processed_at", "follow_up_status", "deadline_status", "k"]
 
 
-def event_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_columns(spark: SparkSession, sf_dir: str, consts: dict | None = None) -> DataFrame:
     """One row per write with every column that comes from ``events`` alone."""
     fields = _fields(*[F.col(c) for c in ("seq", "id", "ts", "user_id", "etype", "k")])
-    return _base(spark, sf_dir).select(*[fields[c].alias(c) for c in EVENT_COLUMNS])
+    return _base(spark, sf_dir, consts).select(*[fields[c].alias(c) for c in EVENT_COLUMNS])
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,9 +144,9 @@ LOG_COLUMNS = ["seq", "id", "mailbox_id", "thread_id", "sender", "recipient", "s
                "deadline_status", "k"]
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, consts: dict | None = None) -> DataFrame:
     """The full log: one row per write with its document content."""
-    ev = event_columns(spark, sf_dir)
+    ev = event_columns(spark, sf_dir, consts)
     d = _documents(spark, sf_dir)
     joined = ev.join(d, ev["id"] == d["doc_id"], "inner")
     content = _content(F.col("k"), F.col("k"))
@@ -142,7 +154,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                            for c in LOG_COLUMNS])
 
 
-def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def folded_state(spark: SparkSession, sf_dir: str, consts: dict | None = None) -> DataFrame:
     """The per-id fold (``operators.fold.first_last`` shape) built fold-first.
 
     The writes are folded by id on fixed-width values only - ``min``/``max`` of
@@ -154,7 +166,7 @@ def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``last_raw`` holds what the latest write itself carried (the vector index
     is upserted with the latest write's raw fields).
     """
-    base = _base(spark, sf_dir)
+    base = _base(spark, sf_dir, consts)
     agg = base.groupBy("id").agg(
         F.min("seq").alias("f_seq"), F.min_by("ts", "seq").alias("f_ts"),
         F.min_by("user_id", "seq").alias("f_user"), F.min_by("k", "seq").alias("f_k"),
@@ -195,7 +207,7 @@ def folded_state(spark: SparkSession, sf_dir: str) -> DataFrame:
                     last.alias("last"), last_raw.alias("last_raw"), "n_writes")
 
 
-def contacts_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contacts_state(spark: SparkSession, sf_dir: str, consts: dict | None = None) -> DataFrame:
     """D2 on fixed-width values: writes per sender and the last write's date.
 
     The sender string is a function of the user id, so the fold groups by
@@ -203,7 +215,7 @@ def contacts_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggregation, map-side combine for a sender holding a third of the log);
     address and date are derived after.  Same rows as ``fold.contacts_state``.
     """
-    agg = _base(spark, sf_dir).groupBy("user_id").agg(
+    agg = _base(spark, sf_dir, consts).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_emails"),
         F.max_by("ts", "seq").alias("l_ts"), F.max_by("k", "seq").alias("l_k"))
     f = _fields(F.lit(None), F.lit(None), F.col("l_ts"), F.col("user_id"), F.lit(None),
@@ -212,14 +224,13 @@ def contacts_state(spark: SparkSession, sf_dir: str) -> DataFrame:
                       f["date"].alias("last_contact"))
 
 
-def as_of(spark: SparkSession, sf_dir: str) -> Column:
+def as_of(spark: SparkSession, sf_dir: str, consts: dict | None = None) -> Column:
     """'now' for the look-back queries: the newest processing time in the log.
 
-    Taken once (one aggregate job) and inlined as a zone-less literal, so
-    look-back predicates constant-fold and reach Parquet filters and
-    partition pruning.
+    Taken once and inlined as a zone-less literal, so look-back predicates
+    constant-fold and reach Parquet filters and partition pruning.
     """
-    now = read_table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    now = (consts or constants(spark, sf_dir))["now"]
     if now is None:
         return F.lit(None).cast("timestamp_ntz")
     return F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
