@@ -49,3 +49,15 @@ def test_oracle_small(spark, name):
     a = sorted((tuple(_norm(r[i]) for i in si) for r in df.collect()), key=repr)
     b = sorted((tuple(_norm(r[i]) for i in di) for r in rel.fetchall()), key=repr)
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["needs_reply_240h", "briefing_text", "scan_since_days"])
+def test_session_time_zone_does_not_matter(spark, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        la = sorted(map(tuple, entry.queries()[name](spark, SF).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    utc = sorted(map(tuple, entry.queries()[name](spark, SF).collect()), key=repr)
+    assert la == utc
