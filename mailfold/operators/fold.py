@@ -9,9 +9,14 @@ those upserts is order-dependent but associative, so each table is a single
 * follow_ups - the first write of an id, when it asked for a reply;
 * deadlines  - the first write of an id, when it named a non-empty deadline.
 
-``min_by``/``max_by`` over a struct are partial aggregates, so a hot id or a
-sender holding a large share of the log is combined map-side before the
-shuffle; no window over the whole log is needed.
+``min_by``/``max_by`` are partial aggregates, so a hot id or a sender holding
+a large share of the log is combined map-side before the shuffle; no window
+over the whole log is needed.  All tables are projections of one ``first_last``
+fold; partial folds of log slices merge with the same aggregate
+(``merge_partials``), which is how streaming keeps state incrementally.  The
+functions here take any log; ``sources.fixture`` builds the same fold from
+fixed-width values (hash aggregation) for the driver's tables, and a test
+checks the two agree.
 """
 
 from __future__ import annotations

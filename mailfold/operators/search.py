@@ -1,16 +1,19 @@
 """Vector index and nearest-neighbour search.
 
-* index     - J5 document text + J6 metadata per mail, latest write wins (V6)
-* embedding - hashed bag of words (V1, native) or any model in an iterator
-              pandas UDF (V2), loaded once per task
-* one query - exact cosine scan; the query vector enters as a scalar subquery
-              (sparse: a broadcast of at most 384 cells), ranked by
-              ``orderBy(distance, id).limit(n)`` -> TakeOrderedAndProject
-* many      - Arrow blocks of the corpus times a broadcast query matrix in
-              ``mapInPandas``, keeping a local top-n per query; the final top-n
-              is a window limit per query.  The query matrix is broadcast only
-              below a byte budget; above it the queries are processed in
-              hash-split chunks, each with its own bounded broadcast.
+* index     - J5 document text + J6 metadata per mail, latest write wins (V6);
+              from the state fold (``vector_index_from_fold``) or any log
+* embedding - hashed bag of words: tokens hashed in-row with native md5, counted
+              per Arrow batch with ``numpy.bincount`` (V1, no shuffle), or the
+              native two-aggregate form; any model via an iterator pandas UDF (V2)
+* search    - corpus rows in Arrow batches times the query matrix in
+              ``mapInPandas``, a running top-n per query and task, then a window
+              limit per query (V3 is the one-query case, V5 the many-query one).
+              Query vectors are built on the executors and fetched once under a
+              byte budget; beyond it, the queries are processed in hash-split
+              chunks.  No query x document pair is materialised.
+* dense     - stored float vectors, cosine in native higher-order functions
+              against a literal query vector, metadata filter first (V3/V4)
+* LSH       - random-hyperplane band keys, candidates re-ranked exactly (V9)
 
 Distances are ranked on their value rounded to 9 places, then id, so that
 floating-point noise between engines cannot reorder equal vectors.

@@ -11,8 +11,9 @@ W2 dedup    - each mail id is processed once, across batches and restarts.
 W3 seed     - ids present before the stream starts are seeded as seen.
 W4 failures - a processor error is routed to a dead-letter table; the mail is
               still marked seen.
-W5 state    - every batch appends to the log table; the state tables are folds
-              of it (``operators.fold``), refreshed after the batch.
+W5 state    - every batch writes the partial fold of the ids it touched; the
+              state is the merge of the partials, and ``compact`` rewrites them
+              as one base (``operators.fold.merge_partials``).
 
 Every batch writes under ``batch=<id>`` with overwrite, so a batch replayed
 after a failure replaces its own output: the sink is idempotent and the
