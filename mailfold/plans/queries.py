@@ -373,17 +373,28 @@ def _a7t(s: Store):
 
 @query("latest_analysis")
 def _n1(s: Store):
-    return fold.latest_analysis(s.log)
+    """N1 from the shared fold (``fold.latest_analysis`` is the same over any log)."""
+    return s.folded.select("id", *[F.col(f"last.{c}").alias(c) for c in
+                                   ("email_type", "domain", "summary", "requires_reply",
+                                    "deadline", "entities")])
 
 
 @query("first_raw")
 def _n2(s: Store):
-    return fold.first_raw(s.log)
+    """N2 from the shared fold (``fold.first_raw`` is the same over any log)."""
+    e = s.emails
+    return e.select("id", "mailbox_id", "thread_id", "sender", "subject", "snippet", "body",
+                    "date", "processed_at")
 
 
 @query("first_seen_rows")
 def _n3(s: Store):
-    return fold.first_writes(s.log, ["requires_reply", "deadline", "processed_at"])
+    """N3 from the shared fold (``fold.first_writes`` is the same over any log)."""
+    f = F.col("first")
+    return s.folded.select("id", f["seq"].alias("seq"),
+                           f["requires_reply"].alias("requires_reply"),
+                           f["deadline"].alias("deadline"),
+                           f["processed_at"].alias("processed_at"))
 
 
 @query("surrogate_ids")
