@@ -151,13 +151,15 @@ def parsed_results(lines: DataFrame) -> DataFrame:
 def apply_results(lines: DataFrame, pending: DataFrame) -> DataFrame:
     """K3: each result joined to the mail it answers; outcome and failure reason.
 
-    A result fails when it did not succeed, names an unknown mail, carries no
-    analysis tool call, or the analysis does not validate.
+    A result fails when its line is not a result record, it did not succeed,
+    it names an unknown mail, it carries no analysis tool call, or the
+    analysis does not validate.
     """
     p = pending.select(F.col("id").cast("string").alias("_pid"))
     r = parsed_results(lines)
     j = r.join(p, r["custom_id"] == p["_pid"], "left")
-    reason = (F.when(F.col("result_type") != "succeeded", F.lit("not_succeeded"))
+    reason = (F.when(F.col("result_type").isNull(), F.lit("malformed_result"))
+              .when(F.col("result_type") != "succeeded", F.lit("not_succeeded"))
               .when(F.col("_pid").isNull(), F.lit("unknown_id"))
               .when(F.col("block").isNull(), F.lit("no_tool_call"))
               .when(~F.col("analysis.valid"), F.lit("invalid_analysis")))
@@ -173,7 +175,8 @@ def batch_outcomes(applied: DataFrame) -> DataFrame:
     return applied.agg(
         F.count_if(F.col("result_type") == "succeeded").alias("succeeded"),
         F.count_if(F.col("result_type") == "errored").alias("errored"),
-        F.count_if(~F.col("result_type").isin("succeeded", "errored")).alias("other"),
+        F.count_if(F.col("result_type").isNull()
+                   | ~F.col("result_type").isin("succeeded", "errored")).alias("other"),
         F.count_if(F.col("outcome") == "processed").alias("processed"),
         F.count_if(F.col("outcome") == "failed").alias("failed"),
     )

@@ -462,7 +462,8 @@ alias("status", "status_counts")
 register("batch_outcomes", """
 SELECT count(*) FILTER (WHERE result_type = 'succeeded') AS succeeded,
        count(*) FILTER (WHERE result_type = 'errored') AS errored,
-       count(*) FILTER (WHERE result_type NOT IN ('succeeded', 'errored')) AS other,
+       count(*) FILTER (WHERE result_type IS NULL
+                        OR result_type NOT IN ('succeeded', 'errored')) AS other,
        count(*) FILTER (WHERE reason IS NULL) AS processed,
        count(*) FILTER (WHERE reason IS NOT NULL) AS failed
 FROM applied""")

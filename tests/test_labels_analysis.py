@@ -51,6 +51,7 @@ def test_apply_results(spark):
         _line("3", "succeeded", [{"type": "tool_use", "name": "other", "input": {}}]),
         _line("4", "errored", []),
         _line("9", "succeeded", [dict(tool, input={"email_type": "human"})]),
+        '{"custom_id": "5", "result": ',            # truncated line: not JSON
     ]
     results = spark.createDataFrame([(x,) for x in lines], "value string")
     pending = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "id long")
@@ -62,9 +63,10 @@ def test_apply_results(spark):
     assert out["3"]["reason"] == "no_tool_call"
     assert out["4"]["reason"] == "not_succeeded"
     assert out["9"]["reason"] == "unknown_id"
+    assert out[None]["reason"] == "malformed_result"
     counts = analysis.batch_outcomes(analysis.apply_results(results, pending)).first()
-    assert (counts["succeeded"], counts["errored"], counts["processed"], counts["failed"]) == \
-           (4, 1, 1, 4)
+    assert (counts["succeeded"], counts["errored"], counts["other"], counts["processed"],
+            counts["failed"]) == (4, 1, 1, 1, 5)
 
 
 def test_parse_defaults(spark):
