@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import fold
 from ..session import shared_dir
+from ..sources.tables import parallelism
 
 CHUNK_DAYS = 5
 
@@ -106,6 +107,9 @@ def first_sight(batch: DataFrame, seen_dir: str, spark: SparkSession) -> DataFra
     The seen table is probed with the batch's ids broadcast (a bounded side);
     only the ids found are brought back, so the seen table is never shuffled.
     """
+    # micro-batches run without adaptive execution, so size the exchange to the
+    # cluster here; the fold by id then reuses this partitioning
+    batch = batch.repartition(parallelism(spark), "id")
     firsts = fold.first_writes(batch, [c for c in batch.columns if c not in ("id", "seq")])
     ids = firsts.select("id")
     seen = spark.read.parquet(seen_dir).select("id")
@@ -167,7 +171,8 @@ def run_state(spark: SparkSession, src_dir: str, schema, state_dir: str, checkpo
     stream = log_stream(spark, src_dir, schema, max_files)
 
     def handle(batch: DataFrame, batch_id: int):
-        fold.first_last(batch).write.mode("overwrite").parquet(
+        keyed = batch.repartition(parallelism(spark), "id")   # no AQE in micro-batches
+        fold.first_last(keyed).write.mode("overwrite").parquet(
             os.path.join(state_dir, f"batch={batch_id}"))
 
     _drain(stream.writeStream.foreachBatch(handle), checkpoint)
