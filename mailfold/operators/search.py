@@ -22,7 +22,6 @@ floating-point noise between engines cannot reorder equal vectors.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,6 +248,23 @@ def query_vectors(query_tokens: DataFrame, dim: int = EMBED_DIM) -> DataFrame:
     return query_tokens.select("id", "idx").mapInPandas(to_vec, "id long, vec array<double>")
 
 
+def _bounded_chunks(vecs: DataFrame, max_rows: int, salt: int = 0, depth: int = 40) -> list:
+    """Fetch query vectors in chunks of at most ``max_rows`` rows (a hard bound).
+
+    Each fetch is guarded by ``limit(max_rows + 1)``: a chunk that fits comes
+    back in that one job; one that does not is split in two by a salted hash
+    of the id and each half is fetched the same way.
+    """
+    got = vecs.limit(max_rows + 1).toPandas()
+    if len(got) <= max_rows or depth == 0:
+        return [got]
+    parts = []
+    for half in (0, 1):
+        sub = vecs.where(F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(2)) == half)
+        parts.extend(_bounded_chunks(sub, max_rows, salt + 1, depth - 1))
+    return parts
+
+
 def batch_search(corpus_tokens: DataFrame, query_tokens: DataFrame, n: int = 10,
                  dim: int = EMBED_DIM, budget: int = BROADCAST_BUDGET) -> DataFrame:
     """V5: top-n corpus ids for every query.
@@ -261,14 +277,7 @@ def batch_search(corpus_tokens: DataFrame, query_tokens: DataFrame, n: int = 10,
     document pair is materialised beyond the local top-n.
     """
     max_rows = max(1, budget // (dim * 8))
-    vecs = query_vectors(query_tokens, dim)
-    first = vecs.limit(max_rows + 1).toPandas()          # size check and fetch in one job
-    if len(first) <= max_rows:
-        chunks = [first]
-    else:
-        n_chunks = math.ceil(vecs.count() / max_rows) + 1
-        chunks = [vecs.where(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == c).toPandas()
-                  for c in range(n_chunks)]
+    chunks = _bounded_chunks(query_vectors(query_tokens, dim), max_rows)
     schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()),
                            T.StructField("distance", T.DoubleType())])
     parts = []

@@ -129,3 +129,10 @@ def test_hash_embed_cells_equals_native(spark):
     b = sorted((r["id"], r["idx"], r["cnt"], round(r["weight"], 12))
                for r in hash_embed_sparse(df, "id", "text").collect())
     assert a == b
+
+
+def test_query_chunks_respect_the_bound(spark):
+    df = spark.range(0, 37).select(F.col("id"), F.array(F.lit(1.0)).alias("vec"))
+    chunks = search._bounded_chunks(df, 5)
+    assert all(len(c) <= 5 for c in chunks)
+    assert sorted(i for c in chunks for i in c["id"].tolist()) == list(range(37))
