@@ -101,20 +101,29 @@ def run_ingest(spark: SparkSession, src_dir: str, schema, sink_dir: str, checkpo
     return spark.read.parquet(sink_dir).drop("batch")
 
 
-def first_sight(batch: DataFrame, seen_dir: str, spark: SparkSession) -> DataFrame:
+BROADCAST_IDS = 4_000_000     # ids of one micro-batch shipped to every task (~32 MB)
+
+
+def first_sight(batch: DataFrame, seen_dir: str, spark: SparkSession,
+                max_broadcast_ids: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
     """Rows of ids not seen before, one per id (the earliest in the batch).
 
-    The seen table is probed with the batch's ids broadcast (a bounded side);
-    only the ids found are brought back, so the seen table is never shuffled.
+    The batch's fold is cached (one micro-batch, bounded by the trigger) and
+    its ids counted; up to ``max_broadcast_ids`` they are broadcast to probe
+    the seen table, so the growing table is scanned but never shuffled.  A
+    larger batch leaves the join strategy to the planner.  Returns the new
+    rows and the cached fold, which the caller unpersists after its writes.
     """
     # micro-batches run without adaptive execution, so size the exchange to the
     # cluster here; the fold by id then reuses this partitioning
     batch = batch.repartition(parallelism(spark), "id")
     firsts = fold.first_writes(batch, [c for c in batch.columns if c not in ("id", "seq")])
+    firsts = firsts.cache()
     ids = firsts.select("id")
+    probe = F.broadcast(ids) if ids.count() <= max_broadcast_ids else ids
     seen = spark.read.parquet(seen_dir).select("id")
-    already = seen.join(F.broadcast(ids), "id", "left_semi")
-    return firsts.join(already, "id", "left_anti")
+    already = seen.join(probe, "id", "left_semi")
+    return firsts.join(already, "id", "left_anti"), firsts
 
 
 def _batch_handler(spark: SparkSession, out_dir: str, process=None):
@@ -126,13 +135,15 @@ def _batch_handler(spark: SparkSession, out_dir: str, process=None):
     dead_dir = os.path.join(out_dir, "failures")
 
     def handle(batch: DataFrame, batch_id: int):
-        new = first_sight(batch, seen_dir, spark).cache()   # one micro-batch, bounded
+        new, folded = first_sight(batch, seen_dir, spark)
+        new = new.cache()                                  # one micro-batch, bounded
         ok, bad = process(new) if process else (new, new.where(F.lit(False)).select("id"))
         tag = f"batch={batch_id}"
         ok.write.mode("overwrite").parquet(os.path.join(done_dir, tag))
         bad.write.mode("overwrite").parquet(os.path.join(dead_dir, tag))
         new.select("id").write.mode("overwrite").parquet(os.path.join(seen_dir, tag))
         new.unpersist()
+        folded.unpersist()
     return handle
 
 
