@@ -234,14 +234,19 @@ def prepare_backfill(new_mail: DataFrame, requests_path: str,
 
 
 def apply_backfill(spark, results_path: str, pending: DataFrame, batch_no: int,
-                   log_path: str, failures_path: str) -> DataFrame:
+                   log_path: str, failures_path: str,
+                   processed_at: Column | None = None) -> DataFrame:
     """Q12 apply: join the result file to the pending mail, append every processed
     analysis to the log as a new write and the failures to a dead-letter table.
 
     A write's ``seq`` is ``(batch_no << 40) + position`` so it orders after
     every earlier batch; the batch's output directories are overwritten as a
-    whole, so re-running a batch is idempotent.  Returns the outcome counts (A5).
+    whole, so re-running a batch is idempotent.  ``processed_at`` stamps the
+    writes (default: now; pass the batch's time to make a re-run reproduce it).
+    Returns the outcome counts (A5).
     """
+    stamp = (processed_at if processed_at is not None
+             else F.current_timestamp().cast("timestamp_ntz"))
     lines = spark.read.text(results_path)
     applied = apply_results(lines, pending).cache()
     done = applied.where(F.col("outcome") == "processed")
@@ -251,7 +256,7 @@ def apply_backfill(spark, results_path: str, pending: DataFrame, batch_no: int,
         (F.lit(batch_no).cast("long") * F.lit(1 << SEQ_BATCH_SHIFT)
          + F.monotonically_increasing_id()).alias("seq"),
         "id", "mailbox_id", "thread_id", "sender", "subject", "snippet", "body", "date",
-        F.current_timestamp().cast("timestamp_ntz").alias("processed_at"),
+        stamp.alias("processed_at"),
         "analysis.email_type", "analysis.domain", "analysis.summary",
         "analysis.requires_reply", "analysis.deadline",
         F.to_json("analysis.entities").alias("entities"))

@@ -105,9 +105,12 @@ def test_backfill_jobs_roundtrip(spark, tmp_path):
     parsed = analysis.read_result_file(spark, res)
     assert parsed.count() == s.table("labels").count()
     log, dead = str(tmp_path / "log"), str(tmp_path / "dead")
-    counts = analysis.apply_backfill(spark, res, pending, 1, log, dead).first()
+    stamp = F.lit("2024-02-01 07:00:00").cast("timestamp_ntz")
+    counts = analysis.apply_backfill(spark, res, pending, 1, log, dead, stamp).first()
     written = spark.read.parquet(log)
     assert written.count() == counts["processed"]
+    assert {r[0] for r in written.select("processed_at").distinct().collect()} == \
+           {__import__("datetime").datetime(2024, 2, 1, 7, 0)}
     assert spark.read.parquet(dead).count() == counts["failed"]
     # the appended writes fold like any other log
     state = fold.emails_state(written.drop("batch"))
