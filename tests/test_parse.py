@@ -109,3 +109,40 @@ def test_briefing_time(spark):
     df = spark.createDataFrame([(v,) for v in vals], "t string")
     got = [(r["b"]["hour"], r["b"]["minute"]) for r in df.select(briefing_time("t").alias("b")).collect()]
     assert got == [(8, 30), (7, 5), (25, 99), (7, 0), (7, 0), (7, 0), (7, 0), (9, 15)]
+
+
+# ---------------------------------------------------------------------------
+# property test: render -> parse round trip of text payloads
+# ---------------------------------------------------------------------------
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+_word = st.text(alphabet="abcdefghijklmnopqrstuvwxyz", min_size=1, max_size=6)
+_line = st.lists(_word, min_size=1, max_size=5).map(" ".join)
+_message = st.fixed_dictionaries({
+    "subject": _line,
+    "body": st.one_of(st.none(), st.lists(_line, min_size=1, max_size=4).map("\n".join),
+                      st.lists(_line, min_size=2, max_size=4).map("\n\n".join)),
+    "date": st.one_of(st.none(), st.just("2026-01-02")),
+    "recipient": st.one_of(st.none(), st.just("box@example.com")),
+    "k": st.integers(0, 7),
+})
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_message, min_size=1, max_size=6))
+def test_text_payload_round_trip(spark, msgs):
+    rows = [(i, 0, "t", "s@x", m["recipient"], m["subject"], (m["body"] or "")[:200], m["body"],
+             m["date"], m["k"]) for i, m in enumerate(msgs)]
+    df = spark.createDataFrame(rows, "id long, mailbox_id long, thread_id string, sender string, "
+                                     "recipient string, subject string, snippet string, "
+                                     "body string, date string, k int")
+    out = {int(r["id"]): r for r in parse.parse_text_messages(parse.render_text_payloads(df)).collect()}
+    assert len(out) == len(msgs)
+    for i, m in enumerate(msgs):
+        r = out[i]
+        assert r["subject"] == ("(no subject)" if m["k"] % 4 == 0 else m["subject"])
+        assert r["body"] == m["body"]
+        assert r["snippet"] == (m["body"] or "")[:200]
+        assert r["date"] == m["date"] and r["recipient"] == m["recipient"]
+        assert r["sender"] == "s@x"
