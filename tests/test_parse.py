@@ -146,3 +146,22 @@ def test_text_payload_round_trip(spark, msgs):
         assert r["snippet"] == (m["body"] or "")[:200]
         assert r["date"] == m["date"] and r["recipient"] == m["recipient"]
         assert r["sender"] == "s@x"
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(_message, min_size=1, max_size=6))
+def test_json_message_round_trip(spark, msgs):
+    rows = [(i, 0, "t", "s@x", m["recipient"], m["subject"], (m["body"] or "")[:200], m["body"],
+             m["date"], m["k"], bool(m["k"] % 2)) for i, m in enumerate(msgs)]
+    df = spark.createDataFrame(rows, "id long, mailbox_id long, thread_id string, sender string, "
+                                     "recipient string, subject string, snippet string, "
+                                     "body string, date string, k int, unread boolean")
+    out = {r["id"]: r for r in parse.parse_json_messages(parse.render_json_messages(df)).collect()}
+    assert len(out) == len(msgs)
+    for i, m in enumerate(msgs):
+        r = out[str(i)]                                   # message_id or id, as a string
+        assert r["subject"] == ("(no subject)" if m["k"] % 4 == 2 else m["subject"])
+        want_body = None if m["k"] % 4 in (1, 3) else (m["body"] or None)
+        assert r["body"] == want_body
+        assert r["labels"] == (["INBOX", "UNREAD"] if m["k"] % 2 else ["INBOX"])
+        assert r["date"] == m["date"] and r["recipient"] == m["recipient"]
