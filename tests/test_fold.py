@@ -5,6 +5,7 @@ import datetime as dt
 import sqlite3
 
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from conftest import make_log
 from mailfold.operators import fold
@@ -200,3 +201,18 @@ def test_window_style_forms_agree(spark):
         cols = generic.columns
         assert sorted(map(tuple, fast.select(*cols).collect())) == \
                sorted(map(tuple, generic.collect())), name
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(event, min_size=2, max_size=25), st.lists(st.integers(1, 24), max_size=3))
+def test_merge_of_partial_folds_equals_full_fold(spark, events, cuts):
+    for i, e in enumerate(events):
+        e["seq"] = i
+        e["processed_at"] = dt.datetime(2026, 1, 1) + dt.timedelta(seconds=i)
+    log = make_log(spark, events)
+    bounds = sorted({0, len(events), *[c for c in cuts if c < len(events)]})
+    parts = [fold.first_last(log.where((F.col("seq") >= lo) & (F.col("seq") < hi)))
+             for lo, hi in zip(bounds, bounds[1:])]
+    merged = fold.emails_from_partial(fold.merge_partials(*parts))
+    assert sorted(map(tuple, merged.collect())) == \
+           sorted(map(tuple, fold.emails_state(log).collect()))
