@@ -21,12 +21,24 @@ def _documents(run):
     return query
 
 
+@_documents
+def op2_simhash(docs, spark, sf_dir):
+    from . import simhash
+    return simhash.near_duplicates(docs, shingle=3, max_bits=2)
+
+
 @_documents
 def op5_bpe(docs, spark, sf_dir):
     from . import bpe
     return bpe.digests(docs, tokenizer_spec())
 
 
+@_documents
+def op6_line_dedup(docs, spark, sf_dir):
+    from . import line_dedup
+    return line_dedup.dedup_digests(docs, min_docs=10, min_length=1)
+
+
 @_documents
 def op8_token_files(docs, spark, sf_dir):
     from . import token_files
@@ -49,7 +61,9 @@ def op10_url_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op5_bpe": op5_bpe,
+    "op6_line_dedup": op6_line_dedup,
     "op8_token_files": op8_token_files,
     "op10_url_rules": op10_url_rules,
 }
@@ -76,6 +90,23 @@ FROM parts p LEFT JOIN fits f ON f.host = p.host AND f.path = p.path AND f.n = 1
 """
 
 
+LINE_SQL = f"""
+WITH lines AS (SELECT d.rid, d.doc_id, l.i, d.parts[l.i] AS line,
+                      translate(trim(d.parts[l.i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                {UPPER_LOWER}) AS key
+               FROM (SELECT row_number() OVER () AS rid, doc_id,
+                            string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d,
+                    LATERAL (SELECT unnest(generate_series(1, len(d.parts))) AS i) l),
+frequent AS (SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (key IN (SELECT key FROM frequent)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i)
+                       FILTER (key NOT IN (SELECT key FROM frequent)), '')) AS kept_sha256
+FROM lines GROUP BY rid, doc_id
+"""
+
+
 SQL = {
+    "op6_line_dedup": LINE_SQL,
     "op10_url_rules": _url_sql(),
 }
