@@ -21,6 +21,12 @@ def _documents(run):
     return query
 
 
+@_documents
+def op1_quality(docs, spark, sf_dir):
+    from . import quality
+    return quality.quality(docs)
+
+
 @_documents
 def op2_simhash(docs, spark, sf_dir):
     from . import simhash
@@ -61,6 +67,7 @@ def op10_url_rules(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
@@ -106,7 +113,43 @@ FROM lines GROUP BY rid, doc_id
 """
 
 
+WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+RE_WS = r"[\x20\x09-\x0D]+"
+QUALITY_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text,
+                     list_filter(regexp_split_to_array(coalesce(text, ''), '{RE_WS}'), lambda x: x <> '') AS words
+              FROM documents),
+windows AS (SELECT rid, i, array_to_string(list_slice(words, i, i + 7), ' ') AS win
+            FROM docs, LATERAL (SELECT unnest(generate_series(1, len(words) - 7)) AS i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM windows) WHERE n > 1),
+repeats AS (SELECT rid, count(DISTINCT p) AS n
+            FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY rid),
+lines AS (SELECT rid, source, text, line,
+                 translate(regexp_replace(trim(line, {WS}), '{RE_WS}', ' ', 'g'),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm
+          FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM docs)
+          WHERE trim(line, {WS}) <> ''),
+sized AS (SELECT *, len(norm) - len(replace(norm, ' ', '')) + 1 AS n_words FROM lines),
+frequent AS (SELECT source, norm FROM sized WHERE n_words <= 50
+             GROUP BY source, norm HAVING count(DISTINCT text) > 100),
+removed AS (SELECT s.rid, sum(s.n_words) AS n FROM sized s JOIN frequent f
+              ON s.norm = f.norm AND s.source IS NOT DISTINCT FROM f.source GROUP BY s.rid),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+figures AS (SELECT doc_id, len(words) AS n_words, len(array_to_string(words, '')) AS word_chars,
+                   len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+                   CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_words
+            FROM docs LEFT JOIN dups USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN removed USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+           AND n_words - n_removed_words >= 0.5 * n_words AS kept
+FROM figures
+"""
+
+
 SQL = {
+    "op1_quality": QUALITY_SQL,
     "op6_line_dedup": LINE_SQL,
     "op10_url_rules": _url_sql(),
 }
