@@ -14,6 +14,20 @@ def tokenizer_spec(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
+def word_pieces(name: str = "piece_bpe_32k.model") -> list[str]:
+    """The pieces of a public tokenizer: those with the word mark begin words, the others
+    go on (``##``); control and byte pieces are left out."""
+    import public_tokenizers
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    pieces = []
+    for i in range(model.get_piece_size()):
+        if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i)):
+            piece = model.id_to_piece(i)
+            pieces.append(piece[1:] if piece.startswith("\u2581") else "##" + piece)
+    return [p for p in pieces if "\u2581" not in p and p not in ("", "##")]
+
+
 def _documents(run):
     @functools.wraps(run)
     def query(spark, sf_dir):
@@ -33,6 +47,18 @@ def op2_simhash(docs, spark, sf_dir):
     return simhash.near_duplicates(docs, shingle=3, max_bits=2)
 
 
+@_documents
+def op3_token_counts(docs, spark, sf_dir):
+    from . import wordpiece
+    return wordpiece.count_tokens(docs, word_pieces())
+
+
+@_documents
+def op4_private_data(docs, spark, sf_dir):
+    from . import pii
+    return pii.find_private(docs)
+
+
 @_documents
 def op5_bpe(docs, spark, sf_dir):
     from . import bpe
@@ -69,6 +95,8 @@ def op10_url_rules(spark, sf_dir):
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
+    "op3_token_counts": op3_token_counts,
+    "op4_private_data": op4_private_data,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op8_token_files": op8_token_files,
