@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from ..sources.tables import read_table
+from .licences import scan_sql
 
 
 def tokenizer_spec(name: str = "word_bpe_49k.json") -> str:
@@ -71,6 +72,12 @@ def op6_line_dedup(docs, spark, sf_dir):
     return line_dedup.dedup_digests(docs, min_docs=10, min_length=1)
 
 
+@_documents
+def op7_decontamination(docs, spark, sf_dir):
+    from . import decontaminate
+    return decontaminate.find_leaks(docs, read_table(spark, sf_dir, "benchmark")).drop("_k1", "_k2")
+
+
 @_documents
 def op8_token_files(docs, spark, sf_dir):
     from . import token_files
@@ -87,6 +94,12 @@ URL_RULES = [
 ]
 
 
+@_documents
+def op9_licences(docs, spark, sf_dir):
+    from . import licences
+    return licences.scan(docs)
+
+
 def op10_url_rules(spark, sf_dir):
     from . import url_rules
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
@@ -99,7 +112,9 @@ QUERIES = {
     "op4_private_data": op4_private_data,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_token_files": op8_token_files,
+    "op9_licences": op9_licences,
     "op10_url_rules": op10_url_rules,
 }
 
@@ -179,5 +194,6 @@ FROM figures
 SQL = {
     "op1_quality": QUALITY_SQL,
     "op6_line_dedup": LINE_SQL,
+    "op9_licences": scan_sql(),
     "op10_url_rules": _url_sql(),
 }
