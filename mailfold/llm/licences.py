@@ -211,7 +211,7 @@ def scan_sql(table: str = "documents", sentences=None, rules=None) -> str:
         licences.append(f"CASE WHEN f{k} THEN {quote(licence)} END")
     n = len(licences)
     cues = " OR ".join(f"contains(low, {quote(c)})" for c in CUE)
-    return f"""
+    return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
                 translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM {table}),

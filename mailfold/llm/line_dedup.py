@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ASCII_WS, LOWER, UPPER, let, materialise, partitions, require_columns, row_key, text_slices
+from .common import ASCII_WS, LOWER, UPPER, materialise, partitions, require_columns, row_key, text_slices
 
 KEYS_PER_SHARD = 100_000
 LEAST_SALTS = 32
@@ -292,15 +292,58 @@ def _with_drops(docs, min_docs, min_length, text, doc_id, state):
     return rows.select("*", *row_key("_id", "_text")).join(drops, ["_k1", "_k2"], "left")
 
 
-def dedup_texts(docs: DataFrame, min_docs: int = 10, min_length: int = 1, text: str = "text",
-                doc_id: str = "doc_id", state: LineState | None = None) -> DataFrame:
-    """``_row`` (the input row), ``_n_lines``, ``_kept`` (the text without its frequent lines)."""
+class LineDropper:
+    """Drops the lines of a text whose key hashes are in a set, as ``line_key`` forms them."""
+
+    def __init__(self):
+        from xxhash import xxh64_intdigest
+        self.digest, self.second = xxh64_intdigest, xxh64_intdigest(b"second", 42)
+        self.strip = ASCII_WS.encode()
+
+    def hashes(self, line: bytes):
+        key = line.strip(self.strip).lower()          # bytes: lowers A-Z only
+        return tuple(h - (1 << 64) if h >> 63 else h for h in
+                     (self.digest(key, 42), self.digest(key, self.second)))
+
+    def split(self, text: bytes, dropped):
+        """(number of lines, number dropped, text that stays)."""
+        if not dropped:
+            return text.count(b"\n") + 1, 0, text
+        dropped = {(d["k1"], d["k2"]) for d in dropped}
+        lines = text.split(b"\n")
+        kept = [line for line in lines if self.hashes(line) not in dropped]
+        return len(lines), len(lines) - len(kept), b"\n".join(kept)
+
+
+def dedup_documents(docs: DataFrame, min_docs: int = 10, min_length: int = 1, text: str = "text",
+                    doc_id: str = "doc_id", length: str = "n_chars",
+                    state: LineState | None = None) -> DataFrame:
+    """``docs`` without their frequent lines; a ``length`` column follows the text.
+
+    Rows and columns stay as they are; a null text stays null.
+    """
     found = _with_drops(docs, min_docs, min_length, text, doc_id, state)
-    pair = lambda line: F.struct(*_hashes(line_key(line)))
-    lines = F.split(F.coalesce("_text", F.lit("")), "\n")
-    kept = F.when(F.col("_dropped").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.filter(lines, lambda line: ~F.array_contains("_dropped", pair(line))), "\n"))
-    return found.select("_row", F.size(lines).cast("long").alias("_n_lines"), kept.alias("_kept"))
+    names = docs.columns
+    rows = found.select(*(F.col(f"_row.`{c}`").alias(f"_c{i}") for i, c in enumerate(names)), "_text", "_dropped")
+    schema = ", ".join(f"_c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
+    at, width = names.index(text), len(names)
+
+    def drop(batches):
+        import pyarrow as pa
+        dropper = LineDropper()
+        for whole in batches:
+            for batch in text_slices(whole, "_text"):
+                kept = [t if not d else dropper.split(t.encode(), d)[2].decode()
+                        for t, d in zip(batch.column(width).to_pylist(), batch.column(width + 1).to_pylist())]
+                columns = [batch.column(i) for i in range(width)]
+                columns[at] = pa.array(kept, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=[f"_c{i}" for i in range(width)])
+
+    done = rows.mapInArrow(drop, schema).toDF(*names)
+    if length not in names:
+        return done
+    kind = docs.schema[length].dataType
+    return done.withColumn(length, F.coalesce(F.length(text).cast(kind), F.col(length)))
 
 
 def dedup_digests(docs: DataFrame, min_docs: int = 10, min_length: int = 1, text: str = "text",
@@ -311,28 +354,12 @@ def dedup_digests(docs: DataFrame, min_docs: int = 10, min_length: int = 1, text
 
     def digest(batches):
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
-        second = xxh64_intdigest(b"second", 42)
-        strip = ASCII_WS.encode()
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-
-        def kept_lines(text, drops):
-            if not drops:
-                return text.count(b"\n") + 1, 0, text
-            lines = text.split(b"\n")
-            kept = []
-            for line in lines:
-                key = line.strip(strip).lower()
-                if (signed(xxh64_intdigest(key, 42)), signed(xxh64_intdigest(key, second))) not in drops:
-                    kept.append(line)
-            return len(lines), len(lines) - len(kept), b"\n".join(kept)
-
+        dropper = LineDropper()
         for whole in batches:
             for batch in text_slices(whole, "_text"):
                 out = []
-                for text, drops in zip(batch.column(1), batch.column(2).to_pylist()):
-                    drops = {(d["k1"], d["k2"]) for d in drops or ()}
-                    n, gone, kept = kept_lines((text.as_py() or "").encode(), drops)
+                for text, dropped in zip(batch.column(1), batch.column(2).to_pylist()):
+                    n, gone, kept = dropper.split((text.as_py() or "").encode(), dropped)
                     out.append((n, gone, hashlib.sha256(kept).hexdigest()))
                 columns = [pa.array(list(c)) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns],
