@@ -72,4 +72,9 @@ def token_indexes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, idx array<int>): every token of a row hashed in place, no explode and
     no shuffle; counting is left to the consumer (e.g. ``numpy.bincount``)."""
     src = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
-    return src.select("id", F.transform(tokens(F.col("t")), lambda w: token_index(w)).alias("idx"))
+    return src.select("id", token_index_array("t").alias("idx"))
+
+
+def token_index_array(text_col: str) -> Column:
+    """Every token of a text hashed to its coordinate, in order."""
+    return F.transform(tokens(F.col(text_col)), lambda w: token_index(w))

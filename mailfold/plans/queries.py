@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.agg import ordered_listagg
 from ..functions.text import html_exact, html_native, nonempty, prompt_text, strip_recipient
+from ..functions.vector import token_index_array
 from ..operators import analysis, briefing, fold, labels, parse, reads, search
 from ..sources import mailbox
 from .context import BACKFILL_DAYS, Store
@@ -446,7 +447,7 @@ def _v1(s: Store):
 @query("embed_udf")
 def _v2(s: Store):
     emb = search.embed_udf()
-    return s.table("documents").select("doc_id", emb(F.col("text")).alias("embedding"))
+    return s.table("documents").select("doc_id", emb(token_index_array("text")).alias("embedding"))
 
 
 @query("cosine_topk_dense")

@@ -6,7 +6,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from mailfold.functions.vector import hash_embed_sparse
+from mailfold.functions.vector import hash_embed_sparse, token_index_array
 from mailfold.operators import search
 
 
@@ -85,7 +85,7 @@ def test_dense_search_with_filter(spark):
 def test_embed_udf_matches_native(spark):
     df = spark.createDataFrame(DOCS, "id long, text string")
     emb = search.embed_udf()
-    rows = df.select("id", emb("text").alias("v")).collect()
+    rows = df.select("id", emb(token_index_array("text")).alias("v")).collect()
     for r in rows:
         ref = py_embed(dict(DOCS)[r["id"]])
         assert np.allclose(r["v"], ref, atol=1e-6)
@@ -136,3 +136,9 @@ def test_query_chunks_respect_the_bound(spark):
     chunks = search._bounded_chunks(df, 5)
     assert all(len(c) <= 5 for c in chunks)
     assert sorted(i for c in chunks for i in c["id"].tolist()) == list(range(37))
+
+
+def test_embed_udf_takes_a_model_of_your_own(spark):
+    emb = search.embed_udf(lambda: lambda texts: [[float(len(t))] for t in texts])
+    df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, text string")
+    assert {r["id"]: r["v"] for r in df.select("id", emb("text").alias("v")).collect()} == {1: [3.0], 2: [0.0]}
