@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..schema import (ANALYSIS_INPUT, ANALYSIS_TOOL_DESCRIPTION, ANALYSIS_TOOL_NAME,
                       BATCH_RESULT, DOMAINS, EMAIL_TYPES)
 from ..functions.text import nonempty, prompt_text
+from .fold import dense_ordinals
 
 # fixed values: the tool definition sent with every analysis request
 ANALYSIS_TOOL = {
@@ -206,7 +207,7 @@ def rule_analyzer(mail: DataFrame) -> DataFrame:
         F.when(automated, F.lit("automated")).otherwise(F.lit("human")).alias("email_type"),
         F.when(automated, domain).alias("domain"),
         F.array().cast("array<string>").alias("entities"),
-        F.substring(F.coalesce("subject", F.lit("")), 1, 120).alias("summary"),
+        F.coalesce("subject", F.lit("")).alias("summary"),
         (~automated & text.contains("?")).alias("requires_reply"),
         F.regexp_extract(text, r"(by (monday|tuesday|wednesday|thursday|friday|"
                                r"saturday|sunday|tomorrow|end of day))", 1).alias("deadline"),
@@ -217,7 +218,7 @@ def rule_analyzer(mail: DataFrame) -> DataFrame:
 # the two backfill jobs around the inference step (Q12)
 # --------------------------------------------------------------------------
 
-SEQ_BATCH_SHIFT = 40     # seq of a backfill write = (batch number << 40) + position
+SEQ_BATCH_SHIFT = 40     # seq of a backfill write = (batch number << 40) + ordinal in the batch
 
 
 def read_result_file(spark, path: str) -> DataFrame:
@@ -239,9 +240,11 @@ def apply_backfill(spark, results_path: str, pending: DataFrame, batch_no: int,
     """Q12 apply: join the result file to the pending mail, append every processed
     analysis to the log as a new write and the failures to a dead-letter table.
 
-    A write's ``seq`` is ``(batch_no << 40) + position`` so it orders after
-    every earlier batch; the batch's output directories are overwritten as a
-    whole, so re-running a batch is idempotent.  ``processed_at`` stamps the
+    A write's ``seq`` is ``(batch_no << 40) + ordinal``, where the ordinal is the
+    dense position 1..n in ``custom_id`` order: it orders after every earlier
+    batch however many partitions or rows a batch has (below 2**40), and a rerun
+    gives each mail its number again.  The batch's output directories are
+    overwritten as a whole, so re-running a batch is idempotent.  ``processed_at`` stamps the
     writes (default: now; pass the batch's time to make a re-run reproduce it).
     Returns the outcome counts (A5).
     """
@@ -252,9 +255,12 @@ def apply_backfill(spark, results_path: str, pending: DataFrame, batch_no: int,
     done = applied.where(F.col("outcome") == "processed")
     raw = pending.select(F.col("id").cast("string").alias("custom_id"), "id", "mailbox_id",
                          "thread_id", "sender", "subject", "snippet", "body", "date")
-    writes = done.join(raw, "custom_id").select(
-        (F.lit(batch_no).cast("long") * F.lit(1 << SEQ_BATCH_SHIFT)
-         + F.monotonically_increasing_id()).alias("seq"),
+    # several results for one mail: one write, the same one on every run
+    found = (done.join(raw, "custom_id").groupBy("custom_id")
+             .agg(F.min_by(F.struct(*raw.columns, "analysis"), F.to_json("analysis")).alias("w")))
+    numbered = dense_ordinals(found, "custom_id").select("w.*", "ordinal")
+    writes = numbered.select(
+        (F.lit(batch_no).cast("long") * F.lit(1 << SEQ_BATCH_SHIFT) + F.col("ordinal")).alias("seq"),
         "id", "mailbox_id", "thread_id", "sender", "subject", "snippet", "body", "date",
         stamp.alias("processed_at"),
         "analysis.email_type", "analysis.domain", "analysis.summary",
@@ -263,6 +269,6 @@ def apply_backfill(spark, results_path: str, pending: DataFrame, batch_no: int,
     writes.write.mode("overwrite").parquet(f"{log_path}/batch={batch_no}")
     analysis_failures(applied).write.mode("overwrite").parquet(f"{failures_path}/batch={batch_no}")
     counts = batch_outcomes(applied)
-    counts.collect()      # materialise the one-row summary before releasing the cache
+    summary = counts.collect()                             # one row
     applied.unpersist()
-    return counts
+    return spark.createDataFrame(summary, counts.schema)

@@ -130,6 +130,20 @@ def payload_kind(c: Column) -> Column:
     return F.when(F.try_parse_json(c).isNotNull(), F.lit("json")).otherwise(F.lit("text"))
 
 
+def json_objects(payload: Column, schema) -> Column:
+    """The objects of a payload that is an object or a list, as an array of structs.
+
+    A list is read as an array of JSON texts first, so an entry of another
+    kind costs that entry only.
+    """
+    shape = schema if isinstance(schema, str) else schema.simpleString()
+    entries = F.when(F.ltrim(payload).startswith("["),
+                     F.from_json(F.variant_get(F.try_parse_json(payload), "$", "string"), "array<string>")
+                     ).otherwise(F.array(payload))
+    objects = F.filter(entries, lambda e: F.ltrim(e).startswith("{"))
+    return F.transform(objects, lambda e: F.from_json(e, shape))
+
+
 def _header(block: Column, name: str) -> Column:
     """Header value from the header block only; an empty header is '' (not the next line)."""
     return _strip(F.regexp_extract(block, rf"(?m)^{name}:[ \t]*(\S.*)?$", 1))
@@ -162,10 +176,13 @@ def parse_text_messages(payloads: DataFrame, keys=("mailbox_id", "page")) -> Dat
 
 
 def parse_json_messages(payloads: DataFrame, keys=("mailbox_id",)) -> DataFrame:
-    """JSON message -> record.  ``message_id`` else ``id``; falsy optional fields -> NULL;
-    a missing subject becomes '(no subject)' but an empty one stays empty."""
-    m = F.from_json("payload", MESSAGE_JSON)
-    rows = payloads.select(*keys, m.alias("m"))
+    """JSON messages -> records, from one object or a list of them.
+
+    ``message_id`` else ``id``; falsy optional fields -> NULL; a missing subject
+    becomes '(no subject)' but an empty one stays empty.  List entries that are
+    no objects are skipped.
+    """
+    rows = payloads.select(*keys, F.explode(json_objects(F.col("payload"), MESSAGE_JSON)).alias("m"))
     return rows.select(
         *keys,
         F.coalesce(F.col("m.message_id"), F.col("m.id"), F.lit("")).alias("id"),
@@ -185,7 +202,7 @@ def parse_search_ids(payloads: DataFrame, keys=("mailbox_id", "page")) -> DataFr
     """Ids from a search response, text or JSON list; empty ids dropped."""
     is_json = payload_kind(F.col("payload")) == "json"
     from_text = F.regexp_extract_all("payload", F.lit(r"Message ID:\s*(\S+)"), 1)
-    listed = F.from_json("payload", "array<struct<message_id:string>>")
+    listed = json_objects(F.col("payload"), "struct<message_id:string>")
     from_json = F.transform(F.filter(listed, lambda e: nonempty(e["message_id"]).isNotNull()),
                             lambda e: e["message_id"])
     ids = F.when(is_json, from_json).otherwise(from_text)

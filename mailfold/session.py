@@ -7,6 +7,7 @@ Library functions never build a session themselves; they take the caller's.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,9 +42,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a scratch one only when none is configured."""
+    """The cluster's checkpoint folder.
+
+    A scratch folder of our own is chosen only where none is set *and* the
+    session runs in one process (``local[n]``, as in tests); on a cluster an
+    unset folder is an error, since workers do not share local disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all workers share")
         base = tempfile.mkdtemp(prefix="mailfold-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     try:
@@ -58,8 +67,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh directory under the cluster's checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage that survives
-    executor loss.  Only when it is unset (tests, local runs) do we pick a
-    scratch folder of our own and record it in the session.
+    executor loss (see ``ensure_checkpoint_dir``).
     """
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")

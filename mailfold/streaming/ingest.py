@@ -4,13 +4,12 @@ W1 ingest   - ``readStream`` over a directory of log files; ``maxFilesPerTrigger
               plays the role of the per-poll cap, ``trigger(processingTime=...)``
               of the poll interval (``availableNow`` drains for tests/backfills).
 W2 dedup    - each mail id is processed once, across batches and restarts.
-              Exact form: in ``foreachBatch`` the batch's ids (bounded by the
-              trigger cap) are broadcast and semi-joined against the seen table,
-              so the growing table is scanned but never shuffled.  Bounded-state
-              form: ``dropDuplicatesWithinWatermark``.
-W3 seed     - ids present before the stream starts are seeded as seen.
+              Exact form: in ``foreachBatch`` the batch's ids are semi-joined with
+              the ids seen in earlier batches.  Bounded-state form:
+              ``dropDuplicatesWithinWatermark``.
+W3 seed     - ids present before the stream starts are seeded as seen, once.
 W4 failures - a processor error is routed to a dead-letter table; the mail is
-              still marked seen.
+              still marked seen (``per_message`` isolates errors of one message).
 W5 state    - every batch writes the partial fold of the ids it touched; the
               state is the merge of the partials, and ``compact`` rewrites them
               as one base (``operators.fold.merge_partials``).
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import fold
@@ -74,15 +74,13 @@ def _drain(stream_writer, checkpoint: str):
 
 
 def start_poller(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoint: str,
-                 process=None, interval: str = "60 seconds", max_files: int = 50):
+                 process=None, interval: str = "60 seconds", max_files: int = 50,
+                 seed_ids: DataFrame | None = None):
     """W1 live: the poll loop as a running query - a micro-batch every
     ``interval`` with at most ``max_files`` new files, exact once-per-id
     processing (``run_dedup``'s batch logic).  Returns the StreamingQuery;
     stopping and restarting it resumes from ``checkpoint``."""
-    seen_dir = os.path.join(out_dir, "seen")
-    id_type = schema["id"].dataType.simpleString()
-    spark.createDataFrame([], f"id {id_type}").write.mode("overwrite").parquet(
-        os.path.join(seen_dir, "batch=-1"))
+    write_seed(spark, out_dir, schema, seed_ids)
     handle = _batch_handler(spark, out_dir, process)
     return (log_stream(spark, src_dir, schema, max_files).writeStream.foreachBatch(handle)
             .option("checkpointLocation", checkpoint)
@@ -101,41 +99,70 @@ def run_ingest(spark: SparkSession, src_dir: str, schema, sink_dir: str, checkpo
     return spark.read.parquet(sink_dir).drop("batch")
 
 
-BROADCAST_IDS = 4_000_000     # ids of one micro-batch shipped to every task (~32 MB)
-
+def first_sight(batch: DataFrame, seen_dir: str, batch_id: int,
+                spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Rows of ids not seen in an earlier batch, one per id (the earliest in the batch).
 
-def first_sight(batch: DataFrame, seen_dir: str, spark: SparkSession,
-                max_broadcast_ids: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
-    """Rows of ids not seen before, one per id (the earliest in the batch).
-
-    The batch's fold is cached (one micro-batch, bounded by the trigger) and
-    its ids counted; up to ``max_broadcast_ids`` they are broadcast to probe
-    the seen table, so the growing table is scanned but never shuffled.  A
-    larger batch leaves the join strategy to the planner.  Returns the new
-    rows and the cached fold, which the caller unpersists after its writes.
+    Only batches before ``batch_id`` count as seen: a batch that is replayed
+    after a crash finds its own ids new again, whatever it had written.  The
+    batch's fold is cached (one micro-batch, bounded by the trigger), so the
+    planner knows its size and picks the join; the growing seen table is
+    probed and never sorted when the batch is small.  Returns the new rows and
+    the cached fold, which the caller unpersists after its writes.
     """
     # micro-batches run without adaptive execution, so size the exchange to the
     # cluster here; the fold by id then reuses this partitioning
     batch = batch.repartition(parallelism(spark), "id")
     firsts = fold.first_writes(batch, [c for c in batch.columns if c not in ("id", "seq")])
     firsts = firsts.cache()
-    ids = firsts.select("id")
-    probe = F.broadcast(ids) if ids.count() <= max_broadcast_ids else ids
-    seen = spark.read.parquet(seen_dir).select("id")
-    already = seen.join(probe, "id", "left_semi")
+    firsts.count()
+    seen = spark.read.parquet(seen_dir).where(F.col("batch") < batch_id).select("id")
+    already = seen.join(firsts.select("id"), "id", "left_semi")
     return firsts.join(already, "id", "left_anti"), firsts
 
 
+def per_message(process, out_schema: str):
+    """A ``process`` that runs ``process(row dict) -> dict`` for one message at a time.
+
+    A message that raises goes to the failures with its error and the others
+    go on; ``out_schema`` describes the returned dict.
+    """
+    def run(new: DataFrame):
+        from pyspark.sql import types as T
+        names = T._parse_datatype_string(out_schema).fieldNames()
+        ids = new.schema["id"].dataType.simpleString()
+        schema = f"_id {ids}, _seq long, _error string, {out_schema}"
+
+        def each(batches):
+            for pdf in batches:
+                rows = []
+                for message in pdf.to_dict("records"):
+                    try:
+                        made, error = process(message), None
+                    except Exception as exc:  # noqa: BLE001  a message's failure is its result
+                        made, error = {}, f"{type(exc).__name__}: {exc}"
+                    rows.append((message["id"], message["seq"], error, *(made.get(n) for n in names)))
+                yield pd.DataFrame(rows, columns=["_id", "_seq", "_error", *names], dtype=object)
+
+        done = new.mapInPandas(each, schema).cache()
+        return (done.where("_error is null").select(*names),
+                done.where("_error is not null").select(
+                    F.col("_id").alias("id"), F.col("_seq").alias("seq"), F.col("_error").alias("reason")))
+    return run
+
+
 def _batch_handler(spark: SparkSession, out_dir: str, process=None):
     """foreachBatch body of W2-W4: first sight, process, dead-letter, mark seen.
-    Every output of a batch is written under ``batch=<id>`` with overwrite, so a
-    replayed batch replaces its own output."""
+
+    Every output of a batch is written under ``batch=<id>`` with overwrite and
+    the seen ids come last, so a batch that is cut off anywhere and replayed
+    replaces its own output and loses nothing."""
     seen_dir = os.path.join(out_dir, "seen")
     done_dir = os.path.join(out_dir, "processed")
     dead_dir = os.path.join(out_dir, "failures")
 
     def handle(batch: DataFrame, batch_id: int):
-        new, folded = first_sight(batch, seen_dir, spark)
+        new, folded = first_sight(batch, seen_dir, batch_id, spark)
         new = new.cache()                                  # one micro-batch, bounded
         ok, bad = process(new) if process else (new, new.where(F.lit(False)).select("id"))
         tag = f"batch={batch_id}"
@@ -147,6 +174,18 @@ def _batch_handler(spark: SparkSession, out_dir: str, process=None):
     return handle
 
 
+def write_seed(spark: SparkSession, out_dir: str, schema, seed_ids: DataFrame | None = None) -> None:
+    """The ids stored before the stream starts are batch -1 of the seen table.
+
+    Written by the first start only; a restart keeps what is there, with or
+    without a seed of its own.
+    """
+    id_type = schema["id"].dataType.simpleString()
+    seed = (seed_ids.select(F.col("id").cast(id_type).alias("id")).distinct()
+            if seed_ids is not None else spark.createDataFrame([], f"id {id_type}"))
+    seed.write.mode("ignore").parquet(os.path.join(out_dir, "seen", "batch=-1"))
+
+
 def run_dedup(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoint: str,
               seed_ids: DataFrame | None = None, max_files: int = 1,
               process=None) -> tuple[DataFrame, DataFrame]:
@@ -156,15 +195,9 @@ def run_dedup(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoin
     default accepts everything.  Failed mail is still marked seen.  Returns
     (processed, failures) as DataFrames over the sink tables.
     """
-    seen_dir = os.path.join(out_dir, "seen")
     done_dir = os.path.join(out_dir, "processed")
     dead_dir = os.path.join(out_dir, "failures")
-    # The seed (possibly empty) is batch -1 of the seen table, so the
-    # table always exists and no file-system probing is needed.
-    id_type = schema["id"].dataType.simpleString()
-    seed = (seed_ids.select(F.col("id").cast(id_type).alias("id")).distinct()
-            if seed_ids is not None else spark.createDataFrame([], f"id {id_type}"))
-    seed.write.mode("overwrite").parquet(os.path.join(seen_dir, "batch=-1"))
+    write_seed(spark, out_dir, schema, seed_ids)
     stream = log_stream(spark, src_dir, schema, max_files)
     _drain(stream.writeStream.foreachBatch(_batch_handler(spark, out_dir, process)), checkpoint)
     processed = spark.read.parquet(done_dir).drop("batch")

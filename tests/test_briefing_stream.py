@@ -147,3 +147,65 @@ def test_rule_analyzer(spark):
     assert out[1]["email_type"] == "automated" and out[1]["domain"] == "shopping"
     assert out[2]["email_type"] == "human" and out[2]["requires_reply"]
     assert out[2]["deadline"] == "by friday" and out[2]["domain"] is None
+
+
+def _stream_log(spark, n=12, ids=6):
+    return make_log(spark, [{"id": i % ids, "processed_at": dt.datetime(2026, 1, 1) + dt.timedelta(hours=i)}
+                            for i in range(n)])
+
+
+def test_replayed_batch_keeps_its_mail(spark):
+    log = _stream_log(spark)
+    out = tempfile.mkdtemp(prefix="replay-")
+    ingest.write_seed(spark, out, log.schema)
+    handle = ingest._batch_handler(spark, out)
+    count = lambda t: spark.read.parquet(os.path.join(out, t)).count()
+    handle(log.where("seq < 6"), 0)
+    handle(log.where("seq >= 3"), 1)
+    first = (count("processed"), count("seen"))
+    for batch_id, rows in ((0, "seq < 6"), (1, "seq >= 3")):      # each batch again, as after a crash
+        handle(log.where(rows), batch_id)
+        assert (count("processed"), count("seen")) == first == (6, 6)
+
+
+def test_crash_between_seen_and_commit(spark):
+    log = _stream_log(spark)
+    out = tempfile.mkdtemp(prefix="crash-")
+    ingest.write_seed(spark, out, log.schema)
+
+    def fail(new):
+        raise RuntimeError("process is down")
+    try:
+        ingest._batch_handler(spark, out, fail)(log, 0)
+    except RuntimeError:
+        pass
+    ingest._batch_handler(spark, out)(log, 0)
+    assert spark.read.parquet(os.path.join(out, "processed")).count() == 6
+
+
+def test_restart_keeps_the_seed(spark):
+    log = _stream_log(spark)
+    base = tempfile.mkdtemp(prefix="seed-")
+    src, out, ckpt = (os.path.join(base, x) for x in ("src", "out", "ckpt"))
+    log.where("seq < 3").write.parquet(src)
+    seed = spark.createDataFrame([(5,)], "id long")
+    ingest.run_dedup(spark, src, log.schema, out, ckpt, seed_ids=seed)
+    log.where("seq >= 3").write.mode("append").parquet(src)
+    processed, _ = ingest.run_dedup(spark, src, log.schema, out, ckpt)       # no seed this time
+    assert sorted(r["id"] for r in processed.select("id").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_one_failing_message_does_not_stop_the_others(spark):
+    log = _stream_log(spark)
+    base = tempfile.mkdtemp(prefix="fail-")
+    src, out, ckpt = (os.path.join(base, x) for x in ("src", "out", "ckpt"))
+    log.write.parquet(src)
+
+    def work(message):
+        if message["id"] == 3:
+            raise ValueError("bad mail")
+        return {"id": message["id"], "size": len(message["body"])}
+    ok, bad = ingest.run_dedup(spark, src, log.schema, out, ckpt,
+                               process=ingest.per_message(work, "id long, size long"), max_files=50)
+    assert sorted(r["id"] for r in ok.collect()) == [0, 1, 2, 4, 5]
+    assert [(r["id"], r["reason"]) for r in bad.collect()] == [(3, "ValueError: bad mail")]

@@ -116,3 +116,34 @@ def test_backfill_jobs_roundtrip(spark, tmp_path):
     state = fold.emails_state(written.drop("batch"))
     assert state.count() == counts["processed"]
     assert set(r["email_type"] for r in state.collect()) <= {"human", "automated"}
+
+
+def test_backfill_seq_over_many_partitions(spark, tmp_path):
+    import json as js
+    n = 300
+    pending = spark.createDataFrame(
+        [(i, 0, "t", "a@x", "s", "p", "b", "2026-01-01") for i in range(n)],
+        "id long, mailbox_id long, thread_id string, sender string, subject string, snippet string, "
+        "body string, date string")
+
+    def line(i, summary):
+        return js.dumps({"custom_id": str(i), "result": {"type": "succeeded", "message": {
+            "stop_reason": "tool_use", "content": [{"type": "tool_use", "name": analysis.ANALYSIS_TOOL_NAME, "input": {
+                "email_type": "human", "domain": None, "entities": [], "summary": summary,
+                "requires_reply": True, "deadline": None}}]}}})
+    logs = []
+    for run in range(2):
+        for batch in (1, 2):
+            res = str(tmp_path / f"res{run}{batch}")
+            lines = [(line(i, f"batch {batch}"),) for i in range(n)]
+            spark.createDataFrame(lines, "value string").repartition(200).write.text(res)
+            counts = analysis.apply_backfill(spark, res, pending, batch, str(tmp_path / f"log{run}"),
+                                             str(tmp_path / f"dead{run}")).first()
+            assert counts["processed"] == n
+        logs.append(spark.read.parquet(str(tmp_path / f"log{run}")))
+    seqs = [sorted((r["seq"], r["id"]) for r in log.select("seq", "id").collect()) for log in logs]
+    assert seqs[0] == seqs[1] and len({s for s, _ in seqs[0]}) == 2 * n
+    assert max(s for s, _ in seqs[0][:n]) < min(s for s, _ in seqs[0][n:])
+    from mailfold.operators import fold
+    state = fold.emails_state(logs[0].drop("batch"))
+    assert {r["summary"] for r in state.collect()} == {"batch 2"}

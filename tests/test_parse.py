@@ -196,3 +196,17 @@ def test_label_listing_round_trip(spark, pairs):
     catalog = labels.label_catalog(df)
     got = sorted(map(tuple, parse.parse_label_list(parse.render_label_listing(catalog)).collect()))
     assert got == sorted(map(tuple, catalog.collect()))
+
+
+def test_json_lists_and_junk_entries(spark):
+    df = spark.createDataFrame([
+        (0, '[{"message_id":"a","subject":"x, \\"y\\""},{"message_id":"b"}]'),
+        (1, '["junk", 7, null, {"message_id":"c"}, {"message_id":""}]'),
+        (2, '{"id":"d"}'), (3, ' [ ] '), (4, '[["x"], {"message_id":"e","labels":["p","q"]}]'),
+    ], "mailbox_id long, payload string")
+    got = sorted((r["mailbox_id"], r["id"], r["subject"]) for r in parse.parse_json_messages(df).collect())
+    assert got == [(0, "a", 'x, "y"'), (0, "b", "(no subject)"), (1, "", "(no subject)"), (1, "c", "(no subject)"),
+                   (2, "d", "(no subject)"), (4, "e", "(no subject)")]
+    ids = parse.parse_search_ids(df.where("mailbox_id <> 2").withColumn("page", F.lit(0))).collect()
+    assert sorted((r["mailbox_id"], r["position"], r["id"]) for r in ids) == [
+        (0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (4, 0, "e")]
