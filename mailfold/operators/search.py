@@ -8,9 +8,8 @@
 * search    - corpus rows in Arrow batches times the query matrix in
               ``mapInPandas``, a running top-n per query and task, then a window
               limit per query (V3 is the one-query case, V5 the many-query one).
-              Query vectors are built on the executors and fetched once under a
-              byte budget; beyond it, the queries are processed in hash-split
-              chunks.  No query x document pair is materialised.
+              Query vectors are built on the executors and fetched one tile of
+              fixed size at a time.  No query x document pair is materialised.
 * dense     - stored float vectors, cosine in native higher-order functions
               against a literal query vector, metadata filter first (V3/V4)
 * LSH       - random-hyperplane band keys, candidates re-ranked exactly (V9)
@@ -31,6 +30,8 @@ from ..functions.text import nonempty
 from ..functions.vector import (cells as corpus_cells, cosine_distance, hash_embed_sparse,
                                 token_indexes)
 from ..schema import EMBED_DIM
+from ..session import shared_dir
+from .fold import dense_ordinals
 
 METADATA_FIELDS = ["sender", "subject", "thread_id", "date", "email_type", "domain",
                    "requires_reply", "summary"]
@@ -167,7 +168,9 @@ def metadata_where(where: dict | None) -> Column | None:
 # batch search (V5)
 # --------------------------------------------------------------------------
 
-BROADCAST_BUDGET = 256 << 20   # bytes of query matrix shipped to every executor
+QUERY_TILE = 4096      # query vectors scored against one pass of the corpus (12 MiB at 384 floats)
+MERGE_SALTS = 32       # groups in which a query's local hits are merged first
+SCORE_ROWS = 512       # corpus rows scored at a time: a block of QUERY_TILE x SCORE_ROWS distances
 
 
 def _unit_rows(idx_lists, dim: int) -> np.ndarray:
@@ -181,29 +184,37 @@ def _unit_rows(idx_lists, dim: int) -> np.ndarray:
     return m / norms[:, None]
 
 
-def _local_topn(qids, qmat, n, dim):
-    """mapInPandas body: a running top-n per query over this partition's corpus rows."""
+def _local_topn(shared, n, dim, vector_col=False):
+    """mapInPandas body: a running top-n per query over this partition's corpus rows.
+
+    ``shared`` holds (query ids, query matrix).  Corpus rows are scored in blocks
+    of ``SCORE_ROWS``, so memory does not depend on the Arrow batch size.
+    """
+    block = SCORE_ROWS
+
     def run(batches):
+        qids, qmat = shared.value
         best_d = np.empty((len(qids), 0))
         best_i = np.empty((len(qids), 0), dtype=np.int64)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf["id"].to_numpy(dtype=np.int64)
-            dist = 1.0 - qmat @ _unit_rows(pdf["idx"].tolist(), dim).T   # queries x rows
-            d = np.concatenate([best_d, dist], axis=1)
-            i = np.concatenate([best_i, np.broadcast_to(ids, dist.shape)], axis=1)
-            keep = min(n, d.shape[1])
-            rows_d, rows_i = [], []
-            for j in range(d.shape[0]):
-                # candidates within the n-th smallest rounded distance, then exact order
-                key = np.round(d[j], RANK_PLACES)
-                cut = np.partition(key, keep - 1)[keep - 1]
-                cand = np.nonzero(key <= cut)[0]
-                order = cand[np.lexsort((i[j, cand], key[cand]))][:keep]
-                rows_d.append(d[j, order])
-                rows_i.append(i[j, order])
-            best_d, best_i = np.array(rows_d), np.array(rows_i)
+            for lo in range(0, len(pdf), block):
+                part = pdf.iloc[lo:lo + block]
+                ids = part["id"].to_numpy(dtype=np.int64)
+                rows = (np.stack(part["vec"].to_numpy()).astype(np.float64) if vector_col
+                        else _unit_rows(part["idx"].tolist(), dim))
+                dist = 1.0 - qmat @ rows.T                                     # queries x rows
+                if best_d.shape[1] == n:
+                    # rows that are in no query's top n so far need no sorting
+                    worst = np.round(best_d[:, -1:], RANK_PLACES)
+                    near = np.flatnonzero((np.round(dist, RANK_PLACES) <= worst).any(axis=0))
+                    if not len(near):
+                        continue
+                    dist, ids = dist[:, near], ids[near]
+                d = np.concatenate([best_d, dist], axis=1)
+                i = np.concatenate([best_i, np.broadcast_to(ids, dist.shape)], axis=1)
+                # rank by (rounded distance, id) along the axis, for all queries at once
+                order = np.lexsort((i, np.round(d, RANK_PLACES)), axis=1)[:, :n]
+                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         if best_i.shape[1]:
             yield pd.DataFrame({
                 "qid": np.repeat(np.asarray(qids, dtype=np.int64), best_i.shape[1]),
@@ -247,53 +258,56 @@ def query_vectors(query_tokens: DataFrame, dim: int = EMBED_DIM) -> DataFrame:
     return query_tokens.select("id", "idx").mapInPandas(to_vec, "id long, vec array<double>")
 
 
-def _bounded_chunks(vecs: DataFrame, max_rows: int, salt: int = 0, depth: int = 40) -> list:
-    """Fetch query vectors in chunks of at most ``max_rows`` rows (a hard bound).
+def batch_search(corpus_tokens: DataFrame, query_tokens: DataFrame, n: int = 10,
+                 dim: int = EMBED_DIM, tile: int = QUERY_TILE) -> DataFrame:
+    """V5: top-n corpus ids for every query row.
 
-    Each fetch is guarded by ``limit(max_rows + 1)``: a chunk that fits comes
-    back in that one job; one that does not is split in two by a salted hash
-    of the id and each half is fetched the same way.
+    Inputs are ``token_indexes`` rows ``(id, idx array<int>)``: hashing ran
+    natively, counting and scoring run per Arrow batch in numpy.
     """
-    got = vecs.limit(max_rows + 1).toPandas()
-    if len(got) <= max_rows or depth == 0:
-        return [got]
-    parts = []
-    for half in (0, 1):
-        sub = vecs.where(F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(2)) == half)
-        parts.extend(_bounded_chunks(sub, max_rows, salt + 1, depth - 1))
-    return parts
+    return tiled_search(corpus_tokens.select("id", "idx"), query_vectors(query_tokens, dim), n, dim, tile)
 
 
-def batch_search(corpus_tokens: DataFrame, query_tokens: DataFrame, n: int = 10,
-                 dim: int = EMBED_DIM, budget: int = BROADCAST_BUDGET) -> DataFrame:
-    """V5: top-n corpus ids for every query.
+def tiled_search(corpus: DataFrame, vectors: DataFrame, n: int = 10, dim: int = EMBED_DIM,
+                 tile: int = QUERY_TILE) -> DataFrame:
+    """Top-n rows of ``corpus`` (id, idx or vec) for every row of ``vectors`` (id, vec).
 
-    Inputs are ``token_indexes`` rows ``(id, idx array<int>)``: hashing ran
-    natively, counting and scoring run per Arrow batch in numpy.  Query
-    vectors are built on the executors and shipped to every task only while
-    they fit ``budget`` bytes; beyond that the queries are hash-split into
-    chunks that each fit, and the corpus is scanned once per chunk.  No query x
-    document pair is materialised beyond the local top-n.
+    The query rows are numbered 0.. and taken ``tile`` at a time: a tile's
+    matrix is the only thing that the driver fetches and broadcasts, the corpus
+    is scanned once per tile, and a tile's local top-n rows are written under
+    the shared folder before the next tile is fetched.  Repeated query ids are
+    rows like any other.  The final top-n of each query merges in two levels,
+    by salted groups of tasks first, so a query never meets the rows of all
+    tasks in one place.
     """
-    max_rows = max(1, budget // (dim * 8))
-    chunks = _bounded_chunks(query_vectors(query_tokens, dim), max_rows)
-    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("id", T.LongType()),
-                           T.StructField("distance", T.DoubleType())])
-    parts = []
-    for qpdf in chunks:
-        if qpdf.empty:
-            continue
-        qmat = np.stack(qpdf["vec"].to_numpy()).astype(np.float64)
-        qids = qpdf["id"].astype("int64").tolist()
-        parts.append(corpus_tokens.select("id", "idx")
-                     .mapInPandas(_local_topn(qids, qmat, n, dim), schema))
-    if not parts:
-        return corpus_tokens.sparkSession.createDataFrame([], schema.add("rank", T.LongType()))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    spark = corpus.sparkSession
+    base = shared_dir(spark, "search")
+    by_vector = "vec" in corpus.columns
+    vectors.select("id", "vec").write.parquet(f"{base}/queries")
+    queries = spark.read.schema("id long, vec array<double>").parquet(f"{base}/queries")
+    count = queries.count()
+    numbered = (queries.withColumn("tile", F.lit(0)) if count <= tile else
+                dense_ordinals(queries.withColumn("_row", F.monotonically_increasing_id()), "_row")
+                .select("id", "vec", F.floor((F.col("ordinal") - 1) / tile).cast("int").alias("tile")))
+    paths = []
+    for k in range(-(-count // tile)):
+        rows = numbered.where(F.col("tile") == k).select("id", "vec").toPandas()   # at most ``tile`` rows
+        # equal query ids share their hits: keep one row per id
+        rows = rows.drop_duplicates("id")
+        shared = spark.sparkContext.broadcast(
+            (rows["id"].astype("int64").tolist(), np.stack(rows["vec"].to_numpy()).astype(np.float64)))
+        paths.append(f"{base}/tile-{k}")
+        corpus.mapInPandas(_local_topn(shared, n, dim, by_vector), "qid long, id long, distance double") \
+              .write.parquet(paths[-1])
+        shared.unpersist()
+    if not paths:
+        return spark.createDataFrame([], "qid long, id long, distance double, rank long")
+    cand = spark.read.schema("qid long, id long, distance double").parquet(*paths).distinct()
+    salted = Window.partitionBy("qid", "salt").orderBy(_rank_key(F.col("distance")), "id")
     w = Window.partitionBy("qid").orderBy(_rank_key(F.col("distance")), "id")
-    return (cand.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    return (cand.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(MERGE_SALTS)))
+            .withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= n)
+            .withColumn("rank", F.row_number().over(w).cast("bigint"))
             .where(F.col("rank") <= n)
             .select("qid", "id", F.round("distance", OUT_PLACES).alias("distance"), "rank"))
 

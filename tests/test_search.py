@@ -57,7 +57,7 @@ def test_batch_search_equals_brute_force(spark):
                                     "id long, text string")
     got = search.batch_search(search.corpus_tokens(corpus, "id", "text"),
                               search.corpus_tokens(queries, "id", "text"), n=2,
-                              budget=384 * 8)          # forces one query per chunk
+                              tile=1)          # one query per tile
     got = sorted((r["qid"], r["rank"], r["id"]) for r in got.collect())
     want = []
     for qid, qt in [(10, "budget"), (11, "beach holiday"), (12, "friday")]:
@@ -131,11 +131,22 @@ def test_hash_embed_cells_equals_native(spark):
     assert a == b
 
 
-def test_query_chunks_respect_the_bound(spark):
-    df = spark.range(0, 37).select(F.col("id"), F.array(F.lit(1.0)).alias("vec"))
-    chunks = search._bounded_chunks(df, 5)
-    assert all(len(c) <= 5 for c in chunks)
-    assert sorted(i for c in chunks for i in c["id"].tolist()) == list(range(37))
+def test_tiles_and_repeated_query_ids(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda: " ".join(rng.choice(words, 6))
+    corpus = spark.createDataFrame([(i, text()) for i in range(1500)], "id long, text string").repartition(3)
+    queries = [(i % 9, text()) for i in range(9)] * 3 + [(100, text())]
+    df = spark.createDataFrame(queries, "id long, text string")
+    runs = [sorted(map(tuple, search.batch_search(search.corpus_tokens(corpus, "id", "text"),
+                                                  search.corpus_tokens(df, "id", "text"), n=4, tile=tile).collect()))
+            for tile in (4, 4096)]
+    assert runs[0] == runs[1] and len(runs[0]) == 40
+    texts = dict(queries)
+    for qid in (3, 100):
+        q = np.array(py_embed(texts[qid]))
+        best = sorted((round(1 - float(np.dot(q, py_embed(r["text"]))), 9), r["id"]) for r in corpus.collect())[:4]
+        assert [r[1] for r in sorted((x for x in runs[0] if x[0] == qid), key=lambda x: x[3])] == [i for _, i in best]
 
 
 def test_embed_udf_takes_a_model_of_your_own(spark):
