@@ -19,9 +19,12 @@ from functools import cached_property
 
 from pyspark.sql import SparkSession, functions as F
 
-from ..operators import analysis, fold, labels, search
+from ..operators import analysis, fold, labels, search, store
 from ..sources import fixture, mailbox
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
+
+#: Tables written in this session, by (application, data directory, name).
+_WRITTEN: dict = {}
 
 CUTOFF_DAYS = 3
 BACKFILL_DAYS = 7
@@ -88,6 +91,25 @@ class Store:
         """The emails table with every id ending in 3 missing."""
         return self.emails.where(F.col("id") % 10 != 3)
 
+    # -- stored state ---------------------------------------------------------
+    @property
+    def stored(self) -> store.StoredState:
+        """The tables written by ``store.write_state``: once per session and data directory."""
+        return self._once("state", lambda: store.write_state(self.spark, self.folded, self.contacts))
+
+    @property
+    def document_vectors(self):
+        """(id, vec) of every document, stored once per session and data directory."""
+        docs = lambda: self.table("documents").select(F.col("doc_id").alias("id"), "text")
+        return self._once("documents", lambda: store.vector_store(
+            self.spark, spread(docs()), "text", "document-vectors").select("id", "vec"))
+
+    def _once(self, name, build):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = build()
+        return _WRITTEN[key]
+
     # -- before / after the cutoff -----------------------------------------
     @property
     def cutoff(self):

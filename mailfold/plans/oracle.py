@@ -616,6 +616,15 @@ SELECT h.id AS email_id, h.distance, v.sender, v.subject, v.thread_id, v.date, v
        v.domain, v.requires_reply, v.summary
 FROM hits h JOIN vindex v ON v.id = h.id""", MAIL_SEARCH)
 alias("search", "search_tool")
+SCOPED = "(SELECT v.* FROM vindex v JOIN firsts f ON f.id = v.id WHERE f.mailbox_id = 3 AND v.email_type = 'human')"
+register("search_filtered", """
+SELECT h.id AS email_id, h.distance, h.rank, f.mailbox_id, v.sender, v.subject, v.thread_id, v.date, v.email_type,
+       v.domain, v.requires_reply, v.summary
+FROM hits h JOIN vindex v ON v.id = h.id JOIN firsts f ON f.id = h.id""",
+         embed_ctes("d", SCOPED, "id", "document") + "," + embed_ctes("q", QUERY0, "id", "text") + ","
+         + one_query_topn("d_vec"))
+register("stored_vectors", "SELECT id, idx, round(weight, 6) AS weight FROM d_vec",
+         embed_ctes("d", "vindex", "id", "document"))
 
 # ---- sinks -------------------------------------------------------------------
 register("fanout", """

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.agg import ordered_listagg
 from ..functions.text import html_exact, html_native, nonempty, prompt_text, strip_recipient
 from ..functions.vector import token_index_array
-from ..operators import analysis, briefing, fold, labels, parse, reads, search
+from ..operators import analysis, briefing, fold, labels, parse, reads, search, store
 from ..sources import mailbox
 from .context import BACKFILL_DAYS, Store
 
@@ -173,8 +173,8 @@ def _j9(s: Store):
 
 @query("search_display")
 def _j10(s: Store):
-    hits = search.text_search(s.vector_index, s.query_text, 10, "id", "document")
-    j = hits.join(s.vector_index, "id")
+    hits = search.vector_search(s.stored.vectors, s.query_text, 10)
+    j = hits.join(s.stored.vectors, "id")
     m = F.col("metadata")
     return j.select(
         "rank", m["subject"].alias("subject"), m["sender"].alias("sender"),
@@ -189,12 +189,12 @@ def _j10(s: Store):
 
 @query("needs_reply")
 def _f1(s: Store):
-    return reads.needs_reply(s.emails, s.as_of, 24)
+    return reads.needs_reply(store.recent(s.stored.emails, s.as_of, hours=24), s.as_of, 24)
 
 
 @query("needs_reply_240h", "order_newest")
 def _f1b(s: Store):
-    return reads.needs_reply(s.emails, s.as_of, 240)
+    return reads.needs_reply(store.recent(s.stored.emails, s.as_of, hours=240), s.as_of, 240)
 
 
 @query("needs_reply_snapshot")
@@ -210,32 +210,33 @@ def _f1s(s: Store):
 
 @query("stored_ids_since", "distinct_ids")
 def _f2(s: Store):
-    return reads.stored_ids_since(s.emails, s.as_of, BACKFILL_DAYS)
+    emails = store.recent(s.stored.emails, s.as_of, days=BACKFILL_DAYS)
+    return reads.stored_ids_since(emails, s.as_of, BACKFILL_DAYS)
 
 
 @query("follow_ups_by_status")
 def _f3(s: Store):
-    return reads.follow_ups_by_status(s.follow_ups, "pending")
+    return reads.follow_ups_by_status(s.stored.follow_ups, "pending")
 
 
 @query("open_deadlines_raw", "order_oldest")
 def _f4(s: Store):
-    return reads.open_deadlines_raw(s.deadlines)
+    return reads.open_deadlines_raw(s.stored.deadlines)
 
 
 @query("email_by_id", "email")
 def _f5(s: Store):
-    return reads.email_record(reads.email_by_id(s.emails, 42))
+    return reads.email_record(reads.email_by_id(s.stored.emails.drop("processed_day"), 42))
 
 
 @query("contact_by_address", "contact")
 def _f6(s: Store):
-    return reads.contact_by_address(s.contacts, "u7@example.com")
+    return reads.contact_by_address(s.stored.contacts, "u7@example.com")
 
 
 @query("metadata_where")
 def _f7(s: Store):
-    idx = s.vector_index.select("id", "metadata.*")
+    idx = s.stored.vectors.select("id", "metadata.*")
     cond = search.metadata_where({"email_type": "human", "requires_reply": True})
     return idx.where(cond).select("id", "sender", "subject")
 
@@ -269,14 +270,19 @@ def _k3(s: Store):
 
 
 def _topic_hits(s: Store, n: int = 10):
-    return search.text_search(s.vector_index, s.query_text, n, "id", "document")
+    return search.vector_search(s.stored.vectors, s.query_text, n)
 
 
 @query("topic_emails", "emails_for_topic")
 def _k4(s: Store):
     hits = _topic_hits(s)
-    return (hits.join(s.emails_dangling, "id", "inner")
-            .orderBy("rank").select("rank", "distance", *s.emails.columns))
+    emails = _stored_dangling(s)
+    return (hits.join(emails, "id", "inner")
+            .orderBy("rank").select("rank", "distance", *emails.columns))
+
+
+def _stored_dangling(s: Store) -> DataFrame:
+    return s.stored.emails.drop("processed_day").where(F.col("id") % 10 != 3)
 
 
 def _flat_enriched(df: DataFrame, name: str) -> DataFrame:
@@ -288,12 +294,12 @@ def _flat_enriched(df: DataFrame, name: str) -> DataFrame:
 
 @query("pending_followups")
 def _k5(s: Store):
-    return _flat_enriched(reads.pending_followups(s.follow_ups, s.emails_dangling), "follow_up")
+    return _flat_enriched(reads.pending_followups(s.stored.follow_ups, _stored_dangling(s)), "follow_up")
 
 
 @query("open_deadlines")
 def _k6(s: Store):
-    return _flat_enriched(reads.open_deadlines(s.deadlines, s.emails_dangling), "deadline")
+    return _flat_enriched(reads.open_deadlines(s.stored.deadlines, _stored_dangling(s)), "deadline")
 
 
 @query("missing_labels")
@@ -314,12 +320,12 @@ def _k8(s: Store):
 
 @query("email_count")
 def _a1(s: Store):
-    return s.emails.agg(F.count(F.lit(1)).alias("email_count"))
+    return s.stored.emails.agg(F.count(F.lit(1)).alias("email_count"))
 
 
 @query("vector_count")
 def _a2(s: Store):
-    return s.vector_index.agg(F.count(F.lit(1)).alias("vector_count"))
+    return s.stored.vectors.agg(F.count(F.lit(1)).alias("vector_count"))
 
 
 @query("contact_stats", "contacts_state")
@@ -329,7 +335,8 @@ def _a3(s: Store):
 
 @query("status_counts", "status")
 def _a4(s: Store):
-    return reads.status_from_fold(s.folded, s.as_of)
+    t = s.stored
+    return reads.status_counts(t.emails, t.vectors, t.follow_ups, t.deadlines, s.as_of)
 
 
 @query("batch_outcomes", "backfill_apply_counts")
@@ -346,13 +353,17 @@ def _a6(s: Store):
     return _briefing_parts(s)[2]
 
 
+def _mail_hits(s: Store, n: int = 10) -> DataFrame:
+    """Every benchmark passage against the stored mail vectors."""
+    queries = search.corpus_tokens(s.table("benchmark"), "item_id", "text")
+    return search.tiled_search(s.stored.vectors.select("id", "vec"), search.query_vectors(queries), n)
+
+
 @query("topic_context", "topic_status_context")
 def _a7(s: Store):
     """Q9 for every benchmark passage: its ten nearest mails, joined in rank order."""
-    corpus = search.corpus_tokens(s.vector_index, "id", "document")
-    queries = search.corpus_tokens(s.table("benchmark"), "item_id", "text")
-    hits = search.batch_search(corpus, queries, 10)
-    e = s.emails_dangling
+    hits = _mail_hits(s)
+    e = _stored_dangling(s)
     body = F.coalesce(nonempty("body"), F.col("snippet"))
     block = F.concat(F.lit("From: "), F.col("sender"), F.lit("\nDate: "),
                      F.coalesce(F.col("date"), F.lit("unknown")), F.lit("\nSubject: "),
@@ -405,9 +416,7 @@ def _n4(s: Store):
 
 @query("hit_rank", "batch_search_mail")
 def _n5(s: Store):
-    corpus = search.corpus_tokens(s.vector_index, "id", "document")
-    queries = search.corpus_tokens(s.table("benchmark"), "item_id", "text")
-    return search.batch_search(corpus, queries, 10)
+    return _mail_hits(s)
 
 
 # --------------------------------------------------------------------------
@@ -416,7 +425,7 @@ def _n5(s: Store):
 
 @query("cosine_topk", "topk_search")
 def _v3(s: Store):
-    return search.text_search(s.table("documents"), s.query_text, 10, "doc_id", "text")
+    return search.vector_search(s.document_vectors, s.query_text, 10)
 
 
 # --------------------------------------------------------------------------
@@ -467,9 +476,8 @@ def _v9(s: Store):
 
 @query("batch_search")
 def _v5(s: Store):
-    corpus = search.corpus_tokens(s.table("documents"), "doc_id", "text")
     queries = search.corpus_tokens(s.table("benchmark"), "item_id", "text")
-    return search.batch_search(corpus, queries, 10)
+    return search.tiled_search(s.document_vectors, search.query_vectors(queries), 10)
 
 
 @query("vector_upsert")
@@ -485,10 +493,26 @@ def _v7(s: Store):
 @query("search_tool", "search")
 def _v8(s: Store):
     hits = _topic_hits(s)
-    return (hits.join(s.vector_index, "id")
+    return (hits.join(s.stored.vectors, "id")
             .select(F.col("id").alias("email_id"), "distance", *_flat_metadata()))
 
 
+@query("search_filtered")
+def _v4t(s: Store):
+    """V4 on text: the search of one mailbox's human mail (filter first, then rank)."""
+    where = search.metadata_where({"mailbox_id": 3, "metadata.email_type": "human"})
+    hits = search.vector_search(s.stored.vectors, s.query_text, 10, where)
+    return (hits.join(s.stored.vectors, "id")
+            .select(F.col("id").alias("email_id"), "distance", "rank", "mailbox_id", *_flat_metadata()))
+
+
+@query("stored_vectors")
+def _v6s(s: Store):
+    """V6 / V7 as stored: the non-zero coordinates of every mail's vector."""
+    cells = s.stored.vectors.select("id", F.posexplode("vec").alias("idx", "weight"))
+    return cells.where("weight <> 0").select("id", "idx", F.round("weight", 6).alias("weight"))
+
+
 # --------------------------------------------------------------------------
 # 2.11 sinks / derived state
 # --------------------------------------------------------------------------
