@@ -104,19 +104,14 @@ def section_items_from_fold(folded: DataFrame, as_of: Column, hours: int = 24,
 
 
 def briefing_inputs(folded: DataFrame, as_of: Column, hours: int = 24):
-    """(items, mailboxes, counts) of every briefing from ONE pass over the fold.
+    """(items, mailboxes, counts) of every briefing from the state fold.
 
     ``explode_outer`` keeps ids with no item (section NULL), so the mailbox
-    list comes from the same rows as the items.  Those rows are checkpointed
-    once, and titles, headings, counts and items are all read from that copy:
-    the log is folded once for the whole briefing.
+    list comes from the same rows as the items.  Each part is a scan of the
+    columns it needs: pass the stored fold (``store.StoredState.folded``), or
+    the log is folded once per part.
     """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(folded.sparkSession)
-    # one row per item (or per id without one): small, written once under the
-    # shared checkpoint folder; Catalyst would otherwise prune each branch
-    # differently and fold the log once per branch
-    rows = section_items_from_fold(folded, as_of, hours).checkpoint(eager=True)
+    rows = section_items_from_fold(folded, as_of, hours)
     items = rows.where(F.col("section").isNotNull())
     mailboxes = rows.select("mailbox_id").distinct()
     return items, mailboxes, section_counts(items, mailboxes)

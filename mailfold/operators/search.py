@@ -187,12 +187,19 @@ MERGE_SALTS = 32       # groups in which a query's local hits are merged first
 SCORE_ROWS = 512       # corpus rows scored at a time: a block of QUERY_TILE x SCORE_ROWS distances
 
 
+def _counts(idx_lists, dim: int) -> np.ndarray:
+    """Token-index arrays -> one row of token counts each."""
+    lists = [() if ix is None else ix for ix in idx_lists]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    if not sizes.sum():
+        return np.zeros((len(lists), dim))
+    cell = np.repeat(np.arange(len(lists)) * dim, sizes) + np.concatenate([x for x in lists if len(x)])
+    return np.bincount(cell.astype(np.int64), minlength=len(lists) * dim).reshape(len(lists), dim)
+
+
 def _unit_rows(idx_lists, dim: int) -> np.ndarray:
     """Token-index arrays -> L2-normalised count vectors (a zero row stays zero)."""
-    m = np.zeros((len(idx_lists), dim), dtype=np.float64)
-    for r, ix in enumerate(idx_lists):
-        if ix is not None and len(ix):
-            m[r] = np.bincount(np.asarray(ix, dtype=np.int64), minlength=dim)
+    m = _counts(idx_lists, dim).astype(np.float64)
     norms = np.sqrt((m * m).sum(axis=1))
     norms[norms == 0] = 1.0
     return m / norms[:, None]
@@ -243,20 +250,14 @@ def hash_embed_cells(df: DataFrame, id_col: str, text_col: str,
     non-zero coordinate.  Same rows as ``hash_embed_sparse``."""
     def cells(batches):
         for pdf in batches:
-            ids, idxs, cnts, wts = [], [], [], []
-            for i, ix in zip(pdf["id"].tolist(), pdf["idx"].tolist()):
-                if ix is None or not len(ix):
-                    continue
-                c = np.bincount(np.asarray(ix, dtype=np.int64), minlength=dim)
-                nz = np.nonzero(c)[0]
-                norm = float(np.sqrt((c[nz].astype(np.float64) ** 2).sum()))
-                ids.append(np.full(len(nz), i, dtype=np.int64))
-                idxs.append(nz.astype(np.int32))
-                cnts.append(c[nz].astype(np.int64))
-                wts.append(c[nz] / norm)
-            if ids:
-                yield pd.DataFrame({"id": np.concatenate(ids), "idx": np.concatenate(idxs),
-                                    "cnt": np.concatenate(cnts), "weight": np.concatenate(wts)})
+            for lo in range(0, len(pdf), SCORE_ROWS):
+                part = pdf.iloc[lo:lo + SCORE_ROWS]
+                counts = _counts(part["idx"].tolist(), dim)
+                row, idx = np.nonzero(counts)
+                cnt = counts[row, idx].astype(np.int64)
+                norm = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1))
+                yield pd.DataFrame({"id": part["id"].to_numpy(dtype=np.int64)[row], "idx": idx.astype(np.int32),
+                                    "cnt": cnt, "weight": cnt / norm[row]})
     return token_indexes(df, id_col, text_col).mapInPandas(
         cells, "id long, idx int, cnt long, weight double")
 
@@ -369,40 +370,50 @@ def _band_keys(mat: np.ndarray, planes: np.ndarray, bands: int, bits: int) -> np
     return codes + (np.arange(bands, dtype=np.int64) << bits)
 
 
-def lsh_signatures(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                   bands: int = 16, bits: int = 4, seed: int = 7) -> DataFrame:
-    """(id, bands array<long>) computed per Arrow batch; hyperplanes fixed by ``seed``."""
-    dim = len(vectors.select(vec_col).first()[0])
-    planes = _planes(dim, bands, bits, seed)
+def lsh_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
+              bands: int = 16, bits: int = 4, seed: int = 7) -> DataFrame:
+    """The stored index: (band, id, vec), one row per vector and band key.
+
+    Keys are computed per Arrow batch with hyperplanes fixed by ``seed``; the
+    table is range-partitioned and sorted by key, so a query reads the row
+    groups of its own keys.
+    """
+    first = vectors.select(vec_col).first()
+    if first is None:
+        raise ValueError("no vectors to index")
+    planes = _planes(len(first[0]), bands, bits, seed)
 
     def sign(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            mat = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            keys = _band_keys(mat, planes, bands, bits)
-            yield pd.DataFrame({"id": pdf["id"].astype("int64"), "bands": list(keys)})
+            mat = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            yield pdf.assign(bands=list(_band_keys(mat, planes, bands, bits)))
 
-    src = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    return src.mapInPandas(sign, "id long, bands array<long>")
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    keyed = src.mapInPandas(sign, f"id long, vec {kind}, bands array<long>")
+    rows = keyed.select(F.explode("bands").alias("band"), "id", "vec")
+    path = shared_dir(vectors.sparkSession, "lsh")
+    rows.repartitionByRange("band").sortWithinPartitions("band", "id").write.parquet(path)
+    return vectors.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def lsh_search(vectors: DataFrame, query_vec, n: int = 10, id_col: str = "vec_id",
-               vec_col: str = "embedding", bands: int = 16, bits: int = 4,
+def lsh_search(index: DataFrame, query_vec, n: int = 10, bands: int = 16, bits: int = 4,
                seed: int = 7) -> DataFrame:
-    """V9: candidates share at least one band bucket with the query (no cap on
-    candidates); they are re-ranked exactly.  The result carries ``recall``: the
-    share of the exact top-n (V3) that the approximate top-n found."""
+    """V9: the vectors that share at least one band bucket with the query (no cap),
+    re-ranked exactly.  Only the buckets of the query's keys are read.  Returns
+    id, distance, rank; ``lsh_recall`` compares with the exact search."""
     q = np.asarray(query_vec, dtype=np.float64)[None, :]
-    qkeys = [int(x) for x in _band_keys(q, _planes(q.shape[1], bands, bits, seed), bands, bits)[0]]
-    sig = lsh_signatures(vectors, id_col, vec_col, bands, bits, seed)
-    cand = sig.where(F.arrays_overlap("bands", F.array(*[F.lit(k) for k in qkeys])))
-    cand_vecs = vectors.join(cand.select(F.col("id").alias(id_col)), id_col, "left_semi")
-    approx = dense_search(cand_vecs, query_vec, n, id_col=id_col, vec_col=vec_col, keep=())
-    exact = dense_search(vectors, query_vec, n, id_col=id_col, vec_col=vec_col, keep=())
-    found = approx.join(exact.select(id_col), id_col, "left_semi").agg(
-        (F.count(F.lit(1)) / F.lit(float(n))).alias("recall"))
-    return approx.withColumn("recall", found.select("recall").scalar())
+    keys = _band_keys(q, _planes(q.shape[1], bands, bits, seed), bands, bits)[0]
+    near = index.where(F.col("band").isin([int(k) for k in keys])).groupBy("id").agg(F.first("vec").alias("vec"))
+    return dense_search(near, query_vec, n, id_col="id", vec_col="vec", keep=())
+
+
+def lsh_recall(approx: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact hits (V3) that the approximate ones hold."""
+    wanted = exact.select("id").count()
+    return approx.join(exact.select("id"), "id", "left_semi").count() / wanted if wanted else 1.0
 
 
 THREAD_BLOCK = 64   # turns per context block

@@ -29,6 +29,7 @@ from . import fold, search
 @dataclass(frozen=True)
 class StoredState:
     """DataFrames over the written tables (schemas fixed, nothing inferred)."""
+    folded: DataFrame
     emails: DataFrame
     contacts: DataFrame
     follow_ups: DataFrame
@@ -62,6 +63,7 @@ def write_state(spark: SparkSession, folded: DataFrame, contacts: DataFrame) ->
     index = (search.vector_index_from_fold(folded)
              .join(folded.select("id", F.col("first.mailbox_id").alias("mailbox_id")), "id"))
     return StoredState(
+        folded=folded,
         emails=_stored(emails, f"{base}/emails", "processed_day"),
         contacts=_stored(contacts.repartitionByRange("email_address").sortWithinPartitions("email_address"),
                          f"{base}/contacts"),

@@ -345,7 +345,7 @@ def _a5(s: Store):
 
 
 def _briefing_parts(s: Store):
-    return briefing.briefing_inputs(s.folded, s.as_of, 24)
+    return briefing.briefing_inputs(s.stored.folded, s.as_of, 24)
 
 
 @query("briefing_sections")
@@ -439,8 +439,7 @@ def _u1(s: Store):
 
 @query("seen_union")
 def _u2(s: Store):
-    new = s.fetched.select("id").exceptAll(s.stored_ids_before)
-    return s.stored_ids_before.union(new).distinct()
+    return s.stored_ids_before.union(s.fetched.select("id")).distinct()
 
 
 # --------------------------------------------------------------------------
@@ -471,7 +470,8 @@ def _v4(s: Store):
 
 @query("lsh_search")
 def _v9(s: Store):
-    return search.lsh_search(s.table("embeddings"), s.query_vector, 10)
+    index = s._once("lsh", lambda: search.lsh_index(s.table("embeddings")))
+    return search.lsh_search(index, s.query_vector, 10)
 
 
 @query("batch_search")

@@ -108,10 +108,25 @@ def test_lsh_search_reranks_exactly(spark):
            [rng.normal(size=8) for _ in range(80)]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    hits = search.lsh_search(df, [float(x) for x in vecs[0]], 5).collect()
-    assert hits[0]["vec_id"] == 0 and hits[0]["rank"] == 1
-    assert 0.0 <= hits[0]["recall"] <= 1.0
-    assert all(h["vec_id"] < 20 for h in hits)          # near-duplicates share buckets
+    query = [float(x) for x in vecs[0]]
+    approx = search.lsh_search(search.lsh_index(df), query, 5)
+    hits = approx.collect()
+    assert hits[0]["id"] == 0 and hits[0]["rank"] == 1
+    assert all(h["id"] < 20 for h in hits)          # near-duplicates share buckets
+    exact = search.dense_search(df.withColumnRenamed("vec_id", "id"), query, 5, id_col="id", keep=())
+    assert search.lsh_recall(approx, exact) >= 0.8
+    few = df.where("vec_id < 3")                     # fewer vectors than asked for: still 1.0
+    exact = search.dense_search(few.withColumnRenamed("vec_id", "id"), query, 5, id_col="id", keep=())
+    assert search.lsh_recall(search.lsh_search(search.lsh_index(few), query, 5), exact) == 1.0
+
+
+def test_lsh_recall_on_the_test_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    index, found = search.lsh_index(df), []
+    for row in df.orderBy("vec_id").limit(8).collect():
+        exact = search.dense_search(df.withColumnRenamed("vec_id", "id"), row["embedding"], 10, id_col="id", keep=())
+        found.append(search.lsh_recall(search.lsh_search(index, row["embedding"], 10), exact))
+    assert sum(found) / len(found) >= 0.9
 
 
 def test_text_search_native_equals_batch_path(spark):
