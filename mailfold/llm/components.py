@@ -14,8 +14,9 @@ def connected_components(links: DataFrame, purpose: str = "components") -> DataF
     then the label of that label, so labels travel twice as far each time.
     Rounds are written tables; one boolean per round reaches the driver.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.where("a <> b").distinct(), f"{purpose}-links")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = links.where("a <> b").select(F.explode(ways).alias("way")).select("way.a", "way.b")
+    both = materialise(both.distinct(), f"{purpose}-links")
     labels = materialise(both.groupBy(F.col("a").alias("node"))
                              .agg(F.least("node", F.min("b")).alias("root")), f"{purpose}-0")
     turn = 0

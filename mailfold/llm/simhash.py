@@ -191,8 +191,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text:
                               .select("_fp", "root", "_least"), "simhash-linked")
     least = linked.groupBy("root").agg(F.min("_least").alias("_component"))
     named = linked.join(least, "root").select("_fp", "_component")
-    classes = (distinct.join(named, "_fp", "left")
-                       .select("_fp", F.coalesce("_component", "_least").alias("component_id")))
+    # a written table of its own: the join below then splits a fingerprint that many rows share
+    classes = materialise(distinct.join(named, "_fp", "left").select(
+        "_fp", F.coalesce("_component", "_least").alias("component_id")), "simhash-classes")
     return marked.join(classes, "_fp").select(
         doc_id, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
