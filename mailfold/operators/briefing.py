@@ -183,14 +183,18 @@ def with_front_matter(lines: DataFrame, mailboxes: DataFrame, today: Column,
                       generated_at: Column) -> DataFrame:
     """YAML front matter ahead of each mailbox's briefing."""
     fm = F.concat(F.lit("---\ndate: "), today, F.lit("\ngenerated_at: "),
-                  F.substring(generated_at.cast("string"), 1, 19), F.lit("\n---\n"))
+                  F.replace(F.substring(generated_at.cast("string"), 1, 19), F.lit(" "), F.lit("T")),
+                  F.lit("+00:00\n---\n"))
     zero = F.lit(0)
     head = mailboxes.select(*_lines(F.col("mailbox_id"), -1, 0, zero, zero, fm))
     return head.unionByName(lines)
 
 
-def write_briefings(lines: DataFrame, out_dir: str, partitions: int | None = None) -> None:
-    """D7 sink: one text file set per mailbox, lines in order.
+def write_briefings(lines: DataFrame, out_dir: str, day: str, partitions: int | None = None) -> str:
+    """D7 sink: one text file set per (day, mailbox), lines in order.
+
+    A day's folder is replaced as a whole and other days stay, so a rerun is
+    idempotent and yesterday's briefing survives today's.
 
     Range partitioning on the full sort key splits a large mailbox over
     several tasks; each task writes its slice in order, and the part files of
@@ -200,7 +204,20 @@ def write_briefings(lines: DataFrame, out_dir: str, partitions: int | None = Non
     n = partitions or parallelism(lines.sparkSession)
     (lines.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
      .select("mailbox_id", "line")
-     .write.mode("overwrite").partitionBy("mailbox_id").text(out_dir))
+     .write.mode("overwrite").partitionBy("mailbox_id").text(f"{out_dir}/date={day}"))
+    return f"{out_dir}/date={day}"
+
+
+def daily_job(folded: DataFrame, as_of: Column, day: str, out_dir: str, hours: int = 24) -> DataFrame:
+    """The briefings of one day over the current state, written with front matter.
+
+    ``day`` and ``as_of`` are the run's parameters, so a missed day can be run
+    later.  Returns the briefing lines that were written.
+    """
+    items, mailboxes, counts = briefing_inputs(folded, as_of, hours)
+    lines = fallback_lines(items, counts, mailboxes, F.lit(day))
+    write_briefings(with_front_matter(lines, mailboxes, F.lit(day), as_of), out_dir, day)
+    return lines
 
 
 def mailboxes_of(emails: DataFrame) -> DataFrame:

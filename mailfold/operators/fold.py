@@ -126,6 +126,24 @@ def contacts_state(log: DataFrame) -> DataFrame:
     )
 
 
+def sender_partial(log: DataFrame) -> DataFrame:
+    """D2 of a log slice, mergeable: writes per sender and the last one's date."""
+    return log.groupBy("sender").agg(F.count(F.lit(1)).alias("n_writes"),
+                                     F.max(F.struct("seq", "date")).alias("last"))
+
+
+def merge_senders(partials: DataFrame) -> DataFrame:
+    """Combine ``sender_partial`` results of disjoint log slices."""
+    return partials.groupBy("sender").agg(F.sum("n_writes").alias("n_writes"), F.max("last").alias("last"))
+
+
+def contacts_from_partial(partials: DataFrame) -> DataFrame:
+    """D2 from sender partials."""
+    return merge_senders(partials).select(F.col("sender").alias("email_address"),
+                                          F.col("n_writes").alias("total_emails"),
+                                          F.col("last.date").alias("last_contact"))
+
+
 def first_writes(log: DataFrame, cols) -> DataFrame:
     """The first write of each id, as a flat row."""
     folded = log.groupBy("id").agg(F.min_by(F.struct("seq", *cols), "seq").alias("f"))

@@ -78,3 +78,21 @@ def recent(emails: DataFrame, as_of: Column, hours: int = 0, days: int = 0) -> D
     """The stored mails of the days that a look-back covers (partition pruning)."""
     since = as_of - F.make_dt_interval(days=F.lit(days), hours=F.lit(hours))
     return emails.where(F.col("processed_day") >= F.to_date(since)).drop("processed_day")
+
+
+def fan_out(spark: SparkSession, sinks: dict[str, DataFrame]) -> DataFrame:
+    """Write every sink to its own folder; (sink, n, path, error), one row per sink.
+
+    A sink that fails leaves its error and the others are written; since all of
+    them derive from the log, the failed one can be run again by itself.
+    """
+    base = shared_dir(spark, "sinks")
+    done = []
+    for name, df in sinks.items():
+        path = f"{base}/{name}"
+        try:
+            df.write.mode("overwrite").parquet(path)
+            done.append((name, spark.read.schema(df.schema).parquet(path).count(), path, None))
+        except Exception as exc:  # noqa: BLE001  isolated: reported, not raised
+            done.append((name, None, path, f"{type(exc).__name__}: {exc}"[:500]))
+    return spark.createDataFrame(done, "sink string, n long, path string, error string")

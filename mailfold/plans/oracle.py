@@ -546,7 +546,7 @@ alias("daily_briefing_job", "briefing_text")
 register("briefing_file", f"""
 SELECT mailbox_id, -1 AS section, 0 AS part, CAST(0 AS BIGINT) AS k1, CAST(0 AS BIGINT) AS k2,
        '---' || {NL} || 'date: ' || {TODAY} || {NL} || 'generated_at: '
-       || substr(CAST({NOW} AS VARCHAR), 1, 19) || {NL} || '---' || {NL} AS line
+       || replace(substr(CAST({NOW} AS VARCHAR), 1, 19), ' ', 'T') || '+00:00' || {NL} || '---' || {NL} AS line
 FROM mailboxes
 UNION ALL
 {FALLBACK_LINES}""", ITEMS)
@@ -654,6 +654,9 @@ register("stream_seed", """
 SELECT id, seq, processed_at FROM firsts WHERE id NOT IN (SELECT id FROM stored_before)""")
 register("stream_failures", "SELECT id, seq, 'no body' AS reason FROM firsts WHERE body IS NULL")
 register("stream_state", "SELECT * FROM emails")
+register("stream_contacts", "SELECT * FROM contacts")
+register("stream_follow_ups", "SELECT * FROM follow_ups")
+register("stream_deadlines", "SELECT * FROM deadlines")
 
 alias("topic_status_context", "topic_context")
 alias("email", "email_by_id")

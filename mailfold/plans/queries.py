@@ -534,16 +534,10 @@ def _d4(s: Store):
 
 @query("fanout")
 def _d5(s: Store):
-    """What one pass over the log writes to every sink (rows per sink)."""
-    parts = [
-        ("labels", s.label_events), ("vectors", s.vector_index), ("emails", s.emails),
-        ("contacts", s.contacts), ("follow_ups", s.follow_ups), ("deadlines", s.deadlines),
-    ]
-    out = None
-    for name, df in parts:
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("sink"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Every sink written from the log, a failing one on its own (rows per sink)."""
+    sinks = {"labels": s.label_events, "vectors": s.vector_index, "emails": s.emails,
+             "contacts": s.contacts, "follow_ups": s.follow_ups, "deadlines": s.deadlines}
+    return store.fan_out(s.spark, sinks).select("sink", "n")
 
 
 @query("label_events")
@@ -573,7 +567,14 @@ def _q10(s: Store):
     return briefing.prompt_lines(items, counts, mailboxes, s.today)
 
 
-@query("briefing_text", "daily_briefing_job")
+@query("daily_briefing_job")
+def _w6(s: Store):
+    from ..session import shared_dir
+    day = s.consts["now"].date().isoformat() if s.consts["now"] else "none"
+    return briefing.daily_job(s.stored.folded, s.as_of, day, shared_dir(s.spark, "briefings"))
+
+
+@query("briefing_text")
 def _q11(s: Store):
     items, mailboxes, counts = _briefing_parts(s)
     return briefing.fallback_lines(items, counts, mailboxes, s.today)
@@ -660,10 +661,27 @@ def _w4(s: Store):
     return failures
 
 
-@query("stream_state")
-def _w5(s: Store):
+def _drained_state(s: Store) -> str:
+    """The state folder of a stream drained once per session and data directory."""
     import os
     from ..streaming import ingest
-    base, src, schema = _stream_source(s)
-    return ingest.run_state(s.spark, src, schema, os.path.join(base, "state"),
-                            os.path.join(base, "ckpt"), max_files=STREAM_FILES)
+
+    def drain():
+        base, src, schema = _stream_source(s)
+        folder = os.path.join(base, "state")
+        ingest.run_state(s.spark, src, schema, folder, os.path.join(base, "ckpt"), max_files=STREAM_FILES)
+        return folder
+    return s._once("stream-state", drain)
+
+
+def _streamed(name: str):
+    def read(s: Store):
+        from ..streaming import ingest
+        return ingest.current_tables(s.spark, _drained_state(s))[name]
+    return read
+
+
+query("stream_state")(_streamed("emails"))
+query("stream_contacts")(_streamed("contacts"))
+query("stream_follow_ups")(_streamed("follow_ups"))
+query("stream_deadlines")(_streamed("deadlines"))

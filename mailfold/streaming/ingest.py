@@ -205,36 +205,59 @@ def run_dedup(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoin
     return processed, failures
 
 
+STATE_FIRST = ["requires_reply", "deadline", "follow_up_status", "deadline_status"]
+
+
 def run_state(spark: SparkSession, src_dir: str, schema, state_dir: str, checkpoint: str,
               max_files: int = 1) -> DataFrame:
-    """W5 incremental: each micro-batch writes the partial fold of the ids it
-    touched (one row per id, bounded by the batch) under ``batch=<id>``; the
-    current state is the merge of all partials.  ``compact`` rewrites them as
-    one base, so reads stay proportional to the number of ids, not of writes.
+    """W5 incremental: each micro-batch writes the partial folds of what it touched.
+
+    Two partials per batch, each under ``batch=<id>``: one row per mail id (first
+    and last write) and one row per sender (writes and last date), so all four
+    state tables are merges of partials (``current_tables``).  ``compact``
+    rewrites them as one base, so reads stay proportional to the number of ids,
+    not of writes.  Returns the emails table.
     """
     stream = log_stream(spark, src_dir, schema, max_files)
+    extra = [c for c in STATE_FIRST if c in schema.fieldNames()]
 
     def handle(batch: DataFrame, batch_id: int):
-        keyed = batch.repartition(parallelism(spark), "id")   # no AQE in micro-batches
-        fold.first_last(keyed).write.mode("overwrite").parquet(
-            os.path.join(state_dir, f"batch={batch_id}"))
+        n = parallelism(spark)                                  # no AQE in micro-batches
+        fold.first_last(batch.repartition(n, "id"), extra_first=extra).write.mode("overwrite").parquet(
+            os.path.join(state_dir, "mails", f"batch={batch_id}"))
+        fold.sender_partial(batch).write.mode("overwrite").parquet(
+            os.path.join(state_dir, "senders", f"batch={batch_id}"))
 
     _drain(stream.writeStream.foreachBatch(handle), checkpoint)
     return current_state(spark, state_dir)
 
 
+def _partials(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(state_dir, name)).drop("batch")
+
+
+def current_tables(spark: SparkSession, state_dir: str) -> dict[str, DataFrame]:
+    """D1-D4 from the base and every batch partial."""
+    mails = fold.merge_partials(_partials(spark, state_dir, "mails"))
+    names = mails.schema["first"].dataType.fieldNames()
+    status = lambda c: c if c in names else None
+    return {"emails": fold.emails_from_partial(mails),
+            "contacts": fold.contacts_from_partial(_partials(spark, state_dir, "senders")),
+            "follow_ups": fold.follow_ups_from_partial(mails, status("follow_up_status")),
+            "deadlines": fold.deadlines_from_partial(mails, status("deadline_status"))}
+
+
 def current_state(spark: SparkSession, state_dir: str) -> DataFrame:
     """The emails table: merge of the base and every batch partial."""
-    parts = spark.read.parquet(state_dir).drop("batch")
-    return fold.emails_from_partial(fold.merge_partials(parts))
+    return current_tables(spark, state_dir)["emails"]
 
 
 def compact(spark: SparkSession, state_dir: str, out_dir: str) -> str:
     """Merge all partials into one base written to ``out_dir`` (a new folder;
     readers switch to it, the old folder can then be dropped)."""
-    parts = spark.read.parquet(state_dir).drop("batch")
-    fold.merge_partials(parts).write.mode("overwrite").parquet(
-        os.path.join(out_dir, "batch=-1"))
+    for name, merge in (("mails", fold.merge_partials), ("senders", fold.merge_senders)):
+        merge(_partials(spark, state_dir, name)).write.mode("overwrite").parquet(
+            os.path.join(out_dir, name, "batch=-1"))
     return out_dir
 
 
