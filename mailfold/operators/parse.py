@@ -210,7 +210,8 @@ def parse_search_ids(payloads: DataFrame, keys=("mailbox_id", "page")) -> DataFr
 
 
 def parse_label_list(payloads: DataFrame, keys=("mailbox_id",)) -> DataFrame:
-    """Label listing -> (name, id), from a JSON list or from '• name (ID: id)' lines."""
+    """Label listing -> (name, id), from a JSON list or from '• name (ID: id)' lines;
+    of a repeated name the last entry counts."""
     is_json = payload_kind(F.col("payload")) == "json"
     pat = r"•\s+(.+?)\s+\(ID:\s+(.+?)\)"
     names = F.regexp_extract_all("payload", F.lit(pat), 1)
@@ -219,5 +220,7 @@ def parse_label_list(payloads: DataFrame, keys=("mailbox_id",)) -> DataFrame:
     listed = F.from_json("payload", "array<struct<name:string,id:string>>")
     json_pairs = F.filter(listed, lambda e: e["name"].isNotNull() & e["id"].isNotNull())
     pairs = F.when(is_json, json_pairs).otherwise(text_pairs)
-    return (payloads.select(*keys, F.explode(pairs).alias("p"))
+    later = lambda i: F.slice(pairs, i + 2, F.size(pairs))
+    last = F.filter(pairs, lambda p, i: ~F.exists(later(i), lambda q: q["name"] == p["name"]))
+    return (payloads.select(*keys, F.explode(last).alias("p"))
             .select(*keys, F.col("p.name").alias("label"), F.col("p.id").alias("label_id")))

@@ -329,6 +329,10 @@ concat_ws({NL}, 'From: ' || sender, 'Subject: ' || subject,
           CASE WHEN length(plain) > 4000 THEN {NL} || '[… email truncated …]' END)"""
 register("build_prompt", f"""
 SELECT id, {PROMPT} AS prompt FROM (SELECT *, {PLAIN} AS plain FROM messages)""")
+register("batch_request_fields", f"""
+SELECT id, CAST(id AS VARCHAR) AS custom_id, 'analysis-model' AS model, 1024 AS max_tokens,
+       'record_email_analysis' AS tool, 'record_email_analysis' AS tool_choice, 'user' AS role,
+       {PROMPT} AS content FROM (SELECT *, {PLAIN} AS plain FROM messages)""")
 register("parse_analysis", """
 SELECT custom_id, email_type, domain, entities, summary, requires_reply, deadline, valid
 FROM parsed WHERE quality = 1 AND toxic = 0""")

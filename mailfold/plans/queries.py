@@ -132,6 +132,19 @@ def _j2(s: Store):
     return analysis.build_requests(s.messages)
 
 
+@query("batch_request_fields")
+def _j2f(s: Store):
+    """J2 read back: the fields of every request line."""
+    field = lambda path: F.get_json_object("request", path)
+    return analysis.build_requests(s.messages).select(
+        "id", field("$.custom_id").alias("custom_id"), field("$.params.model").alias("model"),
+        field("$.params.max_tokens").cast("int").alias("max_tokens"),
+        field("$.params.tools[0].name").alias("tool"),
+        field("$.params.tool_choice.name").alias("tool_choice"),
+        field("$.params.messages[0].role").alias("role"),
+        field("$.params.messages[0].content").alias("content"))
+
+
 @query("parse_analysis")
 def _j3(s: Store):
     r = analysis.parsed_results(s.result_lines).where(F.col("block").isNotNull())

@@ -62,8 +62,11 @@ def test_label_listing(spark):
     df = spark.createDataFrame([
         (0, '[{"name": "AI", "id": "L1"}, {"name": "AI/Human", "id": "L2"}]'),
         (1, "Labels:\n• AI (ID: L9)\n• AI/Human/FollowUp (ID: L10)"),
+        (2, '[{"name": "A", "id": "L1"}, {"name": "B", "id": "L2"}, {"name": "A", "id": "L3"}]'),
     ], "mailbox_id long, payload string")
     got = sorted(tuple(r) for r in parse.parse_label_list(df).collect())
+    assert got[-2:] == [(2, "A", "L3"), (2, "B", "L2")]
+    got = got[:-2]
     assert got == [(0, "AI", "L1"), (0, "AI/Human", "L2"), (1, "AI", "L9"),
                    (1, "AI/Human/FollowUp", "L10")]
 
