@@ -9,9 +9,10 @@ ends, so a span found in the rewritten text maps back to source characters:
    of other scripts, Cyrillic and Greek letters that look Latin, odd dashes, dots
    and spaces; invisible characters are deleted;
 2. letters that look like digits (O, I, l) inside a number;
-3. spelled dots, then spelled at signs: in brackets always, as bare words only
-   where they join parts of an address (a bare "at" must be followed by a
-   spelled dot, so "at example.com" in prose is left alone);
+3. spelled dots, then spelled at signs: in brackets or between marks always, as
+   bare words only where they join parts of an address (a bare "at" must be
+   followed by a name with a spelled dot, so "at example.com" in prose is left
+   alone); character references of both;
 4. spelled digits, and "plus" before a number.
 
 What the same patterns find there is added where it overlaps no base span of its
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -79,12 +81,16 @@ class Finder:
         digits = spelled_digits()
         self.digits = digits
         names = "|".join(sorted(digits, key=len, reverse=True))
-        open_, close = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+        # a run of blanks is entered at its first one only: long runs take linear time
+        open_, close = r"(?<!\s)\s*[\[({<]\s*", r"\s*[\])}>]\s*"
         self.odd = re.compile(r"[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
         self.digit_letters = re.compile(r"(?<![A-Za-z0-9])(?=[OoIl]*[0-9])[0-9OoIl]+(?![A-Za-z0-9@])")
-        self.dot = re.compile(rf"(?i:{open_}(?:{DOT_WORDS}|\.){close}|"
+        soft = r"\s*[*|=~\"'_-]{1,2}\s*"          # marks that set a word off without being brackets
+        self.dot = re.compile(rf"(?i:{open_}(?:{DOT_WORDS}|\.){close}|(?<=[a-z0-9]){soft}(?:{DOT_WORDS}){soft}(?=[a-z0-9])|"
+                              rf"&#0*46;|&#x0*2e;|%2e|"
                               rf"(?<=[a-z0-9])[\s_]+(?:{DOT_WORDS})[\s_]+(?=[a-z0-9]))")
-        self.at = re.compile(rf"(?i:{open_}(?:{AT_WORDS}|@){close}|\s+(?:arroba|arobase)\s+)")
+        self.at = re.compile(rf"(?i:{open_}(?:{AT_WORDS}|@){close}|(?<=[a-z0-9]){soft}(?:{AT_WORDS}){soft}(?=[a-z0-9])|"
+                             rf"&#0*64;|&#x0*40;|%40|(?<!\s)\s+(?:arroba|arobase)\s+)")
         # a bare "at" stands before a name that goes on with a spelled dot (see ``deobfuscate``)
         self.bare_at = re.compile(r"(?i:(?<=[a-z0-9._%+-])[\s_]+at[\s_]+(?=([a-z0-9-]+(?:\.[a-z0-9-]+)+)))")
         self.spelled = re.compile(rf"(?i:(?<![^\W_])(?:{names})(?:[\s,-]+(?:{names}))*(?![^\W_]))")
@@ -158,7 +164,8 @@ class Finder:
         added = []
         for kind, s, e in self.spans(tape.text):
             start, end = int(tape.start[s]), int(tape.end[e - 1])
-            if not any(k == kind and start < b and a < end for k, a, b in base):
+            before = bisect_left(base, (kind, end)) - 1      # the last base span that begins before ``end``
+            if before < 0 or base[before][0] != kind or base[before][2] <= start:
                 added.append((kind, start, end))
         return base, sorted(base + added)
 
@@ -241,7 +248,7 @@ def write_spans(spans) -> str:
 
 #: What a text must hold for a pattern or a transducer to find anything (RE2 syntax).
 MAY_HOLD = (r"[0-9@]|[^\x00-\x7f\xa1-\xac\xae-\xff]|(?i:[\[({<]\s*(?:" + AT_WORDS + "|" + DOT_WORDS
-            + r"|[.@])\s*[\])}>]|[\s_](?:" + DOT_WORDS + "|arroba|arobase" + r")[\s_])")
+            + r"|[.@])\s*[\])}>]|[\s*|=~\"'_-](?:" + DOT_WORDS + "|arroba|arobase" + r")[\s*|=~\"'_-])")
 
 
 def find_private(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:

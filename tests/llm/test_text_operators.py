@@ -104,6 +104,13 @@ def test_base_spans_equal_the_plain_patterns():
     ("write to john at mail dot example dot com now", {"email": "john at mail dot example dot com"}),
     ("to john at mail.example dot com now", {"email": "john at mail.example dot com"}),
     ("john_at_mail_dot_com", {"email": "john_at_mail_dot_com"}),
+    ("by john -at- mail -dot- com.", {"email": "john -at- mail -dot- com"}),
+    ("by john*AT*mail*DOT*com!", {"email": "john*AT*mail*DOT*com"}),
+    ("by john&#64;mail&#46;com", {"email": "john&#64;mail&#46;com"}),
+    ("to bosbt dot four two at mail8 dot example dot com", {"email": "bosbt dot four two at mail8 dot example dot com"}),
+    ("host 42 dot 144 dot 35 dot 254 up", {"ip": "42 dot 144 dot 35 dot 254"}),
+    ("ring plus one (319) five five five 5132", {"phone": "plus one (319) five five five 5132"}),
+    ("a stay-at-home-mom with a polka-dot-dress", {}),
     ("look at example.com, or at the dot", {}),
     ("meet at home. Then at one dot", {}),
     ("j\u043ehn@m\u0430il.c\u043em", {"email": "j\u043ehn@m\u0430il.c\u043em"}),
@@ -132,6 +139,16 @@ def test_base_and_disguised_spans_stand_side_by_side():
     assert pii.write_spans(base) == "email:0:6" and pii.write_spans(every) == "email:0:6,email:11:22"
 
 
+@pytest.mark.parametrize("text", [" " * 200_000 + "(7", "( " * 60_000 + "7", "+ " * 60_000, "1 " * 60_000,
+                                  "a@" * 60_000, "one " * 40_000, "o" * 200_000 + "7", "&#" * 60_000 + "7",
+                                  "a" + "_" * 100_000 + "7", "- " * 60_000 + "7", ".1" * 60_000, "a dot " * 20_000])
+def test_long_runs_take_linear_time(text):
+    import time
+    began = time.process_time()
+    pii.Finder().all_spans(text)
+    assert time.process_time() - began < 10
+
+
 def test_private_data_of_hard_texts(spark):
     texts = HARD + ["a@b.de " * 3, "x" * 20_000 + "@" + "y" * 20_000 + ".com", "1" * 50_000, "+1 " + "(" * 20_000]
     got = {r.doc_id: r for r in pii.find_private(frame(spark, texts)).collect()}
