@@ -92,7 +92,7 @@ class WordBpe:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         # printable Basic Latin, Latin-1 and Latin Extended-A/B: NFC leaves them alone
         self.plain = regex.compile(r"[!-~¡-¬®-ɏ]*")
-        self.fits = Cache(1 << 20)
+        self.fits = Cache(1 << 18)
         self.words_seen = Cache()
         self.chunks_seen = Cache()
 
