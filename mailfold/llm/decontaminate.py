@@ -51,33 +51,40 @@ MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB8665
 class Hasher:
     """Word hashes of texts, chunk by chunk."""
 
+    HASH = ">u8"        # as xxHash writes its digests
+
     def __init__(self):
+        from xxhash import xxh64_digest
+        self.digest = xxh64_digest
         self.words = re.compile(r"\w+")
-        self.seen = Cache()
+        self.seen = Cache(400_000)
 
     def chunk(self, chunk: str) -> bytes:
         known = self.seen.get(chunk)
         if known is None:
-            from xxhash import xxh64_intdigest
             low = chunk.lower()
-            words = (low,) if low.isalpha() else self.words.findall(low)
-            hashes = np.array([xxh64_intdigest(w.encode()) for w in words], "<u8")
-            known = self.seen.put(chunk, hashes.tobytes())
+            if low.isalpha():
+                known = self.digest(low)
+            elif low[:-1].isalpha() and not low[-1].isalnum() and low[-1] != "_":     # a word and one mark
+                known = self.digest(low[:-1])
+            else:
+                known = b"".join(map(self.digest, self.words.findall(low)))
+            self.seen.put(chunk, known)
         return known
 
     def texts(self, texts):
         codes, chunks, offsets = split_chunks(texts)
-        return gather(codes, offsets, [self.chunk(c) for c in chunks], "<u8")
+        words, starts = gather(codes, offsets, [self.chunk(c) for c in chunks], self.HASH)
+        return words.astype(np.uint64), starts
 
     def counts(self, texts):
-        """Distinct word hashes of the texts together and how often each occurs."""
+        """Word hashes of the texts together and how often each occurs (a word may come more than once)."""
         codes, chunks, _ = split_chunks(texts)
         times = np.bincount(codes, minlength=len(chunks))
         pieces = [self.chunk(c) for c in chunks]
-        words = np.frombuffer(b"".join(pieces), "<u8")
+        words = np.frombuffer(b"".join(pieces), self.HASH).astype(np.uint64)
         times = np.repeat(times, np.fromiter(map(len, pieces), np.int64, len(pieces)) // 8)
-        distinct, where = np.unique(words, return_inverse=True)
-        return distinct, np.bincount(where, weights=times, minlength=len(distinct)).astype(np.int64)
+        return words, times
 
 
 def hasher() -> Hasher:
