@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 
 
 class Cache(dict):
