@@ -93,7 +93,7 @@ class WordBpe:
         # printable Basic Latin, Latin-1 and Latin Extended-A/B: NFC leaves them alone
         self.plain = regex.compile(r"[!-~¡-¬®-ɏ]*")
         self.fits = Cache(1 << 18)
-        self.words_seen = Cache()
+        self.words_seen = Cache(400_000)      # a word costs more to encode than a chunk to look up
         self.chunks_seen = Cache()
 
     # -- merges ---------------------------------------------------------------
