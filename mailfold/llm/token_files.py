@@ -63,7 +63,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.seen = Cache()
+        self.seen = Cache(600_000)
 
     def _encode_new(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk; the chunks go to the library joined by spaces, which
