@@ -194,12 +194,16 @@ def passages(docs: DataFrame, seeds: DataFrame, text: str, doc_id: str, n: int)
                 far = reach[grams[found] >> np.uint64(64 - CELL_BITS)].astype(np.int64)
                 far += far // 2
                 lo, hi = np.maximum(found - far, starts[row]), np.minimum(found + n + far, starts[row + 1])
+                # a later hit of a longer item may reach further back: merged in order of their
+                # beginnings, the passages of a document are disjoint and ``start`` names one
+                order = np.lexsort((lo, row))
+                found, row, lo, hi = found[order], row[order], lo[order], hi[order]
                 rows, firsts, parts, hits = [], [], [], []
                 k = 0
                 while k < len(found):
                     begin, end, last = lo[k], hi[k], k + 1
                     while last < len(found) and row[last] == row[k] and lo[last] <= end:
-                        begin, end, last = min(begin, lo[last]), max(end, hi[last]), last + 1
+                        end, last = max(end, hi[last]), last + 1
                     rows.append(int(row[k]))
                     firsts.append(int(begin - starts[row[k]]))
                     parts.append(_longs(words[begin:end]).tolist())

@@ -282,6 +282,22 @@ def test_leaks_copied_everywhere_are_still_found(spark):
     assert sorted(r.doc_id for r in decontaminate.find_leaks(docs, bench).collect()) == list(range(300))
 
 
+def test_a_long_item_reaches_back_over_a_short_one(spark):
+    short, long = prose(16, 801), prose(59, 802)
+    other = prose(62, 803).split()
+    words = (other[:2] + short.split()[:3] + other[5:59] + short.split()[5:8] + long.split()
+             + prose(90, 804).split())
+    docs = frame(spark, [" ".join(words)])
+    bench = spark.createDataFrame([(0, short), (1, long)], "item_id long, text string")
+    seeds = decontaminate.seeds_of(
+        decontaminate.benchmark_items(bench, "text", "item_id", 3, 8),
+        spark.createDataFrame([(None, 1)], "word long, n long"), 3, 1.0)
+    near = decontaminate.passages(docs, seeds, "text", "doc_id", 3).collect()
+    spans = sorted((r.start, r.start + len(r.words)) for r in near)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert [(r.item_id, r.score) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 1.0)]
+
+
 # -- op 9 ---------------------------------------------------------------------------
 
 MIT = """MIT License
