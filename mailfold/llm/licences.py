@@ -4,8 +4,10 @@ A text is cut into sentences after ``.``, ``;``, ``:``, ``!`` or ``?`` followed
 white space, and at line ends, unless the next line goes on in lower case (after
 comment marks).  A sentence is normalised: A-Z lower-cased,
 everything but letters and digits turned into single spaces, a leading comment
-or list mark gone with it.  A normalised sentence that is known stands for a
-sentence identifier; the others stand for nothing.  The identifiers of a
+or list mark gone with it.  A normalised sentence that is known, or several that
+are known when joined across single line ends (a notice may be wrapped before a
+bracket, a capital or any mark), stands for a sentence identifier, the longest
+first; the others stand for nothing.  A blank line is never joined.  The identifiers of a
 document, in order, are matched against ordered rules: the rules are tried from
 the longest and most specific to the shortest, and the identifiers that a rule
 takes are used up, so "GPL version 3 or later" is not also "GPL version 3".
@@ -136,17 +138,12 @@ RULES = [
     ("LicenseRef-Proprietary", "AllRights"),
 ]
 
-CUT = r"\n(?![\x20\t/*#;-]*[a-z])|(?<=[.;:!?])[\x20\t-\r]+"
 NOT_WORD = r"[^a-z0-9]+"
 #: Every known sentence holds one of these: a text without any is not cut at all.
 CUE = ("licen", "permission", "copyright", "rights", "redistribut", "free software", "as is", "warrant",
        "public domain", "distribute")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), NOT_WORD, " "))
-
-
 def normalise_text(sentence: str) -> str:
     """The same in plain Python, for the tables of this module."""
     import re
@@ -158,6 +155,23 @@ def known_sentences(sentences=None) -> dict[str, str]:
     return {normalise_text(s): name for name, s in (sentences or SENTENCES)}
 
 
+def marked(text: Column) -> Column:
+    """The text normalised as a whole: each cut at a sentence's end is \\x01, each cut at a
+    line end is a line feed, one stands before and after the text, and there are no blanks around them."""
+    # "!" or ";" before a line is a comment mark and ends nothing
+    marks = F.regexp_replace(F.translate(text, "\x01", " "), r"\n[\x20\t]*[!;]+[\x20\t]+", "\n!")
+    ends = F.regexp_replace(marks, r"(?<=[.;:!?])[\x20\t-\r]+", "\x01")
+    lines = F.regexp_replace(ends, r"\n(?=[\x20\t/*#;-]*[a-z])", " ")
+    plain = F.regexp_replace(F.translate(lines, UPPER, LOWER), r"[^a-z0-9\n\x01]+", " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), plain, F.lit("\n")), r"\x20?([\n\x01])\x20?", "$1")
+
+
+def known_pattern(known) -> str:
+    """Matches a known sentence in a marked text, with the mark before it."""
+    ordered = sorted(filter(None, known), key=lambda s: (-len(s), s))
+    return r"[\n\x01](?:" + "|".join(s.replace(" ", r"[\x20\n]") for s in ordered) + r")(?=[\n\x01])"
+
+
 def cued(text: Column) -> Column:
     return let(F.translate(text, UPPER, LOWER),
                lambda low: reduce(or_, (F.contains(low, F.lit(cue)) for cue in CUE)))
@@ -169,12 +183,11 @@ def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), sentences=None,
     require_columns(docs, text, *keep)
     known = known_sentences(sentences)
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
-    names = sorted(known)
+    pattern = F.lit(known_pattern(known))
 
     def identifiers(value):
-        parts = F.transform(F.split(value, CUT), normalised)
-        # the set test is a hash lookup, so the map is searched for known sentences only
-        return F.transform(F.filter(parts, lambda s: s.isin(names)), lambda s: table[s])
+        return F.transform(F.regexp_extract_all(marked(value), pattern, F.lit(0)),
+                           lambda s: table[F.trim(F.translate(s, "\n\x01", "  "))])
 
     nothing = F.array().cast("array<string>")
     ids = F.when(cued(F.coalesce(text, F.lit(""))), identifiers(F.col(text))).otherwise(nothing)
@@ -201,7 +214,7 @@ def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), sentences=None,
 
 
 def scan_sql(table: str = "documents", sentences=None, rules=None) -> str:
-    """DuckDB SQL for ``scan`` over ``table`` (doc_id, text)."""
+    """DuckDB SQL for ``scan`` over ``table`` (doc_id, text), where no sentence is joined across a cut."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in known_sentences(sentences).items())
     steps, licences = [], []

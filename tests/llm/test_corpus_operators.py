@@ -341,6 +341,49 @@ def test_longer_licence_rules_go_first(spark):
     assert got.licences == "GPL-3.0-or-later" and got.unmatched is None
 
 
+GPL3_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+GPL2_NOTICE = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by the
+Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+MIT_AS_IS = """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+
+
+def test_licences_of_wrapped_notices(spark):
+    gpl3, gpl2 = "FreeSoftware,Gpl3Either,GplHope", "FreeSoftware,Gpl2Terms,Gpl2Later"
+    apache = "ApacheRef2,ApacheComply,ApacheCopy,ApacheAsIs"
+    want = [(GPL3_NOTICE, gpl3, "GPL-3.0-or-later"), (GPL2_NOTICE, gpl2, "GPL-2.0-or-later"),
+            (APACHE_NOTICE, apache, "Apache-2.0"),
+            (MIT + MIT_AS_IS, "MitRef,PermissionGrant,NoticeIncluded,AsIs", "MIT")]
+    for mark in ("% ", "! ", ";; ", " * ", "// ", "> "):
+        want += [(mark + text.replace("\n", "\n" + mark), ids, name) for text, ids, name in want[:4]]
+    want += [(text.replace("\n", "\r\n"), ids, name) for text, ids, name in want[:4]]
+    want += [("MIT\n\nLicense", None, None), ("MIT\nLicense", "MitRef", "MIT"), ("A MIT\nLicense", None, None),
+             ("MIT. License", None, None), ("MIT\x01License", "MitRef", "MIT")]
+    got = {r.doc_id: r for r in licences.scan(frame(spark, [w[0] for w in want])).collect()}
+    assert [(got[i].sentence_ids, got[i].licences) for i in range(len(want))] == [w[1:] for w in want]
+
+
 # -- op 10 --------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://", "http://COM/x", "https://a.example.com/en/1", "https://WWW.example.com/en/2",
