@@ -139,7 +139,7 @@ RULES = [
 ]
 
 NOT_WORD = r"[^a-z0-9]+"
-#: Every known sentence holds one of these: a text without any is not cut at all.
+#: What the SQL looks for before it cuts a text; ``scan`` uses ``cue_words``.
 CUE = ("licen", "permission", "copyright", "rights", "redistribut", "free software", "as is", "warrant",
        "public domain", "distribute")
 
@@ -172,9 +172,24 @@ def known_pattern(known) -> str:
     return r"[\n\x01](?:" + "|".join(s.replace(" ", r"[\x20\n]") for s in ordered) + r")(?=[\n\x01])"
 
 
-def cued(text: Column) -> Column:
+def cue_words(known) -> list[str]:
+    """Single words, every known sentence holding one: a text without any is not cut at all.
+
+    A word is never broken by normalising, so it stands in the text as it does in the sentence.
+    """
+    left, cues = set(filter(None, known)), []
+    words = {w for s in left for w in s.split()}
+    while left:
+        # long words first: short ones are in most texts
+        cues.append(max(words, key=lambda w: (any(w in s for s in left), min(len(w), 6),
+                                              sum(w in s for s in left), w)))
+        left = {s for s in left if cues[-1] not in s}
+    return cues
+
+
+def cued(text: Column, known) -> Column:
     return let(F.translate(text, UPPER, LOWER),
-               lambda low: reduce(or_, (F.contains(low, F.lit(cue)) for cue in CUE)))
+               lambda low: reduce(or_, (F.contains(low, F.lit(cue)) for cue in cue_words(known)), F.lit(False)))
 
 
 def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), sentences=None, rules=None) -> DataFrame:
@@ -190,7 +205,7 @@ def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), sentences=None,
                            lambda s: table[F.trim(F.translate(s, "\n\x01", "  "))])
 
     nothing = F.array().cast("array<string>")
-    ids = F.when(cued(F.coalesce(text, F.lit(""))), identifiers(F.col(text))).otherwise(nothing)
+    ids = F.when(cued(F.coalesce(text, F.lit("")), known), identifiers(F.col(text))).otherwise(nothing)
     found = docs.select(*(F.col(c) for c in keep), ids.alias("_ids"))
 
     def judge(ids):

@@ -384,6 +384,17 @@ def test_licences_of_wrapped_notices(spark):
     assert [(got[i].sentence_ids, got[i].licences) for i in range(len(want))] == [w[1:] for w in want]
 
 
+def test_licence_cues_stand_in_the_raw_text(spark):
+    texts = ["This work is in the public\ndomain.", "This work is in the public  domain.",
+             "# This work is in the public\n# domain.", "All\nrights\nreserved."]
+    got = {r.doc_id: r.licences for r in licences.scan(frame(spark, texts)).collect()}
+    assert got == {0: "LicenseRef-Public-Domain", 1: "LicenseRef-Public-Domain", 2: "LicenseRef-Public-Domain",
+                   3: "LicenseRef-Proprietary"}
+    own = licences.scan(frame(spark, ["Take it. Use as you like!", "go on", "nothing"]),
+                        sentences=[("Free", "use as you like"), ("Go", "Go on.")], rules=[("Any", "Free"), ("On", "Go")])
+    assert sorted((r.doc_id, r.licences) for r in own.collect()) == [(0, "Any"), (1, "On"), (2, None)]
+
+
 # -- op 10 --------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://", "http://COM/x", "https://a.example.com/en/1", "https://WWW.example.com/en/2",
