@@ -11,12 +11,13 @@ ends, so a span found in the rewritten text maps back to source characters:
 2. letters that look like digits (O, I, l) inside a number;
 3. spelled dots, then spelled at signs: in brackets or between marks always, as
    bare words only where they join parts of an address (a bare "at" must be
-   followed by a name with a spelled dot, so "at example.com" in prose is left
-   alone); character references of both;
+   followed by a name with a spelled dot, or stand between a local part with a
+   dot, a plus or an underscore inside and a dotted name, so "look at
+   example.com" in prose is left alone); character references of both;
 4. spelled digits, and "plus" before a number.
 
-What the same patterns find there is added where it overlaps no base span of its
-kind.  Base spans are never changed.  A text that none of the transducers can
+What the same patterns find there is added where it does not lie within a base
+span of its kind; a wider one stands beside it.  Base spans are never changed.  A text that none of the transducers can
 change is searched once.
 
 Offsets are code points, ends exclusive.  Null counts as empty.  Every row is
@@ -29,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -93,6 +94,8 @@ class Finder:
                              rf"&#0*64;|&#x0*40;|%40|(?<!\s)\s+(?:arroba|arobase)\s+)")
         # a bare "at" stands before a name that goes on with a spelled dot (see ``deobfuscate``)
         self.bare_at = re.compile(r"(?i:(?<=[a-z0-9._%+-])[\s_]+at[\s_]+(?=([a-z0-9-]+(?:\.[a-z0-9-]+)+)))")
+        # ... or after a local part that is evidently one (see ``evident``)
+        self.evident_at = re.compile(r"(?i:(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![a-z0-9_])))")
         self.spelled = re.compile(rf"(?i:(?<![^\W_])(?:{names})(?:[\s,-]+(?:{names}))*(?![^\W_]))")
         self.name = re.compile(rf"(?i:{names})")
         self.plus = re.compile(r"(?i:(?:(?<![^\W_])plus\s*|\+\s+)(?=[0-9]))")
@@ -150,11 +153,21 @@ class Finder:
         if dots:
             # only where a dot of the name was a spelled one
             tape.rewrite(self.bare_at, lambda m: "@" if tape.written[slice(*m.span(1))].any() else None)
+        tape.rewrite(self.evident_at, lambda m: "@" if self.evident(m) else None)
         tape.rewrite(self.spelled, lambda m: [(n.start(), n.end(), self.digits[n[0].lower()])
                                               for n in self.name.finditer(m[0])])
         tape.rewrite(self.plus, lambda m: "+" if m[0][0] != "+" or tape.written[m.end()] else None)
         return tape if tape.changed else None
 
+    def evident(self, m) -> bool:
+        """Whether a bare "at" follows a local part with a dot, a plus or an underscore inside."""
+        text, start = m.string, m.start()
+        while start and text[start - 1] in self.local:
+            start -= 1
+        local = text[start:m.start()]
+        return (local[0].isalnum() and any(c in ".+_" for c in local)
+                and not local.lower().startswith("www.") and ".." not in local)
+
     def all_spans(self, text: str):
         """(base spans, all spans) of a text."""
         base = self.spans(text)
@@ -164,8 +177,8 @@ class Finder:
         added = []
         for kind, s, e in self.spans(tape.text):
             start, end = int(tape.start[s]), int(tape.end[e - 1])
-            before = bisect_left(base, (kind, end)) - 1      # the last base span that begins before ``end``
-            if before < 0 or base[before][0] != kind or base[before][2] <= start:
+            before = bisect_right(base, (kind, start, len(text))) - 1    # the last base span from ``start`` or before
+            if before < 0 or base[before][0] != kind or base[before][2] < end:
                 added.append((kind, start, end))
         return base, sorted(base + added)
 
@@ -246,9 +259,25 @@ def write_spans(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-#: What a text must hold for a pattern or a transducer to find anything (RE2 syntax).
-MAY_HOLD = (r"[0-9@]|[^\x00-\x7f\xa1-\xac\xae-\xff]|(?i:[\[({<]\s*(?:" + AT_WORDS + "|" + DOT_WORDS
-            + r"|[.@])\s*[\])}>]|[\s*|=~\"'_-](?:" + DOT_WORDS + "|arroba|arobase" + r")[\s*|=~\"'_-])")
+def gate() -> str:
+    """What a text must hold for a pattern or a transducer to find anything (RE2 syntax).
+
+    Every span holds a digit or an at sign: as it stands, from a look-alike, from an at
+    word or from spelled digits.  A bare "at" also takes a spelled dot or a local part
+    that is evidently one.  The classes are the transducers' own or wider.
+    """
+    blank = r"\s\x0b\x1c-\x1f"          # what Python's \s has besides RE2's; others are look-alikes
+    changed = "".join(rf"\x{{{n:x}}}" for n in range(0x80, 0x100) if n <= 0xa0 or look_alike(chr(n)) != chr(n))
+    marks = blank + r"*|=~\"'_-"
+    names = "|".join(sorted(spelled_digits(), key=len, reverse=True))
+    return "|".join([
+        rf"[0-9@{changed}]|[^\x{{0}}-\x{{ff}}]",
+        rf"(?i:[\[({{<][{blank}]*(?:{AT_WORDS}|{DOT_WORDS}|\.)[{blank}]*[\])}}>])",
+        rf"(?i:[{marks}](?:{DOT_WORDS}|arroba|arobase)[{marks}])",
+        rf"(?i:[*|=~\"'_-][{blank}]*(?:{AT_WORDS})[{blank}]*[*|=~\"'_-])",
+        rf"(?i:[a-z0-9][._+][a-z0-9._%+-]*[{blank}]+at[{blank}]+[a-z0-9-]+\.)",
+        # a number spelled in full takes several digit words in a row
+        rf"(?i:(?:{names})(?:[{blank},.()-]+(?:{names})){{3}})"])
 
 
 def find_private(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
@@ -263,9 +292,7 @@ def find_private(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataF
         import pyarrow as pa
         import pyarrow.compute as pc
         finder = Finder()
-        spelled = "|".join(sorted(set(finder.digits)))
-        # a number spelled in full takes several digit words in a row
-        may_hold = MAY_HOLD + rf"|(?i:\b(?:{spelled})(?:[\s,.-]+(?:{spelled})\b){{3}})"
+        may_hold = gate()
         nothing = (0, 0, 0, 0, EMPTY_HASH, "", 0)
         for whole in batches:
             for batch in text_slices(whole, "_text"):

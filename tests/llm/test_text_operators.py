@@ -134,6 +134,33 @@ def test_disguised_data_maps_back_to_the_source(text, found):
     assert set(base) <= set(every)
 
 
+DISGUISES = [
+    "write to john*AT*mail.com please", "by john -at- mail.com", "john_at_mail.com", "john = at = mail.com",
+    "john \x1c-\x0bat\x0b- mail.com", "john (at) mail.com", "john <\x0bat\x1d> mail.com", "john arroba mail.com",
+    "john at mail dot com", "john dot doe at mail.com", "jane.doe at example.com", "jane_doe at example.com",
+    "jane+x\x0bat example.com", "_one.two.three.four_", "one\u00b7two\u00b7three\u00b7four", "\u00b9.\u00b2.\u00b3.\u00b9",
+    "+one (two) (three) (four) (five)(six)(seven)(eight)", "one dot two dot three [dot] four",
+    "plus one two three four five six seven eight"]
+
+
+def test_every_disguise_passes_the_gate(spark):
+    texts = DISGUISES + HARD + [f"{a}{b}{c}at{c}{b}mail{d}com" for a in ("john", "x.y") for b in ("", " ", "\x0b")
+                                for c in "* | = ~ \" ' _ - -- ( <".split() for d in (".", " dot ", "(.)")]
+    finder = pii.Finder()
+    got = {r.doc_id: r.spans for r in pii.find_private(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [pii.write_spans(finder.all_spans(t or "")[1]) for t in texts]
+    assert all(got[i] for i in range(len(DISGUISES)))
+
+
+def test_bare_at_and_wider_spans():
+    spans = lambda t: pii.write_spans(pii.Finder().all_spans(t)[1])
+    assert spans("ask jane.doe at example.com.") == "email:4:27"
+    assert spans("look at example.com") == spans("the end. at example.com") == ""
+    assert spans("www.here.org at example.com") == spans("jane.doe at home") == ""
+    assert spans("to john dot doe@mail.com") == "email:3:24,email:12:24"
+    assert spans("a@b.de dot com, x@y.de") == "email:0:6,email:0:14,email:16:22"
+
+
 def test_base_and_disguised_spans_stand_side_by_side():
     base, every = pii.Finder().all_spans("a@b.de and c (at) d.ef")
     assert pii.write_spans(base) == "email:0:6" and pii.write_spans(every) == "email:0:6,email:11:22"
