@@ -1,18 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: gapped n-gram seeds, then Smith-Waterman alignment.
 
 1. Words are the ``\\w+`` runs of the lower-cased text, held as 64-bit XXH64.
    Test items of equal words are one item, named by its smallest id.
-2. All documents are counted for the words of the items.  The *chance rate* of
-   an item's n-gram is the product of its words' shares of the corpus: how often
-   it would turn up among unrelated words.  It does not rise when a whole
-   passage is copied thousands of times, and does not depend on the corpus size.
-   The n-grams with a rate up to ``max_rate`` are the item's seeds; an item
-   without any uses all of its n-grams.
-3. The documents are scanned once more.  A table of 2**22 cells (its size does
-   not grow with the benchmark) lets through the n-grams that may be seeds, with
-   the reach of the items behind them.  Around the hits a *passage* is cut out,
-   long enough to hold the whole item with half its length of insertions at
-   either side; overlapping ones are merged.
+2. A *gram* is ``n`` words of the item in order with up to ``2n - 3`` words left out
+   between them.  An alignment of score ``s`` with an item of ``L`` words has at least
+   ``s L - n + 1`` runs of ``n`` successive matches with so few columns between them
+   (each match over ``s L`` pays for at most two errors, an error lies in ``n - 1``
+   runs), and these runs begin at different words of the item.  So of any
+   ``L - n + 1 - (s L - n + 1) + 1`` words one begins such a run, and the grams that
+   begin at the rarest of them, by the documents' counts of their words, are seeds
+   enough: every pair from ``min_score`` on holds one, whatever was edited (for
+   ``s L > n - 1``, else all are seeds).  Those with a *chance rate* up to ``max_rate``
+   are seeds too; the rate, the product of the words' shares of the corpus, does
+   not rise when a whole passage is copied thousands of times.
+3. The documents are scanned once more, for words with as few left out.  Two tables
+   of fixed size (they do not grow with the benchmark) let through the grams that
+   may be seeds, with the reach of the items behind them.  Around the hits a
+   *passage* is cut out, long enough to hold any alignment of the item from
+   ``min_score`` on at either side; overlapping ones are merged.
 4. The hits of the passages join the seeds by hash, which gives the pairs of
    passage and item; each pair is aligned: a match counts ``MATCH``, a
    substitution or a gap ``-1``, and the best local score is divided by that of
@@ -29,11 +34,12 @@ result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .chunks import Cache, gather, split_chunks
 from .common import materialise, require_columns, row_key, text_slices, worker_state
@@ -44,6 +50,8 @@ MIN_WORDS = 8
 MIN_SCORE = 0.5
 MATCH = 2
 CELL_BITS = 22
+#: A second table over the bits below those of the cell.
+CHECK_BITS = 24
 #: Odd multipliers that mix the word hashes of an n-gram.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -91,14 +99,24 @@ def hasher() -> Hasher:
     return worker_state("decontaminate", Hasher)
 
 
+def shapes(n: int):
+    """Places, from the first one, of ``n`` words with up to 2n - 3 words left out between them."""
+    most = max(2 * n - 3, 0)
+    for steps in itertools.product(range(1, most + 2), repeat=n - 1):
+        if sum(steps) - len(steps) <= most:
+            yield (0, *itertools.accumulate(steps))
+
+
 def grams_of(words, n: int):
-    """64-bit hashes of all runs of ``n`` words."""
-    if len(words) < n:
-        return np.empty(0, np.uint64)
-    mixed = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        mixed = (mixed ^ (mixed >> np.uint64(29))) + words[k:len(words) - n + 1 + k] * np.uint64(MIX[k])
-    return mixed ^ (mixed >> np.uint64(32))
+    """For each shape: its span, and the 64-bit hashes of the words so placed from each word on."""
+    mixed = [words * np.uint64(m) for m in MIX[:n]]
+    for places in shapes(n):
+        span = places[-1] + 1
+        size = max(len(words) - span + 1, 0)
+        gram = mixed[0][:size]
+        for k, place in enumerate(places[1:], 1):
+            gram = gram + mixed[k][place:place + size]
+        yield span, gram
 
 
 def _longs(values):
@@ -109,10 +127,14 @@ def _cell(column):
     return F.shiftrightunsigned(column, 64 - CELL_BITS)
 
 
+def _check(column):
+    return F.shiftrightunsigned(column, 64 - CELL_BITS - CHECK_BITS).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
+
+
 # -- the benchmark ----------------------------------------------------------------
 
 def benchmark_items(benchmark: DataFrame, text: str, item_id: str, n: int, min_words: int) -> DataFrame:
-    """(item, words, grams) of the items that are long enough, equal ones once."""
+    """(item, words) of the items that are long enough, equal ones once."""
     def hashed(batches):
         import pyarrow as pa
         of = hasher()
@@ -121,15 +143,14 @@ def benchmark_items(benchmark: DataFrame, text: str, item_id: str, n: int, min_w
                 words, starts = of.texts(batch.column(1))
                 own = [words[starts[i]:starts[i + 1]] for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([_longs(w).tolist() for w in own], pa.list_(pa.int64())),
-                     pa.array([_longs(grams_of(w, n)).tolist() for w in own], pa.list_(pa.int64()))],
-                    names=["item", "words", "grams"])
+                    [batch.column(0), pa.array([_longs(w).tolist() for w in own], pa.list_(pa.int64()))],
+                    names=["item", "words"])
 
     kind = benchmark.schema[item_id].dataType.simpleString()
     rows = benchmark.select(F.col(item_id).alias("_item"), F.col(text).alias("_text"))
-    found = rows.mapInArrow(hashed, f"item {kind}, words array<long>, grams array<long>")
+    found = rows.mapInArrow(hashed, f"item {kind}, words array<long>")
     return (found.where(F.size("words") >= max(min_words, n)).groupBy("words")
-                 .agg(F.min("item").alias("item"), F.first("grams").alias("grams")))
+                 .agg(F.min("item").alias("item")))
 
 
 def corpus_counts(docs: DataFrame, text: str, cells) -> DataFrame:
@@ -153,29 +174,55 @@ def corpus_counts(docs: DataFrame, text: str, cells) -> DataFrame:
                 .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def seeds_of(items: DataFrame, counts: DataFrame, n: int, max_rate: float) -> DataFrame:
-    """(item, gram, reach): the rare n-grams of each item, or all if none is rare."""
+def seeds_of(items: DataFrame, counts: DataFrame, n: int, max_rate: float,
+             min_score: float = MIN_SCORE) -> DataFrame:
+    """(item, gram, reach): the grams of each item that any pair from ``min_score`` on must share, and the rare ones."""
     total = counts.where("word is null").agg(F.sum("n")).first()[0] or 1       # one number
     shares = items.select("item", F.posexplode("words").alias("pos", "word")).join(counts, "word", "left")
     log_share = F.log(F.greatest(F.coalesce("n", F.lit(0)), F.lit(0.5)) / F.lit(float(total)))
-    ahead = Window.partitionBy("item").orderBy("pos").rowsBetween(0, n - 1)
-    rated = shares.select("item", "pos", F.sum(log_share).over(ahead).alias("log_rate"))
-    grams = items.select("item", F.size("words").alias("reach"), F.posexplode("grams").alias("pos", "gram"))
-    rare = F.col("log_rate") <= math.log(max_rate)
-    of_item = Window.partitionBy("item")
-    return (grams.join(rated, ["item", "pos"]).withColumn("rare", rare)
-                 .withColumn("any_rare", F.max("rare").over(of_item))
-                 .where(F.col("rare") | ~F.col("any_rare")).select("item", "gram", "reach").distinct())
+    placed = F.sort_array(F.collect_list(F.struct("pos", "word", log_share.alias("share"))))
+    of_item = shares.groupBy("item").agg(placed.alias("placed")).select(
+        "item", F.col("placed.word").alias("words"), F.col("placed.share").alias("shares"))
+    kind = items.schema["item"].dataType.simpleString()
+
+    def choose(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = np.asarray(batch.column(1)[i].as_py(), np.int64).view(np.uint64)
+                share = np.asarray(batch.column(2)[i].as_py())
+                begins = len(words) - n + 1
+                grams, rates = np.empty(0, np.uint64), np.empty(0)
+                at, rate = np.empty(0, np.int64), np.full(begins, -np.inf)
+                for places, (span, gram) in zip(shapes(n), grams_of(words, n)):
+                    own = sum(share[p:p + len(gram)] for p in places)
+                    rate[:len(gram)] = np.logaddexp(rate[:len(gram)], own)
+                    grams, rates = np.concatenate((grams, gram)), np.concatenate((rates, own))
+                    at = np.concatenate((at, np.arange(len(gram))))
+                runs = math.ceil(min_score * len(words) - 1e-9) - n + 1
+                needed = np.zeros(begins, bool)
+                needed[np.argsort(rate, kind="stable")[:begins - max(runs, 1) + 1]] = True
+                seeds = np.unique(grams[needed[at] | (rates <= math.log(max_rate))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([i] * len(seeds), pa.int64())),
+                     pa.array(_longs(seeds)), pa.array([len(words)] * len(seeds), pa.int32())],
+                    names=["item", "gram", "reach"])
+
+    return of_item.mapInArrow(choose, f"item {kind}, gram long, reach int")
 
 
 # -- the documents ----------------------------------------------------------------
 
-def passages(docs: DataFrame, seeds: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
+def passages(docs: DataFrame, seeds: DataFrame, text: str, doc_id: str, n: int,
+             min_score: float = MIN_SCORE) -> DataFrame:
     """(_k1, _k2, _id, start, words, hits): the neighbourhoods of possible seeds."""
     # at most 2**CELL_BITS rows, whatever the benchmark
     cells = seeds.groupBy(_cell("gram").cast("int").alias("cell")).agg(F.max("reach").alias("reach")).toPandas()
+    # at most 2**CHECK_BITS
+    checks = seeds.select(_check("gram").cast("int").alias("check")).distinct().toPandas()
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((cells["cell"].to_numpy(np.int32), cells["reach"].to_numpy(np.int32)))
+    shared = spark.sparkContext.broadcast((cells["cell"].to_numpy(np.int32), cells["reach"].to_numpy(np.int32),
+                                           checks["check"].to_numpy(np.int32)))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def scan(batches):
@@ -183,31 +230,42 @@ def passages(docs: DataFrame, seeds: DataFrame, text: str, doc_id: str, n: int)
         of = hasher()
         reach = np.zeros(1 << CELL_BITS, np.int32)
         reach[shared.value[0]] = shared.value[1]
+        wanted, checked = reach > 0, np.zeros(1 << CHECK_BITS, bool)
+        checked[shared.value[2]] = True
+        to_cell, to_check = np.uint64(64 - CELL_BITS), np.uint64(64 - CELL_BITS - CHECK_BITS)
+        mask = np.uint64((1 << CHECK_BITS) - 1)
         for whole in batches:
             for batch in text_slices(whole, "_text"):
                 words, starts = of.texts(batch.column(3))
-                grams = grams_of(words, n)
-                found = np.flatnonzero(reach[grams >> np.uint64(64 - CELL_BITS)])
+                places, spans, kinds = [], [], []
+                for span, gram in grams_of(words, n):
+                    at = np.flatnonzero(wanted[gram >> to_cell])
+                    at = at[checked[(gram[at] >> to_check) & mask]]
+                    places.append(at)
+                    spans.append(np.full(len(at), span))
+                    kinds.append(gram[at])
+                found, span, gram = np.concatenate(places), np.concatenate(spans), np.concatenate(kinds)
                 row = np.searchsorted(starts, found, side="right") - 1
-                inside = found + n <= starts[row + 1]          # not across two documents
-                found, row = found[inside], row[inside]
-                far = reach[grams[found] >> np.uint64(64 - CELL_BITS)].astype(np.int64)
-                far += far // 2
-                lo, hi = np.maximum(found - far, starts[row]), np.minimum(found + n + far, starts[row + 1])
+                inside = found + span <= starts[row + 1]       # not across two documents
+                found, row, span, gram = found[inside], row[inside], span[inside], gram[inside]
+                far = reach[gram >> to_cell].astype(np.int64)
+                # the errors that a copy of the whole item can have
+                far += np.ceil(2 * max(1 - min_score, 0) * far).astype(np.int64)
+                lo, hi = np.maximum(found - far, starts[row]), np.minimum(found + span + far, starts[row + 1])
                 # a later hit of a longer item may reach further back: merged in order of their
                 # beginnings, the passages of a document are disjoint and ``start`` names one
                 order = np.lexsort((lo, row))
-                found, row, lo, hi = found[order], row[order], lo[order], hi[order]
+                gram, row, lo, hi = gram[order], row[order], lo[order], hi[order]
                 rows, firsts, parts, hits = [], [], [], []
                 k = 0
-                while k < len(found):
+                while k < len(gram):
                     begin, end, last = lo[k], hi[k], k + 1
-                    while last < len(found) and row[last] == row[k] and lo[last] <= end:
+                    while last < len(gram) and row[last] == row[k] and lo[last] <= end:
                         end, last = max(end, hi[last]), last + 1
                     rows.append(int(row[k]))
                     firsts.append(int(begin - starts[row[k]]))
                     parts.append(_longs(words[begin:end]).tolist())
-                    hits.append(np.unique(_longs(grams[found[k:last]])).tolist())
+                    hits.append(np.unique(_longs(gram[k:last])).tolist())
                     k = last
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -254,8 +312,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id
     items = materialise(benchmark_items(benchmark, item_text, item_id, n, min_words), "leak-items")
     cells = _word_cells(items)
     counts = materialise(corpus_counts(docs, text, cells), "leak-counts")
-    seeds = materialise(seeds_of(items, counts, n, max_rate), "leak-seeds")
-    near = materialise(passages(docs, seeds, text, doc_id, n), "leak-passages")
+    seeds = materialise(seeds_of(items, counts, n, max_rate, min_score), "leak-seeds")
+    near = materialise(passages(docs, seeds, text, doc_id, n, min_score), "leak-passages")
     place = ["_k1", "_k2", "start"]
     pairs = (near.select(*place, F.explode("hits").alias("gram"))
                  .join(seeds.select("gram", "item"), "gram").select(*place, "item").distinct())

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -282,6 +283,31 @@ def test_leaks_copied_everywhere_are_still_found(spark):
     assert sorted(r.doc_id for r in decontaminate.find_leaks(docs, bench).collect()) == list(range(300))
 
 
+def test_heavily_edited_leaks_equal_aligning_everything(spark):
+    rng = random.Random(8)
+    items = [prose(rng.randint(8, 59), 9500 + i) for i in range(10)]
+
+    def edited(text, every, at):
+        return " ".join("edit" + w if i % every == at else w for i, w in enumerate(text.split()))
+    copies = [edited(t, every, at) for t in items for every, at in ((3, 0), (3, 1), (3, 2), (4, 1))]
+    copies += [" ".join(x for w in t.split() for x in (w, "added" + w)) for t in items]      # no two words adjacent
+    copies += [" ".join(w for i, w in enumerate(t.split()) if i % 4) for t in items]
+    texts = [prose(70, 300 + i) + " " + t + " " + prose(70, 700 + i) for i, t in enumerate(copies)]
+    words = [t.split() for t in texts]
+    want = {}
+    for d, text in enumerate(words):
+        for k, item in enumerate(items):
+            share = decontaminate.local_alignment(*(np.array([hash(w) for w in x]) for x in (item.split(), text)))[0] / (
+                2 * len(item.split()))
+            if share >= .5:
+                want[d, k] = round(share, 6)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    # every word is common: no gram is rare
+    docs = frame(spark, texts + [" ".join(WORDS)] * 2)
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == want and len(want) > 40
+
+
 def test_a_long_item_reaches_back_over_a_short_one(spark):
     short, long = prose(16, 801), prose(59, 802)
     other = prose(62, 803).split()
