@@ -15,6 +15,13 @@ def tokenizer_spec(name: str = "word_bpe_49k.json") -> str:
         return f.read()
 
 
+def tokenizer_model(name: str) -> bytes:
+    """A public sentencepiece model's content."""
+    import public_tokenizers
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
 def word_pieces(name: str = "piece_bpe_32k.model") -> list[str]:
     """The pieces of a public tokenizer: those with the word mark begin words, the others
     go on (``##``); control and byte pieces are left out."""
@@ -84,6 +91,24 @@ def op8_token_files(docs, spark, sf_dir):
     return token_files.round_trip(docs, tokenizer_spec())
 
 
+@_documents
+def op11_alignment(docs, spark, sf_dir):
+    from . import alignment
+    return alignment.align_documents(docs, tokenizer_spec("byte_bpe_50k.json"), tokenizer_model("piece_bpe_32k.model"))
+
+
+@_documents
+def op12_secrets(docs, spark, sf_dir):
+    from . import secrets
+    return secrets.find_secrets(docs).drop("found")
+
+
+@_documents
+def op13_ranked_search(docs, spark, sf_dir):
+    from . import ranked_search
+    return ranked_search.search(docs, read_table(spark, sf_dir, "benchmark"), k=50)
+
+
 # The rules of the url query (verdict, host, path).
 URL_RULES = [
     ("allow", "com", "/"),
@@ -116,6 +141,9 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_licences": op9_licences,
     "op10_url_rules": op10_url_rules,
+    "op11_alignment": op11_alignment,
+    "op12_secrets": op12_secrets,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -191,7 +219,29 @@ FROM figures
 """
 
 
+SEARCH_SQL = f"""
+WITH terms AS (SELECT rid, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}),
+                   '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+               FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)),
+lengths AS (SELECT rid, count(*) AS n FROM terms GROUP BY rid),
+total AS (SELECT count(*) AS nd, CAST(coalesce(sum(n), 0) AS BIGINT) AS nt FROM lengths),
+found AS (SELECT rid, doc_id, term, count(*) AS tf FROM terms GROUP BY rid, doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM found GROUP BY term), total),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}),
+              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+scored AS (SELECT item_id, rid, doc_id,
+                  CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // nt)))) AS BIGINT) AS score
+           FROM asked JOIN weights USING (term) JOIN found USING (term) JOIN lengths USING (rid), total
+           GROUP BY item_id, rid, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank,
+                  doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 SQL = {
+    "op13_ranked_search": SEARCH_SQL,
     "op1_quality": QUALITY_SQL,
     "op6_line_dedup": LINE_SQL,
     "op9_licences": scan_sql(),
