@@ -32,12 +32,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import byte_letters
-from .chunks import Cache, gather
+from .chunks import Generations, gather
 from .common import materialise, require_columns, text_slices, worker_state
 
 BLOCK_DOCS = 1 << 16
@@ -60,11 +61,16 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         code = {letter: byte for byte, letter in enumerate(byte_letters())}
         vocabulary = json.loads(byte_spec)["model"]["vocab"]
-        self.a_bytes = {i: bytes(code[c] for c in piece) for piece, i in vocabulary.items()
-                        if all(c in code for c in piece)}
-        self.b_bytes = [self._piece_bytes(i) for i in range(self.b.get_piece_size())]
+        spelt = [b""] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            if all(c in code for c in piece):
+                spelt[i] = bytes(code[c] for c in piece)
+        self.a_bytes = Spelling(spelt)
+        self.b_bytes = Spelling([self._piece_bytes(i) for i in range(self.b.get_piece_size())])
+        n = max(len(spelt), self.b.get_piece_size())
+        self.written = Spelling([f"{i}{mark}".encode() for i in range(n) for mark in ",|;"])
         self.blank = self.b.piece_to_id("▁")
-        self.seen = Cache(250_000)
+        self.seen = Generations(400_000)
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -76,37 +82,82 @@ class Aligner:
         found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         return [[self.blank] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, found)]
 
-    def align(self, chunk: str, a: list[int], b: list[int]):
-        """(n_a, n_b, n_groups, links as a << 32 | b, groups); None if the tokens do not spell the chunk."""
-        plain = chunk.encode()
-        spelt_a, spelt_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(spelt_a) != plain or b"".join(spelt_b) != plain:
-            return None
-        ends_a, ends_b = np.cumsum([*map(len, spelt_a)]).tolist(), np.cumsum([*map(len, spelt_b)]).tolist()
-        links, groups = [], []
-        i = j = first_a = first_b = 0
-        while i < len(a) and j < len(b):
-            links.append(a[i] << 32 | b[j])
-            end_a, end_b = ends_a[i], ends_b[j]
-            if end_a <= end_b:
-                i += 1
-            if end_b <= end_a:
-                j += 1
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                first_a, first_b = i, j
-        return len(a), len(b), len(groups), np.array(links, np.uint64).tobytes(), ";".join(groups)
-
-    def chunks(self, chunks: list[str]) -> list:
-        found = [self.seen.get(c, 0) for c in chunks]
-        new = [i for i, known in enumerate(found) if known == 0]
-        for k in range(0, len(new), 1024):
-            run = [chunks[i] for i in new[k:k + 1024]]
-            for i, c, a, b in zip(new[k:k + 1024], run, self.a.encode_batch(run, add_special_tokens=False),
-                                  self._b_ids(run)):
-                found[i] = self.seen.put(c, self.align(c, a.ids, b))
+    def tokens(self, chunks: list[str]) -> list[bytes]:
+        """For each chunk its number of A tokens, the A ids and the B ids, as 32-bit integers."""
+        seen = self.seen
+        found = [seen.get(c) for c in chunks]
+        new = [i for i, known in enumerate(found) if known is None]
+        for k in range(0, len(new), 2048):
+            at = new[k:k + 2048]
+            run = [chunks[i] for i in at]
+            for i, c, a, b in zip(at, run, self.a.encode_batch_fast(run, add_special_tokens=False), self._b_ids(run)):
+                ids = a.ids
+                found[i] = seen.put(c, array("i", [len(ids), *ids, *b]).tobytes())
         return found
 
+    def align(self, chunks):
+        """(right, n_a, n_b, n_groups, link keys, their chunks, groups) of an Arrow array of chunks.
+
+        ``right``: whether the tokens of both spell the chunk; the others have none.
+        The ends of all tokens cut the bytes into intervals, each within one A and one
+        B token: the links.
+        """
+        import pyarrow.compute as pc
+        n = len(chunks)
+        packed = self.tokens(chunks.to_pylist())
+        flat = np.frombuffer(b"".join(packed), np.int32)
+        size = np.fromiter(map(len, packed), np.int64, n) // 4
+        first = np.cumsum(size) - size
+        owner = np.repeat(np.arange(n), size)
+        place = np.arange(len(flat)) - first[owner]
+        side_b = place > flat[first][owner]
+        side_a = (place > 0) & ~side_b
+        a, b, of_a, of_b = flat[side_a], flat[side_b], owner[side_a], owner[side_b]
+        plain = pc.binary_length(chunks).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset:chunks.offset + n + 1]
+        data = np.frombuffer(chunks.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if n else np.empty(0, np.uint8)
+        right = np.ones(n, bool)
+        for ids, of, spelling in ((a, of_a, self.a_bytes), (b, of_b, self.b_bytes)):
+            right &= np.bincount(of, spelling.size[ids], n).astype(np.int64) == plain
+        at = np.repeat(np.arange(n), plain)
+        for ids, of, spelling in ((a, of_a, self.a_bytes), (b, of_b, self.b_bytes)):
+            whole = right.copy()
+            wrong = spelling.bytes(ids[whole[of]]) != data[whole[at]]
+            right[at[whole[at]][wrong]] = False
+        a, b, of_a, of_b = a[right[of_a]], b[right[of_b]], of_a[right[of_a]], of_b[right[of_b]]
+        end_a, end_b = np.cumsum(self.a_bytes.size[a]), np.cumsum(self.b_bytes.size[b])
+        ends = np.union1d(end_a, end_b)
+        i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        both = (end_a[i] == ends) & (end_b[j] == ends)
+        links = a[i].astype(np.uint64) << np.uint64(32) | b[j].astype(np.uint64)
+        # groups written out: A's ids, then B's, with the mark behind each
+        group = 2 * np.concatenate((np.searchsorted(ends[both], end_a), np.searchsorted(ends[both], end_b)))
+        group[len(a):] += 1
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        last = np.concatenate((group[1:] != group[:-1], [True])) if len(group) else np.empty(0, bool)
+        items = 3 * np.concatenate((a, b))[order].astype(np.int64) + np.where(last, 1 + group % 2, 0)
+        sizes = np.bincount(np.concatenate((of_a, of_b))[order], self.written.size[items], n).astype(np.int64)
+        text, cuts = self.written.bytes(items).tobytes(), np.concatenate(([0], np.cumsum(sizes))).tolist()
+        return (right, np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n),
+                np.bincount(of_a[i[both]], minlength=n), links, of_a[i],
+                [text[x:y] for x, y in zip(cuts, cuts[1:])])
+
+
+class Spelling:
+    """The bytes of numbered strings, joined for arrays of numbers."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([*map(len, strings)], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.all = np.frombuffer(b"".join(strings), np.uint8)
+
+    def bytes(self, numbers):
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.all[np.repeat(self.begin[numbers] - (ends - size), size) + np.arange(total)]
+
 
 def cut(texts):
     """(codes, distinct chunks, row offsets) of an Arrow string array; each row is a space and its text.
@@ -135,7 +186,7 @@ def cut(texts):
     flat = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, rows[-1])), spaced.buffers()[2])
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return codes, coded.dictionary.to_pylist(), np.searchsorted(at, rows)
+    return codes, coded.dictionary, np.searchsorted(at, rows)
 
 
 # -- bitmaps ------------------------------------------------------------------------
@@ -182,7 +233,7 @@ class Block:
         """Links of a slice: ``keys[codes]`` in text order, ``starts`` of its documents."""
         n = len(starts) - 1
         slot = np.repeat(np.arange(n, dtype=np.int64), np.diff(starts))
-        both = np.sort(codes * max(n, 1) + slot)
+        both = np.sort(codes.astype(np.int64) * max(n, 1) + slot)
         first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.empty(0, np.int64)
         times = np.diff(np.append(first, len(both)))
         pair, slot = np.divmod(both[first], max(n, 1))
@@ -278,31 +329,27 @@ def _slice(of: Aligner, texts, with_groups: bool):
     import pyarrow as pa
     import pyarrow.compute as pc
     codes, chunks, offsets = cut(texts)
-    found = of.chunks(chunks)
-    right = np.fromiter((f is not None for f in found), bool, len(found))
+    right, *counts, links, of_link, groups = of.align(chunks)
     n_chunks = np.diff(offsets)
     row = np.repeat(np.arange(len(texts)), n_chunks)
     spelt = np.bincount(row, ~right[codes], len(texts)) == 0
     spelt &= pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) > 0
     figures = {}
-    for k, name in enumerate(("n_a", "n_b", "n_groups")):
-        each = np.fromiter((f[k] if f else 0 for f in found), np.int64, len(found))
+    for name, each in zip(("n_a", "n_b", "n_groups"), counts):
         figures[name] = pa.array(np.where(spelt, np.bincount(row, each[codes], len(texts)), 0).astype(np.int64))
     used = spelt[row]
-    in_use = np.bincount(codes[used], minlength=len(found)) > 0
-    links = [f[3] if f and use else b"" for f, use in zip(found, in_use)]
-    keys, inverse = np.unique(np.frombuffer(b"".join(links), np.uint64), return_inverse=True)
-    inverse = inverse.astype(np.int64).tobytes()
-    ends = np.cumsum([0, *map(len, links)]).tolist()
-    of_chunk = [inverse[a:b] for a, b in zip(ends, ends[1:])]
-    counts = np.where(spelt, n_chunks, 0)
-    flat, starts = gather(codes[used], np.concatenate(([0], np.cumsum(counts))), of_chunk, np.int64)
+    in_use = (np.bincount(codes[used], minlength=len(chunks)) > 0)[of_link]
+    keys, inverse = np.unique(links[in_use], return_inverse=True)
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(of_link[in_use], minlength=len(chunks))))).tolist()
+    inverse = inverse.astype("<i4").tobytes()
+    flat, starts = gather(codes[used], np.concatenate(([0], np.cumsum(np.where(spelt, n_chunks, 0)))),
+                          [inverse[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])], "<i4")
     figures["n_links"] = pa.array(np.diff(starts))
     digests, written = [], []
     for i in range(len(texts)):
-        groups = ";".join([found[c][4] for c in codes[offsets[i]:offsets[i + 1]].tolist()]) if spelt[i] else ""
-        digests.append(hashlib.sha256(groups.encode()).hexdigest() if spelt[i] else "")
-        written.append(groups if with_groups else None)
+        text = b"".join([groups[c] for c in codes[offsets[i]:offsets[i + 1]].tolist()])[:-1] if spelt[i] else b""
+        digests.append(hashlib.sha256(text).hexdigest() if spelt[i] else "")
+        written.append(text.decode() if with_groups else None)
     figures["groups_sha256"] = pa.array(digests, pa.string())
     figures["groups"] = pa.array(written, pa.string())
     return figures, (flat, keys), starts
@@ -318,13 +365,14 @@ def pair_counts(index: DataFrame) -> DataFrame:
     counts = each.groupBy("a", "b").agg(F.sum("n").alias("n_docs"), F.sum("links").alias("n_links"))
     counts = materialise(counts, "alignment-counts")
     top = counts.groupBy("b").agg(F.max("n_links").alias("top"))
-    return counts.join(top, "b").select("a", "b", "n_docs", "n_links", (F.col("n_links") == F.col("top")).alias("best"))
+    return counts.join(top.hint("merge"), "b").select("a", "b", "n_docs", "n_links", (F.col("n_links") == F.col("top")).alias("best"))
 
 
 def scores(index: DataFrame, counts: DataFrame) -> DataFrame:
     """(block, slot, n_best, count_sum): the pairs' counts returned along their postings."""
     postings = index.where("a is not null").select("block", "a", "b", "docs", "planes")
-    scored = postings.join(counts.select("a", "b", "n_links", "best"), ["a", "b"])
+    # the same join at every size: neither side has a proven bound
+    scored = postings.join(counts.select("a", "b", "n_links", "best").hint("merge"), ["a", "b"])
 
     def unfold(table):
         import pyarrow as pa

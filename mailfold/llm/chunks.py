@@ -28,6 +28,31 @@ class Cache(dict):
         return value
 
 
+class Generations:
+    """A cache of at most about ``limit`` entries that forgets the ones not asked for lately.
+
+    New entries fill one dict; when it holds half of the limit it becomes the old one,
+    whose entries move back when they are asked for.
+    """
+
+    def __init__(self, limit: int = CACHE_ENTRIES):
+        self.half, self.new, self.old = max(limit // 2, 1), {}, {}
+
+    def get(self, key):
+        known = self.new.get(key)
+        if known is None:
+            known = self.old.get(key)
+            if known is not None:
+                self.put(key, known)
+        return known
+
+    def put(self, key, value):
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+        return value
+
+
 def split_chunks(texts):
     """(codes, distinct chunks, row offsets) of an Arrow string array; null counts as empty."""
     import pyarrow as pa

@@ -36,12 +36,13 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .chunks import Cache, gather, split_chunks
+from .chunks import Generations, gather, split_chunks
 from .common import LOWER, UPPER, materialise, partitions, require_columns, text_slices, worker_state
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHARD_DOCS = 1 << 16
 SHARD_POSTINGS = 1 << 22
+RUN = 1 << 18               # postings compressed at a time
 BLOCK = 128
 WINDOW = 4096
 TILE_QUERIES = 256
@@ -54,7 +55,7 @@ class Terms:
     def __init__(self):
         self.find = re.compile(TERM).findall
         self.lower = str.maketrans(UPPER, LOWER)
-        self.seen = Cache(250_000)
+        self.seen = Generations(250_000)
 
     def of(self, chunk: str) -> tuple:
         known = self.seen.get(chunk)
@@ -156,7 +157,7 @@ class Shard:
         both = np.sort(flat * SHARD_DOCS + slot)
         first = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.empty(0, np.int64)
         tf = np.diff(np.append(first, len(both)))
-        self.parts.append((both[first] + self.docs, tf))
+        self.parts.append((both[first] + self.docs, tf.astype(np.int32)))
         self.ids.append(ids)
         self.lengths.append(lengths)
         self.docs += len(lengths)
@@ -165,8 +166,8 @@ class Shard:
     def full(self, n_next: int) -> bool:
         return bool(self.docs) and (self.postings >= SHARD_POSTINGS or self.docs + n_next > SHARD_DOCS)
 
-    def lists(self, n_docs: int, n_terms: int):
-        """(ids by slot, lengths by slot, terms, list starts, slots, tf, impacts)."""
+    def sorted(self):
+        """(ids by slot, lengths by slot, terms, list starts, slots, tf); frees what was gathered."""
         import pyarrow as pa
         import pyarrow.compute as pc
         ids = pa.concat_arrays(self.ids)
@@ -176,12 +177,12 @@ class Shard:
         lengths = np.concatenate(self.lengths)[order]
         keys = np.concatenate([p[0] for p in self.parts])
         tf = np.concatenate([p[1] for p in self.parts])
-        term, slot = keys >> 16, new_slot[keys & 0xFFFF]
-        placed = np.argsort(term << 16 | slot, kind="stable")
-        term, slot, tf = term[placed], slot[placed], tf[placed]
-        starts = np.searchsorted(term, np.arange(len(self.names)))
-        gained = impact(tf, length_factor(lengths[slot], n_docs, n_terms))
-        return ids.take(pa.array(order)), lengths, list(self.names), starts, slot, tf, gained
+        self.parts.clear()
+        keys = keys & ~0xFFFF | new_slot[keys & 0xFFFF]
+        placed = np.argsort(keys, kind="stable")
+        keys, tf = keys[placed], tf[placed]
+        starts = np.searchsorted(keys, np.arange(len(self.names) + 1) << 16)
+        return ids.take(pa.array(order)), lengths, list(self.names), starts, (keys & 0xFFFF).astype(np.int32), tf
 
 
 def build_index(docs: DataFrame, n_docs: int, n_terms: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -208,18 +209,22 @@ def build_index(docs: DataFrame, n_docs: int, n_terms: int, text: str = "text",
         def close():
             if not shard.docs:
                 return
-            ids, lengths, found, starts, slots, tf, gained = shard.lists(n_docs, n_terms)
+            ids, lengths, found, starts, slots, tf = shard.sorted()
             one = pa.array([0, len(ids)], pa.int32())
             yield rows(1, shard=pa.array([number]), ids=pa.ListArray.from_arrays(one, ids),
                        lengths=pa.ListArray.from_arrays(one, pa.array(lengths.astype(np.int32))))
-            if not found:
-                return
-            tops, heads, payload = compressed_lists(starts, slots, tf, gained)
-            whole = rows(len(found), shard=pa.array(np.full(len(found), number)), term=pa.array(found),
-                         df=pa.array(np.diff(np.append(starts, len(slots)))), top=pa.array(tops),
-                         heads=binary_column(*heads), payload=binary_column(*payload))
-            for k in range(0, len(found), 20_000):
-                yield whole.slice(k, 20_000)
+            m = length_factor(lengths, n_docs, n_terms)
+            first = 0
+            while first < len(found):           # a run of lists at a time
+                last = max(first + 1, int(np.searchsorted(starts, starts[first] + RUN, side="right")) - 1)
+                last = min(last, first + 20_000)
+                own, own_tf = slots[starts[first]:starts[last]].astype(np.int64), tf[starts[first]:starts[last]].astype(np.int64)
+                begin = starts[first:last] - starts[first]
+                tops, heads, payload = compressed_lists(begin, own, own_tf, impact(own_tf, m[own]))
+                yield rows(last - first, shard=pa.array(np.full(last - first, number)),
+                           term=pa.array(found[first:last]), df=pa.array(np.diff(starts[first:last + 1])),
+                           top=pa.array(tops), heads=binary_column(*heads), payload=binary_column(*payload))
+                first = last
 
         for whole in batches:
             id_type = whole.schema.field(0).type
