@@ -53,15 +53,43 @@ def byte_letters() -> list[str]:
     return letters
 
 
-class WordBpe:
+class Words:
+    """Cuts chunks without white space into words the way a tokenizer file with this word pattern does."""
+
+    def __init__(self, spec: str):
+        import regex
+        from tokenizers import Tokenizer
+        self.library = Tokenizer.from_str(spec)
+        self.letters = byte_letters()
+        self.table = {i: c for i, c in enumerate(self.letters)}
+        # the file's word pattern, for chunks without white space
+        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        # printable Basic Latin, Latin-1 and Latin Extended-A/B: NFC leaves them alone
+        self.plain = regex.compile(r"[!-~¡-¬®-ɏ]*")
+
+    def pieces(self, chunk: str):
+        """The words of a chunk (no ASCII white space inside) in byte letters."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return (chunk.lower(),)
+            if chunk[:-1].isalpha() and chunk[-1].isprintable():     # a word and one mark
+                return chunk[:-1].lower(), chunk[-1]
+        if self.plain.fullmatch(chunk):
+            return [word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+                    for word in self.words.findall(chunk.lower())]
+        lib = self.library
+        return [word for word, _ in
+                lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(chunk))]
+
+
+class WordBpe(Words):
     """Encoder and decoder for one tokenizer file with an end-of-word suffix."""
 
     def __init__(self, spec: str):
         import ahocorasick
         import regex
-        from tokenizers import Tokenizer
+        super().__init__(spec)
         model = json.loads(spec)
-        self.library = Tokenizer.from_str(spec)
         suffix = model["model"]["end_of_word_suffix"]
         vocab = model["model"]["vocab"]
         self.strings = {i: t for t, i in vocab.items()}
@@ -86,12 +114,6 @@ class WordBpe:
             self.strings[token] = text
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") \
             if self.specials else None
-        self.letters = byte_letters()
-        self.table = {i: c for i, c in enumerate(self.letters)}
-        # the file's word pattern, for chunks without white space
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        # printable Basic Latin, Latin-1 and Latin Extended-A/B: NFC leaves them alone
-        self.plain = regex.compile(r"[!-~¡-¬®-ɏ]*")
         self.fits = Cache(1 << 18)
         self.words_seen = Cache(400_000)      # a word costs more to encode than a chunk to look up
         self.chunks_seen = Cache()
@@ -156,20 +178,6 @@ class WordBpe:
         return ids
 
     # -- words and chunks -----------------------------------------------------
-    def pieces(self, chunk: str):
-        """The words of a chunk (no ASCII white space inside) in byte letters."""
-        if chunk.isascii():
-            if chunk.isalpha():
-                return (chunk.lower(),)
-            if chunk[:-1].isalpha() and chunk[-1].isprintable():     # a word and one mark
-                return chunk[:-1].lower(), chunk[-1]
-        if self.plain.fullmatch(chunk):
-            return [word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
-                    for word in self.words.findall(chunk.lower())]
-        lib = self.library
-        return [word for word, _ in
-                lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(chunk))]
-
     def _plain_bytes(self, chunk: str) -> bytes:
         found = []
         for word in self.pieces(chunk):

@@ -53,8 +53,11 @@ class Generations:
         return value
 
 
-def split_chunks(texts):
-    """(codes, distinct chunks, row offsets) of an Arrow string array; null counts as empty."""
+def split_chunks(texts, as_list: bool = True):
+    """(codes, distinct chunks, row offsets) of an Arrow string array; null counts as empty.
+
+    The chunks come as a list, or else as an Arrow array.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
     filled = pc.fill_null(texts, "")
@@ -64,7 +67,8 @@ def split_chunks(texts):
     flat = parts.flatten()
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return codes, coded.dictionary.to_pylist(), offsets - offsets[0]
+    chunks = coded.dictionary
+    return codes, chunks.to_pylist() if as_list else chunks, offsets - offsets[0]
 
 
 def gather(codes, offsets, pieces, dtype):

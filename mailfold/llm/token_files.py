@@ -5,7 +5,8 @@ A file holds the ids of its documents end to end as little-endian unsigned
 
 * data frames, each a complete zstandard frame with a content checksum;
 * one skippable frame with the document index: for each document its id, its
-  null flag and its number of ids (zstandard-compressed, its checksum inside);
+  null flag and its number of ids (zstandard-compressed, its checksum inside), or,
+  where the ids are no integers, an Arrow stream of ids and numbers;
 * one skippable frame with the seek table, in the public "seekable format":
   compressed size, decompressed size and the low 32 bits of the XXH64 of each
   data frame, then the footer (number of frames, flags, magic number).
@@ -29,19 +30,24 @@ from __future__ import annotations
 
 import hashlib
 import io
-import os
+import json
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from ..session import shared_dir
-from .chunks import Cache, gather, split_chunks
+from .bpe import Words
+from .chunks import Generations, gather, split_chunks
 from .common import materialise, require_columns, text_slices, worker_state
 
 # Fixed values of the public formats.
 SKIPPABLE_INDEX = 0x184D2A50
+SKIPPABLE_ARROW_INDEX = 0x184D2A51
 SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
@@ -51,43 +57,101 @@ INDEX = np.dtype([("doc_id", "<i8"), ("is_null", "u1"), ("n_ids", "<u8")])
 HEAD = "<II"
 
 FRAME_IDS = 1 << 16
-JOINED_CHUNKS = 4096
+MARKS = ".,;:!?"
+#: A word of letters that NFC leaves alone and that have one lower-case letter, perhaps with a mark behind.
+PLAIN = f"^[A-Za-zÀ-ÖØ-öø-įı-ɏ]+[{MARKS}]?$"
 
 
-class LibraryEncoder:
-    """The tokenizers library, called on the chunks that are new to this worker."""
+class LibraryEncoder(Words):
+    """The tokenizers library, called on what is new to this worker: its BPE model on the
+    words of ordinary chunks, its whole pipeline on chunks that may hold a special token."""
 
     def __init__(self, spec: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.seen = Cache(600_000)
-
-    def _encode_new(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk; the chunks go to the library joined by spaces, which
-        no token spans, and the tokens' offsets tell them apart again."""
-        encoding = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
-        ids = np.array(encoding.ids, "<u4")
-        at = np.array([start for start, _ in encoding.offsets], np.int64)
-        begins = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        cuts = np.searchsorted(at, begins)
-        return [ids[cuts[i]:cuts[i + 1]].tobytes() for i in range(len(chunks))]
+        super().__init__(spec)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.tokenize = self.library.model.tokenize
+        self.marks = tuple({t["content"][:2] for t in json.loads(spec)["added_tokens"]})
+        self.seen, self.words_seen = Generations(300_000), Generations(300_000)
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a word in byte letters."""
+        ids = array("I", [t.id for t in self.tokenize(word)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word in lower case, of letters that NFC leaves alone, or of one mark."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.table)
+        return self.words_seen.put(word, self._ids(letters))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of any other chunk."""
+        if any([mark in chunk for mark in self.marks]):
+            ids = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = b"".join(map(self._ids, self.pieces(chunk)))
+        return self.seen.put(chunk, ids)
 
     def encode_texts(self, texts):
-        codes, chunks, offsets = split_chunks(texts)
-        pieces = [self.seen.get(c) for c in chunks]
-        new = [i for i, known in enumerate(pieces) if known is None]
-        for k in range(0, len(new), JOINED_CHUNKS):
-            run = new[k:k + JOINED_CHUNKS]
-            for i, ids in zip(run, self._encode_new([chunks[i] for i in run])):
-                pieces[i] = self.seen.put(chunks[i], ids)
-        return gather(codes, offsets, pieces, "<u4")
+        """Ids of an Arrow string array, in order, and each text's start in them.
+
+        A chunk is a word and perhaps a mark, which are looked up by themselves, so
+        capitals and marks make no chunk new; others are looked up whole.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        codes, chunks, offsets = split_chunks(texts, as_list=False)
+        plain = pc.match_substring_regex(chunks, PLAIN)
+        words = pc.utf8_rtrim(pc.utf8_lower(chunks.filter(plain)), MARKS).dictionary_encode()
+        others = chunks.filter(pc.invert(plain)).to_pylist()
+        plain = plain.to_numpy(zero_copy_only=False)
+        marks = pc.match_substring_regex(chunks, f"[{MARKS}]$").to_numpy(zero_copy_only=False) & plain
+        known, seen = self.words_seen, self.seen
+        units = [known.new.get(w) or known.get(w) or self._word(w) for w in words.dictionary.to_pylist()]
+        n_words = len(units)
+        units += [seen.get(c) or self._chunk(c) for c in others]
+        n_chunks = len(units)
+        units += [known.get(m) or self._word(m) for m in MARKS]
+        # each chunk's units, then each unit's ids
+        first = np.empty(len(chunks), np.int64)
+        first[plain] = words.indices.to_numpy(zero_copy_only=False)
+        first[~plain] = n_words + np.arange(len(others))
+        size = 1 + marks.astype(np.int64)
+        at = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int64)
+        flat[at] = first
+        ending = pc.utf8_slice_codeunits(chunks.filter(pa.array(marks)), -1, 2**31 - 1)
+        flat[at[marks] + 1] = n_chunks + pc.index_in(ending, pa.array(list(MARKS), ending.type)).to_numpy()
+        counts = size[codes]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        of_units = flat[np.repeat(at[codes] - ends[:-1], counts) + np.arange(ends[-1])]
+        return gather(of_units, ends[offsets], units, "<u4")
 
 
 # -- the file format ----------------------------------------------------------
 
+def packed_index(parts) -> tuple[int, bytes]:
+    """The index of (Arrow ids, numbers of token ids) parts, and its frame's magic number."""
+    import pyarrow as pa
+    n_ids = np.concatenate([n for _, n in parts]) if parts else np.empty(0, np.int64)
+    kinds = {ids.type for ids, _ in parts}
+    if all(pa.types.is_integer(k) for k in kinds):
+        index = np.zeros(len(n_ids), INDEX)
+        if parts:
+            ids = pa.concat_arrays([ids.cast(pa.int64()) for ids, _ in parts])
+            index["is_null"] = ids.is_null().to_numpy(zero_copy_only=False)
+            index["doc_id"] = ids.fill_null(0).to_numpy()
+        index["n_ids"] = n_ids
+        return SKIPPABLE_INDEX, index.tobytes()
+    table = pa.table({"doc_id": pa.chunked_array([ids for ids, _ in parts]), "n_ids": n_ids})
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return SKIPPABLE_ARROW_INDEX, out.getvalue().to_pybytes()
+
+
 class Writer:
     """Streams documents into a file object; holds one frame and the index."""
 
@@ -98,13 +162,15 @@ class Writer:
         self.waiting, self.n_waiting = [], 0
         self.frames, self.index = [], []
 
-    def add(self, doc_id, ids) -> None:
-        self.index.append((doc_id or 0, doc_id is None, len(ids)))
-        while len(ids):
-            part = ids[:self.limit - self.n_waiting]
+    def add(self, doc_ids, ids, starts) -> None:
+        """Documents in order: ``ids`` of all of them, and each one's start in it (one more than documents)."""
+        self.index.append((doc_ids, np.diff(starts)))
+        at, end = int(starts[0]), int(starts[-1])
+        while at < end:
+            part = ids[at:min(at + self.limit - self.n_waiting, end)]
             self.waiting.append(part)
             self.n_waiting += len(part)
-            ids = ids[len(part):]
+            at += len(part)
             if self.n_waiting == self.limit:
                 self._flush()
 
@@ -119,8 +185,9 @@ class Writer:
     def close(self) -> None:
         if self.n_waiting:
             self._flush()
-        index = self.compressor.compress(np.array(self.index, INDEX).tobytes())
-        self.out.write(struct.pack(HEAD, SKIPPABLE_INDEX, len(index)) + index)
+        kind, index = packed_index(self.index)
+        index = self.compressor.compress(index)
+        self.out.write(struct.pack(HEAD, kind, len(index)) + index)
         table = np.array(self.frames, ENTRY).tobytes()
         footer = struct.pack(FOOTER, len(self.frames), CHECKSUM_FLAG, SEEKABLE_MAGIC)
         self.out.write(struct.pack(HEAD, SKIPPABLE_SEEK_TABLE, len(table) + len(footer)) + table + footer)
@@ -130,6 +197,7 @@ class Reader:
     """Random access to the documents of one file."""
 
     def __init__(self, source):
+        import pyarrow as pa
         import zstandard
         self.source = source
         self.decompressor = zstandard.ZstdDecompressor()
@@ -143,11 +211,18 @@ class Reader:
         self.packed_at = np.concatenate(([0], np.cumsum(self.frames["packed"], dtype=np.int64)))
         self.plain_at = np.concatenate(([0], np.cumsum(self.frames["plain"], dtype=np.int64)))
         magic, length = struct.unpack(HEAD, self._at(int(self.packed_at[-1]), head))
-        if magic != SKIPPABLE_INDEX:
+        if magic not in (SKIPPABLE_INDEX, SKIPPABLE_ARROW_INDEX):
             raise ValueError("not a token file: no document index")
         index = self.decompressor.decompress(self._at(int(self.packed_at[-1]) + head, length))
-        self.index = np.frombuffer(index, INDEX)
-        self.start = np.concatenate(([0], np.cumsum(self.index["n_ids"].astype(np.int64))))
+        if magic == SKIPPABLE_INDEX:
+            index = np.frombuffer(index, INDEX)
+            self.doc_ids = pa.array(index["doc_id"], pa.int64(), mask=index["is_null"].astype(bool))
+            self.n_ids = index["n_ids"].astype(np.int64)
+        else:
+            table = pa.ipc.open_stream(index).read_all()
+            self.doc_ids = table["doc_id"].combine_chunks()
+            self.n_ids = table["n_ids"].to_numpy().astype(np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.n_ids)))
         self.frames_read = 0
         self._held = (-1, b"")
 
@@ -176,13 +251,13 @@ class Reader:
             at = int(self.plain_at[k + 1])
 
     def doc_id(self, i: int):
-        return None if self.index["is_null"][i] else int(self.index["doc_id"][i])
+        return self.doc_ids[i].as_py()
 
     def read(self, doc_ids) -> dict:
         """Ids of the documents asked for; other documents' frames stay untouched."""
         wanted = set(doc_ids)
         return {d: np.frombuffer(b"".join(self.pieces(i)), "<u4")
-                for i in range(len(self.index)) if (d := self.doc_id(i)) in wanted}
+                for i, d in enumerate(self.doc_ids.to_pylist()) if d in wanted}
 
 
 # -- Spark jobs ---------------------------------------------------------------
@@ -194,7 +269,9 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, end_id: int = 2,
     Manifest: shard, path, n_docs, n_ids, start (ids in all files before it).
     """
     require_columns(docs, text, doc_id)
-    ordered = (docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    integral = isinstance(docs.schema[doc_id].dataType, IntegralType)
+    own_id = F.col(doc_id).cast("long") if integral else F.col(doc_id)
+    ordered = (docs.select(own_id.alias("_id"), F.col(text).alias("_text"))
                    .repartitionByRange("_id", F.xxhash64("_text"))
                    .sortWithinPartitions(F.col("_id").asc_nulls_first(), F.col("_text").asc_nulls_first()))
     shared = docs.sparkSession.sparkContext.broadcast(spec)
@@ -211,7 +288,6 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, end_id: int = 2,
         path, own = f"{root}/shard-{shard:06d}.ids.zst", f"{root}/.shard-{shard:06d}.{task.taskAttemptId()}"
         out = writer = None
         n_docs = n_ids = 0
-        end = np.array([end_id], "<u4")
         for whole in batches:
             for batch in text_slices(whole, "_text"):
                 if writer is None:
@@ -219,10 +295,10 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, end_id: int = 2,
                     out = store.open_output_stream(own, compression=None)
                     writer = Writer(out, frame_ids)
                 ids, starts = encoder.encode_texts(batch.column(1))
-                for i, d in enumerate(batch.column(0).to_pylist()):
-                    writer.add(d, np.concatenate((ids[starts[i]:starts[i + 1]], end)))
+                ids = np.insert(ids, starts[1:], end_id)            # each document's end id
+                writer.add(batch.column(0), ids, starts + np.arange(len(starts)))
                 n_docs += batch.num_rows
-                n_ids += len(ids) + batch.num_rows
+                n_ids += len(ids)
         if writer is not None:
             writer.close()
             out.close()
@@ -241,8 +317,11 @@ def write_token_files(docs: DataFrame, spec: str, folder: str, end_id: int = 2,
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Read every document back: doc_id, start, n_tokens, ids_crc32 (of the ids, u32 LE)."""
+def read_token_files(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
+    """Read every document back: doc_id, start, n_tokens, ids_crc32 (of the ids, u32 LE).
+
+    ``id_type``: that of the documents' ids; all integer types are read as long.
+    """
     n = max(1, manifest.count())
 
     def read(batches):
@@ -253,8 +332,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
             for name, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with store.open_input_file(f"{root}/{name}") as source:
                     reader = Reader(source)
-                    for lo in range(0, len(reader.index), 10_000):
-                        span = range(lo, min(lo + 10_000, len(reader.index)))
+                    for lo in range(0, len(reader.n_ids), 10_000):
+                        span = range(lo, min(lo + 10_000, len(reader.n_ids)))
                         crcs = []
                         for i in span:
                             crc = 0
@@ -262,14 +341,14 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                                 crc = zlib.crc32(piece, crc)
                             crcs.append(crc)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([reader.doc_id(i) for i in span], pa.int64()),
-                             pa.array([first + int(reader.start[i]) for i in span], pa.int64()),
-                             pa.array([int(reader.index["n_ids"][i]) for i in span], pa.int64()),
+                            [reader.doc_ids.slice(lo, len(span)),
+                             pa.array(first + reader.start[lo:span.stop], pa.int64()),
+                             pa.array(reader.n_ids[lo:span.stop], pa.int64()),
                              pa.array(crcs, pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return (manifest.select("file", "start").repartition(n, "file")
-                    .mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+                    .mapInArrow(read, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"))
 
 
 def read_documents(folder: str, file: str, doc_ids) -> dict:
@@ -285,4 +364,5 @@ def round_trip(docs: DataFrame, spec: str, end_id: int = 2, text: str = "text",
     """Write the files into the shared folder, then read them back."""
     folder = shared_dir(docs.sparkSession, "token-files")
     manifest = write_token_files(docs, spec, folder, end_id, text, doc_id)
-    return read_token_files(manifest, folder)
+    kind = docs.schema[doc_id].dataType
+    return read_token_files(manifest, folder, "long" if isinstance(kind, IntegralType) else kind.simpleString())

@@ -235,12 +235,35 @@ def test_library_encoder_tells_joined_chunks_apart(spec, library):
         assert ids[starts[i]:starts[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+CASES = ["Don't", "WORD.", "word,", "word!?", "Été.", "İstanbul", "İ.", "ß", "ẞ", "ǅ", "ŉ", "ĿL·", "ª", "x×y", "a÷", "ǰ.", "ȿ",
+         "<|endoftext|>.", "é", "É;", "a.", ".a", ".", "..", "ſ.", "µ", "Ångström:", "naïve?!", "K"]
+
+
+def test_library_encoder_of_words_with_capitals_and_marks(spec, library):
+    texts = [*CASES, " ".join(CASES), *random_texts(400, "aÀéİıſßĿ.,!'’ǅ3×ɏɐ ", 40)]
+    of = token_files.LibraryEncoder(spec)
+    for run in (texts, texts[::-1]):                    # the second time from the caches
+        ids, starts = of.encode_texts(pa.array(run))
+        for i, text in enumerate(run):
+            assert ids[starts[i]:starts[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_token_files_of_other_id_types(spark, spec):
+    docs = spark.createDataFrame([("b", "one two"), (None, "three"), ("a", None)], "doc_id string, text string")
+    got = {r.doc_id: r.start for r in token_files.round_trip(docs, spec).collect()}
+    assert list(sorted(got, key=got.get)) == [None, "a", "b"]
+    small = docs.selectExpr("cast(length(doc_id) as int) as doc_id", "text")
+    assert sorted(r.n_tokens for r in token_files.round_trip(small, spec).collect()) == [1, 2, 3]
+
+
 def token_file(lengths, frame_ids=100):
     out = io.BytesIO()
     writer = token_files.Writer(out, frame_ids)
     docs = {i: np.arange(n, dtype="<u4") + 7 * i for i, n in enumerate(lengths)}
-    for i, ids in docs.items():
-        writer.add(i, ids)
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    ids = np.concatenate([*docs.values(), np.empty(0, "<u4")])
+    for some in (range(len(docs) // 2), range(len(docs) // 2, len(docs))):       # two batches
+        writer.add(pa.array(some, pa.int64()), ids, starts[some.start:some.stop + 1])
     writer.close()
     return out.getvalue(), docs
 
