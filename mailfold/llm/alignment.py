@@ -30,9 +30,10 @@ An empty table gives an empty result; columns beside the two used are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
-from array import array
+import sys
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -43,6 +44,7 @@ from .common import materialise, require_columns, text_slices, worker_state
 
 BLOCK_DOCS = 1 << 16
 BLOCK_LINKS = 1 << 22       # document and pair combinations in a block, before its last slice
+RUN_CHUNKS = 64             # encoded together
 PAIR = "a int, b int"
 LIST, BITS = 0, 1           # first byte of a bitmap: a list of slots, or a bit for each slot
 
@@ -69,30 +71,66 @@ class Aligner:
         self.b_bytes = Spelling([self._piece_bytes(i) for i in range(self.b.get_piece_size())])
         n = max(len(spelt), self.b.get_piece_size())
         self.written = Spelling([f"{i}{mark}".encode() for i in range(n) for mark in ",|;"])
-        self.blank = self.b.piece_to_id("▁")
         self.seen = Generations(400_000)
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def _b_ids(self, chunks: list[str]) -> list[list[int]]:
-        """B puts a blank before what it is given: chunks that begin with one lose it
-        first, and the others (with a line end, which no piece holds) get a token more."""
-        found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        return [[self.blank] if c == " " else ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, found)]
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """Each chunk's number of A tokens, A ids and B ids, as 32-bit integers.
+
+        Chunks are encoded in runs, since no token spans two of them; a run ends after
+        a chunk that ends in white space or holds B's blank, which stands alone.  The
+        bytes that the tokens spell tell the chunks of a run apart.
+        """
+        sizes = np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks))
+        runs, first = [], 0
+        for i, c in enumerate(chunks):
+            alone = "▁" in c
+            if alone and first < i:
+                runs.append((first, i))
+                first = i
+            if alone or i + 1 - first == RUN_CHUNKS or c[-1].isspace() or i + 1 == len(chunks):
+                runs.append((first, i + 1))
+                first = i + 1
+        texts = ["".join(chunks[a:b]) for a, b in runs]
+        a_ids = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        # B puts a blank before what it is given: a letter takes it, and both are left out again
+        b_ids = self.b.encode(["x" + t for t in texts], num_threads=1)
+        of_a = self._apart(a_ids, self.a_bytes, runs, sizes, 0)
+        of_b = self._apart(b_ids, self.b_bytes, runs, sizes, 2)
+        return [(len(a) // 4).to_bytes(4, sys.byteorder) + a + b for a, b in zip(of_a, of_b)]
+
+    @staticmethod
+    def _apart(ids, spelling, runs, sizes, before: int) -> list[bytes]:
+        """The ids of each chunk; ``before``: the bytes in front of each run."""
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n_ids.sum()))
+        ends = np.cumsum(spelling.size[flat])
+        run_end = np.cumsum(n_ids)
+        base = np.concatenate(([0], ends))[run_end - n_ids]         # bytes before each run's tokens
+        first, last = np.array(runs).T
+        chunk_end = np.cumsum(sizes)
+        run_of = np.repeat(np.arange(len(runs)), last - first)
+        cut = base[run_of] + before + chunk_end - (chunk_end - sizes)[first][run_of]
+        stop = np.minimum(np.searchsorted(ends, cut, side="right"), run_end[run_of])
+        stop[last - 1] = run_end                                    # whatever the tokens spell, they are the run's
+        begin = np.concatenate(([0], stop[:-1]))
+        begin[first] = np.searchsorted(ends, base + before, side="right") if before else run_end - n_ids
+        data = flat.tobytes()
+        return [data[4 * i:4 * j] for i, j in zip(begin.tolist(), stop.tolist())]
 
     def tokens(self, chunks: list[str]) -> list[bytes]:
         """For each chunk its number of A tokens, the A ids and the B ids, as 32-bit integers."""
         seen = self.seen
-        found = [seen.get(c) for c in chunks]
+        found = [seen.new.get(c) or seen.get(c) for c in chunks]
         new = [i for i, known in enumerate(found) if known is None]
-        for k in range(0, len(new), 2048):
-            at = new[k:k + 2048]
+        for k in range(0, len(new), 1 << 14):
+            at = new[k:k + (1 << 14)]
             run = [chunks[i] for i in at]
-            for i, c, a, b in zip(at, run, self.a.encode_batch_fast(run, add_special_tokens=False), self._b_ids(run)):
-                ids = a.ids
-                found[i] = seen.put(c, array("i", [len(ids), *ids, *b]).tobytes())
+            for i, c, ids in zip(at, run, self._encode(run)):
+                found[i] = seen.put(c, ids)
         return found
 
     def align(self, chunks):
@@ -126,7 +164,8 @@ class Aligner:
             right[at[whole[at]][wrong]] = False
         a, b, of_a, of_b = a[right[of_a]], b[right[of_b]], of_a[right[of_a]], of_b[right[of_b]]
         end_a, end_b = np.cumsum(self.a_bytes.size[a]), np.cumsum(self.b_bytes.size[b])
-        ends = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate((end_a, end_b)), kind="stable")       # two sorted runs
+        ends = ends[np.concatenate((ends[1:] != ends[:-1], [True]))] if len(ends) else ends
         i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
         both = (end_a[i] == ends) & (end_b[j] == ends)
         links = a[i].astype(np.uint64) << np.uint64(32) | b[j].astype(np.uint64)
