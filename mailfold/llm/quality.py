@@ -8,18 +8,16 @@ the document holds twice or more, the first one included).  ``base_failed``:
 fewer than 20 words, or more than 30 % of them repeated.
 
 Line frequency: each line is normalised (ends stripped, white space collapsed,
-A-Z lower-cased, digits as 0) and hashed to 128 bits; for each host the distinct
-documents that hold it are counted, where documents of equal text count once,
-so that copies alone make no line frequent (they are the dedup operators'
-matter).  A line of at most ``max_line_words`` words that more than ``max_docs``
-documents of the host hold is boilerplate and is removed; longer ones are
-passages, also left to dedup.  A document is depleted, and rejected, when the
-lines left hold fewer than ``min_share`` of its words.  ``kept`` is false for
-documents that fail the base rules or are depleted.
+A-Z lower-cased, digits as 0) and hashed to 128 bits; for each host the documents
+that hold it are counted, each once.  A line that more than ``max_docs`` documents
+of the host hold is boilerplate, whatever its length, and is removed.  A document is
+depleted, and rejected, when the lines left hold fewer than ``min_share`` of its words.
+``kept`` is false for documents that fail the base rules or are depleted.
 
 Windows are compared by a 64-bit hash inside one document.  Null texts have no
-words and fail.  A null host is a host of its own.  Equal rows share one set of
-lines and get equal results.  An empty table gives an empty result.
+words and fail.  A null host is a host of its own.  Rows of equal id, host and text
+are one document and get equal results; copies under other ids count.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +34,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 
 MAX_DOCS = 100
-MAX_LINE_WORDS = 50
 MIN_SHARE = 0.5
 
 
@@ -109,43 +106,37 @@ def line_hashes(line: Column):
     return F.xxhash64(line), F.xxhash64(F.lit("second"), line)
 
 
-def document_lines(docs: DataFrame, text: str, host: str, doc_id: str,
-                   max_line_words: int = MAX_LINE_WORDS) -> DataFrame:
-    """(_k1, _k2, host, t1, t2, line_no, h1, h2, n_words): the lines of at most ``max_line_words`` words."""
+def document_lines(docs: DataFrame, text: str, host: str, doc_id: str) -> DataFrame:
+    """(_k1, _k2, host, line_no, h1, h2, n_words): the lines with words."""
     norms = F.transform(lines_with_words(F.col(text)), normalised_line)
-    sized = F.filter(F.transform(norms, lambda n: F.struct(
-        n.alias("line"), (F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1).alias("n_words"))),
-        lambda x: x["n_words"] <= max_line_words)
-    h1, h2 = line_hashes(F.col("_line.line"))
+    h1, h2 = line_hashes(F.col("_line"))
+    n_words = F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1
     return (docs.select(*row_key(doc_id, host, text), F.col(host).alias("host"),
-                        F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"),
-                        F.posexplode(sized).alias("line_no", "_line"))
-                .select("_k1", "_k2", "host", "t1", "t2", "line_no", h1.alias("h1"), h2.alias("h2"),
-                        F.col("_line.n_words").alias("n_words")))
+                        F.posexplode(norms).alias("line_no", "_line"))
+                .select("_k1", "_k2", "host", "line_no", h1.alias("h1"), h2.alias("h2"), n_words.alias("n_words")))
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, h1, h2) of the lines above the limit; distinct texts are counted in two
+    """(host, h1, h2) of the lines above the limit; distinct documents are counted in two
     aggregations, so a line that a third of all documents hold is pre-aggregated everywhere."""
-    once = lines.select("host", "h1", "h2", "t1", "t2").distinct()
+    once = lines.select("host", "h1", "h2", "_k1", "_k2").distinct()
     return (once.groupBy("host", "h1", "h2").agg(F.count("*").alias("n"))
                 .where(F.col("n") > max_docs).select("host", "h1", "h2"))
 
 
-def _hits(docs, text, host, doc_id, max_docs, max_line_words):
-    lines = materialise(document_lines(docs, text, host, doc_id, max_line_words), "quality-lines")
+def _hits(docs, text, host, doc_id, max_docs):
+    lines = materialise(document_lines(docs, text, host, doc_id), "quality-lines")
     frequent = frequent_lines(lines, max_docs).withColumnRenamed("host", "_host")
     same = ["h1", "h2"]
     return (lines.join(frequent, same).where(F.col("host").eqNullSafe(F.col("_host"))))
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id",
-            max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS,
-            min_share: float = MIN_SHARE) -> DataFrame:
+            max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, the base figures, base_failed, n_removed_words, kept."""
     require_columns(docs, text, host, doc_id)
     # equal rows share a key and would count their lines once each: a line number counts once
-    removed = (_hits(docs, text, host, doc_id, max_docs, max_line_words)
+    removed = (_hits(docs, text, host, doc_id, max_docs)
                .select("_k1", "_k2", "line_no", "n_words").distinct()
                .groupBy("_k1", "_k2").agg(F.sum("n_words").alias("n_removed_words")))
     figures = docs.select(*row_key(doc_id, host, text), F.col(doc_id).alias("_id"),
@@ -160,11 +151,10 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", doc_id: s
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", doc_id: str = "doc_id",
-              max_docs: int = MAX_DOCS, max_line_words: int = MAX_LINE_WORDS,
-              min_share: float = MIN_SHARE, length: str = "n_chars") -> DataFrame:
+              max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, length: str = "n_chars") -> DataFrame:
     """The kept rows, without their frequent lines; a ``length`` column follows the text."""
     require_columns(docs, text, host, doc_id)
-    gone = (_hits(docs, text, host, doc_id, max_docs, max_line_words)
+    gone = (_hits(docs, text, host, doc_id, max_docs)
             .groupBy("_k1", "_k2").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")))
     # the base rules need the text alone: what fails them is neither shuffled nor judged again
     rows = docs.where(passes_base(F.col(text))).select(

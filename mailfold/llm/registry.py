@@ -195,14 +195,14 @@ windows AS (SELECT rid, i, array_to_string(list_slice(words, i, i + 7), ' ') AS
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM windows) WHERE n > 1),
 repeats AS (SELECT rid, count(DISTINCT p) AS n
             FROM (SELECT rid, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY rid),
-lines AS (SELECT rid, source, text, line,
+lines AS (SELECT rid, doc_id, source, text, line,
                  translate(regexp_replace(trim(line, {WS}), '{RE_WS}', ' ', 'g'),
                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm
-          FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM docs)
+          FROM (SELECT rid, doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM docs)
           WHERE trim(line, {WS}) <> ''),
 sized AS (SELECT *, len(norm) - len(replace(norm, ' ', '')) + 1 AS n_words FROM lines),
-frequent AS (SELECT source, norm FROM sized WHERE n_words <= 50
-             GROUP BY source, norm HAVING count(DISTINCT text) > 100),
+frequent AS (SELECT source, norm FROM sized
+             GROUP BY source, norm HAVING count(DISTINCT (doc_id, text)) > 100),
 removed AS (SELECT s.rid, sum(s.n_words) AS n FROM sized s JOIN frequent f
               ON s.norm = f.norm AND s.source IS NOT DISTINCT FROM f.source GROUP BY s.rid),
 dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
