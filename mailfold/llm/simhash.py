@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import materialise, require_columns, text_slices
+from .common import materialise, require_columns, row_key, text_slices
 from .components import connected_components
 
 SEED = 42
@@ -180,33 +180,46 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return postings.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "text",
-                    doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    marked = materialise(fingerprints(docs, shingle, text, (doc_id,)), "simhash-fingerprints")
+def classes_of(marked: DataFrame, doc_id: str, max_bits: int) -> DataFrame:
+    """(_fp, root, component_id) of the fingerprints of ``marked`` (``_fp`` and ids): the
+    component's least fingerprint and smallest id."""
     distinct = marked.groupBy("_fp").agg(F.min(doc_id).alias("_least"))
     links = link_fingerprints(distinct.select("_fp"), max_bits)
     roots = connected_components(links, "simhash")
     linked = materialise(roots.join(distinct, roots.node == distinct["_fp"])
                               .select("_fp", "root", "_least"), "simhash-linked")
     least = linked.groupBy("root").agg(F.min("_least").alias("_component"))
-    named = linked.join(least, "root").select("_fp", "_component")
-    # a written table of its own: the join below then splits a fingerprint that many rows share
-    classes = materialise(distinct.join(named, "_fp", "left").select(
-        "_fp", F.coalesce("_component", "_least").alias("component_id")), "simhash-classes")
+    named = linked.join(least, "root").select("_fp", "root", "_component")
+    # a written table of its own: the joins with it then split a fingerprint that many rows share
+    return materialise(distinct.join(named, "_fp", "left").select(
+        "_fp", F.coalesce("root", "_fp").alias("root"), F.coalesce("_component", "_least").alias("component_id")),
+        "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "text",
+                    doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    marked = materialise(fingerprints(docs, shingle, text, (doc_id,)), "simhash-fingerprints")
+    classes = classes_of(marked, doc_id, max_bits)
     return marked.join(classes, "_fp").select(
         doc_id, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 3, max_bits: int = 2, text: str = "text",
                          doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: the smallest id, once.
+    """One row of ``docs`` for each component: the smallest id's, of its texts the first by hash.
 
+    Rows of one id whose texts are in different components each stand for their own.
     Rows without an id cannot be named as anyone's copy and stay.
     """
-    found = near_duplicates(docs, shingle, max_bits, text, doc_id)
-    ids = found.where(F.col("component_id") == F.col(doc_id)).select(F.col(doc_id).alias("_id")).distinct()
-    rows = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_order"), F.struct("*").alias("_row"))
-    first = Window.partitionBy("_id").orderBy("_order")
-    chosen = (rows.join(ids, "_id").withColumn("_n", F.row_number().over(first)).where("_n = 1"))
-    return chosen.select("_row.*").unionByName(rows.where(F.col("_id").isNull()).select("_row.*"))
+    keyed = docs.select(*row_key(doc_id, text), F.col(doc_id).alias("_id"), F.col(text).alias("_text"),
+                        F.struct("*").alias("_row"))
+    marked = materialise(fingerprints(keyed, shingle, "_text", ("_k1", "_k2", "_id")), "simhash-fingerprints")
+    classes = classes_of(marked, "_id", max_bits)
+    # the least row key of the smallest id stands for the component
+    least = (marked.where("_id is not null").join(classes, "_fp").where(F.col("component_id") == F.col("_id"))
+                   .groupBy("root").agg(F.min(F.struct("_k1", "_k2")).alias("_k")).select("_k.*"))
+    first = Window.partitionBy("_k1", "_k2").orderBy("_k1")
+    chosen = (keyed.where("_id is not null").join(least, ["_k1", "_k2"], "left_semi")
+                   .withColumn("_n", F.row_number().over(first)).where("_n = 1"))
+    return chosen.select("_row.*").unionByName(keyed.where("_id is null").select("_row.*"))
