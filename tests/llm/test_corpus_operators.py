@@ -7,7 +7,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mailfold.llm import bpe, decontaminate, licences, line_dedup, quality, registry, simhash, url_rules
@@ -64,10 +66,9 @@ def plain_quality(texts, hosts, max_docs):
     words = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for t in texts]
     lines = [[norm(x) for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")] for t in texts]
     held = Counter()
-    for host, text in set(zip(hosts, texts)):
+    for host, text in zip(hosts, texts):                 # every text is a document of its own
         for line in {norm(x) for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")}:
-            if len(line.split(" ")) <= 50:
-                held[host, line] += 1
+            held[host, line] += 1
     out = []
     for w, ls, host, text in zip(words, lines, hosts, texts):
         wins = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
@@ -104,6 +105,19 @@ def test_quality_sql_and_empty(spark):
     assert quality.quality(docs.limit(0)).count() == quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_long_lines_and_copies_count_as_lines_of_their_documents(spark):
+    notice = prose(60, 5)                                               # one line of sixty words
+    texts = [f"{notice}\n{prose(30, 1000 + i)}" for i in range(8)] + [prose(30, 77)] * 8 + [prose(40, 78)]
+    docs = frame(spark, texts).withColumn("source", F.col("lang"))
+    got = {r.doc_id: r for r in quality.quality(docs, max_docs=5).collect()}
+    assert [got[i].n_removed_words for i in range(17)] == [60] * 8 + [30] * 8 + [0]
+    assert [got[i].kept for i in range(17)] == [False] * 16 + [True]
+    con = register(docs)
+    sql = registry.SQL["op1_quality"].replace("> 100)", "> 5)")
+    assert sql != registry.SQL["op1_quality"]
+    same_rows(quality.quality(docs, max_docs=5), sql, con)
+
+
 def test_repeated_rows_do_not_inflate_removed_words(spark):
     texts = [f"menu item line\n{prose(30, i)}" for i in range(5)]
     docs = frame(spark, texts).union(frame(spark, texts))
@@ -162,6 +176,15 @@ def test_null_ids_repeats_and_empty(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_repeated_id_loses_no_text_and_keeps_no_copy(spark):
+    a, b, c = prose(60, 61), prose(60, 62), prose(60, 63)
+    docs = frame(spark, [a, a, b, c, b, None, None], ids=[1, 2, 2, 3, 2, 4, 5])
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_representatives(docs).collect()), key=repr)
+    assert kept == sorted([(1, a), (2, b), (3, c), (4, None)], key=repr)
+    clash = docs.withColumn("_k1", F.lit(7)).withColumn("_n", F.lit(1)).withColumn("_fp", F.lit(3)).withColumn("root", F.lit(1))
+    assert sorted(r.doc_id for r in simhash.keep_representatives(clash).collect()) == [1, 2, 3, 4]
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.node: r.root for r in connected_components(links).collect()}
@@ -324,6 +347,48 @@ def test_a_long_item_reaches_back_over_a_short_one(spark):
     assert [(r.item_id, r.score) for r in decontaminate.find_leaks(docs, bench).collect()] == [(1, 1.0)]
 
 
+def test_hashed_words_are_the_words_in_lower_case():
+    rng = random.Random(4)
+    texts = [None, "", "  ", "Été×À÷é_1", "É", "a\x00B", "naïve “x” ΣΑΣ İ", "ª µ½", "w" * 5000, "Straße", "×", "x×", "3rd É.é"]
+    texts += ["".join(rng.choice("aBÉé×÷ß _-.9\nЖ日") for _ in range(rng.randrange(30))) for _ in range(300)]
+    hashes, starts = decontaminate.hashed_words(pa.array(texts))
+    seen = {}
+    for i, text in enumerate(texts):
+        words = re.findall(r"\w+", (text or "").lower())
+        assert starts[i + 1] - starts[i] == len(words), text
+        for word, h in zip(words, hashes[starts[i]:starts[i + 1]].tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_items_that_share_an_id_or_have_none_or_are_short(spark):
+    items = [(1, prose(20, 31)), (1, prose(25, 32)), (None, prose(18, 33)), (2, "four words of text"), (3, "Word"),
+             (4, None), (5, "four words of text"), (6, "two words")]
+    texts = [prose(40, 51) + " " + items[0][1], items[1][1] + " " + prose(9, 52), prose(9, 53) + items[2][1] + prose(5, 54),
+             "say Four Words, of text! " + prose(30, 55), "four words in text", "word", "Two words?", "two words more word", None,
+             prose(9, 56) + " " + items[0][1] + " " + items[1][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for pass_seeds in (1 << 21, 100):                       # one pass, several passes
+        found = decontaminate.find_leaks(frame(spark, texts), bench, pass_seeds=pass_seeds).collect()
+        assert sorted(((r.doc_id, r.item_id) for r in found), key=repr) == sorted(
+            [(0, 1), (1, 1), (2, None), (3, 2), (5, 3), (6, 6), (9, 1), (9, 1)], key=repr)
+        assert {r.score for r in found if r.doc_id != 2} == {1.0}
+    r = next(r for r in found if r.doc_id == 3)
+    assert (r.start_word, r.end_word) == (1, 5)
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(frame(spark, texts), bench).collect()) == [4, 7, 8]
+
+
+def test_seed_words_meet_the_bound():
+    rng = np.random.default_rng(1)
+    for begins in (6, 20, 80):
+        rates = np.log(rng.random(begins) ** 4 * 1e-4)
+        for runs in (-2, 0, 1, begins // 2, begins):
+            m, t = decontaminate.seed_words(rates, runs, 200)
+            assert 1 <= t <= max(runs, 1) and m <= begins
+            assert t <= max(runs - (begins - m), 1)         # so many of the m begin a clean run
+    assert decontaminate.seed_words(np.log(np.full(38, 1e-4)), 18, 240)[1] > 1
+
+
 # -- op 9 ---------------------------------------------------------------------------
 
 MIT = """MIT License
