@@ -10,7 +10,8 @@ a re-read of one stage.  All stages but the last return the columns of
 * line_dedup: drops lines that at least ten documents hold; documents stay, also
   when nothing is left of them;
 * near_dedup: of each group of SimHash near-duplicates the smallest doc_id stays
-  (three-word shingles, at most two differing bits);
+  (three-word shingles, at most two differing bits); rows of one id and texts of
+  different groups are told apart;
 * decontamination: drops documents that hold a test item;
 * token_ids: doc_id, n_tokens, ids, decoded.
 
