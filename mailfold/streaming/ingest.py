@@ -5,14 +5,17 @@ W1 ingest   - ``readStream`` over a directory of log files; ``maxFilesPerTrigger
               of the poll interval (``availableNow`` drains for tests/backfills).
 W2 dedup    - each mail id is processed once, across batches and restarts.
               Exact form: in ``foreachBatch`` the batch's ids are semi-joined with
-              the ids seen in earlier batches.  Bounded-state form:
+              the ids seen in earlier batches, in the buckets that they fall into.  Bounded-state form:
               ``dropDuplicatesWithinWatermark``.
 W3 seed     - ids present before the stream starts are seeded as seen, once.
 W4 failures - a processor error is routed to a dead-letter table; the mail is
               still marked seen (``per_message`` isolates errors of one message).
 W5 state    - every batch writes the partial fold of the ids it touched; the
-              state is the merge of the partials, and ``compact`` rewrites them
-              as one base (``operators.fold.merge_partials``).
+              state is the merge of the partials (``operators.fold.merge_partials``).
+
+Seen ids and partials are kept in levels (``streaming.levels``): earlier batches are
+merged as they add up, so what a batch or a reader opens follows the levels and not the
+number of batches.
 
 Every batch writes under ``batch=<id>`` with overwrite, so a batch replayed
 after a failure replaces its own output: the sink is idempotent and the
@@ -24,11 +27,12 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import fold
 from ..session import shared_dir
 from ..sources.tables import parallelism
+from .levels import Levels, bucket_of
 
 CHUNK_DAYS = 5
 
@@ -99,25 +103,35 @@ def run_ingest(spark: SparkSession, src_dir: str, schema, sink_dir: str, checkpo
     return spark.read.parquet(sink_dir).drop("batch")
 
 
-def first_sight(batch: DataFrame, seen_dir: str, batch_id: int,
+SEEN_BUCKETS = 64
+
+
+def seen_table(spark: SparkSession, out_dir: str, id_type) -> Levels:
+    """The ids seen so far, laid out by bucket of the id."""
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("bucket", T.IntegerType())])
+    return Levels(spark, os.path.join(out_dir, "seen"), schema, partition="bucket")
+
+
+def first_sight(batch: DataFrame, seen: Levels, batch_id: int,
                 spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """Rows of ids not seen in an earlier batch, one per id (the earliest in the batch).
 
     Only batches before ``batch_id`` count as seen: a batch that is replayed
     after a crash finds its own ids new again, whatever it had written.  The
     batch's fold is cached (one micro-batch, bounded by the trigger), so the
-    planner knows its size and picks the join; the growing seen table is
-    probed and never sorted when the batch is small.  Returns the new rows and
-    the cached fold, which the caller unpersists after its writes.
+    planner knows its size and picks the join; of the seen table only the
+    buckets of the batch's ids are read.  Returns the new rows and the cached
+    fold, which the caller unpersists after its writes.
     """
     # micro-batches run without adaptive execution, so size the exchange to the
     # cluster here; the fold by id then reuses this partitioning
     batch = batch.repartition(parallelism(spark), "id")
     firsts = fold.first_writes(batch, [c for c in batch.columns if c not in ("id", "seq")])
     firsts = firsts.cache()
-    firsts.count()
-    seen = spark.read.parquet(seen_dir).where(F.col("batch") < batch_id).select("id")
-    already = seen.join(firsts.select("id"), "id", "left_semi")
+    bucket = bucket_of("id", seen.note()).alias("bucket")
+    touched = [r.bucket for r in firsts.select(bucket).distinct().collect()]     # at most the number of buckets
+    known = seen.read(batch_id).where(F.col("bucket").isin(touched)).select("id")
+    already = known.join(firsts.select("id"), "id", "left_semi")
     return firsts.join(already, "id", "left_anti"), firsts
 
 
@@ -157,18 +171,18 @@ def _batch_handler(spark: SparkSession, out_dir: str, process=None):
     Every output of a batch is written under ``batch=<id>`` with overwrite and
     the seen ids come last, so a batch that is cut off anywhere and replayed
     replaces its own output and loses nothing."""
-    seen_dir = os.path.join(out_dir, "seen")
     done_dir = os.path.join(out_dir, "processed")
     dead_dir = os.path.join(out_dir, "failures")
 
     def handle(batch: DataFrame, batch_id: int):
-        new, folded = first_sight(batch, seen_dir, batch_id, spark)
+        seen = seen_table(spark, out_dir, batch.schema["id"].dataType)
+        new, folded = first_sight(batch, seen, batch_id, spark)
         new = new.cache()                                  # one micro-batch, bounded
         ok, bad = process(new) if process else (new, new.where(F.lit(False)).select("id"))
         tag = f"batch={batch_id}"
         ok.write.mode("overwrite").parquet(os.path.join(done_dir, tag))
         bad.write.mode("overwrite").parquet(os.path.join(dead_dir, tag))
-        new.select("id").write.mode("overwrite").parquet(os.path.join(seen_dir, tag))
+        seen.add(new.select("id", bucket_of("id", seen.note()).alias("bucket")), batch_id)
         new.unpersist()
         folded.unpersist()
     return handle
@@ -180,10 +194,11 @@ def write_seed(spark: SparkSession, out_dir: str, schema, seed_ids: DataFrame |
     Written by the first start only; a restart keeps what is there, with or
     without a seed of its own.
     """
-    id_type = schema["id"].dataType.simpleString()
+    id_type = schema["id"].dataType
     seed = (seed_ids.select(F.col("id").cast(id_type).alias("id")).distinct()
-            if seed_ids is not None else spark.createDataFrame([], f"id {id_type}"))
-    seed.write.mode("ignore").parquet(os.path.join(out_dir, "seen", "batch=-1"))
+            if seed_ids is not None else spark.createDataFrame([], T.StructType([T.StructField("id", id_type)])))
+    seen_table(spark, out_dir, id_type).create(
+        seed.withColumn("bucket", bucket_of("id", SEEN_BUCKETS)), note=SEEN_BUCKETS)
 
 
 def run_dedup(spark: SparkSession, src_dir: str, schema, out_dir: str, checkpoint: str,
@@ -214,26 +229,34 @@ def run_state(spark: SparkSession, src_dir: str, schema, state_dir: str, checkpo
 
     Two partials per batch, each under ``batch=<id>``: one row per mail id (first
     and last write) and one row per sender (writes and last date), so all four
-    state tables are merges of partials (``current_tables``).  ``compact``
-    rewrites them as one base, so reads stay proportional to the number of ids,
-    not of writes.  Returns the emails table.
+    state tables are merges of partials (``current_tables``).  Returns the
+    emails table.
     """
     stream = log_stream(spark, src_dir, schema, max_files)
     extra = [c for c in STATE_FIRST if c in schema.fieldNames()]
+    empty = spark.createDataFrame([], schema)
+    parts = {"mails": lambda batch: fold.first_last(batch.repartition(parallelism(spark), "id"), extra_first=extra),
+             "senders": fold.sender_partial}                    # no AQE in micro-batches
+    for name, partial in parts.items():
+        partial(empty).write.mode("ignore").parquet(os.path.join(state_dir, f"{name}_schema"))
+        _partial_levels(spark, state_dir, name).create()
 
     def handle(batch: DataFrame, batch_id: int):
-        n = parallelism(spark)                                  # no AQE in micro-batches
-        fold.first_last(batch.repartition(n, "id"), extra_first=extra).write.mode("overwrite").parquet(
-            os.path.join(state_dir, "mails", f"batch={batch_id}"))
-        fold.sender_partial(batch).write.mode("overwrite").parquet(
-            os.path.join(state_dir, "senders", f"batch={batch_id}"))
+        for name, partial in parts.items():
+            _partial_levels(spark, state_dir, name).add(partial(batch), batch_id)
 
     _drain(stream.writeStream.foreachBatch(handle), checkpoint)
     return current_state(spark, state_dir)
 
 
+def _partial_levels(spark: SparkSession, state_dir: str, name: str) -> Levels:
+    schema = spark.read.parquet(os.path.join(state_dir, f"{name}_schema")).schema
+    merge = {"mails": fold.merge_partials, "senders": fold.merge_senders}[name]
+    return Levels(spark, os.path.join(state_dir, name), schema, merge)
+
+
 def _partials(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(state_dir, name)).drop("batch")
+    return _partial_levels(spark, state_dir, name).read()
 
 
 def current_tables(spark: SparkSession, state_dir: str) -> dict[str, DataFrame]:
@@ -253,11 +276,11 @@ def current_state(spark: SparkSession, state_dir: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, state_dir: str, out_dir: str) -> str:
-    """Merge all partials into one base written to ``out_dir`` (a new folder;
-    readers switch to it, the old folder can then be dropped)."""
-    for name, merge in (("mails", fold.merge_partials), ("senders", fold.merge_senders)):
-        merge(_partials(spark, state_dir, name)).write.mode("overwrite").parquet(
-            os.path.join(out_dir, name, "batch=-1"))
+    """Merge all partials into one base, as a state folder of its own in ``out_dir``."""
+    for name in ("mails", "senders"):
+        old = _partial_levels(spark, state_dir, name)
+        spark.createDataFrame([], old.schema).write.mode("ignore").parquet(os.path.join(out_dir, f"{name}_schema"))
+        _partial_levels(spark, out_dir, name).create(old.merge(old.read()))
     return out_dir
 
 
