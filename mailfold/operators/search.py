@@ -208,13 +208,13 @@ def _unit_rows(idx_lists, dim: int) -> np.ndarray:
 def _local_topn(shared, n, dim, vector_col=False):
     """mapInPandas body: a running top-n per query over this partition's corpus rows.
 
-    ``shared`` holds (query ids, query matrix).  Corpus rows are scored in blocks
+    ``shared`` holds (query numbers, query ids, query matrix).  Corpus rows are scored in blocks
     of ``SCORE_ROWS``, so memory does not depend on the Arrow batch size.
     """
     block = SCORE_ROWS
 
     def run(batches):
-        qids, qmat = shared.value
+        qids, names, qmat = shared.value
         best_d = np.empty((len(qids), 0))
         best_i = np.empty((len(qids), 0), dtype=np.int64)
         for pdf in batches:
@@ -239,6 +239,7 @@ def _local_topn(shared, n, dim, vector_col=False):
         if best_i.shape[1]:
             yield pd.DataFrame({
                 "qid": np.repeat(np.asarray(qids, dtype=np.int64), best_i.shape[1]),
+                "name": np.repeat(np.asarray(names, dtype=np.int64), best_i.shape[1]),
                 "id": best_i.reshape(-1), "distance": best_d.reshape(-1)})
     return run
 
@@ -287,44 +288,51 @@ def tiled_search(corpus: DataFrame, vectors: DataFrame, n: int = 10, dim: int =
                  tile: int = QUERY_TILE) -> DataFrame:
     """Top-n rows of ``corpus`` (id, idx or vec) for every row of ``vectors`` (id, vec).
 
-    The query rows are numbered 0.. and taken ``tile`` at a time: a tile's
+    The query rows are numbered 0.. and taken ``tile`` at a time, each under its
+    number: a tile's
     matrix is the only thing that the driver fetches and broadcasts, the corpus
     is scanned once per tile, and a tile's local top-n rows are written under
-    the shared folder before the next tile is fetched.  Repeated query ids are
-    rows like any other.  The final top-n of each query merges in two levels,
+    the shared folder before the next tile is fetched.  Query rows that repeat an
+    id with another vector each return their own hits; equal rows return them once.  The final top-n of each query merges in two levels,
     by salted groups of tasks first, so a query never meets the rows of all
     tasks in one place.
     """
     spark = corpus.sparkSession
     base = shared_dir(spark, "search")
     by_vector = "vec" in corpus.columns
-    vectors.select("id", "vec").write.parquet(f"{base}/queries")
+    vectors.select("id", "vec").dropDuplicates(["id", "vec"]).write.parquet(f"{base}/queries")
     queries = spark.read.schema("id long, vec array<double>").parquet(f"{base}/queries")
     count = queries.count()
-    numbered = (queries.withColumn("tile", F.lit(0)) if count <= tile else
-                dense_ordinals(queries.withColumn("_row", F.monotonically_increasing_id()), "_row")
-                .select("id", "vec", F.floor((F.col("ordinal") - 1) / tile).cast("int").alias("tile")))
-    paths = []
+    # a number for each query row, so equal ids with different vectors stay apart
+    ordered = queries.withColumn("_row", F.monotonically_increasing_id())
+    numbered = _numbered(ordered, base) if count else None
+    paths, hits = [], "qid long, name long, id long, distance double"
     for k in range(-(-count // tile)):
-        rows = numbered.where(F.col("tile") == k).select("id", "vec").toPandas()   # at most ``tile`` rows
-        # equal query ids share their hits: keep one row per id
-        rows = rows.drop_duplicates("id")
+        rows = (numbered.where(F.col("number").between(k * tile, (k + 1) * tile - 1))
+                        .select("number", "id", "vec").toPandas())                   # ``tile`` rows
         shared = spark.sparkContext.broadcast(
-            (rows["id"].astype("int64").tolist(), np.stack(rows["vec"].to_numpy()).astype(np.float64)))
+            (rows["number"].tolist(), rows["id"].tolist(), np.stack(rows["vec"].to_numpy()).astype(np.float64)))
         paths.append(f"{base}/tile-{k}")
-        corpus.mapInPandas(_local_topn(shared, n, dim, by_vector), "qid long, id long, distance double") \
+        corpus.mapInPandas(_local_topn(shared, n, dim, by_vector), hits) \
               .write.parquet(paths[-1])
         shared.unpersist()
     if not paths:
         return spark.createDataFrame([], "qid long, id long, distance double, rank long")
-    cand = spark.read.schema("qid long, id long, distance double").parquet(*paths).distinct()
+    cand = spark.read.schema(hits).parquet(*paths)
     salted = Window.partitionBy("qid", "salt").orderBy(_rank_key(F.col("distance")), "id")
     w = Window.partitionBy("qid").orderBy(_rank_key(F.col("distance")), "id")
-    return (cand.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(MERGE_SALTS)))
+    best = (cand.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(MERGE_SALTS)))
             .withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= n)
             .withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .where(F.col("rank") <= n)
-            .select("qid", "id", F.round("distance", OUT_PLACES).alias("distance"), "rank"))
+            .where(F.col("rank") <= n))
+    return best.select(F.col("name").alias("qid"), "id", F.round("distance", OUT_PLACES).alias("distance"), "rank")
+
+
+def _numbered(ordered: DataFrame, base: str) -> DataFrame:
+    """The rows (id, vec, _row) with ``number`` 0.., written under ``base``."""
+    numbered = dense_ordinals(ordered, "_row").select("id", "vec", (F.col("ordinal") - 1).cast("long").alias("number"))
+    numbered.write.parquet(f"{base}/numbered")
+    return ordered.sparkSession.read.schema("id long, vec array<double>, number long").parquet(f"{base}/numbered")
 
 
 # --------------------------------------------------------------------------

@@ -168,3 +168,10 @@ def test_embed_udf_takes_a_model_of_your_own(spark):
     emb = search.embed_udf(lambda: lambda texts: [[float(len(t))] for t in texts])
     df = spark.createDataFrame([(1, "abc"), (2, None)], "id long, text string")
     assert {r["id"]: r["v"] for r in df.select("id", emb("text").alias("v")).collect()} == {1: [3.0], 2: [0.0]}
+
+def test_repeated_query_ids_with_different_vectors(spark):
+    corpus = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.8, 0.6]), (2, [0.0, 1.0])], "id long, vec array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])],
+                                    "id long, vec array<double>")
+    runs = [sorted(map(tuple, search.tiled_search(corpus, queries, 1, dim=2, tile=tile).collect())) for tile in (1, 2, 4096)]
+    assert runs[0] == runs[1] == runs[2] == [(1, 0, 0.0, 1), (1, 2, 0.0, 1), (2, 2, 0.0, 1)]
