@@ -64,9 +64,10 @@ def vector_index(log: DataFrame) -> DataFrame:
     return latest.select("id", "v.document", "v.metadata")
 
 
-def vector_index_from_fold(folded: DataFrame) -> DataFrame:
+def vector_index_from_fold(folded: DataFrame, *keep: Column) -> DataFrame:
     """V6 from a state fold whose ``last_raw`` struct holds the latest write's raw
-    fields: the same rows as ``vector_index`` over the log, with no extra pass."""
+    fields: the same rows as ``vector_index`` over the log, with no extra pass.
+    ``keep``: further columns of the fold."""
     r, a = F.col("last_raw"), F.col("last")
     doc = F.concat_ws("\n\n", r["subject"],
                       F.coalesce(nonempty(r["body"]), nonempty(r["snippet"])),
@@ -77,7 +78,7 @@ def vector_index_from_fold(folded: DataFrame) -> DataFrame:
         F.coalesce(r["date"], F.lit("")).alias("date"), a["email_type"].alias("email_type"),
         F.coalesce(a["domain"], F.lit("")).alias("domain"),
         a["requires_reply"].alias("requires_reply"), a["summary"].alias("summary"))
-    return folded.select("id", doc.alias("document"), meta.alias("metadata"))
+    return folded.select("id", doc.alias("document"), meta.alias("metadata"), *keep)
 
 
 def reindex(emails: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ itself written, so every table is a narrow projection of one copy) and writes
 * ``contacts``   range-partitioned and sorted by address;
 * ``follow_ups`` and ``deadlines`` partitioned by status;
 * ``vectors``    (V6/V7) id, document, metadata, mailbox and the unit vector
-  ``vec``, so a search scans numbers and tokenises nothing but its query.
+  ``vec``, so a search scans numbers and tokenises nothing but its query; laid out by
+  bucket of the mailbox, so a search within one mailbox opens one bucket;
+* ``by_id``      the fold itself, laid out by bucket of the id, sorted by id and with
+  Bloom filters, so the lookup of one mail opens one bucket's files.
 
 All folders lie under the shared folder of the session; a reader holds the
 folder's name, so a half-written state is never read.
@@ -35,10 +38,33 @@ class StoredState:
     follow_ups: DataFrame
     deadlines: DataFrame
     vectors: DataFrame
+    by_id: DataFrame
+    buckets: int
 
+    def of_id(self, email_id) -> DataFrame:
+        """The folded row of one mail, from its bucket."""
+        here = F.col("id_bucket") == _bucket(F.lit(email_id).cast(self.by_id.schema["id"].dataType), self.buckets)
+        return self.by_id.where(here & (F.col("id") == F.lit(email_id))).drop("id_bucket")
 
-def _stored(df: DataFrame, path: str, partition: str | None = None) -> DataFrame:
-    writer = df.write.partitionBy(partition) if partition else df.write
+    def of_mailbox(self, mailbox_id) -> Column:
+        """The condition on ``vectors`` for one mailbox, which prunes its bucket."""
+        own = F.lit(mailbox_id).cast(self.vectors.schema["mailbox_id"].dataType)
+        return (F.col("mailbox_bucket") == _bucket(own, self.buckets)) & (F.col("mailbox_id") == own)
+
+
+BUCKETS = 64
+SPREAD = 4
+
+
+def _bucket(value: Column, n: int) -> Column:
+    """A constant for a literal, so a comparison with it prunes partitions."""
+    return F.pmod(F.xxhash64(value), F.lit(n)).cast("int")
+
+
+def _stored(df: DataFrame, path: str, partition: str | None = None, **options) -> DataFrame:
+    writer = df.write.options(**options)
+    if partition:
+        writer = writer.partitionBy(partition)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
@@ -54,14 +80,24 @@ def vector_store(spark: SparkSession, docs: DataFrame, text_col: str, purpose: s
     return _stored(embedded(docs, text_col), shared_dir(spark, purpose))
 
 
-def write_state(spark: SparkSession, folded: DataFrame, contacts: DataFrame) -> StoredState:
-    """D1-D4 and V6 from one state fold and the contacts fold."""
+def write_state(spark: SparkSession, folded: DataFrame, contacts: DataFrame, buckets: int = BUCKETS) -> StoredState:
+    """D1-D4 and V6 from one state fold and the contacts fold.
+
+    ``buckets``: of the id and mailbox layouts; choose it so that a bucket is a file or a few.
+    """
     base = shared_dir(spark, "state")
-    folded = _stored(folded, f"{base}/fold")
+    by_id = (folded.withColumn("id_bucket", _bucket(F.col("id"), buckets))
+                   .repartition("id_bucket").sortWithinPartitions("id_bucket", "id"))
+    by_id = _stored(by_id, f"{base}/fold", "id_bucket", **{"parquet.bloom.filter.enabled#id": "true"})
+    folded = by_id.drop("id_bucket")
     emails = (fold.emails_from_partial(folded).withColumn("processed_day", F.to_date("processed_at"))
               .repartitionByRange("processed_day", "id").sortWithinPartitions("processed_day", "id"))
-    index = (search.vector_index_from_fold(folded)
-             .join(folded.select("id", F.col("first.mailbox_id").alias("mailbox_id")), "id"))
+    index = search.vector_index_from_fold(
+        folded, F.col("first.mailbox_id").alias("mailbox_id"),
+        _bucket(F.col("first.mailbox_id"), buckets).alias("mailbox_bucket"))
+    # within a bucket dealt out over some tasks, so that a large mailbox is not one task's
+    vectors = (embedded(index, "document").repartition("mailbox_bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
+               .sortWithinPartitions("mailbox_bucket", "mailbox_id"))
     return StoredState(
         folded=folded,
         emails=_stored(emails, f"{base}/emails", "processed_day"),
@@ -71,7 +107,8 @@ def write_state(spark: SparkSession, folded: DataFrame, contacts: DataFrame) ->
                            f"{base}/follow_ups", "status"),
         deadlines=_stored(fold.deadlines_from_partial(folded, "deadline_status"),
                           f"{base}/deadlines", "status"),
-        vectors=_stored(embedded(index, "document"), f"{base}/vectors"))
+        vectors=_stored(vectors, f"{base}/vectors", "mailbox_bucket"),
+        by_id=by_id, buckets=buckets)
 
 
 def recent(emails: DataFrame, as_of: Column, hours: int = 0, days: int = 0) -> DataFrame:

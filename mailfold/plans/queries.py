@@ -54,7 +54,7 @@ def _s3(s: Store):
 
 @query("email_lookup")
 def _s4(s: Store):
-    return mailbox.email_lookup(s.messages, 42)
+    return mailbox.email_lookup(mailbox.messages_from_partial(s.stored.of_id(42)), 42)
 
 
 @query("full_table_scan")
@@ -239,7 +239,7 @@ def _f4(s: Store):
 
 @query("email_by_id", "email")
 def _f5(s: Store):
-    return reads.email_record(reads.email_by_id(s.stored.emails.drop("processed_day"), 42))
+    return reads.email_record(reads.email_by_id(fold.emails_from_partial(s.stored.of_id(42)), 42))
 
 
 @query("contact_by_address", "contact")
@@ -513,9 +513,9 @@ def _v8(s: Store):
 @query("search_filtered")
 def _v4t(s: Store):
     """V4 on text: the search of one mailbox's human mail (filter first, then rank)."""
-    where = search.metadata_where({"mailbox_id": 3, "metadata.email_type": "human"})
+    where = s.stored.of_mailbox(3) & search.metadata_where({"metadata.email_type": "human"})
     hits = search.vector_search(s.stored.vectors, s.query_text, 10, where)
-    return (hits.join(s.stored.vectors, "id")
+    return (hits.join(s.stored.vectors.where(where), "id")
             .select(F.col("id").alias("email_id"), "distance", "rank", "mailbox_id", *_flat_metadata()))
 
 

@@ -67,5 +67,5 @@ def scan_since_days(msgs: DataFrame, as_of: Column, days: int,
 
 
 def email_lookup(msgs: DataFrame, email_id) -> DataFrame:
-    """Point read of one message; the predicate reaches the scan."""
+    """Point read of one message; over a stored fold the predicate reaches the scan."""
     return msgs.where(F.col("id") == F.lit(email_id)).select(*MESSAGE_COLUMNS)

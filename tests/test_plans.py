@@ -55,3 +55,23 @@ def test_look_back_pushed_to_scan(spark):
 def test_no_cartesian_products(spark, name):
     plan = _plan(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def _scans(plan):
+    """(directory, partition filters) of the plan's file scans."""
+    return [(re.search(r"Location: [^\[]*\[([^\]]*)", x), re.search(r"PartitionFilters: \[([^\]]*)", x)[1])
+            for x in plan.split("FileScan parquet ")[1:]]
+
+
+@pytest.mark.parametrize("name", ["email_by_id", "email_lookup"])
+def test_a_lookup_opens_one_bucket(spark, name):
+    plan = _plan(spark, name)
+    scans = _scans(plan)
+    assert len(scans) == 1 and re.search(r"id_bucket#\d+ = \d+", scans[0][1])
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_a_mailbox_search_opens_one_bucket(spark):
+    df = QUERIES["search_filtered"](spark, SF)
+    filters = [f for _, f in _scans(df._jdf.queryExecution().executedPlan().toString()) if "bucket" in f]
+    assert filters and all(re.search(r"mailbox_bucket#\d+ = \d+", f) for f in filters)

@@ -31,3 +31,13 @@ def test_fan_out_isolates_a_failing_sink(spark):
     rows = {r["sink"]: r for r in store.fan_out(spark, {"a": good, "b": bad, "c": good}).collect()}
     assert rows["a"]["n"] == rows["c"]["n"] == 5
     assert rows["b"]["n"] is None and "sink is down" in rows["b"]["error"]
+
+
+def test_lookups_and_mailboxes_from_their_buckets(spark):
+    s = Store(spark, SF)
+    for email_id in (0, 42, 199, 10**9):
+        want = s.folded.where(F.col("id") == email_id).select("id", "first.mailbox_id").collect()
+        assert s.stored.of_id(email_id).select("id", "first.mailbox_id").collect() == want
+    for mailbox in (0, 3, 99):
+        want = sorted(r.id for r in s.stored.vectors.where(F.col("mailbox_id") == mailbox).collect())
+        assert sorted(r.id for r in s.stored.vectors.where(s.stored.of_mailbox(mailbox)).collect()) == want
