@@ -70,6 +70,27 @@ SENTENCES = [
      "published by the Free Software Foundation;"),
     ("Gpl2Later", "either version 2 of the License, or (at your option) any later version."),
     ("GplHope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"),
+    ("FreeLibrary", "This library is free software;"),
+    ("Lgpl21Terms", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+     "published by the Free Software Foundation;"),
+    ("Lgpl21Later", "either version 2.1 of the License, or (at your option) any later version."),
+    ("Lgpl3Either", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+     "version."),
+    ("Agpl3Either", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+     "version."),
+    ("IscGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+     "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("IscGrant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee "
+     "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("IscRef", "SPDX-License-Identifier: ISC"),
+    ("ZlibGrant", "Permission is granted to anyone to use this software for any purpose, including commercial "
+     "applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("ZlibRef", "SPDX-License-Identifier: Zlib"),
+    ("Epl2Ref", "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+     "License 2.0 which is available at"),
+    ("Epl2Ref", "SPDX-License-Identifier: EPL-2.0"),
     ("LgplRef", "Licensed under the GNU Lesser General Public License, version 3."),
     ("LgplRef", "SPDX-License-Identifier: LGPL-3.0-only"),
     ("AgplRef", "Licensed under the GNU Affero General Public License, version 3."),
@@ -115,6 +136,18 @@ RULES = [
     ("BSD-2-Clause", "AllRights BsdGrant BsdSource BsdBinary"),
     ("BSD-3-Clause", "BsdGrant BsdSource BsdBinary BsdEndorse"),
     ("BSD-2-Clause", "BsdGrant BsdSource BsdBinary"),
+    ("LGPL-2.1-or-later", "FreeLibrary Lgpl21Terms Lgpl21Later"),
+    ("LGPL-2.1-or-later", "Lgpl21Terms Lgpl21Later"),
+    ("LGPL-3.0-or-later", "FreeSoftware Lgpl3Either"),
+    ("LGPL-3.0-or-later", "FreeLibrary Lgpl3Either"),
+    ("LGPL-3.0-or-later", "Lgpl3Either"),
+    ("AGPL-3.0-or-later", "FreeSoftware Agpl3Either"),
+    ("AGPL-3.0-or-later", "Agpl3Either"),
+    ("ISC", "IscGrant"),
+    ("ISC", "IscRef"),
+    ("Zlib", "ZlibGrant"),
+    ("Zlib", "ZlibRef"),
+    ("EPL-2.0", "Epl2Ref"),
     ("MIT", "MitRef"),
     ("Apache-2.0", "ApacheRef2"),
     ("GPL-3.0-or-later", "Gpl3Plus"),
@@ -138,6 +171,9 @@ RULES = [
     ("LicenseRef-Proprietary", "AllRights"),
 ]
 
+#: A rule of these alone counts only where no rule before it did: a notice may begin with them.
+ALONE = {"AllRights"}
+
 NOT_WORD = r"[^a-z0-9]+"
 #: What the SQL looks for before it cuts a text; ``scan`` uses ``cue_words``.
 CUE = ("licen", "permission", "copyright", "rights", "redistribut", "free software", "as is", "warrant",
@@ -212,10 +248,11 @@ def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), sentences=None,
         rest = F.concat(F.lit(","), F.array_join(F.transform(ids, lambda i: F.concat(i, F.lit(","))), ","))
         start = F.struct(rest.alias("rest"), F.array().cast("array<string>").alias("found"))
         ordered = F.array(*(F.struct(F.lit(licence).alias("licence"),
-                                     F.lit("," + ",,".join(ids.split()) + ",").alias("ids"))
+                                     F.lit("," + ",,".join(ids.split()) + ",").alias("ids"),
+                                     F.lit(set(ids.split()) <= ALONE).alias("alone"))
                             for licence, ids in (rules or RULES)))
         return F.aggregate(ordered, start, lambda acc, rule: F.when(
-            F.contains(acc["rest"], rule["ids"]),
+            F.contains(acc["rest"], rule["ids"]) & (~rule["alone"] | (F.size(acc["found"]) == 0)),
             F.struct(F.replace(acc["rest"], rule["ids"], F.lit(",-,")).alias("rest"),
                      F.array_append(acc["found"], rule["licence"]).alias("found"))).otherwise(acc))
 
@@ -232,12 +269,22 @@ def scan_sql(table: str = "documents", sentences=None, rules=None) -> str:
     """DuckDB SQL for ``scan`` over ``table`` (doc_id, text), where no sentence is joined across a cut."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in known_sentences(sentences).items())
-    steps, licences = [], []
+    steps, licences, last = [], [], []
     for k, (licence, ids) in enumerate(rules or RULES):
         taken = quote("," + ",,".join(ids.split()) + ",")
+        if set(ids.split()) <= ALONE:           # judged after the others; such rules stand at the end
+            last.append((f"contains(r{k}, {taken}) AND NOT coalesce({' OR '.join(f'f{j}' for j in range(k)) or 'false'}, false)",
+                         f"r{k}", taken, licence))
+            continue
         steps.append(f"contains(r{k}, {taken}) AS f{k}, replace(r{k}, {taken}, ',-,') AS r{k + 1}")
         licences.append(f"CASE WHEN f{k} THEN {quote(licence)} END")
+    if len(last) > 1:
+        raise ValueError("SQL for at most one rule that counts alone")
     n = len(licences)
+    rest = f"r{n}"
+    if last:
+        licences.append(f"CASE WHEN {last[0][0]} THEN {quote(last[0][3])} END")
+        rest = f"CASE WHEN {last[0][0]} THEN replace({rest}, {last[0][2]}, ',-,') ELSE {rest} END"
     cues = " OR ".join(f"contains(low, {quote(c)})" for c in CUE)
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
@@ -253,6 +300,6 @@ ids AS (SELECT rid, list(id ORDER BY i) AS ids FROM sentences JOIN known ON s =
 judged AS (SELECT rid, ids, ',' || array_to_string(ids, ',,') || ',' AS r0, {", ".join(steps)} FROM ids)
 SELECT doc_id, coalesce(len(ids), 0) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
        nullif(array_to_string(list_sort(list_distinct([{", ".join(licences)}])), ','), '') AS licences,
-       nullif(array_to_string(list_filter(string_split(r{n}, ','), lambda x: x NOT IN ('', '-')), ','), '') AS unmatched
+       nullif(array_to_string(list_filter(string_split({rest}, ','), lambda x: x NOT IN ('', '-')), ','), '') AS unmatched
 FROM docs LEFT JOIN judged USING (rid)
 """
