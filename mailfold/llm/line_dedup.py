@@ -1,16 +1,20 @@
 """Reversible line dedup: sharded cuckoo filters over exact reference-count tables.
 
 A line's key is the line stripped of ASCII white space at both ends, with A-Z
-lower-cased; it is held as 128 bits of XXH64 (two seeds).  The state has two
+lower-cased; it is held as 128 bits of XXH64 (two seeds).  The state has three
 tables:
 
 * ``counts`` (k1, k2, n_docs): how many documents hold the key, exact;
+* ``members`` (_k1, _k2, n): the rows whose keys are counted, by row key;
 * ``filters`` (shard, filter): per shard of the key space one cuckoo filter of
   the keys that at least ``min_docs`` documents hold.
 
 Inserting documents adds their counts, deleting documents subtracts them; the
 keys whose count crosses ``min_docs`` are put into or taken out of their
 shard's filter, so inserting and then deleting a batch restores every answer.
+Deleting a row that is not a member is an error and changes nothing; a batch that is
+given a name is applied once, so one that is replayed changes nothing either.
+``save_state`` and ``load_state`` keep a state in a folder.
 Shards are sized by ``KEYS_PER_SHARD``; when the frequent keys outgrow the
 shards, the filters are built anew from the exact table with more of them.
 
@@ -156,13 +160,26 @@ def count_keys(keys: DataFrame, sign: int = 1) -> DataFrame:
 
 # -- state ------------------------------------------------------------------------
 
+META = "min_docs int, min_length int, n_shards int, batches array<string>"
+STATE_TABLES = {"counts": "k1 long, k2 long, n_docs long", "filters": "shard int, filter binary",
+                "members": "_k1 long, _k2 long, n long"}
+
+
 @dataclass
 class LineState:
     counts: DataFrame       # k1, k2, n_docs
     filters: DataFrame      # shard, filter
+    members: DataFrame      # _k1, _k2, n
     min_docs: int
     min_length: int
     n_shards: int
+    batches: frozenset = frozenset()        # names of the batches applied
+
+
+def row_counts(keys: DataFrame) -> DataFrame:
+    """(_k1, _k2, n): the rows that ``document_keys`` are of; each row has each of its keys once."""
+    once = keys.groupBy("_k1", "_k2", "k1", "k2").agg(F.count("*").alias("n"))
+    return once.groupBy("_k1", "_k2").agg(F.max("n").alias("n"))
 
 
 def _shard(n_shards: int) -> Column:
@@ -187,31 +204,58 @@ def new_state(keys: DataFrame, min_docs: int, min_length: int = 1) -> LineState:
     """State of the documents whose ``document_keys`` are given."""
     counts = materialise(count_keys(keys), "line-counts")
     filters, n_shards = _build_filters(counts, min_docs)
-    return LineState(counts, filters, min_docs, min_length, n_shards)
+    # not worked out before the first update
+    return LineState(counts, filters, row_counts(keys), min_docs, min_length, n_shards)
+
+
+def save_state(state: LineState, folder: str) -> None:
+    spark = state.counts.sparkSession
+    for name in ("counts", "filters", "members"):
+        getattr(state, name).write.parquet(f"{folder}/{name}")
+    # written last: a folder with it is whole
+    rows = [(state.min_docs, state.min_length, state.n_shards, sorted(state.batches))]
+    spark.createDataFrame(rows, META).coalesce(1).write.parquet(f"{folder}/meta")
+
+
+def load_state(spark, folder: str) -> LineState:
+    meta = spark.read.schema(META).parquet(f"{folder}/meta").first()
+    tables = {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in STATE_TABLES.items()}
+    return LineState(**tables, min_docs=meta.min_docs, min_length=meta.min_length, n_shards=meta.n_shards,
+                     batches=frozenset(meta.batches))
 
 
 def update(state: LineState, docs: DataFrame, sign: int, text: str = "text",
-           doc_id: str = "doc_id") -> LineState:
-    """Insert (+1) or delete (-1) documents: exact counts, then the filters that change."""
-    delta = count_keys(document_keys(docs, text, doc_id, state.min_length), sign)
+           doc_id: str = "doc_id", batch: str | None = None) -> LineState:
+    """Insert (+1) or delete (-1) documents: membership, exact counts, then the filters that change.
+
+    A ``batch`` that the state has been through is not applied again.
+    """
+    if batch is not None and batch in state.batches:
+        return state
+    keys = materialise(document_keys(docs, text, doc_id, state.min_length), "line-keys")
+    signed = row_counts(keys).select("_k1", "_k2", (F.col("n") * sign).alias("n"))
+    members = materialise(state.members.union(signed).groupBy("_k1", "_k2").agg(F.sum("n").alias("n")), "line-members")
+    if not members.where("n < 0").isEmpty():
+        raise ValueError("a deleted document was never inserted")
+    members = members.where("n > 0")
+    batches = state.batches | ({batch} if batch is not None else set())
+    delta = count_keys(keys, sign)
     old = state.counts.select("k1", "k2", F.col("n_docs").alias("old"), F.lit(0).cast("long").alias("change"))
     new = delta.select("k1", "k2", F.lit(0).cast("long").alias("old"), F.col("n_docs").alias("change"))
     merged = (old.union(new).groupBy("k1", "k2").agg(F.sum("old").alias("old"), F.sum("change").alias("change"))
                  .withColumn("n_docs", F.col("old") + F.col("change")))
     merged = materialise(merged, "line-counts-merged")
-    if not merged.where("n_docs < 0").isEmpty():
-        raise ValueError("a deleted document was never inserted")
     counts = merged.where("n_docs > 0").select("k1", "k2", "n_docs")
     frequent = counts.where(F.col("n_docs") >= state.min_docs)
     if frequent.count() > state.n_shards * KEYS_PER_SHARD:
         filters, n_shards = _build_filters(counts, state.min_docs)
-        return LineState(counts, filters, state.min_docs, state.min_length, n_shards)
+        return LineState(counts, filters, members, state.min_docs, state.min_length, n_shards, batches)
     n_shards, limit = state.n_shards, state.min_docs
     crossed = merged.where((F.col("old") >= limit) != (F.col("n_docs") >= limit)).select("k1", "k2").distinct()
     touched = crossed.select(_shard(n_shards)).distinct()
     # a touched shard's keys: at most the frequent ones, before or after, of one shard
-    members = (merged.where((F.col("old") >= limit) | (F.col("n_docs") >= limit))
-                     .select(_shard(n_shards), "k1", "k2", "old", "n_docs").join(touched, "shard", "left_semi"))
+    frequent = (merged.where((F.col("old") >= limit) | (F.col("n_docs") >= limit))
+                      .select(_shard(n_shards), "k1", "k2", "old", "n_docs").join(touched, "shard", "left_semi"))
 
     def change(key, held, rows):
         import pandas as pd
@@ -224,9 +268,9 @@ def update(state: LineState, docs: DataFrame, sign: int, text: str = "text",
         made = changed_filter(data, part(~was & now), part(was & ~now), lambda: part(now))
         return pd.DataFrame({"shard": [key[0]], "filter": [made]})
 
-    filters = (state.filters.groupBy("shard").cogroup(members.groupBy("shard"))
+    filters = (state.filters.groupBy("shard").cogroup(frequent.groupBy("shard"))
                     .applyInPandas(change, "shard int, filter binary"))
-    return LineState(counts, materialise(filters, "line-filters"), limit, state.min_length, n_shards)
+    return LineState(counts, materialise(filters, "line-filters"), members, limit, state.min_length, n_shards, batches)
 
 
 def insert_documents(state: LineState, docs: DataFrame, **columns) -> LineState:

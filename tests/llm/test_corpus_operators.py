@@ -229,6 +229,29 @@ def test_insert_and_delete_are_reversible(spark):
         line_dedup.delete_documents(back, rest)
 
 
+def test_deletions_of_strangers_and_replayed_batches_change_nothing(spark, tmp_path):
+    docs = frame(spark, [f"shared line\nown {i}" for i in range(12)])
+    others = frame(spark, ["shared line\nown x"] * 3, ids=[100, 101, 102])
+    state = line_dedup.new_state(line_dedup.document_keys(docs, "text", "doc_id", 1), 10)
+    counts = lambda s: sorted(map(tuple, s.counts.collect()))
+    before = counts(state)
+    for stranger in (others, docs.where("doc_id = 1").union(docs.where("doc_id = 1"))):     # unknown; once too often
+        with pytest.raises(ValueError):
+            line_dedup.delete_documents(state, stranger)
+    once = line_dedup.delete_documents(state, docs.where("doc_id < 3"), batch="a")
+    again = line_dedup.delete_documents(once, docs.where("doc_id < 3"), batch="a")
+    assert counts(once) == counts(again) != before
+    line_dedup.save_state(again, f"{tmp_path}/state")
+    kept = line_dedup.load_state(spark, f"{tmp_path}/state")
+    assert counts(line_dedup.insert_documents(kept, docs.where("doc_id < 3"), batch="a")) == counts(once)
+    back = line_dedup.insert_documents(kept, docs.where("doc_id < 3"), batch="b")
+    assert counts(back) == before and state_answers(back, docs) == state_answers(state, docs)
+
+
+def state_answers(state, docs):
+    return sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_digests(docs, 10, 1, state=state).collect())
+
+
 def test_cuckoo_filter_never_forgets_and_deletes():
     rng = random.Random(5)
     keys = [(rng.getrandbits(63) - (1 << 62), rng.getrandbits(63) - (1 << 62)) for _ in range(5000)]
@@ -427,6 +450,22 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_more_notices_and_rights_reserved(spark):
+    mit = " ".join(t for n, t in licences.SENTENCES if n in ("PermissionGrant", "NoticeIncluded", "AsIs"))
+    texts = ["Copyright (c) 2020 Foo Corp. All rights reserved.\n\n" + mit, "All rights reserved.",
+             "All rights reserved. Do not distribute.",
+             "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby "
+             "granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+             "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General "
+             "Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your "
+             "option) any later version."]
+    docs = frame(spark, texts)
+    got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
+    assert got == {0: "MIT", 1: "LicenseRef-Proprietary", 2: "LicenseRef-Proprietary", 3: "ISC", 4: "LGPL-2.1-or-later"}
+    plain = docs.where("doc_id < 3")
+    same_rows(licences.scan(plain), registry.SQL["op9_licences"], register(plain))
+
+
 def test_longer_licence_rules_go_first(spark):
     got = licences.scan(frame(spark, [GPL.replace("\n# either", "\n# either")])).first()
     assert got.licences == "GPL-3.0-or-later" and got.unmatched is None
