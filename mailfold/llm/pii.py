@@ -11,10 +11,12 @@ ends, so a span found in the rewritten text maps back to source characters:
 2. letters that look like digits (O, I, l) inside a number;
 3. spelled dots, then spelled at signs: in brackets or between marks always, as
    bare words only where they join parts of an address (a bare "at" must be
-   followed by a name with a spelled dot, or stand between a local part with a
-   dot, a plus or an underscore inside and a dotted name, so "look at
-   example.com" in prose is left alone); character references of both;
-4. spelled digits, and "plus" before a number.
+   followed by a name with a spelled dot, or stand between a local part that is
+   evidently one and a name that ends in a known top-level label, so "look at
+   example.com", "version 2.0 at example.com" and "jane.doe at work.Thanks" are
+   left alone); character references of both;
+4. spelled digits, "double" and "triple" ones too, but none that ends a larger
+   number ("twenty one"); and "plus" before a number.
 
 What the same patterns find there is added where it does not lie within a base
 span of its kind; a wider one stands beside it.  Base spans are never changed.  A text that none of the transducers can
@@ -61,8 +63,20 @@ SPELLED = {
     "fr": "zéro un deux trois quatre cinq six sept huit neuf",
     "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
 }
-AT_WORDS = "at|arroba|arobase"
-DOT_WORDS = "dot|punkt|punto|point"
+# Tens of the corpus languages; a digit word after one is not a digit of its own.
+TENS = ("twenty thirty forty fifty sixty seventy eighty ninety "
+        "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig "
+        "vingt trente quarante cinquante soixante septante huitante nonante "
+        "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa")
+TIMES = {"double": 2, "triple": 3}
+# The words for the at sign that are used for nothing else, and those for the dot.
+ONLY_AT_WORDS = "arroba|arobase|chiocciola"
+AT_WORDS = "at|" + ONLY_AT_WORDS
+DOT_WORDS = "dot|punkt|punto|point|ponto"
+# Top-level labels after which a bare "at" is believed.
+TOP_LEVEL = ("com org net edu gov mil int info biz name pro io ai app dev me tv cc co online site xyz "
+             "eu de at ch fr be lu es pt it nl uk ie dk se no fi is pl cz sk hu ro bg gr hr si rs ua ru tr "
+             "us ca mx ar br cl pe ve uy in cn jp kr tw hk sg au nz za il ae test example invalid local")
 
 
 def spelled_digits() -> dict[str, str]:
@@ -91,13 +105,16 @@ class Finder:
                               rf"&#0*46;|&#x0*2e;|%2e|"
                               rf"(?<=[a-z0-9])[\s_]+(?:{DOT_WORDS})[\s_]+(?=[a-z0-9]))")
         self.at = re.compile(rf"(?i:{open_}(?:{AT_WORDS}|@){close}|(?<=[a-z0-9]){soft}(?:{AT_WORDS}){soft}(?=[a-z0-9])|"
-                             rf"&#0*64;|&#x0*40;|%40|(?<!\s)\s+(?:arroba|arobase)\s+)")
+                             rf"&#0*64;|&#x0*40;|%40|(?<!\s)\s+(?:{ONLY_AT_WORDS})\s+)")
         # a bare "at" stands before a name that goes on with a spelled dot (see ``deobfuscate``)
         self.bare_at = re.compile(r"(?i:(?<=[a-z0-9._%+-])[\s_]+at[\s_]+(?=([a-z0-9-]+(?:\.[a-z0-9-]+)+)))")
         # ... or after a local part that is evidently one (see ``evident``)
-        self.evident_at = re.compile(r"(?i:(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![a-z0-9_])))")
-        self.spelled = re.compile(rf"(?i:(?<![^\W_])(?:{names})(?:[\s,-]+(?:{names}))*(?![^\W_]))")
-        self.name = re.compile(rf"(?i:{names})")
+        top = "|".join(TOP_LEVEL.split())
+        self.evident_at = re.compile(rf"(?i:(?<=[a-z0-9])\s+at\s+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:{top})(?![a-z0-9_-]|\.[a-z0-9])))")
+        one = rf"(?:(?:{'|'.join(TIMES)})[\s-]+)?(?:{names})"
+        self.spelled = re.compile(rf"(?i:(?<![^\W_]){one}(?:[\s,-]+{one})*(?![^\W_]))")
+        self.name = re.compile(rf"(?i:(?:({'|'.join(TIMES)})[\s-]+)?({names}))")
+        self.tens = re.compile(rf"(?i:(?<![^\W_])(?:{'|'.join(TENS.split())})[\s-]{{1,8}}\Z)")
         self.plus = re.compile(r"(?i:(?:(?<![^\W_])plus\s*|\+\s+)(?=[0-9]))")
 
     # -- patterns -----------------------------------------------------------------
@@ -154,20 +171,26 @@ class Finder:
             # only where a dot of the name was a spelled one
             tape.rewrite(self.bare_at, lambda m: "@" if tape.written[slice(*m.span(1))].any() else None)
         tape.rewrite(self.evident_at, lambda m: "@" if self.evident(m) else None)
-        tape.rewrite(self.spelled, lambda m: [(n.start(), n.end(), self.digits[n[0].lower()])
-                                              for n in self.name.finditer(m[0])])
+        tape.rewrite(self.spelled, self.spelled_number)
         tape.rewrite(self.plus, lambda m: "+" if m[0][0] != "+" or tape.written[m.end()] else None)
         return tape if tape.changed else None
 
     def evident(self, m) -> bool:
-        """Whether a bare "at" follows a local part with a dot, a plus or an underscore inside."""
+        """Whether a bare "at" follows a local part: a dot, a plus or an underscore inside, and a word."""
         text, start = m.string, m.start()
         while start and text[start - 1] in self.local:
             start -= 1
         local = text[start:m.start()]
-        return (local[0].isalnum() and any(c in ".+_" for c in local)
+        return (local[0].isalnum() and any(c in ".+_" for c in local) and bool(WORD.search(local))
                 and not local.lower().startswith("www.") and ".." not in local)
 
+    def spelled_number(self, m):
+        """The digits of a run of digit words, or None where it ends a larger number."""
+        if self.tens.search(m.string, max(0, m.start() - 24), m.start()):
+            return None
+        return [(n.start(), n.end(), self.digits[n[2].lower()] * TIMES.get((n[1] or "").lower(), 1))
+                for n in self.name.finditer(m[0])]
+
     def all_spans(self, text: str):
         """(base spans, all spans) of a text."""
         base = self.spans(text)
@@ -232,6 +255,7 @@ class Tape:
 
 
 DIGIT_LETTERS = str.maketrans("OoIl", "0011")
+WORD = re.compile(r"[A-Za-z]{2}")
 
 
 def look_alike(c: str) -> str:
@@ -269,20 +293,20 @@ def gate() -> str:
     blank = r"\s\x0b\x1c-\x1f"          # what Python's \s has besides RE2's; others are look-alikes
     changed = "".join(rf"\x{{{n:x}}}" for n in range(0x80, 0x100) if n <= 0xa0 or look_alike(chr(n)) != chr(n))
     marks = blank + r"*|=~\"'_-"
-    names = "|".join(sorted(spelled_digits(), key=len, reverse=True))
+    names = "|".join(sorted([*spelled_digits(), *TIMES], key=len, reverse=True))
     return "|".join([
         rf"[0-9@{changed}]|[^\x{{0}}-\x{{ff}}]",
         rf"(?i:[\[({{<][{blank}]*(?:{AT_WORDS}|{DOT_WORDS}|\.)[{blank}]*[\])}}>])",
-        rf"(?i:[{marks}](?:{DOT_WORDS}|arroba|arobase)[{marks}])",
+        rf"(?i:[{marks}](?:{DOT_WORDS}|{ONLY_AT_WORDS})[{marks}])",
         rf"(?i:[*|=~\"'_-][{blank}]*(?:{AT_WORDS})[{blank}]*[*|=~\"'_-])",
-        rf"(?i:[a-z0-9][._+][a-z0-9._%+-]*[{blank}]+at[{blank}]+[a-z0-9-]+\.)",
+        rf"(?i:[._+][a-z0-9._%+-]*[{blank}]+at[{blank}]+[a-z0-9-]+\.)",
         # a number spelled in full takes several digit words in a row
         rf"(?i:(?:{names})(?:[{blank},.()-]+(?:{names})){{3}})"])
 
 
 def find_private(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
     """``keep`` columns; n_email, n_ip, n_card, n_phone and base_sha256 of the base spans;
-    spans (all, as kind:start:end) and n_added."""
+    spans (all, as kind:start:end), n_added (spans that are no base ones) and n_spans (all)."""
     require_columns(docs, text, *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     width = len(keep)
@@ -293,7 +317,7 @@ def find_private(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataF
         import pyarrow.compute as pc
         finder = Finder()
         may_hold = gate()
-        nothing = (0, 0, 0, 0, EMPTY_HASH, "", 0)
+        nothing = (0, 0, 0, 0, EMPTY_HASH, "", 0, 0)
         for whole in batches:
             for batch in text_slices(whole, "_text"):
                 texts = pc.fill_null(batch.column(width), "")
@@ -306,13 +330,13 @@ def find_private(docs: DataFrame, text: str = "text", keep=("doc_id",)) -> DataF
                     base, every = finder.all_spans(value.as_py())
                     by_kind = [sum(k == i for k, _, _ in base) for i in range(len(KINDS))]
                     out.append((*by_kind, hashlib.sha256(write_spans(base).encode()).hexdigest(),
-                                write_spans(every), len(every) - len(base)))
+                                write_spans(every), len(every) - len(base), len(every)))
                 columns = list(zip(*out))
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+                kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k) for k in range(width)),
                      *(pa.array(list(c), t) for c, t in zip(columns, kinds))],
-                    names=[*keep, *counts, "base_sha256", "spans", "n_added"])
+                    names=[*keep, *counts, "base_sha256", "spans", "n_added", "n_spans"])
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(
-        run, f"{kept}, {', '.join(c + ' long' for c in counts)}, base_sha256 string, spans string, n_added long")
+        run, f"{kept}, {', '.join(c + ' long' for c in counts)}, base_sha256 string, spans string, n_added long, n_spans long")

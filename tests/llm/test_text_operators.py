@@ -161,6 +161,41 @@ def test_bare_at_and_wider_spans():
     assert spans("a@b.de dot com, x@y.de") == "email:0:6,email:0:14,email:16:22"
 
 
+@pytest.mark.parametrize("text", [
+    "version 2.0 at example.com", "look at p.s at foo.com", "jane.doe at work.Thanks", "i.e. at example.com",
+    "twenty one dot two dot three dot four", "vingt-un dot deux dot trois dot quatre", "see file_1.2 at 10.30",
+    "double trouble at home", "meet v1.2 at noon.Then go"])
+def test_prose_with_at_and_larger_numbers_is_left_alone(text):
+    assert pii.Finder().all_spans(text)[1] == []
+
+
+@pytest.mark.parametrize("text, found", [
+    ("mail jane-_doe at mail.com please", {"email": "jane-_doe at mail.com"}),
+    ("mail jane%.doe at mail.com please", {"email": "jane%.doe at mail.com"}),
+    ("mail maria chiocciola mail punto it", {"email": "maria chiocciola mail punto it"}),
+    ("mail joao arroba mail ponto pt", {"email": "joao arroba mail ponto pt"}),
+    ("call plus four nine double five triple six one two", {"phone": "plus four nine double five triple six one two"}),
+    ("call plus triple one triple two triple three", {"phone": "plus triple one triple two triple three"}),
+])
+def test_more_disguises(spark, text, found):
+    assert {pii.KINDS[k]: text[s:e] for k, s, e in pii.Finder().all_spans(text)[1]} == found
+    row = pii.find_private(frame(spark, [text])).first()
+    assert row.spans == pii.write_spans(pii.Finder().all_spans(text)[1]) and row.n_spans == 1
+
+
+def test_the_gate_lets_through_whatever_is_found(spark):
+    """Random strings of the transducers' own words and marks, with and without the gate."""
+    rng = random.Random(5)
+    words = ("jane doe x p.s a_b j+k mail com example at AT dot punkt ponto arroba chiocciola one two oh vier cinq "
+             "double triple twenty plus + @ . ( ) [ ] * - _ % &#64; &#46; %40 %2e \u00b7 \x0b \x1c").split(" ")
+    texts = ["".join(rng.choice(words) + rng.choice(("", " ", " ", "_", ".")) for _ in range(rng.randint(3, 12)))
+             for _ in range(4000)]
+    finder = pii.Finder()
+    got = {r.doc_id: r.spans for r in pii.find_private(frame(spark, texts)).collect()}
+    want = {i: pii.write_spans(finder.all_spans(t)[1]) for i, t in enumerate(texts)}
+    assert {i: got[i] for i in want} == want and sum(map(bool, want.values())) > 100
+
+
 def test_base_and_disguised_spans_stand_side_by_side():
     base, every = pii.Finder().all_spans("a@b.de and c (at) d.ef")
     assert pii.write_spans(base) == "email:0:6" and pii.write_spans(every) == "email:0:6,email:11:22"
