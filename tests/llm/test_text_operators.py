@@ -189,7 +189,7 @@ def test_the_gate_lets_through_whatever_is_found(spark):
     words = ("jane doe x p.s a_b j+k mail com example at AT dot punkt ponto arroba chiocciola one two oh vier cinq "
              "double triple twenty plus + @ . ( ) [ ] * - _ % &#64; &#46; %40 %2e \u00b7 \x0b \x1c").split(" ")
     texts = ["".join(rng.choice(words) + rng.choice(("", " ", " ", "_", ".")) for _ in range(rng.randint(3, 12)))
-             for _ in range(4000)]
+             for _ in range(20_000)]
     finder = pii.Finder()
     got = {r.doc_id: r.spans for r in pii.find_private(frame(spark, texts)).collect()}
     want = {i: pii.write_spans(finder.all_spans(t)[1]) for i, t in enumerate(texts)}
