@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import (ANALYSIS_INPUT, ANALYSIS_TOOL_DESCRIPTION, ANALYSIS_TOOL_NAME,
                       BATCH_RESULT, DOMAINS, EMAIL_TYPES)
@@ -50,6 +50,7 @@ ANALYSIS_TOOL = {
     },
 }
 MAX_TOKENS = 1024
+CORRUPT = "_corrupt_record"
 
 
 def build_requests(mail: DataFrame, model: str = "analysis-model") -> DataFrame:
@@ -112,12 +113,22 @@ def render_results(labels: DataFrame, emails: DataFrame) -> DataFrame:
 
 
 def read_results(lines: DataFrame) -> DataFrame:
-    """Parse result lines with a fixed schema (no inference)."""
-    r = F.from_json("value", BATCH_RESULT)
-    return lines.select(r.alias("r")).select(
-        F.col("r.custom_id").alias("custom_id"),
-        F.col("r.result.type").alias("result_type"),
-        F.col("r.result.message.content").alias("content"))
+    """Parse result lines with a fixed schema (no inference).
+
+    ``bad_line`` is the text of a line that is no result record (not JSON, cut off, or
+    without id or outcome), null for the others; what such a line holds is not used.
+    Blank lines are no lines.
+    """
+    schema = T.StructType([*BATCH_RESULT, T.StructField(CORRUPT, T.StringType())])
+    r = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = lines.where(F.trim("value") != "").select("value", r.alias("r"))
+    whole = F.coalesce(F.col(f"r.{CORRUPT}").isNull() & F.col("r.custom_id").isNotNull()
+                       & F.col("r.result.type").isNotNull(), F.lit(False))
+    return parsed.withColumn("ok", whole).select(
+        F.when(F.col("ok"), F.col("r.custom_id")).alias("custom_id"),
+        F.when(F.col("ok"), F.col("r.result.type")).alias("result_type"),
+        F.when(F.col("ok"), F.col("r.result.message.content")).alias("content"),
+        F.when(~F.col("ok"), F.col("value")).alias("bad_line"))
 
 
 def select_tool_block(results: DataFrame) -> DataFrame:
@@ -167,7 +178,7 @@ def apply_results(lines: DataFrame, pending: DataFrame) -> DataFrame:
     return j.select(
         "custom_id", "result_type",
         F.when(reason.isNull(), F.lit("processed")).otherwise(F.lit("failed")).alias("outcome"),
-        reason.alias("reason"),
+        reason.alias("reason"), "bad_line",
         F.when(reason.isNull(), F.col("analysis")).alias("analysis"))
 
 
@@ -184,9 +195,10 @@ def batch_outcomes(applied: DataFrame) -> DataFrame:
 
 
 def analysis_failures(applied: DataFrame) -> DataFrame:
-    """The dead-letter rows; a later backfill retries them since they were not stored."""
+    """The dead-letter rows; a later backfill retries them since they were not stored.
+    A line that is no record comes with its text (``bad_line``)."""
     return applied.where(F.col("outcome") == "failed").select("custom_id", "result_type",
-                                                              "reason")
+                                                              "reason", "bad_line")
 
 
 def rule_analyzer(mail: DataFrame) -> DataFrame:
@@ -222,10 +234,44 @@ SEQ_BATCH_SHIFT = 40     # seq of a backfill write = (batch number << 40) + ordi
 
 
 def read_result_file(spark, path: str) -> DataFrame:
-    """S6 as a file source: JSONL results read with the fixed schema (no inference)."""
-    r = spark.read.schema(BATCH_RESULT).json(path)
-    return r.select("custom_id", F.col("result.type").alias("result_type"),
-                    F.col("result.message.content").alias("content"))
+    """S6 as a file source: JSONL results read with the fixed schema, broken lines beside them."""
+    return read_results(spark.read.text(path))
+
+
+OUTCOMES = "succeeded long, errored long, other long, processed long, failed long"
+
+
+def _batches(spark, log_path: str) -> DataFrame:
+    """(outcome counts, batch) of the committed batches of a log."""
+    (spark.createDataFrame([(0,) * 5], OUTCOMES).coalesce(1)
+     .write.mode("ignore").parquet(f"{log_path}-batches/batch=-1"))
+    return spark.read.schema(f"{OUTCOMES}, batch long").parquet(f"{log_path}-batches").where("batch >= 0")
+
+
+def read_backfill_log(spark, log_path: str) -> DataFrame:
+    """The appended writes of the committed batches; a batch that was cut off is not seen."""
+    batches = [r.batch for r in _batches(spark, log_path).select("batch").collect()]      # one row per batch
+    if not batches:
+        return spark.createDataFrame([], BACKFILL_WRITE)
+    return spark.read.schema(BACKFILL_WRITE).parquet(*(f"{log_path}/batch={b}" for b in sorted(batches)))
+
+
+BACKFILL_WRITE = ("seq long, id long, mailbox_id long, thread_id string, sender string, subject string, "
+                  "snippet string, body string, date string, processed_at timestamp_ntz, email_type string, "
+                  "domain string, summary string, requires_reply boolean, deadline string, entities string")
+
+
+def run_backfill(spark, new_mail: DataFrame, service, base: str, batch_no: int, stamp: Column) -> DataFrame:
+    """Q12 whole: prepare, hand the requests to ``service(requests_path, results_path)``, apply.
+
+    Everything lies under ``base``: requests, results, the log of writes and the failures.
+    A batch that is committed is not asked for again.  Returns the outcome counts (A5).
+    """
+    requests, results = f"{base}/requests/batch={batch_no}", f"{base}/results/batch={batch_no}"
+    if not _batches(spark, f"{base}/log").where(F.col("batch") == batch_no).take(1):
+        prepare_backfill(new_mail, requests)
+        service(requests, results)
+    return apply_backfill(spark, results, new_mail, batch_no, f"{base}/log", f"{base}/failures", stamp)
 
 
 def prepare_backfill(new_mail: DataFrame, requests_path: str,
@@ -243,11 +289,14 @@ def apply_backfill(spark, results_path: str, pending: DataFrame, batch_no: int,
     A write's ``seq`` is ``(batch_no << 40) + ordinal``, where the ordinal is the
     dense position 1..n in ``custom_id`` order: it orders after every earlier
     batch however many partitions or rows a batch has (below 2**40), and a rerun
-    gives each mail its number again.  The batch's output directories are
-    overwritten as a whole, so re-running a batch is idempotent.  ``processed_at`` stamps the
-    writes (default: now; pass the batch's time to make a re-run reproduce it).
-    Returns the outcome counts (A5).
+    gives each mail its number again.  The batch's outcome counts are written last and
+    commit it: a committed batch is left as it is and its counts are returned; one that was
+    cut off is written anew as a whole.  ``read_backfill_log`` reads committed batches only.
+    ``processed_at`` stamps the writes (default: now).  Returns the outcome counts (A5).
     """
+    committed = _batches(spark, log_path).where(F.col("batch") == batch_no).drop("batch")
+    if committed.take(1):
+        return committed
     stamp = (processed_at if processed_at is not None
              else F.current_timestamp().cast("timestamp_ntz"))
     lines = spark.read.text(results_path)
@@ -268,7 +317,6 @@ def apply_backfill(spark, results_path: str, pending: DataFrame, batch_no: int,
         F.to_json("analysis.entities").alias("entities"))
     writes.write.mode("overwrite").parquet(f"{log_path}/batch={batch_no}")
     analysis_failures(applied).write.mode("overwrite").parquet(f"{failures_path}/batch={batch_no}")
-    counts = batch_outcomes(applied)
-    summary = counts.collect()                             # one row
+    batch_outcomes(applied).coalesce(1).write.mode("overwrite").parquet(f"{log_path}-batches/batch={batch_no}")
     applied.unpersist()
-    return spark.createDataFrame(summary, counts.schema)
+    return _batches(spark, log_path).where(F.col("batch") == batch_no).drop("batch")

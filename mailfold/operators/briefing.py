@@ -10,8 +10,11 @@ Section sizes (A6) come from a grouped count, combined map-side.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import briefing_time
 from ..sources.tables import parallelism
 
 
@@ -220,5 +223,48 @@ def daily_job(folded: DataFrame, as_of: Column, day: str, out_dir: str, hours: i
     return lines
 
 
+def due_mailboxes(prefs: DataFrame, runs: DataFrame, now: dt.datetime) -> DataFrame:
+    """The mailboxes whose briefing time has come today and that have none for today yet.
+
+    ``prefs``: (mailbox_id, briefing_time as ``HH:MM``; anything else is 07:00); ``runs``:
+    (mailbox_id, date) of the briefings written.  A late run finds every mailbox that an
+    earlier one should have served.
+    """
+    at = briefing_time("briefing_time")
+    minutes = at["hour"] * 60 + at["minute"]
+    done = runs.where(F.col("date") == now.date().isoformat()).select("mailbox_id")
+    return (prefs.where(minutes <= now.hour * 60 + now.minute).select("mailbox_id").distinct()
+            .join(done, "mailbox_id", "left_anti"))
+
+
+def briefing_runs(spark, out_dir: str) -> DataFrame:
+    """(mailbox_id, date, run) of the briefings that are whole."""
+    (spark.createDataFrame([(-1,)], "mailbox_id long").coalesce(1)
+     .write.mode("ignore").parquet(f"{out_dir}-runs/date=none/run=none"))
+    return (spark.read.schema("mailbox_id long, date string, run string").parquet(f"{out_dir}-runs")
+            .where(F.col("date") != "none"))
+
+
+def scheduled_job(folded: DataFrame, prefs: DataFrame, now: dt.datetime, out_dir: str, hours: int = 24) -> DataFrame:
+    """W6 by preference: write the briefings that are due at ``now``; returns their mailboxes.
+
+    Each run has a folder of its own (``run=HHMM/date=D``).  The list of mailboxes served is
+    written after the briefings, so a run that is cut off is done again, by itself or by the
+    next one, and a mailbox gets one briefing a day.
+    """
+    spark = folded.sparkSession
+    day, run = now.date().isoformat(), now.strftime("%H%M")
+    due_path = f"{out_dir}-due/date={day}/run={run}"
+    due_mailboxes(prefs, briefing_runs(spark, out_dir), now).write.mode("overwrite").parquet(due_path)
+    due = spark.read.schema("mailbox_id long").parquet(due_path)
+    as_of = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
+    mine = folded.join(due.withColumnRenamed("mailbox_id", "_due"), F.col("first.mailbox_id") == F.col("_due"), "left_semi")
+    items, mailboxes, counts = briefing_inputs(mine, as_of, hours)
+    lines = with_front_matter(fallback_lines(items, counts, mailboxes, F.lit(day)), mailboxes, F.lit(day), as_of)
+    write_briefings(lines, f"{out_dir}/run={run}", day)
+    due.write.mode("overwrite").parquet(f"{out_dir}-runs/date={day}/run={run}")
+    return due
+
+
 def mailboxes_of(emails: DataFrame) -> DataFrame:
     return emails.select("mailbox_id").distinct()

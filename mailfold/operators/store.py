@@ -14,7 +14,8 @@ itself written, so every table is a narrow projection of one copy) and writes
   Bloom filters, so the lookup of one mail opens one bucket's files.
 
 All folders lie under the shared folder of the session; a reader holds the
-folder's name, so a half-written state is never read.
+folder's name, so a half-written state is never read.  ``reindex`` rebuilds the vectors
+as a new version behind a pointer, and ``fan_out`` keeps a ledger (see ``ledger``).
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from ..functions.vector import token_index_array
 from ..schema import EMBED_DIM
 from ..session import shared_dir
 from . import fold, search
+from .ledger import Ledger, Versions
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,10 @@ class StoredState:
 
 BUCKETS = 64
 SPREAD = 4
+#: The columns of ``fold.emails_state``.
+EMAILS = ("id long, mailbox_id long, thread_id string, sender string, subject string, snippet string, body string, "
+          "date string, email_type string, domain string, summary string, requires_reply boolean, deadline string, "
+          "entities string, processed_at timestamp_ntz")
 
 
 def _bucket(value: Column, n: int) -> Column:
@@ -117,19 +123,41 @@ def recent(emails: DataFrame, as_of: Column, hours: int = 0, days: int = 0) -> D
     return emails.where(F.col("processed_day") >= F.to_date(since)).drop("processed_day")
 
 
-def fan_out(spark: SparkSession, sinks: dict[str, DataFrame]) -> DataFrame:
-    """Write every sink to its own folder; (sink, n, path, error), one row per sink.
+def fan_out(spark: SparkSession, sinks: dict[str, DataFrame], base: str | None = None, batch: int = 0) -> DataFrame:
+    """Write every sink to its own folder; (sink, n, path, error, written), one row per sink.
 
-    A sink that fails leaves its error and the others are written; since all of
-    them derive from the log, the failed one can be run again by itself.
+    A sink that fails leaves its error and the others are written.  A ledger beside ``base``
+    holds what is done by (batch, sink): the same batch run again on the same ``base`` writes
+    only what failed or was cut off (``written``) and reports the others as they stand.
     """
-    base = shared_dir(spark, "sinks")
-    done = []
+    base = base or shared_dir(spark, "sinks")
+    ledger = Ledger(spark, f"{base}-ledger")
+    earlier, done = ledger.of(batch), []
     for name, df in sinks.items():
-        path = f"{base}/{name}"
+        if name in earlier:
+            done.append((name, earlier[name].n, earlier[name].path, None, False))
+            continue
+        path = f"{base}/{name}/batch={batch}"
         try:
             df.write.mode("overwrite").parquet(path)
-            done.append((name, spark.read.schema(df.schema).parquet(path).count(), path, None))
+            n = spark.read.schema(df.schema).parquet(path).count()
+            ledger.record(batch, name, n, path)
+            done.append((name, n, path, None, True))
         except Exception as exc:  # noqa: BLE001  isolated: reported, not raised
-            done.append((name, None, path, f"{type(exc).__name__}: {exc}"[:500]))
-    return spark.createDataFrame(done, "sink string, n long, path string, error string")
+            done.append((name, None, path, f"{type(exc).__name__}: {exc}"[:500], False))
+    return spark.createDataFrame(done, "sink string, n long, path string, error string, written boolean")
+
+
+def vector_table(spark: SparkSession, folder: str, dim: int = EMBED_DIM) -> Versions:
+    """The mail vectors as a table published by version: id, document, metadata, vec."""
+    empty = spark.createDataFrame([], EMAILS)
+    return Versions(spark, folder, embedded(search.reindex(empty), "document", dim).schema)
+
+
+def reindex(emails: DataFrame, table: Versions, dim: int = EMBED_DIM) -> int:
+    """V7 / Q13: embed every stored mail anew and switch the readers to the result.
+
+    Until the new version is whole, and for good if it never is, readers see the one
+    before.  Returns the version.
+    """
+    return table.publish(embedded(search.reindex(emails), "document", dim))

@@ -20,12 +20,15 @@ from functools import cached_property
 from pyspark.sql import SparkSession, functions as F
 
 from ..operators import analysis, fold, labels, search, store
+from ..session import shared_dir
 from ..sources import fixture, mailbox
 from ..sources.tables import read_table, spread
 
 #: Tables written in this session, by (application, data directory, name).
 _WRITTEN: dict = {}
 
+#: Briefing times of the mailboxes, by mailbox_id % 4; the third is no time (07:00 holds).
+BRIEFING_TIMES = ("06:15", "09:30", "at noon", " 21 : 5 ")
 CUTOFF_DAYS = 3
 BACKFILL_DAYS = 7
 
@@ -141,6 +144,22 @@ class Store:
     def result_lines(self):
         return analysis.render_results(self.table("labels"), self.emails)
 
+    @cached_property
+    def with_broken_lines(self):
+        """The result lines, and for every fifth result a first copy that was cut off."""
+        cut = F.concat(F.lit('{"custom_id":"'), F.col("doc_id").cast("string"), F.lit('","result":{"ty'))
+        broken = self.table("labels").where(F.col("doc_id") % 5 == 0).select(cut.alias("value"))
+        return self.result_lines.unionByName(broken)
+
+    @property
+    def result_file(self) -> str:
+        """The result file of the batch service, written once per session and data directory."""
+        def write():
+            path = shared_dir(self.spark, "results")
+            self.with_broken_lines.write.text(path)
+            return path
+        return self._once("results", write)
+
     @cached_property
     def applied(self):
         return analysis.apply_results(self.result_lines, self.emails_dangling)

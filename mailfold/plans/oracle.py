@@ -639,7 +639,38 @@ UNION ALL SELECT 'contacts', count(*) FROM contacts
 UNION ALL SELECT 'follow_ups', count(*) FROM follow_ups
 UNION ALL SELECT 'deadlines', count(*) FROM deadlines""")
 register("analysis_failures", """
-SELECT custom_id, result_type, reason FROM applied WHERE reason IS NOT NULL""")
+SELECT custom_id, result_type, reason, CAST(NULL AS VARCHAR) AS bad_line FROM applied WHERE reason IS NOT NULL""")
+register("batch_results_rejects", """
+SELECT CAST(NULL AS VARCHAR) AS custom_id, CAST(NULL AS VARCHAR) AS result_type, 'malformed_result' AS reason,
+       '{"custom_id":"' || CAST(doc_id AS VARCHAR) || '","result":{"ty' AS bad_line
+FROM labels WHERE doc_id % 5 = 0""")
+register("reindex_vectors", "SELECT id, idx, round(weight, 6) AS weight FROM d_vec",
+         embed_ctes("d", f"(SELECT id, {DOC} AS document FROM emails)", "id", "document"))
+register("fanout_retry", """
+SELECT 'labels' AS sink, count(*) AS n, false AS written FROM lab_ev
+UNION ALL SELECT 'contacts', count(*), true FROM contacts
+UNION ALL SELECT 'follow_ups', count(*), false FROM follow_ups
+UNION ALL SELECT 'deadlines', count(*), false FROM deadlines""")
+register("briefing_schedule", f"""
+SELECT DISTINCT mailbox_id, {TODAY} AS date,
+       CASE mailbox_id % 4 WHEN 0 THEN '0730' WHEN 1 THEN '1200' WHEN 2 THEN '0730' ELSE '2359' END AS run
+FROM firsts""")
+for _general, _fixture in (("emails_state_log", "emails_state"), ("contacts_state_log", "contacts_state"),
+                           ("follow_ups_state_log", "follow_ups_state"), ("deadlines_state_log", "deadlines_state"),
+                           ("latest_analysis_log", "latest_analysis"), ("first_raw_log", "first_raw"),
+                           ("first_seen_rows_log", "first_seen_rows")):
+    alias(_general, _fixture)
+register("backfill_state", f"""
+SELECT f.id, f.mailbox_id, f.thread_id, f.sender, f.subject, f.snippet, f.body, f.date, l.email_type, l.domain,
+       l.summary, l.requires_reply, l.deadline, l.entities, f.processed_at
+FROM (SELECT * FROM before QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1) f
+JOIN (SELECT * FROM before QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) l ON l.id = f.id
+UNION ALL
+SELECT m.id, m.mailbox_id, m.thread_id, m.sender, m.subject, m.snippet, m.body, m.date, p.email_type, p.domain,
+       p.summary, p.requires_reply, p.deadline, CAST(to_json(p.entities) AS VARCHAR), {NOW}
+FROM fetched m JOIN parsed p ON p.doc_id = m.id
+WHERE m.id NOT IN (SELECT id FROM stored_before) AND p.quality = 1 AND p.toxic <> 1 AND p.valid""",
+         f"before AS (SELECT * FROM log WHERE processed_at < {NOW} - INTERVAL 3 DAY)")
 register("backfill_prepare", f"""
 SELECT id, {PROMPT} AS prompt
 FROM (SELECT *, {PLAIN} AS plain FROM fetched WHERE id NOT IN (SELECT id FROM stored_before))""")

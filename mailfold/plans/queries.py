@@ -15,8 +15,9 @@ from ..functions.agg import ordered_listagg
 from ..functions.text import html_exact, html_native, nonempty, prompt_text, strip_recipient
 from ..functions.vector import token_index_array
 from ..operators import analysis, briefing, fold, labels, parse, reads, search, store
+from ..session import shared_dir
 from ..sources import mailbox
-from .context import BACKFILL_DAYS, Store
+from .context import BACKFILL_DAYS, BRIEFING_TIMES, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,12 +65,19 @@ def _s5(s: Store):
 
 @query("batch_results_source")
 def _s6(s: Store):
-    r = analysis.read_results(s.result_lines)
+    r = analysis.read_result_file(s.spark, s.result_file).where(F.col("bad_line").isNull())
     return r.select("custom_id", "result_type",
                     F.when(F.col("content").isNotNull(), F.size("content")).cast("bigint")
                     .alias("n_blocks"))
 
 
+@query("batch_results_rejects")
+def _s6r(s: Store):
+    """The lines of the result file that are no records, with their text."""
+    applied = analysis.apply_results(s.spark.read.text(s.result_file), s.emails_dangling)
+    return analysis.analysis_failures(applied).where(F.col("reason") == "malformed_result")
+
+
 # --------------------------------------------------------------------------
 # 2.2 parsing
 # --------------------------------------------------------------------------
@@ -545,6 +553,65 @@ def _d4(s: Store):
     return s.deadlines
 
 
+@query("emails_state_log")
+def _d1g(s: Store):
+    """D1 by the general fold, over a log that carries its content."""
+    return fold.emails_state(s.log)
+
+
+@query("contacts_state_log")
+def _d2g(s: Store):
+    return fold.contacts_state(s.log)
+
+
+@query("follow_ups_state_log")
+def _d3g(s: Store):
+    return fold.follow_ups_state(s.log)
+
+
+@query("deadlines_state_log")
+def _d4g(s: Store):
+    return fold.deadlines_state(s.log)
+
+
+@query("latest_analysis_log")
+def _n1g(s: Store):
+    return fold.latest_analysis(s.log).select(
+        "id", "email_type", "domain", "summary", "requires_reply", "deadline", "entities")
+
+
+@query("first_raw_log")
+def _n2g(s: Store):
+    return fold.first_raw(s.log).select("id", "mailbox_id", "thread_id", "sender", "subject", "snippet", "body",
+                                        "date", "processed_at")
+
+
+@query("first_seen_rows_log")
+def _n3g(s: Store):
+    return fold.first_writes(s.log, ["requires_reply", "deadline", "processed_at"])
+
+
+@query("reindex_vectors")
+def _v7w(s: Store):
+    """V7 / Q13 as a job: embed every stored mail, publish the version, read what is current."""
+    def run():
+        table = store.vector_table(s.spark, shared_dir(s.spark, "reindex"))
+        store.reindex(s.emails, table)
+        return table
+    cells = s._once("reindex", run).current().select("id", F.posexplode("vec").alias("idx", "weight"))
+    return cells.where("weight <> 0").select("id", "idx", F.round("weight", 6).alias("weight"))
+
+
+@query("fanout_retry")
+def _d5r(s: Store):
+    """D5 run twice on one batch: the sink that failed at first is the one that the second run writes."""
+    base = shared_dir(s.spark, "sinks")
+    sinks = {"labels": s.label_events, "contacts": s.contacts, "follow_ups": s.follow_ups, "deadlines": s.deadlines}
+    down = s.contacts.withColumn("total_emails", F.raise_error(F.lit("sink is down")).cast("bigint"))
+    store.fan_out(s.spark, {**sinks, "contacts": down}, base)
+    return store.fan_out(s.spark, sinks, base).select("sink", "n", "written")
+
+
 @query("fanout")
 def _d5(s: Store):
     """Every sink written from the log, a failing one on its own (rows per sink)."""
@@ -582,11 +649,22 @@ def _q10(s: Store):
 
 @query("daily_briefing_job")
 def _w6(s: Store):
-    from ..session import shared_dir
     day = s.consts["now"].date().isoformat() if s.consts["now"] else "none"
     return briefing.daily_job(s.stored.folded, s.as_of, day, shared_dir(s.spark, "briefings"))
 
 
+@query("briefing_schedule")
+def _w6s(s: Store):
+    """W6 by preference: three runs of a day over the current state, and who got a briefing when."""
+    now = s.consts["now"]
+    out = shared_dir(s.spark, "scheduled")
+    wanted = F.element_at(F.array(*(F.lit(t) for t in BRIEFING_TIMES)), (F.col("mailbox_id") % 4 + 1).cast("int"))
+    prefs = s.mailboxes.select("mailbox_id", wanted.alias("briefing_time"))
+    for hour, minute in ((7, 30), (12, 0), (23, 59)) if now else ():
+        briefing.scheduled_job(s.stored.folded, prefs, now.replace(hour=hour, minute=minute, second=0, microsecond=0), out)
+    return briefing.briefing_runs(s.spark, out)
+
+
 @query("briefing_text")
 def _q11(s: Store):
     items, mailboxes, counts = _briefing_parts(s)
@@ -606,6 +684,21 @@ def _q12b(s: Store):
                        "analysis.summary", "analysis.requires_reply", "analysis.deadline")
 
 
+@query("backfill_state")
+def _q12(s: Store):
+    """Q12 whole: new mail -> requests -> result file -> log append -> fold with the earlier log."""
+    base = shared_dir(s.spark, "backfill")
+    new = reads.new_emails_antijoin(s.fetched, s.stored_ids_before)
+
+    def service(requests: str, results: str) -> None:
+        s.with_broken_lines.write.mode("overwrite").text(results)
+
+    analysis.run_backfill(s.spark, new, service, base, 1, s.as_of)
+    writes = analysis.read_backfill_log(s.spark, f"{base}/log")
+    before = s.log.where(F.col("processed_at") < s.cutoff).select(*writes.columns)
+    return fold.emails_state(before.unionByName(writes))
+
+
 # --------------------------------------------------------------------------
 # 2.13 streaming (drained with availableNow, then read back)
 # --------------------------------------------------------------------------
