@@ -175,9 +175,6 @@ RULES = [
 ALONE = {"AllRights"}
 
 NOT_WORD = r"[^a-z0-9]+"
-#: What the SQL looks for before it cuts a text; ``scan`` uses ``cue_words``.
-CUE = ("licen", "permission", "copyright", "rights", "redistribut", "free software", "as is", "warrant",
-       "public domain", "distribute")
 
 
 def normalise_text(sentence: str) -> str:
@@ -266,9 +263,16 @@ def scan(docs: DataFrame, text: str = "text", keep=("doc_id",), sentences=None,
 
 
 def scan_sql(table: str = "documents", sentences=None, rules=None) -> str:
-    """DuckDB SQL for ``scan`` over ``table`` (doc_id, text), where no sentence is joined across a cut."""
+    """DuckDB SQL for ``scan`` over ``table`` (doc_id, text).
+
+    DuckDB's patterns cannot look ahead or behind, so every mark is doubled: a sentence takes
+    one of the marks on either side and leaves one to its neighbours.  No text is left out beforehand.
+    """
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in known_sentences(sentences).items())
+    names = {s: i for s, i in known_sentences(sentences).items() if s}
+    known = ", ".join(f"({quote(s)}, {quote(i)})" for s, i in names.items())
+    ordered = sorted(names, key=lambda s: (-len(s), s))
+    pattern = quote(r"[\n\x01](?:" + "|".join(s.replace(" ", r"(?:\x20|\n\n)") for s in ordered) + r")[\n\x01]")
     steps, licences, last = [], [], []
     for k, (licence, ids) in enumerate(rules or RULES):
         taken = quote("," + ",,".join(ids.split()) + ",")
@@ -285,17 +289,17 @@ def scan_sql(table: str = "documents", sentences=None, rules=None) -> str:
     if last:
         licences.append(f"CASE WHEN {last[0][0]} THEN {quote(last[0][3])} END")
         rest = f"CASE WHEN {last[0][0]} THEN replace({rest}, {last[0][2]}, ',-,') ELSE {rest} END"
-    cues = " OR ".join(f"contains(low, {quote(c)})" for c in CUE)
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
-docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
-                translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM {table}),
-parts AS (SELECT rid, string_split(replace(regexp_replace(regexp_replace(text,
-                   '([.;:!?])[\x20\t-\r]+', '\1' || chr(1), 'g'),
-                   '\n([\x20\t/*#;-]*[a-z])', ' \1', 'g'), chr(10), chr(1)), chr(1)) AS p
-          FROM docs WHERE {cues}),
-sentences AS (SELECT rid, i, trim(regexp_replace(translate(p[i], '{UPPER}', '{LOWER}'), '{NOT_WORD}', ' ', 'g')) AS s
-              FROM parts, LATERAL (SELECT unnest(generate_series(1, len(p))) AS i)),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, replace(coalesce(text, ''), chr(1), ' ') AS text FROM {table}),
+ends AS (SELECT rid, regexp_replace(regexp_replace(text, '\n[\x20\t]*[!;]+[\x20\t]+', chr(10) || '!', 'g'),
+                                    '([.;:!?])[\x20\t-\r]+', '\1' || chr(1), 'g') AS t FROM docs),
+plain AS (SELECT rid, regexp_replace(translate(regexp_replace(t, '\n([\x20\t/*#;-]*[a-z])', ' \1', 'g'),
+                                               '{UPPER}', '{LOWER}'), '[^a-z0-9\n\x01]+', ' ', 'g') AS t FROM ends),
+marked AS (SELECT rid, regexp_replace(chr(10) || t || chr(10), '\x20?([\n\x01])\x20?', '\1\1', 'g') AS t FROM plain),
+taken AS (SELECT rid, regexp_extract_all(t, {pattern}) AS m FROM marked),
+sentences AS (SELECT rid, i, replace(substr(m[i], 2, len(m[i]) - 2), chr(10) || chr(10), ' ') AS s
+              FROM taken, LATERAL (SELECT unnest(generate_series(1, len(m))) AS i)),
 ids AS (SELECT rid, list(id ORDER BY i) AS ids FROM sentences JOIN known ON s = sentence GROUP BY rid),
 judged AS (SELECT rid, ids, ',' || array_to_string(ids, ',,') || ',' AS r0, {", ".join(steps)} FROM ids)
 SELECT doc_id, coalesce(len(ids), 0) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,

@@ -462,8 +462,7 @@ def test_more_notices_and_rights_reserved(spark):
     docs = frame(spark, texts)
     got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
     assert got == {0: "MIT", 1: "LicenseRef-Proprietary", 2: "LicenseRef-Proprietary", 3: "ISC", 4: "LGPL-2.1-or-later"}
-    plain = docs.where("doc_id < 3")
-    same_rows(licences.scan(plain), registry.SQL["op9_licences"], register(plain))
+    same_rows(licences.scan(docs), registry.SQL["op9_licences"], register(docs))
 
 
 def test_longer_licence_rules_go_first(spark):
@@ -510,10 +509,24 @@ def test_licences_of_wrapped_notices(spark):
     want += [(text.replace("\n", "\r\n"), ids, name) for text, ids, name in want[:4]]
     want += [("MIT\n\nLicense", None, None), ("MIT\nLicense", "MitRef", "MIT"), ("A MIT\nLicense", None, None),
              ("MIT. License", None, None), ("MIT\x01License", "MitRef", "MIT")]
-    got = {r.doc_id: r for r in licences.scan(frame(spark, [w[0] for w in want])).collect()}
+    docs = frame(spark, [w[0] for w in want])
+    got = {r.doc_id: r for r in licences.scan(docs).collect()}
+    same_rows(licences.scan(docs), registry.SQL["op9_licences"], register(docs))
     assert [(got[i].sentence_ids, got[i].licences) for i in range(len(want))] == [w[1:] for w in want]
 
 
+def test_licence_sql_agrees_on_notices_broken_anywhere(spark):
+    rng = random.Random(11)
+    breaks = ["\n", "\n\n", "\r\n", "\n# ", "\n! ", "\n * ", " \n", "\x01", "\t", "  ", ". ", "; ", "\n;; "]
+    texts = []
+    for _ in range(400):
+        words = " ".join(rng.choice(licences.SENTENCES)[1] for _ in range(rng.randint(1, 4))).split(" ")
+        texts.append("".join(w + (rng.choice(breaks) if rng.random() < 0.06 else " ") for w in words))
+    docs = frame(spark, [*texts, None, "", "\n", "\x01"])
+    same_rows(licences.scan(docs), registry.SQL["op9_licences"], register(docs))
+    assert licences.scan(docs).where("n_sentences > 0").count() > 200
+
+
 def test_licence_cues_stand_in_the_raw_text(spark):
     texts = ["This work is in the public\ndomain.", "This work is in the public  domain.",
              "# This work is in the public\n# domain.", "All\nrights\nreserved."]
