@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.agg import ordered_listagg
 from ..functions.text import html_exact, html_native, nonempty, prompt_text, strip_recipient
 from ..functions.vector import token_index_array
-from ..operators import analysis, briefing, fold, labels, parse, reads, search, store
+from ..operators import analysis, briefing, codes, fold, labels, parse, reads, search, store
 from ..session import shared_dir
 from ..sources import mailbox
 from .context import BACKFILL_DAYS, BRIEFING_TIMES, Store
@@ -495,6 +495,13 @@ def _v9(s: Store):
     return search.lsh_search(index, s.query_vector, 10)
 
 
+@query("code_search")
+def _v9c(s: Store):
+    """V9 over compact codes: what is scanned is a sixteenth of the vectors."""
+    index = s._once("codes", lambda: codes.code_index(s.table("embeddings")))
+    return codes.code_search(index, s.query_vector, 10)
+
+
 @query("batch_search")
 def _v5(s: Store):
     queries = search.corpus_tokens(s.table("benchmark"), "item_id", "text")

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from mailfold.sources.tables import TABLES
 
-ROWS_ONLY = {"html_to_text_exact", "build_batch_requests", "embed_udf", "lsh_search"}
+ROWS_ONLY = {"html_to_text_exact", "build_batch_requests", "embed_udf", "lsh_search", "code_search"}
 FAST = ["emails_state", "contacts_state", "follow_ups_state", "deadlines_state", "needs_reply_240h",
         "parse_text_messages", "batch_result_join", "assign_labels", "hash_embed",
         "cosine_topk_dense", "briefing_text"]
