@@ -555,6 +555,27 @@ FROM mailboxes
 UNION ALL
 {FALLBACK_LINES}""", ITEMS)
 
+register("briefing_items", "SELECT * FROM items", ITEMS)
+# a line that holds line ends is several lines of the file
+register("briefing_written", f"""
+SELECT mailbox_id, unnest(string_split(line, {NL})) AS line FROM (
+SELECT mailbox_id, '---' || {NL} || 'date: ' || {TODAY} || {NL} || 'generated_at: '
+       || replace(substr(CAST({NOW} AS VARCHAR), 1, 19), ' ', 'T') || '+00:00' || {NL} || '---' || {NL} AS line
+FROM mailboxes
+UNION ALL
+SELECT mailbox_id, line FROM ({FALLBACK_LINES}))""", ITEMS)
+register("rule_analysis", """
+SELECT id, CASE WHEN auto THEN 'automated' ELSE 'human' END AS email_type,
+       CASE WHEN auto THEN CASE WHEN regexp_matches(t, 'invoice|receipt|payment|bank') THEN 'finance'
+                                WHEN regexp_matches(t, 'order|shipped|delivery') THEN 'shopping'
+                                WHEN regexp_matches(t, 'flight|hotel|booking') THEN 'travel'
+                                WHEN regexp_matches(t, 'unsubscribe|newsletter') THEN 'newsletter' ELSE 'other' END END AS domain,
+       CAST([] AS VARCHAR[]) AS entities, coalesce(subject, '') AS summary, NOT auto AND contains(t, '?') AS requires_reply,
+       nullif(regexp_extract(t, 'by (monday|tuesday|wednesday|thursday|friday|saturday|sunday|tomorrow|end of day)'), '')
+         AS deadline
+FROM (SELECT *, regexp_matches(sender, '(?i)(no-?reply|notifications?|mailer)') AS auto,
+             lower(concat_ws(' ', subject, body, snippet)) AS t FROM messages)""")
+
 TOPIC_BATCH = (embed_ctes("vi", "vindex", "id", "document") + "," +
                embed_ctes("b", "benchmark", "item_id", "text") + "," + batch_topn("vi_vec"))
 register("topic_context", f"""
@@ -584,6 +605,8 @@ SELECT id FROM (SELECT id FROM fetched EXCEPT ALL SELECT id FROM stored_before)"
 # ---- vectors -----------------------------------------------------------------
 DOC_SEARCH = (embed_ctes("d", "documents", "doc_id", "text") + "," +
               embed_ctes("q", QUERY0, "id", "text") + "," + one_query_topn("d_vec"))
+register("embed_udf_cells", "SELECT id, idx, round(weight, 6) AS weight FROM d_vec",
+         embed_ctes("d", "documents", "doc_id", "text"))
 register("hash_embed", "SELECT id, idx, cnt, round(weight, 6) AS weight FROM d_vec",
          embed_ctes("d", "documents", "doc_id", "text"))
 register("cosine_topk", "SELECT * FROM hits", DOC_SEARCH)

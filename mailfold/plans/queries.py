@@ -380,6 +380,18 @@ def _mail_hits(s: Store, n: int = 10) -> DataFrame:
     return search.tiled_search(s.stored.vectors.select("id", "vec"), search.query_vectors(queries), n)
 
 
+@query("briefing_items")
+def _a6i(s: Store):
+    """The mails, follow-ups and deadlines that the sections list."""
+    return _briefing_parts(s)[0]
+
+
+@query("rule_analysis")
+def _x5(s: Store):
+    """The offline analyser over every mail."""
+    return analysis.rule_analyzer(s.messages)
+
+
 @query("topic_context", "topic_status_context")
 def _a7(s: Store):
     """Q9 for every benchmark passage: its ten nearest mails, joined in rank order."""
@@ -479,6 +491,15 @@ def _v2(s: Store):
     return s.table("documents").select("doc_id", emb(token_index_array("text")).alias("embedding"))
 
 
+@query("embed_udf_cells")
+def _v2c(s: Store):
+    """V2: the non-zero coordinates of the pluggable embedding, run per document."""
+    emb = search.embed_udf(element="double")
+    vectors = s.table("documents").select(F.col("doc_id").alias("id"), emb(token_index_array("text")).alias("vec"))
+    cells = vectors.select("id", F.posexplode("vec").alias("idx", "weight"))
+    return cells.where("weight <> 0").select("id", "idx", F.round("weight", 6).alias("weight"))
+
+
 @query("cosine_topk_dense")
 def _v3d(s: Store):
     return search.dense_search(s.table("embeddings"), s.query_vector, 10)
@@ -639,6 +660,17 @@ def _d7(s: Store):
     return briefing.with_front_matter(lines, mailboxes, s.today, s.as_of)
 
 
+@query("briefing_written")
+def _d7w(s: Store):
+    """D7 as written: the lines of every mailbox's file, read back."""
+    items, mailboxes, counts = _briefing_parts(s)
+    day = s.consts["now"].date().isoformat() if s.consts["now"] else "none"
+    lines = briefing.with_front_matter(briefing.fallback_lines(items, counts, mailboxes, s.today),
+                                       mailboxes, s.today, s.as_of)
+    path = briefing.write_briefings(lines, shared_dir(s.spark, "briefing-files"), day)
+    return s.spark.read.schema("value string, mailbox_id long").text(path).select("mailbox_id", F.col("value").alias("line"))
+
+
 @query("analysis_failures")
 def _d8(s: Store):
     return analysis.analysis_failures(s.applied)
