@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.vector import token_index_array
 from ..schema import EMBED_DIM
 from ..session import shared_dir
 from . import fold, search
@@ -76,9 +75,9 @@ def _stored(df: DataFrame, path: str, partition: str | None = None, **options) -
 
 
 def embedded(df: DataFrame, text_col: str, dim: int = EMBED_DIM) -> DataFrame:
-    """``df`` with ``vec``: the text's unit vector, counted from native token hashes."""
+    """``df`` with ``vec``: the text's unit vector, each distinct token of a block hashed once."""
     vec = search.embed_udf(dim=dim, element="double")
-    return df.withColumn("vec", vec(token_index_array(text_col)))
+    return df.withColumn("vec", vec(F.lower(text_col)))
 
 
 def vector_store(spark: SparkSession, docs: DataFrame, text_col: str, purpose: str) -> DataFrame:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.agg import ordered_listagg
 from ..functions.text import html_exact, html_native, nonempty, prompt_text, strip_recipient
-from ..functions.vector import token_index_array
 from ..operators import analysis, briefing, codes, fold, labels, parse, reads, search, store
 from ..session import shared_dir
 from ..sources import mailbox
+from ..sources.tables import spread
 from .context import BACKFILL_DAYS, BRIEFING_TIMES, Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -488,14 +488,16 @@ def _v1(s: Store):
 @query("embed_udf")
 def _v2(s: Store):
     emb = search.embed_udf()
-    return s.table("documents").select("doc_id", emb(token_index_array("text")).alias("embedding"))
+    docs = spread(s.table("documents").select("doc_id", "text"))
+    return docs.select("doc_id", emb(F.lower("text")).alias("embedding"))
 
 
 @query("embed_udf_cells")
 def _v2c(s: Store):
     """V2: the non-zero coordinates of the pluggable embedding, run per document."""
     emb = search.embed_udf(element="double")
-    vectors = s.table("documents").select(F.col("doc_id").alias("id"), emb(token_index_array("text")).alias("vec"))
+    docs = spread(s.table("documents").select(F.col("doc_id").alias("id"), "text"))
+    vectors = docs.select("id", emb(F.lower("text")).alias("vec"))
     cells = vectors.select("id", F.posexplode("vec").alias("idx", "weight"))
     return cells.where("weight <> 0").select("id", "idx", F.round("weight", 6).alias("weight"))
 

@@ -175,3 +175,19 @@ def test_repeated_query_ids_with_different_vectors(spark):
                                     "id long, vec array<double>")
     runs = [sorted(map(tuple, search.tiled_search(corpus, queries, 1, dim=2, tile=tile).collect())) for tile in (1, 2, 4096)]
     assert runs[0] == runs[1] == runs[2] == [(1, 0, 0.0, 1), (1, 2, 0.0, 1), (2, 2, 0.0, 1)]
+
+
+def test_embedding_hashes_each_distinct_token_once(spark, monkeypatch):
+    import hashlib
+    from mailfold.functions.vector import token_index_array
+    from mailfold.operators import search
+    texts = ["a b\ta", None, "", " \x0b \n", "É Straße ΟΔΟΣ \x1c x y z", "  a  \r\n B\x0cb "] + [f"w{i % 7} " * 50 for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    emb = search.embed_udf(element="double")
+    rows = df.select("id", emb(F.lower("t")).alias("a"), emb(token_index_array("t")).alias("b")).collect()
+    assert len(rows) == len(texts) and all(r.a == r.b for r in rows)
+    calls = []
+    real = hashlib.md5
+    monkeypatch.setattr(search.hashlib, "md5", lambda b: calls.append(b) or real(b))
+    search._hashed_words(384)(["x y x y"] * 2000)
+    assert sorted(calls) == [b"x", b"y"]
