@@ -20,27 +20,72 @@ as a new version behind a pointer, and ``fan_out`` keeps a ledger (see ``ledger`
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import EMBED_DIM
 from ..session import shared_dir
+from ..sources.tables import parallelism
 from . import fold, search
 from .ledger import Ledger, Versions
 
 
-@dataclass(frozen=True)
 class StoredState:
-    """DataFrames over the written tables (schemas fixed, nothing inferred)."""
-    folded: DataFrame
-    emails: DataFrame
-    contacts: DataFrame
-    follow_ups: DataFrame
-    deadlines: DataFrame
-    vectors: DataFrame
-    by_id: DataFrame
-    buckets: int
+    """DataFrames over the written tables (schemas fixed, nothing inferred).
+
+    A table is written when it is first asked for, and the fold that all are projections of
+    before it; ``write_state`` writes them all.
+    """
+
+    def __init__(self, spark: SparkSession, folded: DataFrame, contacts: DataFrame, buckets: int):
+        self.spark, self._fold, self._contacts, self.buckets = spark, folded, contacts, buckets
+
+    @cached_property
+    def _base(self) -> str:
+        return shared_dir(self.spark, "state")
+
+    @cached_property
+    def by_id(self) -> DataFrame:
+        rows = _without_copies(self._fold).withColumn("id_bucket", _bucket(F.col("id"), self.buckets))
+        rows = rows.repartition("id_bucket").sortWithinPartitions("id_bucket", "id")
+        rows = _stored(rows, f"{self._base}/fold", "id_bucket", **{"parquet.bloom.filter.enabled#id": "true"})
+        return _with_copies(rows).select(*self._fold.columns, "id_bucket")
+
+    @cached_property
+    def folded(self) -> DataFrame:
+        return self.by_id.drop("id_bucket")
+
+    @cached_property
+    def emails(self) -> DataFrame:
+        emails = (fold.emails_from_partial(self.folded).withColumn("processed_day", F.to_date("processed_at"))
+                  .repartitionByRange("processed_day", "id").sortWithinPartitions("processed_day", "id"))
+        return _stored(emails, f"{self._base}/emails", "processed_day")
+
+    @cached_property
+    def contacts(self) -> DataFrame:
+        rows = self._contacts.repartitionByRange("email_address").sortWithinPartitions("email_address")
+        return _stored(rows, f"{self._base}/contacts")
+
+    @cached_property
+    def follow_ups(self) -> DataFrame:
+        rows = fold.follow_ups_from_partial(self.folded, "follow_up_status")
+        return _stored(rows, f"{self._base}/follow_ups", "status")
+
+    @cached_property
+    def deadlines(self) -> DataFrame:
+        rows = fold.deadlines_from_partial(self.folded, "deadline_status")
+        return _stored(rows, f"{self._base}/deadlines", "status")
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        index = search.vector_index_from_fold(
+            self.folded, F.col("first.mailbox_id").alias("mailbox_id"),
+            _bucket(F.col("first.mailbox_id"), self.buckets).alias("mailbox_bucket"))
+        # texts are shuffled, not vectors; a large mailbox is a range of many tasks, each small enough to sort
+        n = max(parallelism(self.spark), -(-self.by_id.count() // VECTOR_ROWS))
+        index = index.repartitionByRange(n, "mailbox_bucket", "mailbox_id", "id")
+        return _stored(embedded(index, "document"), f"{self._base}/vectors", "mailbox_bucket")
 
     def of_id(self, email_id) -> DataFrame:
         """The folded row of one mail, from its bucket."""
@@ -54,7 +99,8 @@ class StoredState:
 
 
 BUCKETS = 64
-SPREAD = 4
+#: Rows of the vector table that one task sorts (about 6 KB each).
+VECTOR_ROWS = 20_000
 #: The columns of ``fold.emails_state``.
 EMAILS = ("id long, mailbox_id long, thread_id string, sender string, subject string, snippet string, body string, "
           "date string, email_type string, domain string, summary string, requires_reply boolean, deadline string, "
@@ -90,30 +136,35 @@ def write_state(spark: SparkSession, folded: DataFrame, contacts: DataFrame, buc
 
     ``buckets``: of the id and mailbox layouts; choose it so that a bucket is a file or a few.
     """
-    base = shared_dir(spark, "state")
-    by_id = (folded.withColumn("id_bucket", _bucket(F.col("id"), buckets))
-                   .repartition("id_bucket").sortWithinPartitions("id_bucket", "id"))
-    by_id = _stored(by_id, f"{base}/fold", "id_bucket", **{"parquet.bloom.filter.enabled#id": "true"})
-    folded = by_id.drop("id_bucket")
-    emails = (fold.emails_from_partial(folded).withColumn("processed_day", F.to_date("processed_at"))
-              .repartitionByRange("processed_day", "id").sortWithinPartitions("processed_day", "id"))
-    index = search.vector_index_from_fold(
-        folded, F.col("first.mailbox_id").alias("mailbox_id"),
-        _bucket(F.col("first.mailbox_id"), buckets).alias("mailbox_bucket"))
-    # within a bucket dealt out over some tasks, so that a large mailbox is not one task's
-    vectors = (embedded(index, "document").repartition("mailbox_bucket", F.pmod(F.xxhash64("id"), F.lit(SPREAD)))
-               .sortWithinPartitions("mailbox_bucket", "mailbox_id"))
-    return StoredState(
-        folded=folded,
-        emails=_stored(emails, f"{base}/emails", "processed_day"),
-        contacts=_stored(contacts.repartitionByRange("email_address").sortWithinPartitions("email_address"),
-                         f"{base}/contacts"),
-        follow_ups=_stored(fold.follow_ups_from_partial(folded, "follow_up_status"),
-                           f"{base}/follow_ups", "status"),
-        deadlines=_stored(fold.deadlines_from_partial(folded, "deadline_status"),
-                          f"{base}/deadlines", "status"),
-        vectors=_stored(vectors, f"{base}/vectors", "mailbox_bucket"),
-        by_id=by_id, buckets=buckets)
+    state = StoredState(spark, folded, contacts, buckets)
+    for table in ("by_id", "emails", "contacts", "follow_ups", "deadlines", "vectors"):
+        getattr(state, table)
+    return state
+
+
+COPIED = ("subject", "snippet", "body")
+
+
+def _first(name: str) -> Column:
+    return F.col("first.subject" if name == "subject" else f"first_text.{name}")
+
+
+def _without_copies(folded: DataFrame) -> DataFrame:
+    """The last write's texts only where they are not those of the first."""
+    last = F.col("last_raw")
+    for name in COPIED:
+        same = F.col(f"last_raw.{name}").eqNullSafe(_first(name))
+        last = last.withField(name, F.when(~same, F.col(f"last_raw.{name}"))).withField(f"same_{name}", same)
+    return folded.withColumn("last_raw", last)
+
+
+def _with_copies(stored: DataFrame) -> DataFrame:
+    """``_without_copies`` undone."""
+    last = F.col("last_raw")
+    for name in COPIED:
+        last = last.withField(name, F.when(F.col(f"last_raw.same_{name}"), _first(name))
+                              .otherwise(F.col(f"last_raw.{name}")))
+    return stored.withColumn("last_raw", last.dropFields(*(f"same_{name}" for name in COPIED)))
 
 
 def recent(emails: DataFrame, as_of: Column, hours: int = 0, days: int = 0) -> DataFrame:

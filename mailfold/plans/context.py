@@ -97,8 +97,8 @@ class Store:
     # -- stored state ---------------------------------------------------------
     @property
     def stored(self) -> store.StoredState:
-        """The tables written by ``store.write_state``: once per session and data directory."""
-        return self._once("state", lambda: store.write_state(self.spark, self.folded, self.contacts))
+        """The stored tables, each written when a query first reads it: once per session and data directory."""
+        return self._once("state", lambda: store.StoredState(self.spark, self.folded, self.contacts, store.BUCKETS))
 
     @property
     def document_vectors(self):

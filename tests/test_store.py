@@ -41,3 +41,22 @@ def test_lookups_and_mailboxes_from_their_buckets(spark):
     for mailbox in (0, 3, 99):
         want = sorted(r.id for r in s.stored.vectors.where(F.col("mailbox_id") == mailbox).collect())
         assert sorted(r.id for r in s.stored.vectors.where(s.stored.of_mailbox(mailbox)).collect()) == want
+
+
+def test_a_table_is_written_when_it_is_first_read(spark):
+    s = Store(spark, SF)
+    state = store.StoredState(spark, s.folded, s.contacts, 8)
+    want = sorted(map(repr, s.folded.collect()))
+    assert sorted(map(repr, state.folded.collect())) == want
+    assert "vectors" not in vars(state) and "emails" not in vars(state)
+
+
+def test_the_last_texts_are_stored_once(spark):
+    rows = [(1, ("s", 1), ("n", "b"), ("s", "n", "b")), (2, ("s", 1), ("n", None), ("s", "n", "b")),
+            (3, (None, 1), ("n", "b"), (None, "n", None)), (4, ("s", 1), (None, "b"), ("t", "m", "b"))]
+    df = spark.createDataFrame(rows, "id long, first struct<subject:string,seq:long>, "
+                                     "first_text struct<snippet:string,body:string>, "
+                                     "last_raw struct<subject:string,snippet:string,body:string>")
+    slim = store._without_copies(df)
+    assert [r.last_raw.body for r in slim.orderBy("id").collect()] == [None, "b", None, None]
+    assert store._with_copies(slim).orderBy("id").collect() == df.orderBy("id").collect()
