@@ -744,7 +744,7 @@ def _q12(s: Store):
 # 2.13 streaming (drained with availableNow, then read back)
 # --------------------------------------------------------------------------
 
-STREAM_FILES = 4   # files per micro-batch (the per-poll cap of the stream)
+STREAM_FILES = 4   # chunks per micro-batch (the per-poll cap of the stream, in files of a small log)
 
 
 def _stream_source(s: Store):
@@ -753,25 +753,26 @@ def _stream_source(s: Store):
     base = ingest.scratch(s.spark, "stream")
     src = os.path.join(base, "source")
     log = s.log.drop("k")
-    ingest.write_log_source(log, src)
-    return base, src, log.schema
+    files = ingest.files_per_chunk(log)
+    ingest.write_log_source(log, src, files=files)
+    return base, src, log.schema, STREAM_FILES * files
 
 
 @query("stream_ingest")
 def _w1(s: Store):
     import os
     from ..streaming import ingest
-    base, src, schema = _stream_source(s)
+    base, src, schema, max_files = _stream_source(s)
     return ingest.run_ingest(s.spark, src, schema, os.path.join(base, "sink"),
-                             os.path.join(base, "ckpt"), max_files=STREAM_FILES)
+                             os.path.join(base, "ckpt"), max_files=max_files)
 
 
-def stream_dedup_drain(s: Store, base: str, src: str, schema):
+def stream_dedup_drain(s: Store, base: str, src: str, schema, max_files: int = STREAM_FILES):
     """W2 on a prepared source: drain the stream, each id processed once."""
     import os
     from ..streaming import ingest
     processed, _ = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
-                                    os.path.join(base, "ckpt"), max_files=STREAM_FILES)
+                                    os.path.join(base, "ckpt"), max_files=max_files)
     return processed.select("id", "seq", "sender", "processed_at")
 
 
@@ -784,10 +785,10 @@ def _w2(s: Store):
 def _w3(s: Store):
     import os
     from ..streaming import ingest
-    base, src, schema = _stream_source(s)
+    base, src, schema, max_files = _stream_source(s)
     processed, _ = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
                                     os.path.join(base, "ckpt"), seed_ids=s.stored_ids_before,
-                                    max_files=STREAM_FILES)
+                                    max_files=max_files)
     return processed.select("id", "seq", "processed_at")
 
 
@@ -801,10 +802,10 @@ def _needs_body(new):
 def _w4(s: Store):
     import os
     from ..streaming import ingest
-    base, src, schema = _stream_source(s)
+    base, src, schema, max_files = _stream_source(s)
     _, failures = ingest.run_dedup(s.spark, src, schema, os.path.join(base, "out"),
                                    os.path.join(base, "ckpt"), process=_needs_body,
-                                   max_files=STREAM_FILES)
+                                   max_files=max_files)
     return failures
 
 
@@ -814,9 +815,9 @@ def _drained_state(s: Store) -> str:
     from ..streaming import ingest
 
     def drain():
-        base, src, schema = _stream_source(s)
+        base, src, schema, max_files = _stream_source(s)
         folder = os.path.join(base, "state")
-        ingest.run_state(s.spark, src, schema, folder, os.path.join(base, "ckpt"), max_files=STREAM_FILES)
+        ingest.run_state(s.spark, src, schema, folder, os.path.join(base, "ckpt"), max_files=max_files)
         return folder
     return s._once("stream-state", drain)
 

@@ -217,3 +217,20 @@ def test_one_failing_message_does_not_stop_the_others(spark):
                                process=ingest.per_message(work, "id long, size long"), max_files=50)
     assert sorted(r["id"] for r in ok.collect()) == [0, 1, 2, 4, 5]
     assert [(r["id"], r["reason"]) for r in bad.collect()] == [(3, "ValueError: bad mail")]
+
+
+def test_a_chunk_of_several_files_arrives_whole(spark):
+    """Each chunk has exactly the files asked for, by parallel tasks; batches of whole chunks keep the order."""
+    rows = [{"id": i % 11, "processed_at": dt.datetime(2026, 1, 1) + dt.timedelta(days=0 if i < 90 else 6, minutes=i)}
+            for i in range(93)]
+    log = make_log(spark, rows).repartition(5)
+    base = tempfile.mkdtemp(prefix="chunks-")
+    src = os.path.join(base, "src")
+    assert ingest.files_per_chunk(log, chunk_days=2, file_rows=30) == 3
+    assert ingest.write_log_source(log, src, chunk_days=2, files=3) == 4           # two chunks have no rows
+    files = sorted(glob.glob(os.path.join(src, "part-*.parquet")), key=os.path.getmtime)
+    sizes = [spark.read.parquet(f).count() for f in files]
+    assert len(files) == 12 and sum(sizes) == 93 and sum(n > 0 for n in sizes[:3]) > 1
+    assert sum(sizes[:3]) == 90 and sum(sizes[3:9]) == 0
+    processed, _ = ingest.run_dedup(spark, src, log.schema, os.path.join(base, "out"), os.path.join(base, "ck"), max_files=3)
+    assert sorted((r.id, r.seq) for r in processed.collect()) == [(i, i) for i in range(11)]
