@@ -33,7 +33,7 @@ from array import array
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import Cache, gather, split_chunks
+from .chunks import Cache, Generations, gather, split_chunks
 from .common import require_columns, text_slices, worker_state
 
 END = "\0"     # stands for the end-of-word mark: one character, in no token otherwise
@@ -114,9 +114,10 @@ class WordBpe(Words):
             self.strings[token] = text
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") \
             if self.specials else None
-        self.fits = Cache(1 << 18)
-        self.words_seen = Cache(400_000)      # a word costs more to encode than a chunk to look up
-        self.chunks_seen = Cache()
+        # each worker of an executor has its own; the limits change the time taken, never an id
+        self.fits = Cache(1 << 17)
+        self.words_seen = Generations(150_000)      # a word costs more to encode than a chunk to look up
+        self.chunks_seen = Cache(100_000)
 
     # -- merges ---------------------------------------------------------------
     def compatible(self, left: int, right: int) -> bool:
