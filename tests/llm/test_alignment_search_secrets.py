@@ -204,6 +204,39 @@ def test_formats_learnt_from_labels_find_bare_credentials_and_leave_prose_alone(
     assert [few[i].n_assign for i in range(6)] == [1] * 5 + [0] and sum(r.n_inferred for r in few.values()) == 0
 
 
+def test_labels_beyond_the_sample_and_long_ones_give_formats_too(spark):
+    rng = random.Random(11)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    formats = [lambda: "ghx_" + some("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 24),
+               lambda: "zq+" + some("01", 40),                        # 30 among 2130: few in the sample
+               lambda: "ghy_" + some("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 140)]
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 18))) for _ in range(400)]
+    prose = [" ".join(rng.choices(words, k=60)) for _ in range(200)]
+    labels = [f"config token={of()} end" for of, n in zip(formats, (2000, 30, 100)) for _ in range(n)]
+    bare = [f"please keep {of()} safe" for of in formats for _ in range(10)]
+    got = {r.doc_id: r for r in secrets.find_secrets(frame(spark, prose + labels + bare), sample=300).collect()}
+    assert sum(got[i].n_inferred for i in range(len(prose))) == 0
+    for k, size in enumerate((28, 43, 144)):
+        first = len(prose) + len(labels) + 10 * k
+        assert sum(f"assign:12:{12 + size}" in got[first + i].spans.split(",") for i in range(10)) >= 8, k
+
+
+def test_all_labelled_values_are_counted_in_their_automata(spark):
+    rng = random.Random(12)
+    values = {"".join(rng.choice(letters) for _ in range(rng.choice(sizes)))
+              for letters, sizes, n in (("abcdef0123456789", (32, 40, 64), 500), ("XYZ=", (300, 150), 60)) for _ in range(n)}
+    found = secrets.infer(spark.createDataFrame([(2, v) for v in values], "kind int, value string").repartition(3), sample=25)
+    left, counted = values, 0
+    for kind, step, cost, shortest, longest, typical in found:
+        own = sorted(left)
+        followed = secrets.passages(step, own)[1]
+        own = [v for v, ok in zip(own, followed) if ok]
+        assert kind == 2 and (shortest, longest) == (min(map(len, own)), max(map(len, own))) and 0 < typical < math.inf
+        assert np.allclose(cost, secrets.costs(secrets.passages(step, own)[0]))
+        left, counted = left - {*own}, counted + len(own)
+    assert counted + len(left) == len(values) and len(left) < secrets.LEAST
+
+
 def test_merged_automaton_is_a_distribution_and_generalises():
     rng = random.Random(5)
     values = ["AB" + "".join(rng.choice("01") for _ in range(10)) for _ in range(400)]
