@@ -4,9 +4,9 @@
               from the state fold (``vector_index_from_fold``) or any log
 * embedding - hashed bag of words: tokens hashed in-row with native md5, counted
               per Arrow batch with ``numpy.bincount`` (V1, no shuffle), or the
-              native two-aggregate form; any model via an iterator pandas UDF (V2)
+              native two-aggregate form; any model via an iterator Arrow UDF (V2)
 * search    - corpus rows in Arrow batches times the query matrix in
-              ``mapInPandas``, a running top-n per query and task, then a window
+              ``mapInArrow``, a running top-n per query and task, then a window
               limit per query (V3 is the one-query case, V5 the many-query one).
               Query vectors are built on the executors and fetched one tile of
               fixed size at a time.  No query x document pair is materialised.
@@ -24,10 +24,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.text import nonempty
+from ..functions.text import nonempty, slices
 from ..functions.vector import (cells as corpus_cells, cosine_distance, hash_embed_sparse,
                                 token_indexes)
 from ..schema import EMBED_DIM
@@ -207,42 +208,55 @@ def _unit_rows(idx_lists, dim: int) -> np.ndarray:
     return m / norms[:, None]
 
 
+def _blocks(batches, *names: str):
+    """The named columns of Arrow batches, ``SCORE_ROWS`` rows at a time."""
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(name)) for name in names]
+        for lo in range(0, batch.num_rows, SCORE_ROWS):
+            yield [column.slice(lo, SCORE_ROWS) for column in columns]
+
+
+def _lists(column) -> list:
+    """The lists of an Arrow array as numpy arrays; a null is an empty one."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
+def _list_array(vectors, of) -> pa.Array:
+    """Vectors, one or none a row, as an Arrow array of lists of the type ``of``."""
+    return pa.array([v if v is None else np.asarray(v, of.to_pandas_dtype()) for v in vectors], pa.list_(of))
+
+
 def _local_topn(shared, n, dim, vector_col=False):
-    """mapInPandas body: a running top-n per query over this partition's corpus rows.
+    """mapInArrow body: a running top-n per query over this partition's corpus rows.
 
     ``shared`` holds (query numbers, query ids, query matrix).  Corpus rows are scored in blocks
-    of ``SCORE_ROWS``, so memory does not depend on the Arrow batch size.
+    of ``SCORE_ROWS`` straight from the Arrow batch, which is all that is held of its size.
     """
-    block = SCORE_ROWS
-
     def run(batches):
         qids, names, qmat = shared.value
         best_d = np.empty((len(qids), 0))
         best_i = np.empty((len(qids), 0), dtype=np.int64)
-        for pdf in batches:
-            for lo in range(0, len(pdf), block):
-                part = pdf.iloc[lo:lo + block]
-                ids = part["id"].to_numpy(dtype=np.int64)
-                rows = (np.stack(part["vec"].to_numpy()).astype(np.float64) if vector_col
-                        else _unit_rows(part["idx"].tolist(), dim))
-                dist = 1.0 - qmat @ rows.T                                     # queries x rows
-                if best_d.shape[1] == n:
-                    # rows that are in no query's top n so far need no sorting
-                    worst = np.round(best_d[:, -1:], RANK_PLACES)
-                    near = np.flatnonzero((np.round(dist, RANK_PLACES) <= worst).any(axis=0))
-                    if not len(near):
-                        continue
-                    dist, ids = dist[:, near], ids[near]
-                d = np.concatenate([best_d, dist], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, dist.shape)], axis=1)
-                # rank by (rounded distance, id) along the axis, for all queries at once
-                order = np.lexsort((i, np.round(d, RANK_PLACES)), axis=1)[:, :n]
-                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        for ids, part in _blocks(batches, "id", "vec" if vector_col else "idx"):
+            ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.stack(_lists(part)).astype(np.float64) if vector_col else _unit_rows(_lists(part), dim)
+            dist = 1.0 - qmat @ rows.T                                     # queries x rows
+            if best_d.shape[1] == n:
+                # rows that are in no query's top n so far need no sorting
+                worst = np.round(best_d[:, -1:], RANK_PLACES)
+                near = np.flatnonzero((np.round(dist, RANK_PLACES) <= worst).any(axis=0))
+                if not len(near):
+                    continue
+                dist, ids = dist[:, near], ids[near]
+            d = np.concatenate([best_d, dist], axis=1)
+            i = np.concatenate([best_i, np.broadcast_to(ids, dist.shape)], axis=1)
+            # rank by (rounded distance, id) along the axis, for all queries at once
+            order = np.lexsort((i, np.round(d, RANK_PLACES)), axis=1)[:, :n]
+            best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         if best_i.shape[1]:
-            yield pd.DataFrame({
-                "qid": np.repeat(np.asarray(qids, dtype=np.int64), best_i.shape[1]),
-                "name": np.repeat(np.asarray(names, dtype=np.int64), best_i.shape[1]),
-                "id": best_i.reshape(-1), "distance": best_d.reshape(-1)})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.asarray(x, dtype=np.int64), best_i.shape[1])) for x in (qids, names)]
+                + [pa.array(best_i.reshape(-1)), pa.array(best_d.reshape(-1))], names=["qid", "name", "id", "distance"])
     return run
 
 
@@ -252,28 +266,25 @@ def hash_embed_cells(df: DataFrame, id_col: str, text_col: str,
     batch with ``numpy.bincount``; emits (id, idx, cnt, weight) for every
     non-zero coordinate.  Same rows as ``hash_embed_sparse``."""
     def cells(batches):
-        for pdf in batches:
-            for lo in range(0, len(pdf), SCORE_ROWS):
-                part = pdf.iloc[lo:lo + SCORE_ROWS]
-                counts = _counts(part["idx"].tolist(), dim)
-                row, idx = np.nonzero(counts)
-                cnt = counts[row, idx].astype(np.int64)
-                norm = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1))
-                yield pd.DataFrame({"id": part["id"].to_numpy(dtype=np.int64)[row], "idx": idx.astype(np.int32),
-                                    "cnt": cnt, "weight": cnt / norm[row]})
-    return token_indexes(df, id_col, text_col).mapInPandas(
+        for ids, part in _blocks(batches, "id", "idx"):
+            counts = _counts(_lists(part), dim)
+            row, idx = np.nonzero(counts)
+            cnt = counts[row, idx].astype(np.int64)
+            norm = np.sqrt((counts.astype(np.float64) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids.to_numpy(zero_copy_only=False).astype(np.int64)[row]), pa.array(idx.astype(np.int32)),
+                 pa.array(cnt), pa.array(cnt / norm[row])], names=["id", "idx", "cnt", "weight"])
+    return token_indexes(df, id_col, text_col).mapInArrow(
         cells, "id long, idx int, cnt long, weight double")
 
 
 def query_vectors(query_tokens: DataFrame, dim: int = EMBED_DIM) -> DataFrame:
     """(id, vec array<double>): unit count vectors built on the executors."""
     def to_vec(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            mat = _unit_rows(pdf["idx"].tolist(), dim)
-            yield pd.DataFrame({"id": pdf["id"].astype("int64"), "vec": list(mat)})
-    return query_tokens.select("id", "idx").mapInPandas(to_vec, "id long, vec array<double>")
+        for ids, part in _blocks(batches, "id", "idx"):
+            yield pa.RecordBatch.from_arrays(
+                [ids.cast(pa.int64()), _list_array(_unit_rows(_lists(part), dim), pa.float64())], names=["id", "vec"])
+    return query_tokens.select("id", "idx").mapInArrow(to_vec, "id long, vec array<double>")
 
 
 def batch_search(corpus_tokens: DataFrame, query_tokens: DataFrame, n: int = 10,
@@ -315,7 +326,7 @@ def tiled_search(corpus: DataFrame, vectors: DataFrame, n: int = 10, dim: int =
         shared = spark.sparkContext.broadcast(
             (rows["number"].tolist(), rows["id"].tolist(), np.stack(rows["vec"].to_numpy()).astype(np.float64)))
         paths.append(f"{base}/tile-{k}")
-        corpus.mapInPandas(_local_topn(shared, n, dim, by_vector), hits) \
+        corpus.mapInArrow(_local_topn(shared, n, dim, by_vector), hits) \
               .write.parquet(paths[-1])
         shared.unpersist()
     if not paths:
@@ -355,8 +366,6 @@ def _hashed_words(dim: int):
         return at
 
     def token_lists(texts):
-        import pyarrow as pa
-        import pyarrow.compute as pc
         # 64-bit offsets: a block may hold texts of any length
         words = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
         coded = words.flatten().dictionary_encode()
@@ -378,8 +387,8 @@ def _hashed_words(dim: int):
 
 
 def embed_udf(make_model=None, dim: int = EMBED_DIM, element: str = "float"):
-    """An iterator pandas UDF; ``make_model()`` runs once per task and
-    returns ``values -> list of vectors``.
+    """An iterator Arrow UDF; ``make_model()`` runs once per task and
+    returns ``values -> list of vectors``, which is called for a slice of rows at a time.
 
     A model of your own is given texts.  The default is the hashed bag of words:
     it is given lower-cased texts (``F.lower``), splits them by Arrow and hashes each
@@ -388,12 +397,15 @@ def embed_udf(make_model=None, dim: int = EMBED_DIM, element: str = "float"):
     """
     factory = make_model or (lambda: _hashed_words(dim))
     blank = "" if make_model else ()
+    of = {"float": pa.float32(), "double": pa.float64()}[element]
 
-    @F.pandas_udf(f"array<{element}>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(f"array<{element}>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
-        for s in batches:
-            yield pd.Series(model([blank if v is None else v for v in s.tolist()]))
+        for column in batches:
+            for part in slices(column, SCORE_ROWS):
+                rows = _lists(part) if pa.types.is_list(part.type) else part.to_pylist()
+                yield _list_array(model([blank if v is None else v for v in rows]), of)
     return embed
 
 

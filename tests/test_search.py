@@ -191,3 +191,17 @@ def test_embedding_hashes_each_distinct_token_once(spark, monkeypatch):
     monkeypatch.setattr(search.hashlib, "md5", lambda b: calls.append(b) or real(b))
     search._hashed_words(384)(["x y x y"] * 2000)
     assert sorted(calls) == [b"x", b"y"]
+
+
+def test_embedding_and_search_hold_a_slice_of_an_arrow_batch_at_a_time(spark):
+    texts = ["a b"] * 1500 + ["c" * 3_000_000, "d", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").coalesce(1)
+    calls = search.embed_udf(lambda: lambda part: [[float(len(part)), float(sum(map(len, part)))] for _ in part])
+    got = df.select("id", calls("t").alias("v")).orderBy("id").collect()
+    assert len(got) == len(texts) and max(r.v[0] for r in got) <= search.SCORE_ROWS
+    assert got[1500].v == [1.0, 3_000_000.0]                       # a long text by itself
+    vec = search.embed_udf(element="double")
+    corpus = df.where("id < 1504").select("id", vec(F.lower("t")).alias("vec")).coalesce(1)
+    query = spark.createDataFrame([(7, py_embed("a b"))], "id long, vec array<double>")
+    hits = search.tiled_search(corpus, query, 1490).collect()
+    assert sorted(r.id for r in hits) == [*range(1490)] and all(r.distance == 0 for r in hits)
