@@ -753,8 +753,9 @@ def _stream_source(s: Store):
     base = ingest.scratch(s.spark, "stream")
     src = os.path.join(base, "source")
     log = s.log.drop("k")
-    files = ingest.files_per_chunk(log)
-    ingest.write_log_source(log, src, files=files)
+    chunks = ingest.count_chunks(log)
+    files = ingest.files_per_chunk(log, chunks=chunks)
+    ingest.write_log_source(log, src, files=files, chunks=chunks)
     return base, src, log.schema, STREAM_FILES * files
 
 
@@ -764,7 +765,7 @@ def _w1(s: Store):
     from ..streaming import ingest
     base, src, schema, max_files = _stream_source(s)
     return ingest.run_ingest(s.spark, src, schema, os.path.join(base, "sink"),
-                             os.path.join(base, "ckpt"), max_files=max_files)
+                             os.path.join(base, "ckpt"), max_files=max_files, consume=True)
 
 
 def stream_dedup_drain(s: Store, base: str, src: str, schema, max_files: int = STREAM_FILES):

@@ -234,3 +234,33 @@ def test_a_chunk_of_several_files_arrives_whole(spark):
     assert sum(sizes[:3]) == 90 and sum(sizes[3:9]) == 0
     processed, _ = ingest.run_dedup(spark, src, log.schema, os.path.join(base, "out"), os.path.join(base, "ck"), max_files=3)
     assert sorted((r.id, r.seq) for r in processed.collect()) == [(i, i) for i in range(11)]
+
+
+def test_stream_ingest_keeps_the_log_on_disk_once(spark):
+    from mailfold.plans.queries import QUERIES
+    top = spark.conf.get("spark.checkpoint.dir")
+    there = set(os.listdir(top))
+    before = {key: spark.conf.get(key, None) for key in ingest.STAGING_CONF}
+    out = QUERIES["stream_ingest"](spark, "/root/testdata/sf0.001")
+    assert {key: spark.conf.get(key, None) for key in ingest.STAGING_CONF} == before
+    base = next(os.path.join(top, d) for d in set(os.listdir(top)) - there if d.startswith("stream-"))
+    rows = lambda path: spark.read.schema(out.schema).parquet(path).count()
+    last = max(os.listdir(os.path.join(base, "sink")), key=lambda d: int(d.split("=")[1]))
+    assert last != "batch=0"
+    assert rows(os.path.join(base, "source_staging")) == 0                          # copied chunks are gone,
+    assert rows(os.path.join(base, "source")) <= rows(os.path.join(base, "sink", last)) < out.count()  # consumed ones too
+
+
+def test_source_staged_in_passes_and_writes_without_a_time(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "PASS_ROWS", 10)
+    days = [0, 0, 3, 3, 9, None]
+    log = make_log(spark, [{"id": i % 7, "processed_at": None if days[i % 6] is None else
+                            dt.datetime(2026, 1, 1) + dt.timedelta(days=days[i % 6])} for i in range(60)])
+    assert ingest.count_chunks(log, 2) == (20454, {0: 20, 1: 20, 4: 20})
+    for name, part, chunks in (("all", log, 5), ("timeless", log.where("processed_at is null"), 1)):
+        base = tempfile.mkdtemp(prefix="passes-")
+        src = os.path.join(base, "src")
+        assert ingest.write_log_source(part, src, chunk_days=2, files=2) == chunks
+        assert len(glob.glob(os.path.join(src, "*.parquet"))) == 2 * chunks
+        got = ingest.run_ingest(spark, src, log.schema, os.path.join(base, "sink"), os.path.join(base, "ck"), max_files=4)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, part.collect()), key=repr), name
